@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, simhash, token_records
+from . import language_id, license_scan, line_dedup, line_quality, simhash, token_records
 from .common import table
 
 
@@ -30,10 +30,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 4, 2)
+    model = language_id.learn(docs.where(~out))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cover")
+
+
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language_id.held_out("doc_id", 5, 0)
+    model = line_quality.learn(docs, labels.where(~out))
+    return line_quality.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted", "good_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_token_records": op3_token_records,
     "op4_license_scan": op4_license_scan,
+    "op8_language_id": op8_language_id,
+    "op10_line_quality": op10_line_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
