@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, line_dedup, line_quality, simhash, token_records
+from . import decontaminate, language_id, license_scan, line_dedup, line_quality, simhash, token_records
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out("doc_id", 4, 2)
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_token_records": op3_token_records,
     "op4_license_scan": op4_license_scan,
+    "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
     "op10_line_quality": op10_line_quality,
 }
