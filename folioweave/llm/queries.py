@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, line_quality, simhash, token_records
+from . import decontaminate, language_id, license_scan, line_dedup, line_quality, piece_transducer, simhash, token_records
 from .common import table
 
 
@@ -34,6 +34,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = piece_transducer.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", "ids_crc32", "ids", "decoded", "round_trip")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.held_out("doc_id", 4, 2)
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_records": op3_token_records,
     "op4_license_scan": op4_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
     "op10_line_quality": op10_line_quality,
 }
