@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, line_quality, piece_transducer, simhash, token_records
+from . import decontaminate, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, piece_transducer, simhash, token_records
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "cover")
 
 
+def op9_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = language_id.held_out("doc_id", 5, 0)
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
+    "op9_paragraph_sketch": op9_paragraph_sketch,
     "op10_line_quality": op10_line_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
