@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, piece_transducer, simhash, token_records
+from . import decontaminate, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, piece_transducer, simhash, token_records, wrapper_extract
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_token_records": op3_token_records,
     "op4_license_scan": op4_license_scan,
+    "op5_wrapper_extract": op5_wrapper_extract,
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
