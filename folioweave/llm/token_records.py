@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, xor_key
 
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 READ = 1 << 22
 MANIFEST = "part int, file string, documents long, ids long"
 
@@ -51,47 +51,87 @@ class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, each distinct word once.
 
     The pre-tokenizer of such a vocabulary never joins what stands on both sides of a single space
-    between two characters that aren't white space; the space opens the token that follows. So a
-    text is cut before those spaces and the ids of its parts are joined. Texts that hold the string
-    of a special token are encoded in one piece.
+    or newline between two characters that aren't white space; the space opens the token that
+    follows, the newline is a token. So a text is cut there and the ids of its words are joined. New
+    words go to the library many at a time, set apart in the same way. Texts with other white space
+    and those that hold the string of a special token are encoded in one piece.
     """
 
     def __init__(self, path: str) -> None:
+        import os
+
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores out
         self.tool = Tokenizer.from_file(path)
         size = self.tool.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.odd = regex.compile(r"[^\S \n]|\s\s|^\s|\s$")
+        self.line = self._raw(["\n"])[0]
+        # In this vocabulary's alphabet U+0120 stands for the space and U+010A for the newline.
+        opens = np.array([(self.tool.id_to_token(i) or "")[:1] == "\u0120" for i in range(size)])
+        self.opens, self.breaks = opens, np.arange(size) == self.tool.token_to_id("\u010a")
         self.known: dict[str, bytes] = {}
-        self.apart = regex.compile(r"(?<=\S) (?=\S)")
-        self.odd = regex.compile(r"\s | \s|^ | $")
+        self.marks = {c: self._raw([c])[0] for c in ".,"}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.kind).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
 
+    def _apart(self, words: list[str], gap: str, border: np.ndarray) -> None:
+        """Learn words that follow ``gap``; ``border`` tells the ids that such a word begins with."""
+        width = self.kind.itemsize
+        chunks = [words[k : k + 128] for k in range(0, len(words), 128)]
+        tokens = self.tool.encode_batch_fast([gap + gap.join(c) for c in chunks], add_special_tokens=False)
+        for chunk, found in zip(chunks, tokens, strict=True):
+            ids = np.asarray(found.ids, self.kind)
+            at = np.append(np.flatnonzero(border[ids]), len(ids)).tolist()
+            skip = int(gap == "\n")
+            raw = ids.tobytes()
+            key = [" " + w for w in chunk] if skip else chunk
+            self.known.update((w, raw[(a + skip) * width : b * width]) for w, a, b in zip(key, at[:-1], at[1:], strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words; those at a line's start bear a space in front as their mark."""
+        base: dict[str, str] = {}
+        for w in new:
+            # A full stop or comma behind a letter is a token of its own.
+            if w[-1:] in self.marks and w[-2:-1].isalpha():
+                base[w] = w[:-1]
+        need = {base.get(w, w) for w in new}
+        need.difference_update(self.known)
+        self._apart([w for w in need if w[:1] != " "], " ", self.opens)
+        self._apart([w[1:] for w in need if w[:1] == " "], "\n", self.breaks)
+        self.known.update({w: self.known[b] + self.marks[w[-1]] for w, b in base.items()})
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        out: list[bytes | None] = [None] * len(texts)
+        self.known["\n\n"] = self.line
+        out: list[bytes] = [b""] * len(texts)
+        whole, cut, new = [], [], set()
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(s in t for s in self.special) or self.odd.search(t):
+                whole.append(i)
+                continue
+            words: list[str] = []
+            for k, line in enumerate(t.split("\n")):
+                own = line.split(" ")
+                own[0] = " " + own[0]
+                if k:
+                    words.append("\n\n")
+                words += own
+            new.update(set(words).difference(self.known))
+            cut.append((i, words))
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        cut: list[tuple[int, list[str]]] = []
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                parts = self.apart.split(t) if self.odd.search(t) else t.split(" ")
-                # No later part begins with a space, so one marks the first, which has none before it.
-                parts[0] = " " + parts[0]
-                cut.append((i, parts))
-        new = {w for _, parts in cut for w in parts if w not in self.known}
-        if new:
-            order = list(new)
-            self.known.update(zip(order, self._raw([w[1:] if w[:1] == " " else " " + w for w in order]), strict=True))
-        for i, parts in cut:
-            out[i] = b"".join(map(self.known.__getitem__, parts))
-        return out  # type: ignore[return-value]
+        self._learn(new)
+        for i, words in cut:
+            out[i] = b"".join(map(self.known.__getitem__, words))
+        return out
 
 
 def _encoder(path: str) -> WordEncoder:
