@@ -65,3 +65,8 @@ def smallest_reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now == total:
             return labels
         total = now
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit number that a ``share`` of all hashes lie at or below."""
+    return min(int(share * 2**64), 2**64 - 1) - 2**63

@@ -215,7 +215,7 @@ def contaminated(
     Words are runs of ASCII letters, digits and other characters, lower-cased; an alignment gains
     two a common word and loses one a changed, added or left-out word. ``score`` is the best
     alignment's share of the item's perfect score, at least ``least``; of several passages for an
-    item the best is told, and of equals the first. An item of fewer words than a seed is one seed.
+    item the best is told, and of equals the first. An item of fewer words than a seed matches texts that are as short only.
 
     Null and blank texts match nothing, nor do null and blank items. Null ids are told as null;
     repeated rows each give rows; repeated items give rows of their own. Other columns aren't read.

@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
+from .common import hash_bound
 
 GRAM = 4
-#: Labelled rows that are learnt from, for each language: those of the smallest hash of their id.
+#: Labelled rows that are learnt from, about, for each language: those of the smallest hashes of their id.
 SAMPLE = 1500
 #: An n-gram belongs to a language from so many occurrences in its sample on, and if its frequency
 #: there is at least this share of its frequency in the language that uses it most.
@@ -112,20 +113,21 @@ def build(counts: dict[str, dict[int, int]], rows: dict[str, int]) -> LanguageMo
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
-    """Filters learnt from at most ``sample`` rows a language of ``docs``; None without any.
+    """Filters learnt from about ``sample`` rows a language of ``docs``; None without any.
 
-    Rows with null id, text or language teach nothing.
+    The rows are those whose id's hash lies below the share of all hashes that ``sample`` is of the
+    language's rows. Rows with null id, text or language teach nothing.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).dropna()
-    # Ranks need the narrow columns only; Spark keeps the first ``sample`` of each task before the shuffle.
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= sample)
-    limits = first.groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("n")).collect()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
+    text = own.withColumn("h", F.xxhash64("id", F.lit("language")))
+    # One row a language.
+    limits = text.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not limits:
         return None
-    text = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")).dropna()
     taken = F.lit(False)
     for r in limits:
-        taken = taken | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["most"]))
+        share = min(1.0, sample / r["n"])
+        taken = taken | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(hash_bound(share))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
+from .common import hash_bound
 
-#: Labelled documents that are learnt from: those of the smallest hash of their id.
+#: Labelled documents that are learnt from, about: those of the smallest hashes of their id.
 SAMPLE = 6000
 THRESHOLD = 0.3
 ROUNDS, STEP, RIDGE = 80, 0.15, 1e-3
@@ -198,13 +199,15 @@ def fit(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.ndarray)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
-    """A model from at most ``sample`` labelled documents; None if there are none of a class.
+    """A model from about ``sample`` labelled documents; None if there are none of a class.
 
+    They are those whose id's hash lies below the share of all hashes that ``sample`` is of the labels.
     Rows with a null id or label teach nothing; of several labels of an id the smallest counts.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
-    few = own.select("id", "label", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample)
-    # At most ``sample`` rows of two numbers.
+    share = min(1.0, sample / max(1, own.count()))
+    # About ``sample`` rows of two numbers.
+    few = own.where(F.xxhash64("id", F.lit("quality")) <= F.lit(hash_bound(share)))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n_own = N_OWN * 3 + 3
 

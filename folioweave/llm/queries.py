@@ -21,7 +21,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = token_records.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    found = token_records.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

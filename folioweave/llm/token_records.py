@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +66,6 @@ class WordEncoder:
         size = self.tool.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
-        self.odd = regex.compile(r"[^\S \n]|\s\s|^\s|\s$")
         self.line = self._raw(["\n"])[0]
         # In this vocabulary's alphabet U+0120 stands for the space and U+010A for the newline.
         opens = np.array([(self.tool.id_to_token(i) or "")[:1] == "\u0120" for i in range(size)])
@@ -114,7 +112,9 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if any(s in t for s in self.special) or self.odd.search(t):
+            # Single spaces and newlines are all the white space there is, and none at the ends.
+            bare, gaps = t.split(), t.count(" ") + t.count("\n")
+            if len(bare) != gaps + 1 or sum(map(len, bare)) + gaps != len(t) or any(s in t for s in self.special):
                 whole.append(i)
                 continue
             words: list[str] = []
@@ -201,10 +201,11 @@ def _frames(stream: pa.NativeFile) -> Iterator[memoryview]:
         yield memoryview(body)[:-4]
 
 
-def read_records(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
+def read_records(spark: SparkSession, out: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """Rows (id, start, n_tokens, ids_crc32, ids) from the part files that ``manifest`` names.
 
-    ``ids`` is the little-endian unsigned 32-bit form of the token ids as binary. Every frame is
+    ``ids`` is the little-endian unsigned 32-bit form of the token ids as binary, null if they aren't
+    asked for. Every frame is
     checked against both of its checksums and against the index.
     """
     starts, total = [], 0
@@ -225,11 +226,11 @@ def read_records(spark: SparkSession, out: str, manifest: DataFrame) -> DataFram
                         if int(place[0]) != offset or int(place[1]) * 4 != len(ids):
                             raise ValueError("the index doesn't fit the records")
                         key = None if body[8] else int.from_bytes(body[:8], "little", signed=True)
-                        rows.append((key, start, len(ids) // 4, zlib.crc32(ids), ids))
+                        rows.append((key, start, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
                         start += len(ids) // 4
                         offset += len(body) + 16
                         held += len(ids)
-                        if held > READ:
+                        if held > 4 * READ:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                             rows, held = [], 0
                 if rows:
@@ -253,7 +254,7 @@ def shuffled_sample(out: str, file: str, seed: int, n: int) -> list[tuple[int |
     return found
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", out: str | None = None, with_ids: bool = True) -> DataFrame:
     """Write ``docs`` as records below the shared folder (or ``out``) and read them back.
 
     One row (id, start, n_tokens, ids_crc32, ids) for each row of ``docs``: ``start`` counts the
@@ -263,4 +264,4 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col:
     """
     out = out or fresh_path(docs.sparkSession, "records")
     manifest = write_records(docs, out, tokenizer, end_id, id_col, text_col)
-    return read_records(docs.sparkSession, out, manifest).withColumnRenamed("id", id_col)
+    return read_records(docs.sparkSession, out, manifest, with_ids).withColumnRenamed("id", id_col)
