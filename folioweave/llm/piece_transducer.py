@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -79,6 +80,8 @@ class Transducer:
     longest: int
     runs: dict[int, int]
     inner: set[str]
+    reach: dict[str, int] = field(default_factory=dict)
+    closing: set[str] = field(default_factory=set)
     _pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
 
     def _follows(self, a: int, b: int) -> bool:
@@ -109,23 +112,53 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Pieces of the shortest path over ``text``; -1 - c for a character c without a piece."""
-        n, arcs, longest, bpe, pairs, follows = len(text), self.arcs.get, self.longest, self.bpe, self._pairs.get, self._follows
+        return self._only_path(text) if self.bpe else self._least_path(text)
+
+    def _only_path(self, text: str) -> list[int]:
+        """Weights are zero or infinity: the first path that reaches the end is the shortest.
+
+        Longer pieces are tried first. A finite path to a position is the only one, so a position
+        from which the end can't be reached is never entered again.
+        """
+        n, arcs, pairs, follows, reach = len(text), self.arcs.get, self._pairs.get, self._follows, self.reach.get
+        out: list[int] = []
+        ends: list[int] = []
+        dead: set[int] = set()
+        at, limit, prev = 0, n, None
+        while at < n:
+            end = min(limit, at + reach(text[at : at + 2], 1))
+            while end > at:
+                if end not in dead:
+                    piece = arcs(text[at:end])
+                    if piece is None and end - at == 1:
+                        piece = -1 - ord(text[at])
+                    if piece is not None:
+                        fine = True if prev is None else pairs((prev, piece))
+                        if fine or fine is None and follows(prev, piece):
+                            break
+                end -= 1
+            if end > at:
+                out.append(piece)
+                ends.append(end)
+                at, limit, prev = end, n, piece
+            else:
+                dead.add(at)
+                out.pop()
+                limit = ends.pop() - 1
+                at = ends[-1] if ends else 0
+                prev = out[-1] if out else None
+        return out
+
+    def _least_path(self, text: str) -> list[int]:
+        n, arcs, longest = len(text), self.arcs.get, self.longest
         weight, last, back = [0.0] + [math.inf] * n, [0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for start in range(max(0, end - longest), end):
                 piece = arcs(text[start:end])
                 if piece is None:
                     if end - start > 1:
                         continue
                     piece = -1 - ord(text[start])
-                if bpe:
-                    # Zero or infinity; the one finite path to a position needs no rival.
-                    if start:
-                        fine = pairs((last[start], piece))
-                        if not (follows(last[start], piece) if fine is None else fine):
-                            continue
-                    weight[end], last[end], back[end] = 0.0, piece, start
-                    break
                 w = weight[start] + self.cost.get(piece, self.cost[self.unknown])
                 if w < weight[end]:
                     weight[end], last[end], back[end] = w, piece, start
@@ -231,6 +264,11 @@ def compile_model(path: str) -> Transducer:
         if len(pieces) == 2 and machine.joined.get(tuple(pieces)) == machine.rank[i]:
             machine.halves[i] = (pieces[0], pieces[1])
             machine.arcs[s] = i
+    joins = {b for s in ids for a, b in zip(s, s[1:], strict=False) if a.isalpha()}
+    machine.closing = set(".,;:!?") - joins
+    # The longest piece that begins with two characters bounds what is tried there.
+    for s in machine.arcs:
+        machine.reach[s[:2]] = max(machine.reach.get(s[:2], 1), len(s))
     return machine
 
 
@@ -242,10 +280,17 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.parts = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in machine.inner else f"{MARK}*[^{MARK}]+|{MARK}+")
 
+        self.code = "H" if len(machine.text) <= 1 << 16 else "I"
+
     def _known(self, part: str, text: str) -> bytes:
+        """Ids of a part under its key. A sign that no piece joins to the letter before is a part of its own."""
         got = self.known.get(part)
         if got is None:
-            got = self.known[part] = np.asarray(self.machine.part(text), "<u2" if len(self.machine.text) <= 1 << 16 else "<u4").tobytes()
+            if text[-1:] in self.machine.closing and text[-2:-1].isalpha():
+                got = self._known(part[:-1], text[:-1]) + self._known("\n" + text[-1], text[-1])
+            else:
+                got = array(self.code, self.machine.part(text)).tobytes()
+            self.known[part] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:

@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ANCHOR = T._parse_datatype_string("kind string, serial bigint, source string, key string")
-DETAIL = T._parse_datatype_string(
-    "kind string, serial bigint, source string, key string, provider string, time_source timestamp_ntz, "
-    "time_sys timestamp_ntz, record string, record_hash string, media_type string"
-)
-RELATION = T._parse_datatype_string(
-    "kind_from string, kind_to string, serial bigint, source_from string, key_from string, relation_kind string, "
-    "source_to string, key_to string, provider string, time_sys timestamp_ntz, time_source timestamp_ntz"
+_STRING, _LONG, _TIME = T.StringType(), T.LongType(), T.TimestampNTZType()
+
+
+def _table(strings: str, **others: T.DataType) -> T.StructType:
+    """Columns of a table; those that aren't named among ``others`` are strings."""
+    return T.StructType([T.StructField(c, others.get(c, _STRING)) for c in strings.split()])
+
+
+ANCHOR = _table("kind serial source key", serial=_LONG)
+DETAIL = _table("kind serial source key provider time_source time_sys record record_hash media_type", serial=_LONG, time_source=_TIME, time_sys=_TIME)
+RELATION = _table(
+    "kind_from kind_to serial source_from key_from relation_kind source_to key_to provider time_sys time_source", serial=_LONG, time_sys=_TIME, time_source=_TIME
 )
 #: What import reads: entity and relation tuples side by side, in input order.
-TUPLE = T._parse_datatype_string(
-    "kind string, source string, key string, record string, media_type string, kind_from string, source_from string, "
-    "key_from string, relation_kind string, kind_to string, source_to string, key_to string, provider string, "
-    "time_source timestamp_ntz, input_pos bigint"
+TUPLE = _table(
+    "kind source key record media_type kind_from source_from key_from relation_kind kind_to source_to key_to provider time_source input_pos", time_source=_TIME, input_pos=_LONG
 )
-MARC_RECORD = T._parse_datatype_string(
-    "leader string, controlfield array<struct<tag: string, value: string>>, datafield array<struct<tag: string, "
-    "ind1: string, ind2: string, subfield: array<struct<code: string, value: string>>>>"
+MARC_RECORD = _table(
+    "leader controlfield datafield", controlfield=T.ArrayType(_table("tag value")),
+    datafield=T.ArrayType(_table("tag ind1 ind2 subfield", subfield=T.ArrayType(_table("code value")))),
 )
 
 NODE = ["kind", "source", "key"]
