@@ -5,12 +5,17 @@ sketch has ``CELLS`` cells, in three parts; each digest is added to one cell of
 keeps the number of its digests and the XOR of the digests and of their check sums. Subtracting
 two sketches cell by cell leaves the digests that only one of the texts has; cells that hold just
 one of them are recognised by their check sum, and taking it off all its cells frees others, until
-nothing is left. Where that fails, the sketch is made larger: it is split by two more bits of the
-digests into four sketches, which are made and subtracted anew, and again until all of them peel.
+nothing is left. Where that fails, the sketch is made larger: the digests are dealt by another hash
+to as many sketches as they may fill, which are subtracted and peeled anew, and again until all peel.
+
+Sketches, differences and peeling are expressions over one row's arrays, so texts are shuffled once,
+to meet their next text, and afterwards only the digests of the texts whose sketch was too small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +24,17 @@ from .common import cut, xor_key
 GROUP = 3
 PART = 8
 CELLS = 3 * PART
-ROUNDS = 6
+ROUNDS = 8
+#: Digests that a retry deals to one sketch, at most and on average.
+LOAD = 12
 _PARAGRAPH = rf"(?:[^.!?\n]*+[.!?]++){{1,{GROUP}}}|[^.!?\n]++"
-_CELL = "struct<n:int,k:bigint,x:bigint>"
+_CELLS_TYPE = "array<struct<n:int,k:bigint,x:bigint>>"
+KEY = ["band", "id", "th"]
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used inside of lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def digests(text: Column) -> Column:
@@ -34,44 +47,61 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7))
 
 
+def _bit(mask: Column, i: Column) -> Column:
+    return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
+
+
 def _cells_of(key: Column, level: int) -> Column:
-    """The digest's cell in each of the three parts."""
-    h = F.xxhash64(key, F.lit(100 + level))
-    return F.array(*[F.lit(PART * k) + F.pmod(F.shiftrightunsigned(h, 20 * k).bitwiseAND(F.lit(0xFFFFF)), F.lit(PART)).cast("int") for k in range(3)])
+    """A mask of the digest's cells, one bit in each of the three parts."""
+
+    def mask(h: Column) -> Column:
+        one = lambda k: F.call_function("shiftleft", F.lit(1), F.lit(PART * k) + F.pmod(F.shiftrightunsigned(h, 20 * k).bitwiseAND(F.lit(0xFFFFF)), F.lit(PART)).cast("int"))
+        return one(0).bitwiseOR(one(1)).bitwiseOR(one(2))
+
+    return _let(F.xxhash64(key, F.lit(100 + level)), mask)
+
+
+def _xor(items: Column, field: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda a, p: a.bitwiseXOR(p[field]))
+
+
+def sketch(keys: Column, level: int = 0) -> Column:
+    """The cells of an array of digests."""
+
+    def cells(marked: Column) -> Column:
+        cell = lambda own: F.struct(F.size(own).alias("n"), _xor(own, "k").alias("k"), _xor(own, "x").alias("x"))
+        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: _let(F.filter(marked, lambda p: _bit(p["m"], i)), cell))
+
+    marked = F.transform(keys, lambda d: F.struct(d.alias("k"), _check(d).alias("x"), _cells_of(d, level).alias("m")))
+    return _let(marked, cells).cast(_CELLS_TYPE)
+
+
+def minus(a: Column, b: Column) -> Column:
+    """The difference of two sketches, cell by cell."""
+    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["x"].bitwiseXOR(y["x"]).alias("x")))
 
 
-def _peel(cells: Column, level: int) -> Column:
-    """Struct of the cells that remain and the number of digests taken off."""
+def peel(cells: Column, level: int = 0) -> Column:
+    """Struct (found, whole): the digests that peeling a difference takes off, and whether none is left."""
 
     def step(state: Column, _: Column) -> Column:
         seen = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["x"]))
-        pure = F.transform(F.array_distinct(seen), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["x"].alias("x"), _cells_of(c["k"], level).alias("at")))
-        taken = lambda c, i: F.aggregate(
-            pure, c,
-            lambda a, p: F.when(
-                F.array_contains(p["at"], i),
-                F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["x"].bitwiseXOR(p["x"]).alias("x")),
-            ).otherwise(a),
-        )
-        left = F.when(F.size(pure) > 0, F.transform(state["cells"], taken)).otherwise(state["cells"])
-        return F.struct(left.alias("cells"), (state["found"] + F.size(pure)).alias("found"))
-
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+        pure = F.transform(F.array_distinct(seen), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["x"].alias("x"), _cells_of(c["k"], level).alias("m")))
 
+        def less(c: Column, hit: Column) -> Column:
+            n = F.aggregate(hit, F.lit(0), lambda a, p: a + p["n"])
+            return F.struct((c["n"] - n).alias("n"), c["k"].bitwiseXOR(_xor(hit, "k")).alias("k"), c["x"].bitwiseXOR(_xor(hit, "x")).alias("x"))
 
-def _empty(cells: Column) -> Column:
-    return F.forall(cells, lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0))
+        def taken(ps: Column) -> Column:
+            left = F.transform(state["cells"], lambda c, i: _let(F.filter(ps, lambda p: _bit(p["m"], i)), lambda hit: F.when(F.size(hit) == 0, c).otherwise(less(c, hit))))
+            return F.when(F.size(ps) == 0, state).otherwise(F.struct(left.alias("cells"), (state["found"] + F.size(ps)).alias("found")))
 
+        return _let(pure, taken)
 
-def sketches(units: DataFrame, by: list[str], level: int) -> DataFrame:
-    """Rows (by..., cells): the sketch of the digests ``key`` of each group."""
-    each = units.select(*by, "key", F.explode(_cells_of(F.col("key"), level)).alias("cell"))
-    held = each.groupBy(*by, "cell").agg(F.count("*").cast("int").alias("n"), F.bit_xor("key").alias("k"), F.bit_xor(_check(F.col("key"))).alias("x"))
-    found = held.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("n", "k", "x")))).alias("held"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.element_at("held", i), zero))
-    return found.select(*by, full.cast(f"array<{_CELL}>").alias("cells"))
+    empty = lambda cs: F.forall(cs, lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    return _let(end, lambda s: F.struct(s["found"].cast("long").alias("found"), empty(s["cells"]).alias("whole")))
 
 
 def written(cells: Column) -> Column:
@@ -80,39 +110,73 @@ def written(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(word(c["n"], 2), word(c["k"], 16), word(c["x"], 16))), "."))
 
 
-def _zero_cells() -> Column:
-    return F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x")), CELLS).cast(f"array<{_CELL}>")
+def _banded(own: DataFrame) -> DataFrame:
+    """``own`` with ``band``: descending runs of the id, as many as there are shuffle partitions; null ids last.
 
-
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["x"].bitwiseXOR(y["x"]).alias("x")))
+    A row's band is found in two steps, among the runs' first bounds and then within one run of bounds.
+    """
+    spark = own.sparkSession
+    bands = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # One bound a band comes to the driver.
+    found = own.agg(F.approx_percentile("id", [k / bands for k in range(1, bands)], max(10_000, 10 * bands)).alias("q")).first()["q"] or []
+    bounds = sorted(set(found), reverse=True)
+    if not bounds:
+        return own.withColumn("band", F.when(F.col("id").isNull(), 1).otherwise(0))
+    width = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    kind = own.schema["id"].dataType.simpleString()
+    table = spark.createDataFrame([(0, [g[0] for g in groups], groups)], f"__one int, __heads array<{kind}>, __groups array<array<{kind}>>")
+    above = lambda xs: F.size(F.filter(xs, lambda b: b > F.col("id")))
+    coarse = own.withColumn("__one", F.lit(0)).join(F.broadcast(table), "__one").withColumn("__at", F.greatest(above(F.col("__heads")), F.lit(1)))
+    band = (F.col("__at") - 1) * width + above(F.element_at("__groups", F.col("__at")))
+    return coarse.withColumn("band", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(band).cast("int")).drop("__one", "__heads", "__groups", "__at")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (band, id, th, text, next): each row's text and that of the next row.
+    """Rows (band, id, th, text, d0, next, d2): each text and its digests beside those of the next row.
 
     The order is descending id (null ids last), then descending text hash; the first row follows the
-    last. Rows are dealt into bands of the id, at quantiles, and each band is sorted on its own, with
-    a copy of the first row of the next band behind its last.
+    last. Of rows of equal id and text the last stays. Each band is sorted on its own, with a copy of
+    the first row of the next band behind its last; text and digests of the next row come by the same sort.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), xor_key(F.col(text_col)).alias("th"))
-    bands = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # One bound a band.
-    bounds = own.agg(F.approx_percentile("id", [k / bands for k in range(1, bands)], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(bounds))
-    band = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("id")))) if bounds else F.when(F.col("id").isNull(), 1).otherwise(0)
-    own = own.withColumn("band", band.cast("int"))
+    own = _banded(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), xor_key(F.col(text_col)).alias("th")))
     # One row a band.
     heads = sorted((r["band"], r["head"]["id"], r["head"]["th"]) for r in own.groupBy("band").agg(F.max(F.struct("id", "th")).alias("head")).collect())
     shape = f"nid {docs.schema[id_col].dataType.simpleString()}, nth long, before int"
     follow = [(heads[(k + 1) % len(heads)][1], heads[(k + 1) % len(heads)][2], heads[k][0]) for k in range(len(heads))]
     heads_of = F.broadcast(spark.createDataFrame(follow, shape))
     copies = own.join(heads_of, F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth")))
-    copies = copies.select("id", "text", "th", F.col("before").alias("band"), F.lit(True).alias("copy")).dropDuplicates(["band"])
+    copies = copies.select("id", "text", "th", F.col("before").alias("band"), F.lit(True).alias("copy"))
     order = Window.partitionBy("band").orderBy("copy", F.col("id").desc_nulls_last(), F.col("th").desc())
     both = own.select("id", "text", "th", "band", F.lit(False).alias("copy")).unionByName(copies)
-    return both.withColumn("next", F.lead("text").over(order)).where(~F.col("copy")).drop("copy")
+    follows = F.lead(F.struct("id", "th", "copy")).over(order)
+    seen = both.withColumns({"next": F.lead("text").over(order), "after": follows, "d0": digests(F.col("text"))})
+    same = F.col("id").eqNullSafe(F.col("after.id")) & (F.col("th") == F.col("after.th")) & ~F.col("after.copy")
+    seen = seen.withColumns({"d2": F.lead("d0").over(order), "again": F.coalesce(same, F.lit(False))})
+    return seen.where(~F.col("copy") & ~F.col("again")).select(*KEY, "text", "d0", "next", "d2")
+
+
+def _at(d: DataFrame, suffix: str) -> tuple[DataFrame, Callable[[DataFrame], Column]]:
+    """``d`` with its key renamed, and the condition that joins it to a frame under the plain key."""
+    own = d.withColumnsRenamed({c: f"{c}{suffix}" for c in KEY})
+    return own, lambda base: (base["band"] == own[f"band{suffix}"]) & base["id"].eqNullSafe(own[f"id{suffix}"]) & (base["th"] == own[f"th{suffix}"])
+
+
+def _retry(items: DataFrame, level: int) -> DataFrame:
+    """Items (key, of, path, a, b) whose sketch was too small, dealt to more sketches and peeled.
+
+    The arrays of digests of both texts stay with parts that don't peel yet.
+    """
+    parts = F.greatest(F.ceil((F.size("a") + F.size("b")) / LOAD), F.lit(2))
+    sides = F.concat(F.transform("a", lambda k: F.struct(F.lit(0).alias("side"), k.alias("key"))), F.transform("b", lambda k: F.struct(F.lit(1).alias("side"), k.alias("key"))))
+    each = items.select(*KEY, "of", "path", parts.alias("parts"), F.explode(sides).alias("s")).select(*KEY, "of", "path", "parts", "s.*")
+    part = F.pmod(F.xxhash64("key", F.lit(1000 + level)), F.col("parts"))
+    side = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("key")))
+    dealt = each.groupBy(*KEY, "of", F.xxhash64("path", part).alias("path")).agg(side(0).alias("a"), side(1).alias("b"))
+    judged = dealt.withColumn("r", peel(minus(sketch(F.col("a"), level), sketch(F.col("b"), level)), level))
+    rest = lambda c: F.when(~F.col("r.whole"), F.col(c)).alias(c)
+    return judged.select(*KEY, "of", "path", "r", rest("a"), rest("b"))
 
 
 def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,56 +191,30 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A null text is an empty one. Of rows with equal id and text one stays. Null ids are ids; they are
     told as null. Other columns aren't read. An empty table gives an empty result.
     """
-    rows = with_next(docs, id_col, text_col).dropDuplicates(["band", "id", "th"])
     n = F.length("text")
     tail = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next"), F.lit(1), tail))
-    key = ["band", "id", "th"]
-    base = rows.select(
-        *key, n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("d0"), digests(edited).alias("d1"), digests(F.col("next")).alias("d2"),
-    )
-    base = cut(base)
-    units = base.select(*key, F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(f"d{k}").alias("keys")) for k in range(3)])).alias("u"))
-    units = units.select(*key, F.col("u.of").alias("of"), F.explode("u.keys").alias("key"))
-    state, done, prints, level = None, None, None, 0
-    while True:
-        # The digests' lowest bits name the sketch of the current size.
-        part = F.col("key").bitwiseAND(F.lit((1 << 2 * level) - 1)) if level < 31 else F.col("key")
-        own = units.withColumn("part", part)
-        if state is not None:
-            open_parts = state.select(*key, F.col("part").alias("up"), "open").withColumnRenamed("band", "b0").withColumnRenamed("id", "i0").withColumnRenamed("th", "t0")
-            up = F.col("key").bitwiseAND(F.lit((1 << 2 * (level - 1)) - 1))
-            same = (F.col("band") == F.col("b0")) & F.col("id").eqNullSafe(F.col("i0")) & (F.col("th") == F.col("t0")) & (up == F.col("up"))
-            own = own.join(open_parts, same).where((F.col("of") == 0) | F.array_contains("open", F.col("of"))).select(*key, "of", "part", "key")
-        made = sketches(own, [*key, "part", "of"], level)
-        side = lambda k: F.coalesce(F.max(F.when(F.col("of") == k, F.col("cells"))), _zero_cells())
-        wide = made.groupBy(*key, "part").agg(*[side(k).alias(f"c{k}") for k in range(3)], F.collect_set("of").alias("ofs"))
-        if level == 0:
-            wide = cut(wide)
-            prints = wide.select(*key, written(F.col("c0")).alias("fingerprint"), written(F.col("c1")).alias("edited_fingerprint"))
-        pairs = wide.select(*key, "part", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), _minus(F.col("c0"), F.col(f"c{k}")).alias("cells")) for k in (1, 2)])).alias("p"))
-        if state is not None:
-            again = state.select(F.col("band").alias("b0"), F.col("id").alias("i0"), F.col("th").alias("t0"), F.col("part").alias("up"), "open")
-            up = F.col("part").bitwiseAND(F.lit((1 << 2 * (level - 1)) - 1))
-            same = (F.col("band") == F.col("b0")) & F.col("id").eqNullSafe(F.col("i0")) & (F.col("th") == F.col("t0")) & (up == F.col("up"))
-            pairs = pairs.join(again, same).where(F.array_contains("open", F.col("p.of"))).select(*key, "part", "p")
-        peeled = pairs.select(*key, "part", F.col("p.of").alias("of"), _peel(F.col("p.cells"), level).alias("r"))
-        judged = cut(peeled.select(*key, "part", "of", F.col("r.found").alias("found"), _empty(F.col("r.cells")).alias("whole")))
-        now = judged.where("whole").groupBy(*key, "of").agg(F.sum("found").alias("found"))
+    rows = with_next(docs, id_col, text_col).select(*KEY, n.cast("long").alias("n_chars"), edited.alias("edited"), "d0", "d2")
+    rows = rows.select(*KEY, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d0", digests(F.col("edited")).alias("d1"), "d2")
+    cells = rows.withColumn("c0", sketch(F.col("d0")))
+    tried = cells.select(*rows.columns, *[peel(minus(F.col("c0"), sketch(F.col(f"d{k}")))).alias(f"r{k}") for k in (1, 2)])
+    base = cut(tried.select(*KEY, "n_chars", "edited_sha256", "d0", "d1", F.when(~F.col("r2.whole"), F.col("d2")).alias("d2"), F.size("d2").alias("s2"), "r1", "r2"))
+    pair = lambda k: F.struct(F.lit(k).alias("of"), F.col("d0").alias("a"), F.col(f"d{k}").alias("b"), F.col(f"r{k}.whole").alias("whole"))
+    items = base.select(*KEY, F.explode(F.array(pair(1), pair(2))).alias("o")).where("NOT o.whole").select(*KEY, "o.of", F.lit(0).cast("long").alias("path"), "o.a", "o.b")
+    done, level = None, 1
+    while not items.isEmpty():
+        judged = cut(_retry(items, level))
+        now = judged.where("r.whole").select(*KEY, "of", "r.found")
         done = now if done is None else done.unionByName(now)
-        state = judged.where("not whole").groupBy(*key, "part").agg(F.collect_set("of").alias("open"))
-        if judged.where("not whole").isEmpty():
-            break
-        level += 1
-    diff = done.groupBy(*key).agg(*[F.sum(F.when(F.col("of") == k, F.col("found"))).alias(f"diff{k}") for k in (1, 2)])
-    d = diff.select(F.col("band").alias("b1"), F.col("id").alias("i1"), F.col("th").alias("t1"), "diff1", "diff2")
-    p = prints.select(F.col("band").alias("b2"), F.col("id").alias("i2"), F.col("th").alias("t2"), "fingerprint", "edited_fingerprint")
-    joined = base.join(d, (F.col("band") == F.col("b1")) & F.col("id").eqNullSafe(F.col("i1")) & (F.col("th") == F.col("t1")), "left")
-    joined = joined.join(p, (F.col("band") == F.col("b2")) & F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("t2")), "left")
-    near = lambda k: 1 - F.coalesce(F.col(f"diff{k}"), F.lit(0)) / F.greatest(F.size("d0") + F.size(f"d{k}"), F.lit(1))
-    blank = written(_zero_cells())
+        items, level = judged.where("NOT r.whole"), level + 1
+    if done is None:
+        joined = base.withColumns({f"later{k}": F.lit(0).cast("long") for k in (1, 2)})
+    else:
+        later, same = _at(done.groupBy(*KEY).agg(*[F.coalesce(F.sum(F.when(F.col("of") == k, F.col("found"))), F.lit(0)).alias(f"later{k}") for k in (1, 2)]), "_l")
+        joined = base.join(later, same(base), "left")
+    differ = lambda k: F.when(F.col(f"r{k}.whole"), F.col(f"r{k}.found")).otherwise(F.coalesce(F.col(f"later{k}"), F.lit(0)))
+    near = lambda k, size: 1 - differ(k) / F.greatest(F.size("d0") + size, F.lit(1))
     return joined.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.coalesce("fingerprint", blank).alias("fingerprint"), F.coalesce("edited_fingerprint", blank).alias("edited_fingerprint"),
-        near(1).alias("near_edited"), near(2).alias("near_next"), F.size("d0").cast("long").alias("n_paragraphs"), F.coalesce("diff1", F.lit(0)).cast("long").alias("differing"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", written(sketch(F.col("d0"))).alias("fingerprint"), written(sketch(F.col("d1"))).alias("edited_fingerprint"),
+        near(1, F.size("d1")).alias("near_edited"), near(2, F.col("s2")).alias("near_next"), F.size("d0").cast("long").alias("n_paragraphs"), differ(1).alias("differing"),
     )
