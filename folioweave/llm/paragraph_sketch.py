@@ -14,6 +14,7 @@ to meet their next text, and afterwards only the digests of the texts whose sket
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,17 +126,18 @@ def _banded(own: DataFrame) -> DataFrame:
     width = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
     kind = own.schema["id"].dataType.simpleString()
-    table = spark.createDataFrame([(0, [g[0] for g in groups], groups)], f"__one int, __heads array<{kind}>, __groups array<array<{kind}>>")
+    # Read as constants when the plan is made: one literal each, however many bands there are.
+    heads, runs = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{kind}>"), F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
     above = lambda xs: F.size(F.filter(xs, lambda b: b > F.col("id")))
-    coarse = own.withColumn("__one", F.lit(0)).join(F.broadcast(table), "__one").withColumn("__at", F.greatest(above(F.col("__heads")), F.lit(1)))
-    band = (F.col("__at") - 1) * width + above(F.element_at("__groups", F.col("__at")))
-    return coarse.withColumn("band", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(band).cast("int")).drop("__one", "__heads", "__groups", "__at")
+    at = F.greatest(above(heads), F.lit(1))
+    band = _let(at, lambda k: (k - 1) * width + above(F.element_at(runs, k)))
+    return own.withColumn("band", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(band).cast("int"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (band, id, th, text, d0, next, d2): each text and its digests beside those of the next row.
 
-    The order is descending id (null ids last), then descending text hash; the first row follows the
+    Ids are integers. The order is descending id (null ids last), then descending text hash; the first row follows the
     last. Of rows of equal id and text the last stays. Each band is sorted on its own, with a copy of
     the first row of the next band behind its last; text and digests of the next row come by the same sort.
     """
@@ -150,6 +152,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies = copies.select("id", "text", "th", F.col("before").alias("band"), F.lit(True).alias("copy"))
     order = Window.partitionBy("band").orderBy("copy", F.col("id").desc_nulls_last(), F.col("th").desc())
     both = own.select("id", "text", "th", "band", F.lit(False).alias("copy")).unionByName(copies)
+    # One partition a band: hashed bands would meet by chance, and the more of them the larger the most.
+    both = both.repartitionById(heads[-1][0] + 1, "band") if heads else both
     follows = F.lead(F.struct("id", "th", "copy")).over(order)
     seen = both.withColumns({"next": F.lead("text").over(order), "after": follows, "d0": digests(F.col("text"))})
     same = F.col("id").eqNullSafe(F.col("after.id")) & (F.col("th") == F.col("after.th")) & ~F.col("after.copy")
