@@ -65,7 +65,7 @@ def pretty_bytes(n: Column) -> Column:
     units = ["B", "kB", "MB", "GB", "TB", "PB"]
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(units[1:], 1):
-        out = F.when(n >= F.lit(1000**k), F.concat(F.format_number(n / 1000**k, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= F.lit(1000**k), F.concat(F.call_function("format_number", n / 1000**k, F.lit("0.0")), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

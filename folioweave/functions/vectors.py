@@ -24,13 +24,14 @@ def unit_sum(vectors: DataFrame, by: list[str], vector: str) -> DataFrame:
     total = each.groupBy(*by, "i").agg(F.sum("x").alias("x"))
     packed = total.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
     size = l2norm(F.col("s"))
-    return packed.select(*by, F.transform("s", lambda x: x / size).alias("vector"))
+    return packed.select(*by, F.transform("s", lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0))).alias("vector"))
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int = 100, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``limit`` vectors of the greatest cosine with ``query``, 1000 at most, with rank and distance."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    cosine = dot(F.col(vector), q) / (l2norm(F.col(vector)) * l2norm(q))
+    # A zero vector has no direction: null, and not among the nearest.
+    cosine = F.try_divide(dot(F.col(vector), q), l2norm(F.col(vector)) * l2norm(q))
     scored = vectors.select(id_col, (1 - cosine).alias("distance")).where(F.col("distance").isNotNull())
     top = scored.orderBy("distance", id_col).limit(min(1000, max(1, limit)))
     # Ranks are given to the page of at most 1000 rows only.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, ranges, text, vectors
-from .operators import ingest, stats, vocabulary
+from .operators import ingest, operations, stats, vocabulary
 from .operators import store as S
 from .plans import feed, patterns
 from .sources import quads, registry
@@ -317,6 +317,34 @@ def merged_reports(spark, d):
     return stats.merged_reports(a.unionByName(a.withColumn("affected", F.lit(0).cast("long"))))
 
 
+# The log of operations
+
+
+def _operations(spark, d) -> DataFrame:
+    """Orders as operations: the status as the state, the priority as the account."""
+    state = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("PROCESSING")
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("account"), state.alias("state"), F.col("o_orderdate").alias("created_at"),
+        F.create_map(F.lit("name"), F.lit("import"), F.lit("api secret"), F.col("o_orderpriority")).alias("parameters"),
+    )
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at, 'name' AS told FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 300")
+def operations_page(spark, d):
+    found = operations.listed(_operations(spark, d), ["1-URGENT", "2-HIGH"])
+    return found.select("id", "created_at", F.array_join(F.map_keys("parameters"), ",").alias("told"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey > 100 ORDER BY o_orderdate, o_orderkey LIMIT 20")
+def operations_page_ascending(spark, d):
+    return operations.listed(_operations(spark, d), power=True, ascending=True, after=100, limit=20).select("id")
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING' ELSE 'PROCESSING' END AS state, count(*) AS n, o_orderstatus = 'F' AS final FROM orders GROUP BY 1, 3")
+def operations_by_state(spark, d):
+    return operations.counted(_operations(spark, d), power=True)
+
+
 # Vocabularies and joins of a dump
 
 

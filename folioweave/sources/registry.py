@@ -9,7 +9,7 @@ TSV, MARC, MARCXML = "text/tab-separated-values", "application/marc", "applicati
 ATOM, OPDS, QUADS = "application/atom+xml", "application/opds+json", "application/n-quads"
 ONIX, LITRES, JES = "application/vnd.editeur.org+xml", "application/vnd.litres.publication+xml", "application/vnd.jes.journal+xml"
 REGISTRY, JSON, LD_JSON, YAML, XML, RDF, HTML = (
-    "application/vnd.rusneb.knpam+json", "application/json", "application/ld+json", "application/yaml", "text/xml", "application/rdf+xml", "text/html",
+    "application/vnd.registry-dump+json", "application/json", "application/ld+json", "application/yaml", "text/xml", "application/rdf+xml", "text/html",
 )
 
 #: Element that holds one record, for the XML formats.
