@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _time(text: Column, pattern: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
@@ -35,22 +37,29 @@ def parse_date(raw: Column, lower: bool = False) -> Column:
     digits, '-' or '?', the latter two standing for 0 and January 1st if ``lower``, for 9 and December
     31st if not. Zeros only are null.
     """
+    return let(raw.cast("string"), lambda r: _parsed(r, lower))
+
+
+def _parsed(raw: Column, lower: bool) -> Column:
     stamp = F.regexp_extract(raw, r"^(\d{14})(?:\.\d*)?$", 1)
     full = raw
     for known, rest, fill in ((6, 2, "01"), (4, 4, "0101"), (3, 5, "00101"), (2, 6, "000101")):
-        full = F.regexp_replace(full, rf"^([0-9]{{{known}}})[ u0|#]{{{rest}}}$", f"$1{fill}" if not fill[0].isdigit() else "$1" + fill)
-    s = F.regexp_replace(full, r"[u#|\[\] ]+", "")
-    year = F.substring(s, 1, 2).try_cast("int")
-    short = F.when(F.length(s) == 6, F.concat(F.when(year > 70, F.lit(1900) + year).otherwise(F.lit(2000) + year).cast("string"), F.substring(s, 3, 4)))
+        full = F.regexp_replace(full, rf"^([0-9]{{{known}}})[ u0|#]{{{rest}}}$", f"$1{fill}")
     first = F.regexp_extract(raw, r"([0-9\-?]{4})", 1)
     year_only = F.concat(F.regexp_replace(first, r"[\-?]", "0"), F.lit("0101")) if lower else F.concat(F.regexp_replace(first, r"[\-?]", "9"), F.lit("1231"))
-    return F.when(~F.rlike(s, F.lit("^0{4,}")) | (stamp != ""), F.coalesce(
-        _time(F.when(stamp != "", stamp), "yyyyMMddHHmmss"),
-        _time(F.when(F.length(s) == 8, s), "yyyyMMdd"),
-        _time(short, "yyyyMMdd"),
-        _time(F.when(F.length(raw) > 8, F.substring(s, 1, 14)), "yyyyMMddHHmmss"),
-        _time(F.when(first != "", year_only), "yyyyMMdd"),
-    ))
+
+    def read(s: Column) -> Column:
+        year = F.substring(s, 1, 2).try_cast("int")
+        short = F.when(F.length(s) == 6, F.concat(F.when(year > 70, F.lit(1900) + year).otherwise(F.lit(2000) + year).cast("string"), F.substring(s, 3, 4)))
+        return F.when(~F.rlike(s, F.lit("^0{4,}")) | (stamp != ""), F.coalesce(
+            _time(F.when(stamp != "", stamp), "yyyyMMddHHmmss"),
+            _time(F.when(F.length(s) == 8, s), "yyyyMMdd"),
+            _time(short, "yyyyMMdd"),
+            _time(F.when(F.length(raw) > 8, F.substring(s, 1, 14)), "yyyyMMddHHmmss"),
+            _time(F.when(first != "", year_only), "yyyyMMdd"),
+        ))
+
+    return let(F.regexp_replace(full, r"[u#|\[\] ]+", ""), read)
 
 
 DATE_FIELDS = (
@@ -63,9 +72,17 @@ RUSMARC_TYPES = {"a": "c", "b": "d", "c": "u", "d": "s", "e": "r", "f": "q", "g"
 
 def coded_dates(code: Column, digits: Column) -> Column:
     """Struct of ``DATE_FIELDS`` for a MARC 21 type of date and its eight signs of two dates."""
-    code = F.lower(code)
-    one, two = F.substring(digits, 1, 4), F.substring(digits, 5, 4)
-    lo1, up1, lo2, up2 = parse_date(one, True), parse_date(one), parse_date(two, True), parse_date(two)
+    def read(v: Column) -> Column:
+        one, two = F.substring(v["digits"], 1, 4), F.substring(v["digits"], 5, 4)
+        return let(F.struct(
+            v["code"].alias("code"), v["digits"].alias("digits"), parse_date(one, True).alias("lo1"), parse_date(one).alias("up1"), parse_date(two, True).alias("lo2"), parse_date(two).alias("up2"),
+        ), _coded)
+
+    return let(F.struct(F.lower(code).alias("code"), digits.alias("digits")), read)
+
+
+def _coded(v: Column) -> Column:
+    code, digits, lo1, up1, lo2, up2 = (v[c] for c in ("code", "digits", "lo1", "up1", "lo2", "up2"))
     rising = lo1 < lo2
     both = lo1.isNotNull() & lo2.isNotNull()
     released = F.when(both, F.when(rising, lo1).otherwise(lo2)).otherwise(F.coalesce(lo1, lo2))

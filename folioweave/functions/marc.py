@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import RUSMARC_TYPES, coded_dates, parse_date
+from .text import let
 
 # Fixed values of the formats: positions of the leader, codes of levels and record types.
 STATUS, TYPE, LEVEL = 6, 7, 8
@@ -83,26 +84,38 @@ def key(rec: Column) -> Column:
 
 def dates(rec: Column) -> Column:
     """Struct of a record's dates: of the record itself, of publication and of what the coded ranges tell."""
-    is21 = schema(rec) == "marc21"
-    f005, f008, f100 = control(rec, "005"), control(rec, "008"), first(rec, "100", "a")
-    updated = parse_date(f005)
-    by008 = is21 & f008.isNotNull()
-    began008 = F.when(by008, parse_date(F.substring(f008, 1, 6)))
+    texts = F.concat(values(rec, "260", "c"), values(rec, "260", "g"), values(rec, "901", "c"), values(rec, "210", "d"))
+    published = F.try_element_at(F.filter(F.transform(texts, lambda t: parse_date(t)), lambda d: d.isNotNull()), F.lit(1))
+    return let(F.struct(
+        (schema(rec) == "marc21").alias("is21"), control(rec, "008").alias("f008"), first(rec, "100", "a").alias("f100"), record_type(rec).alias("type"), leader_at(rec, STATUS).alias("status"),
+        parse_date(control(rec, "005")).alias("updated"), parse_date(first(rec, "801", "c")).alias("listed"), published.alias("published"),
+    ), _with_first_date)
+
+
+def _with_first_date(a: Column) -> Column:
+    by008 = a["is21"] & a["f008"].isNotNull()
+    return let(F.when(by008, parse_date(F.substring(a["f008"], 1, 6))), lambda began008: _with_coded_dates(a, by008, began008))
+
+
+def _with_coded_dates(a: Column, by008: Column, began008: Column) -> Column:
+    f008, f100 = a["f008"], a["f100"]
     use100 = began008.isNull() & f100.isNotNull()
-    began = F.coalesce(began008, F.when(f100.isNotNull(), parse_date(F.substring(f100, 1, 8))), parse_date(first(rec, "801", "c")))
+    began = F.coalesce(began008, F.when(f100.isNotNull(), parse_date(F.substring(f100, 1, 8))), a["listed"])
     table = F.create_map(*[F.lit(x) for p in RUSMARC_TYPES.items() for x in p])
-    code = F.when(use100, F.try_element_at(table, F.lower(F.substring(f100, 9, 1)))).when(by008 & (record_type(rec) == "bibliographic"), F.lower(F.substring(f008, 7, 1)))
+    code = F.when(use100, F.try_element_at(table, F.lower(F.substring(f100, 9, 1)))).when(by008 & (a["type"] == "bibliographic"), F.lower(F.substring(f008, 7, 1)))
     digits = F.when(use100, F.substring(f100, 10, 8)).when(by008, F.substring(f008, 8, 8))
-    coded = coded_dates(code, digits)
-    texts = F.concat(values(rec, "260", "c"), values(rec, "260", "g"), values(rec, "901", "c"), values(rec, "210", "d"))
-    published = F.try_element_at(F.filter(F.transform(texts, lambda t: parse_date(t)), lambda d: d.isNotNull()), F.lit(1))
-    start = F.coalesce(coded["date_start"], published)
-    return F.struct(
-        updated.alias("record_updated"), F.coalesce(began, updated, published).alias("record_start"),
-        F.when(leader_at(rec, STATUS) == "d", updated).alias("record_end"), published.alias("published"),
-        F.when(start > coded["date_end"], coded["date_end"]).otherwise(start).alias("date_start"),
-        *[coded[f].alias(f) for f in ("date_end", "date2_start", "date2_end", "reissue_start", "reissue_end", "copyright_start", "copyright_end", "date_production", "date_distribution", "other_field")],
-    )
+
+    def told(v: Column) -> Column:
+        coded, updated, published = v["coded"], a["updated"], a["published"]
+        start = F.coalesce(coded["date_start"], published)
+        return F.struct(
+            updated.alias("record_updated"), F.coalesce(v["began"], updated, published).alias("record_start"),
+            F.when(a["status"] == "d", updated).alias("record_end"), published.alias("published"),
+            F.when(start > coded["date_end"], coded["date_end"]).otherwise(start).alias("date_start"),
+            *[coded[f].alias(f) for f in ("date_end", "date2_start", "date2_end", "reissue_start", "reissue_end", "copyright_start", "copyright_end", "date_production", "date_distribution", "other_field")],
+        )
+
+    return let(F.struct(coded_dates(code, digits).alias("coded"), began.alias("began")), told)
 
 
 def links(rec: Column) -> Column:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that stands in the plan once, however often ``then`` uses it.
+
+    A column used several times is copied into the plan each time; where such columns build on each
+    other the plan grows by the product.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import marc as M
-from ..functions.text import record_url
+from ..functions.text import let, record_url
 from ..sources import marc as marc_source
 from ..sources import registry as R
 
@@ -45,6 +45,15 @@ def _joined(xs: Column, sep: str = " ") -> Column:
     return F.when(F.size(xs) > 0, F.array_join(xs, sep))
 
 
+def _has(indicator: str, value: str) -> Callable[[Column], Column]:
+    return lambda f: f[indicator] == value
+
+
+def _under(tag: str) -> Callable[[Column], Column]:
+    """A field under another tag."""
+    return lambda f: F.struct(F.lit(tag).alias("tag"), f["ind1"].alias("ind1"), f["ind2"].alias("ind2"), f["subfield"].alias("subfield"))
+
+
 def rusmarc_to_marc21(rec: Column) -> Column:
     """A RUSMARC record under MARC 21 tags, subfields as they are, 008 rebuilt from 100$a."""
     coded = F.rpad(F.coalesce(M.first(rec, "100", "a"), F.lit("")), 36, " ")
@@ -64,10 +73,10 @@ def rusmarc_to_marc21(rec: Column) -> Column:
             continue
         own = M.fields(rec, *sources)
         if one is not None:
-            own = F.filter(own, lambda f, one=one: f["ind1"] == one)
+            own = F.filter(own, _has("ind1", one))
         if two is not None:
-            own = F.filter(own, lambda f, two=two: f["ind2"] == two)
-        moved.append(F.transform(own, lambda f, t=target: F.struct(F.lit(t).alias("tag"), f["ind1"].alias("ind1"), f["ind2"].alias("ind2"), f["subfield"].alias("subfield"))))
+            own = F.filter(own, _has("ind2", two))
+        moved.append(F.transform(own, _under(target)))
     return F.struct(rec["leader"].alias("leader"), control.alias("controlfield"), F.array_sort(F.concat(*moved)).alias("datafield"))
 
 
@@ -134,7 +143,7 @@ def either_marc(rec: Column) -> Column:
 
 
 def _of_marc(render: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda record: render(either_marc(marc_source.parsed(record)))
+    return lambda record: let(marc_source.parsed(record), lambda m: let(either_marc(m), render))
 
 
 def quads_to_opds(record: Column) -> Column:

@@ -201,7 +201,7 @@ def test_column_format_and_writer(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("value\tkind\tsource\tkey\tpath\nv1\tk\ts\t1\ta\nv2\tk\ts\t2\ta\nv3\tk\ts\t1\tb\n")
     got = {r.key: r.record for r in tsv.column_format_records(tsv.read_tsv(spark, str(tmp_path / "c.tsv"))).collect()}
     assert got["1"].split("\n") == ["value\tkind\tsource\tkey\tpath", "v1\tk\ts\t1\ta", "v3\tk\ts\t1\tb"] and len(got) == 2
-    rows = spark.createDataFrame([("x", None, dt.datetime(2020, 1, 2))], "b string, a string, t timestamp")
+    rows = spark.createDataFrame([("x", None, dt.datetime(2020, 1, 2))], "b string, a string, t timestamp").coalesce(1)
     tsv.write_tsv(rows, str(tmp_path / "out"))
     assert "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv")) == "a\tb\tt\n\tx\t2020-01-02T00:00:00.000Z\n"
 
