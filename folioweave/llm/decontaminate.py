@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ _PAIRS = 256
 GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def _folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of lower-cased texts; letters beyond ASCII have their case folded too."""
+    return B.text_column(pc.utf8_lower(column))
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of each lower-cased word, and the rows' bounds (n + 1)."""
     start, end, row = B.words(raw, offsets, GAP)
@@ -70,7 +76,7 @@ class Items:
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
-        raw, offsets = B.text_column(pa.array([t for _, t in rows], pa.string()))
+        raw, offsets = _folded(pa.array([t for _, t in rows], pa.string()))
         words, bounds = word_hashes(raw, offsets)
         return Items([i for i, _ in rows], words, bounds, *gram_hashes(words, bounds))
 
@@ -185,7 +191,7 @@ def _seeds(docs: DataFrame, text_col: str, items: Items) -> Seeds:
         keys = sent.value
         seen, rows = np.zeros(len(keys), np.int64), 0
         for batch in batches:
-            raw, offsets = B.text_column(batch.column(0))
+            raw, offsets = _folded(batch.column(0))
             rows += batch.num_rows
             for i, j in B.pieces(offsets):
                 grams, _, row = gram_hashes(*word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
@@ -233,7 +239,7 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw, offsets = B.text_column(batch.column(1))
+                raw, offsets = _folded(batch.column(1))
                 for i, j in B.pieces(offsets):
                     got = find(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], *sent.value, least)
                     row = pa.array([i + g[0] for g in got], pa.int64())
@@ -261,7 +267,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw, offsets = B.text_column(batch.column(at))
+                raw, offsets = _folded(batch.column(at))
                 clean = np.ones(batch.num_rows, bool)
                 for i, j in B.pieces(offsets):
                     for got in find(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], *sent.value, least):
