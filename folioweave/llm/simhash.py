@@ -20,14 +20,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import cut, smallest_reachable
+from .common import cut, hash_bound, smallest_reachable, xor_key
 
 LINK = 2
 CELL = 16
+#: Of ``keep_one``: words a shingle, and the similarity of shingle sets from which texts are near-duplicates.
+SHINGLE, ALIKE = 5, 0.8
 _GROUP_BITS = (10, 10, 10, 10, 12, 12)
 
 
@@ -40,13 +43,12 @@ def _lanes() -> np.ndarray:
 LANES = _lanes()
 
 
-def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarray:
-    """The SimHash of each row as unsigned 64-bit integers; zero for a row of no words."""
+def shingles(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each shingle of words, repeats included, and its row; none for a row of no words."""
     rows = len(offsets) - 1
-    out = np.zeros(rows, np.uint64)
     start, end, row = B.words(raw, offsets)
     if not len(start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     # Single spaces between words: of a run of white space the first byte stays, as a space.
     gap = B.SPACE[raw]
     keep = ~gap
@@ -60,7 +62,16 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.n
     last = np.minimum(k + shingle - 1, count[row] - 1)
     full = (k + shingle <= count[row]) | (k == 0)
     first, row, last = start[full], row[full], end[(begin[row] + last)[full]]
-    h = B.xxh64(text, first, last - first)
+    return B.xxh64(text, first, last - first), row
+
+
+def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarray:
+    """The SimHash of each row as unsigned 64-bit integers; zero for a row of no words."""
+    rows = len(offsets) - 1
+    out = np.zeros(rows, np.uint64)
+    h, row = shingles(raw, offsets, shingle)
+    if not len(h):
+        return out
     n = np.bincount(row, minlength=rows)
     live = np.flatnonzero(n)
     # Bit counts in byte-wide lanes over blocks of up to 255 hashes of one row.
@@ -170,14 +181,146 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of its smallest id.
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all rows, ascending in each row, and the offsets of the rows."""
+    h, row = shingles(raw, offsets, shingle)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    size = np.bincount(row[new], minlength=len(offsets) - 1)
+    return h[new], np.concatenate([[0], np.cumsum(size)])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of batches, whose last column is the text, with their shingle sets."""
+    for batch in batches:
+        raw, offsets = B.text_column(batch.column(batch.num_columns - 1))
+        for i, j in B.pieces(offsets):
+            h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch.slice(i, j - i), h, at
+
+
+def _lists(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
+
+
+def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (id, th, node, prefix): the text's hash, its shingle set's hash, and the set's prefix.
+
+    A prefix is the first ``n // 5 + 1`` of a set's ``n`` hashes in one order for all sets: those in
+    ``common`` (ascending hashes, counts) last and by count, else by value. Sets of similarity 0.8 share all but a fifth of either's hashes
+    at most, so their prefixes share one.
+    """
+
+    known, counts = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h, at in _set_batches(batches):
+            size = np.diff(at)
+            node = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
+            row = np.repeat(np.arange(len(size)), size)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                h = h[np.lexsort((h, np.where(known[k] == h, counts[k], 0), row))]
+            much = np.where(size > 0, size // 5 + 1, 0)
+            keep = np.arange(len(h)) - at[row] < much[row]
+            prefix = _lists(h[keep], np.concatenate([[0], np.cumsum(much)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), prefix], names=["id", "th", "node", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, node long, prefix array<long>")
+
+
+def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, and their counts, found in many texts of a sample, 100,000 at most.
+
+    They only order the prefixes, so that a common line seldom brings texts together; which they are
+    changes no result.
+    """
+    some = docs.where(F.xxhash64(F.lit(7), F.col(text_col)) <= hash_bound(0.25))
+    tokens = with_prefix(some, id_col, text_col, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).dropDuplicates(["node"]).select(F.explode("prefix").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(100_000)
+    found = often.toArrow()
+    tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Those of the node pairs (a, b) whose shingle sets have a similarity of ``ALIKE`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h, at in _set_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(h, at)], names=["node", "tokens"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # One text of each node; its set is formed anew, as to keep all sets takes more disk than the texts.
+    of = rows.join(asked, "node").groupBy("node").agg(F.min("th").alias("th"))
+    texts = docs.select(xor_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).join(of, "th").select("node", "text")
+    sets = cut(texts.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"]))
+    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    # both / (x + y - both) >= 4 / 5
+    return cut(pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL) -> DataFrame:
+    """Rows (node, root): what pairs of shingle sets of ``ALIKE`` or more similarity connect.
+
+    Sets that share a hash of their prefixes form a cell. Cells of up to ``cell`` sets are paired up.
+    In a larger one the first sets are leaders: each is compared with all after it that aren't yet
+    connected with it. Rounds of sixteen times as many leaders follow until all of a cell is connected
+    or every pair is compared, so a large group of near copies takes one round and no pair is lost.
+    """
+    nodes = rows.groupBy("node").agg(F.first("prefix").alias("prefix"))
+    cells = nodes.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    cells = cut(cells.where(F.size("nodes") > 1).select("nodes").distinct())
+    small = cells.where(F.size("nodes") <= cell)
+    pairs = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
+    hot = cells.where(F.size("nodes") > cell).select(F.xxhash64("nodes").alias("cell"), F.posexplode("nodes").alias("rank", "node"))
+    hot = cut(hot)
+    first = hot.where("rank = 0").select("cell", F.col("node").alias("a"))
+    pairs = pairs.unionByName(hot.where("rank > 0").join(first, "cell").select("a", F.col("node").alias("b")))
+    edges = _verified(cut(pairs.distinct()), rows, docs, text_col)
+    roots = smallest_reachable(edges, "a", "b")
+    done, step = 1, 16
+    while True:
+        live = cut(hot.join(roots, "node", "left").select("cell", "rank", "node", F.coalesce("root", "node").alias("root")))
+        open_cells = live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("rank").alias("most"))
+        open_cells = open_cells.where((F.col("low") != F.col("high")) & (F.col("most") > done)).select("cell")
+        open_cells = cut(open_cells)
+        if open_cells.isEmpty():
+            return roots
+        live = live.join(open_cells, "cell")
+        lead = live.where((F.col("rank") >= done) & (F.col("rank") < done + step)).select("cell", F.col("rank").alias("r"), F.col("node").alias("a"), F.col("root").alias("top"))
+        more = cut(live.join(lead, "cell").where("rank > r and root <> top").select("a", F.col("node").alias("b")).distinct())
+        found = _verified(more, rows, docs, text_col)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            roots = smallest_reachable(edges, "a", "b")
+        done, step = done + step, step * 16
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of its smallest id.
+
+    Texts whose sets of five-word shingles (words and short texts as in ``near_duplicates``) have a
+    Jaccard similarity of ``ALIKE`` or more are linked; groups are what links reach. All such pairs
+    are found: similarity 0.8 leaves SimHash fingerprints about ten bits apart, more than a grid of
+    bit counts can bridge, so candidates share a shingle of their sets' prefixes instead. Sets are
+    equal if their 64-bit hashes are; null and blank texts are alike.
 
     Rows that repeat this id are one document, of which one row stays. Rows with a null id whose
     component has no other id are one document too.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__sh_id")).distinct()
+    rows = cut(with_prefix(docs, id_col, text_col, _common(docs, id_col, text_col)))
+    roots = alike(rows, docs, text_col, cell)
+    found = rows.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    found = cut(found)
+    least = found.groupBy("root").agg(F.min("id").alias("least"))
+    gone = found.join(least, "root").where(~F.col("least").eqNullSafe(F.col("id"))).select(F.col("id").alias("__sh_id")).distinct()
     again = docs.groupBy(F.col(id_col).alias("__sh_id")).count().where((F.col("count") > 1) | F.col("__sh_id").isNull()).select("__sh_id")
     gone, again = cut(gone), cut(again)
     same = F.col(id_col).eqNullSafe(F.col("__sh_id"))

@@ -140,6 +140,37 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs_frame(spark, [])).count() == 0
 
 
+def brute_alike(texts):
+    """For each text, the first that chains of five-word Jaccard similarity 0.8 or more reach."""
+    sets = []
+    for t in texts:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if not a | b or 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("cell", [1, 16])
+def test_keep_one_matches_brute_force_similarity(spark, cell):
+    rng = random.Random(cell)
+    texts = ["", None, "one", "two words"]
+    for _ in range(5):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randint(30, 120))]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(900)}"
+            texts.append(" ".join(copy))
+    root = brute_alike(texts)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_frame(spark, texts), cell=cell).collect())
+    assert kept == sorted(set(root)) and len(kept) < len(texts) - 10
+
+
 # Token records
 
 
