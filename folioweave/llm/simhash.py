@@ -312,17 +312,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ce
     bit counts can bridge, so candidates share a shingle of their sets' prefixes instead. Sets are
     equal if their 64-bit hashes are; null and blank texts are alike.
 
-    Rows that repeat this id are one document, of which one row stays. Rows with a null id whose
-    component has no other id are one document too.
+    Of a group the row of the smallest (id, text hash) stays, null ids last. Ids may be null or
+    repeat: rows are told apart by id and text, and only rows equal in both are one document.
     """
     rows = cut(with_prefix(docs, id_col, text_col, _common(docs, id_col, text_col)))
     roots = alike(rows, docs, text_col, cell)
-    found = rows.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    found = cut(found)
-    least = found.groupBy("root").agg(F.min("id").alias("least"))
-    gone = found.join(least, "root").where(~F.col("least").eqNullSafe(F.col("id"))).select(F.col("id").alias("__sh_id")).distinct()
-    again = docs.groupBy(F.col(id_col).alias("__sh_id")).count().where((F.col("count") > 1) | F.col("__sh_id").isNull()).select("__sh_id")
+    found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    least = found.groupBy("root").agg(F.min(key).alias("least"))
+    gone = found.join(least, "root").where(key != F.col("least")).select(F.col("id").alias("__sh_id"), F.col("th").alias("__sh_th")).distinct()
+    again = found.groupBy(F.col("id").alias("__sh_id"), F.col("th").alias("__sh_th")).count().where("count > 1").drop("count")
     gone, again = cut(gone), cut(again)
-    same = F.col(id_col).eqNullSafe(F.col("__sh_id"))
+    same = F.col(id_col).eqNullSafe(F.col("__sh_id")) & (xor_key(F.col(text_col)) == F.col("__sh_th"))
     stay = docs.join(gone, same, "left_anti")
-    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([id_col]))
+    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

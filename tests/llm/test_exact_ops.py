@@ -171,6 +171,13 @@ def test_keep_one_matches_brute_force_similarity(spark, cell):
     assert kept == sorted(set(root)) and len(kept) < len(texts) - 10
 
 
+def test_keep_one_tells_rows_of_null_and_repeated_ids_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, "quite another text of this id"), (3, d)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (2, "quite another text of this id")], key=str)
+
+
 # Token records
 
 
