@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 # Fixed values of the XXH64 definition.
 PRIME = tuple(U(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
 ))
+#: Bytes of a slice from which hashing it alone is faster.
+LONG = 2048
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,6 +39,21 @@ def pieces(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]
         i = j
 
 
+def cuts(raw: np.ndarray, gap: np.ndarray = SPACE, most: int = 1 << 22) -> Iterator[np.ndarray]:
+    """A text in parts of about ``most`` bytes, each ending at a byte of ``gap`` or with the text."""
+    at = 0
+    while at < len(raw):
+        end = at + most
+        while end < len(raw):
+            stop = np.flatnonzero(gap[raw[end : end + 4096]])
+            if len(stop):
+                end += int(stop[0])
+                break
+            end += 4096
+        yield raw[at:end]
+        at = end
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes outside ``gap``; rows don't run together."""
     if not len(raw):
@@ -61,7 +79,14 @@ def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
 
 
 def xxh64(raw: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of ``raw[start : start + size]`` for all slices at once."""
+    """XXH64 of ``raw[start : start + size]`` for all slices at once, very long ones one by one."""
+    if len(far := np.flatnonzero(size > LONG)):
+        size = size.copy()
+        own = np.array([xxhash.xxh64_intdigest(raw[s : s + n].data, seed) for s, n in zip(start[far], size[far], strict=True)], U)
+        size[far] = 0
+        h = xxh64(raw, start, size, seed)
+        h[far] = own
+        return h
     buf = np.concatenate([raw, np.zeros(8, np.uint8)])
     u8 = np.ndarray((len(raw) + 1,), "<u8", buf, strides=(1,))
     u4 = np.ndarray((len(raw) + 1,), "<u4", buf, strides=(1,))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +14,27 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a temporary folder set.
+    Only where the session names none and runs on this machine alone (a local test) is a temporary
+    folder set; elsewhere other executors couldn't read it, which is an error.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioweave-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def full_uri(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark would read it by, so that tasks open the same store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a full URI and the path in it."""
+    return (fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

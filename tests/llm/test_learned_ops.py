@@ -158,6 +158,70 @@ def test_decontamination_finds_edited_copies(spark, block):
     assert {r.doc_id for r in clean.collect()} == set(range(63)) - {d for d, _ in truth} - {62} and clean.columns[0] == "doc_id"
 
 
+def edited(rng, words, how):
+    """A copy with every ``how``-th word changed, or that share of words at random."""
+    return [f"new{rng.randrange(10**6)}" if (k % how == how - 1 if how > 1 else rng.random() < how) else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("how", [3, 4, 0.2, 0.3])
+def test_decontamination_finds_what_all_pairs_find(spark, how):
+    rng = random.Random(11)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 40").fetchall()
+    docs = [t or "" for _, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE length(text) < 4000 ORDER BY doc_id").fetchall()]
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+    for k, (_, text) in enumerate(items):
+        own = docs[17 * k].split(" ")
+        own[len(own) // 2 : len(own) // 2] = edited(rng, split(text), how)
+        docs[17 * k] = " ".join(own)
+    code = {}
+    hashed = lambda t: np.array([code.setdefault(w, len(code)) for w in split(t)], np.uint64)
+    texts = [hashed(t) for t in docs]
+    want = set()
+    for i, text in items:
+        own = hashed(text)
+        score, _ = decontaminate.align([own] * len(texts), texts)
+        want |= {(d, i) for d in np.flatnonzero(score >= len(own)).tolist()}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert found == want and len(want) >= 25
+    assert {r.doc_id for r in decontaminate.keep_clean(frame(spark, docs), bench, block=2000).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
+def test_decontamination_recall_does_not_depend_on_the_corpus(spark):
+    """Edited copies of all benchmark items among 50,000 documents."""
+    rng = random.Random(12)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 40").fetchall()
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+    copies, want = [], set()
+    for k, (i, text) in enumerate(items * 4):
+        own = split(text)
+        copy = edited(rng, own, [3, 4, 0.2, 0.3][k // len(items)])
+        copies.append((-1 - k, "before it all " + " ".join(copy) + " and after", None, "", ""))
+        if smith_waterman(own, copy) >= len(own):
+            want.add((-1 - k, i))
+    many = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").crossJoin(spark.range(50).withColumnRenamed("id", "n"))
+    docs = many.selectExpr("doc_id", "concat(text, ' ', n) AS text").unionByName(spark.createDataFrame(copies, SHAPE).select("doc_id", "text"))
+    assert docs.count() >= 50_000
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).where("doc_id < 0").collect()}
+    assert found >= want and len(want) >= 120
+
+
+def test_decontamination_short_items_and_long_texts(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "not ever"), (3, "a b c d e f g h"), (4, "")], "item_id long, text string")
+    long = "word " * 3_000_000 + "a b x d e f y h " + "tail " * 1_000_000
+    docs = ["oh yes", "not so ever", "so not ever again", long, "z" * 6_000_000 + " yes"]
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert set(found) == {(0, 1), (2, 2), (3, 3), (4, 1)}
+    assert found[3, 3].first_word == 3_000_000 and found[3, 3].last_word == 3_000_007 and found[3, 3].score == pytest.approx(10 / 16)
+
+
+def test_decontamination_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "q")], "item_id long, text string, item string")
+    bench = spark.createDataFrame([("one", "a b c d", 5)], "item_id string, text string, score int")
+    assert [tuple(r)[:3] for r in decontaminate.contaminated(docs.withColumnRenamed("item_id", "id"), bench, id_col="id").collect()] == [(1, "one", 1.0)]
+    assert decontaminate.keep_clean(docs, bench).count() == 0
+
+
 def test_decontamination_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, ["some text", None])
