@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of byte n-grams.
 
-Slot ``i`` of the table is a bit mask of languages: bit ``l`` is bit ``i`` of language ``l``'s Bloom
-filter. One look-up of an n-gram, the AND of its slots, gives the mask of all languages that hold
+Slot ``i`` of the table is a bit mask of languages, of as many words as they need: bit ``l`` is bit
+``i`` of language ``l``'s Bloom filter. One look-up of an n-gram, the AND of its slots, gives the mask of all languages that hold
 it. Per document the n-grams of each language are counted, and the share is corrected for the
 filter's false positives, which follow from how full each language's bit slice is.
 """
@@ -26,6 +26,10 @@ SAMPLE = 1500
 #: there is at least this share of its frequency in the language that uses it most.
 LEAST, SHARE = 3, 0.2
 SLOTS_LOG2, HASHES = 21, 3
+#: Languages up to which their sampling bounds are broadcast.
+FEW = 10_000
+#: Bytes of a very long text that are looked up at a time.
+RUN = 1 << 22
 #: A text is rejected where its best language explains less than this corrected share of n-grams.
 COVER = 0.25
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -66,50 +70,89 @@ def _slots(grams: np.ndarray) -> list[np.ndarray]:
         return [((g + np.uint64(1)) * m) >> np.uint64(64 - SLOTS_LOG2) for m in _MIX[:HASHES]]
 
 
+def _letters() -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[65:91] = t[97:123] = True
+    return t
+
+
+_LETTER = _letters()
+
+
+def gram_runs(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows as (first row, n-grams, bounds, which aren't blank); a very long text comes in several runs."""
+    for i, j in B.pieces(offsets):
+        part = raw[offsets[i] : offsets[j]]
+        if j > i + 1 or len(part) <= RUN:
+            yield i, *byte_grams(part, offsets[i : j + 1] - offsets[i])
+            continue
+        buf = np.concatenate([[np.uint8(0x20)], FOLD[part], [np.uint8(0x20)]])
+        for lo in range(0, len(buf) - GRAM + 1, RUN):
+            own = np.ascontiguousarray(buf[lo : lo + RUN + GRAM - 1])
+            grams = np.ndarray((len(own) - GRAM + 1,), "<u4", own, strides=(1,))
+            yield i, grams, np.array([0, len(grams)]), grams != _BLANK
+
+
 @dataclass
 class LanguageModel:
+    """``table`` has a row for each word of a slot's mask."""
+
     languages: list[str]
     table: np.ndarray
     false_positive: np.ndarray
     prior: int
 
+    def shares(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each language's corrected share of each row's n-grams (languages by rows)."""
+        rows, width = len(offsets) - 1, self.table.dtype.itemsize * 8
+        total, held = np.zeros(rows, np.int64), np.zeros((len(self.languages), rows), np.int64)
+        for i, grams, bounds, live in gram_runs(raw, offsets):
+            own, slots = slice(i, i + len(bounds) - 1), _slots(grams)
+            upto = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[bounds]) if len(bounds) > 2 else np.count_nonzero(x)
+            total[own] += upto(live)
+            for word, part in enumerate(self.table):
+                mask = part[slots[0]]
+                for s in slots[1:]:
+                    mask &= part[s]
+                for k in range(word * width, min(len(self.languages), (word + 1) * width)):
+                    held[k, own] += upto(((mask >> part.dtype.type(k - word * width)) & part.dtype.type(1)).astype(bool) & live)
+        false = self.false_positive[:, None]
+        return np.maximum(held / np.maximum(total, 1) - false, 0) / (1 - false)
+
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the best language, its corrected share of n-grams and the second best's."""
-        rows = len(offsets) - 1
-        grams, bounds, live = byte_grams(raw, offsets)
-        mask = None
-        for s in _slots(grams):
-            mask = self.table[s] if mask is None else mask & self.table[s]
-        upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[bounds]
-        total = np.maximum(np.diff(upto(live)), 1)
-        share = np.empty((len(self.languages), rows))
-        for k in range(len(self.languages)):
-            held = np.diff(upto(((mask >> self.table.dtype.type(k)) & self.table.dtype.type(1)).astype(bool) & live)) / total
-            share[k] = np.maximum(held - self.false_positive[k], 0) / (1 - self.false_positive[k])
-        order = np.argsort(-share, axis=0, kind="stable")
-        best = np.where(share.max(axis=0) > 0, order[0], self.prior)
-        second = share[order[1], np.arange(rows)] if len(self.languages) > 1 else np.zeros(rows)
-        return best, share[best, np.arange(rows)], second
-
-
-def build(counts: dict[str, dict[int, int]], rows: dict[str, int]) -> LanguageModel:
-    """The filters from counts of n-grams and of rows by language."""
-    languages = sorted(counts)
-    if len(languages) > 64:
-        raise ValueError("a slot holds at most 64 languages")
+        share = self.shares(raw, offsets)
+        rows = np.arange(share.shape[1])
+        best = np.where(share.max(axis=0) > 0, share.argmax(axis=0), self.prior)
+        top = share[best, rows]
+        rest = share.copy()
+        rest[share.argmax(axis=0), rows] = -1
+        return best, top, np.maximum(rest.max(axis=0), 0)
+
+
+def build(languages: list[str], code: np.ndarray, gram: np.ndarray, n: np.ndarray, rows: list[int]) -> LanguageModel:
+    """The filters from how often each n-gram stands in each language's sample, and the languages' rows.
+
+    ``languages`` ascend; ``code`` numbers the language of each count.
+    """
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << SLOTS_LOG2, kind)
-    frequency = {x: {g: c / sum(counts[x].values()) for g, c in counts[x].items()} for x in languages}
-    most: dict[int, float] = {}
-    for x in languages:
-        for g, f in frequency[x].items():
-            most[g] = max(most.get(g, 0.0), f)
-    for k, x in enumerate(languages):
-        own = np.array([g for g, c in counts[x].items() if c >= LEAST and frequency[x][g] >= SHARE * most[g]], np.uint32)
-        for s in _slots(own):
-            table[s] |= kind(1 << k)
-    full = np.array([((table >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
-    return LanguageModel(languages, table, full**HASHES, max(range(len(languages)), key=lambda k: rows[languages[k]], default=0))
+    width = np.dtype(kind).itemsize * 8
+    table = np.zeros((-(-len(languages) // width), 1 << SLOTS_LOG2), kind)
+    total = np.bincount(code, n, minlength=len(languages))
+    frequency = n / total[code]
+    _, of = np.unique(gram, return_inverse=True)
+    most = np.zeros(int(of.max(initial=-1)) + 1)
+    np.maximum.at(most, of, frequency)
+    keep = (n >= LEAST) & (frequency >= SHARE * most[of])
+    full = np.zeros(len(languages))
+    for k in range(len(languages)):
+        word, bit = divmod(k, width)
+        held = np.zeros(1 << SLOTS_LOG2, bool)
+        for s in _slots(gram[keep & (code == k)].astype(np.uint32)):
+            held[s] = True
+        table[word, held] |= kind(1 << bit)
+        full[k] = held.mean()
+    return LanguageModel(languages, table, full**HASHES, int(np.argmax(rows)))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
@@ -119,49 +162,46 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language's rows. Rows with null id, text or language teach nothing.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    text = own.withColumn("h", F.xxhash64("id", F.lit("language")))
-    # One row a language.
-    limits = text.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not limits:
+    # One row a language: its rows, and the hash below which its sample lies.
+    limits = own.groupBy("lang").agg(F.count("*").alias("rows")).toArrow().sort_by("lang")
+    if not len(limits):
         return None
-    taken = F.lit(False)
-    for r in limits:
-        share = min(1.0, sample / r["n"])
-        taken = taken | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(hash_bound(share))))
+    languages, rows = limits["lang"].to_pylist(), limits["rows"].to_pylist()
+    bounds = [(x, k, hash_bound(min(1.0, sample / n))) for k, (x, n) in enumerate(zip(languages, rows, strict=True))]
+    of = docs.sparkSession.createDataFrame(bounds, "lang string, code int, most long")
+    text = own.join(F.broadcast(of) if len(bounds) <= FEW else of, "lang").where(F.xxhash64("id", F.lit("language")) <= F.col("most"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = B.text_column(batch.column(0))
-            code = batch.column(1).dictionary_encode()
-            names, of = code.dictionary.to_pylist(), np.asarray(code.indices, np.uint64)
-            for i, j in B.pieces(offsets):
-                grams, bounds, live = byte_grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                own = np.repeat(of[i:j], np.diff(bounds))
+            of = np.asarray(batch.column(1), np.uint64)
+            for i, grams, bounds, live in gram_runs(raw, offsets):
+                own = np.repeat(of[i : i + len(bounds) - 1], np.diff(bounds))
                 both, n = np.unique(((own << np.uint64(32)) | grams)[live], return_counts=True)
-                langs = [names[k] for k in (both >> np.uint64(32)).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    counted = text.where(taken).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    counts: dict[str, dict[int, int]] = {r["lang"]: {} for r in limits}
+    counted = text.select("text", "code").mapInArrow(count, "gram long, n long")
     # Bounded by the sample: n-grams seen often enough in the samples of the languages.
-    got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).toArrow()
-    for lang, gram, n in zip(got["lang"].to_pylist(), got["gram"].to_pylist(), got["n"].to_pylist(), strict=True):
-        counts[lang][gram] = n
-    return build({k: v for k, v in counts.items() if v}, {r["lang"]: r["n"] for r in limits}) if any(counts.values()) else None
+    got = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).toArrow()
+    if not len(got):
+        return None
+    both, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    code = (both >> np.uint64(32)).astype(np.int64)
+    # Languages without an n-gram that is frequent enough aren't in the model.
+    known, code = np.unique(code, return_inverse=True)
+    return build([languages[k] for k in known], code, (both & np.uint64(0xFFFFFFFF)).astype(np.int64), n, [rows[k] for k in known])
 
 
 def _judge(model: LanguageModel | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and corrected share for each text of a batch."""
     names, score, cover = [], [], []
     raw, offsets = B.text_column(column)
-    letter = np.zeros(256, bool)
-    letter[65:91] = letter[97:123] = True
     for i, j in B.pieces(offsets):
         part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        seen = np.concatenate([[0], np.cumsum(letter[part], dtype=np.int64)])[at]
-        has = np.diff(seen) > 0
+        has = np.array([_LETTER[part[a:b]].any() for a, b in zip(at, at[1:], strict=False)])
         for k in np.flatnonzero(~has):
-            has[k] = any(c.isalpha() for c in part[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
+            own = part[at[k] : at[k + 1]]
+            has[k] = any(c.isalpha() for c in own[own >= 128].tobytes().decode("utf-8", "replace"))
         if model is None:
             has[:] = False
             best, top, second = (np.zeros(j - i, np.int64), np.zeros(j - i), np.zeros(j - i))
