@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from . import bytewise as B
 from .common import hash_bound
 
-#: Labelled documents that are learnt from, about: those of the smallest hashes of their id.
-SAMPLE = 6000
+#: Labelled documents that are learnt from, about: those of the smallest hashes of their id; and their lines, at most.
+SAMPLE, LINES = 6000, 500_000
+#: Lines whose features are made at a time.
+BLOCK = 1 << 16
 THRESHOLD = 0.3
 ROUNDS, STEP, RIDGE = 80, 0.15, 1e-3
 
@@ -43,69 +45,161 @@ _CLASSES = (_UPPER, _DIGIT, _STOP, _LOUD, _MARK)
 N_OWN = len(_CLASSES) + 8
 
 
+def _again(key: np.ndarray, group: np.ndarray | int) -> np.ndarray:
+    """Whether a key stood earlier in its group; sorted by parts of about two million keys."""
+    again = np.zeros(len(key), bool)
+    with np.errstate(over="ignore"):
+        mixed = key if isinstance(group, int) else key ^ (group.astype(np.uint64) * B.PRIME[0])
+    parts = 1 + len(key) // (1 << 21)
+    for k in range(parts):
+        own = np.flatnonzero(mixed % np.uint64(parts) == k) if parts > 1 else np.arange(len(key))
+        order = own[np.argsort(mixed[own], kind="stable")]
+        again[order[1:]] = mixed[order[1:]] == mixed[order[:-1]]
+    return again
+
+
+class Lines:
+    """The lines of a run of texts: where they are, and what of their features needs whole texts.
+
+    A few numbers a line and a word are kept; the features themselves are made for some lines at a time.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        rows = len(offsets) - 1
+        breaks = np.flatnonzero(raw == 10)
+        # A row has one line more than newlines. Line starts: each row's, and the place after each newline.
+        self.raw, self.per = raw, np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=rows) + 1
+        self.bounds = np.concatenate([[0], np.cumsum(self.per)])
+        n = int(self.bounds[-1])
+        self.start, stop = np.empty(n, np.int64), np.empty(n, np.int64)
+        rest = np.ones(n, bool)
+        rest[self.bounds[:-1]] = False
+        self.start[self.bounds[:-1]], self.start[rest] = offsets[:-1], breaks + 1
+        last = np.zeros(n, bool)
+        last[self.bounds[1:] - 1] = True
+        stop[self.bounds[1:] - 1], stop[~last] = offsets[1:], breaks
+        self.size = stop - self.start
+        # Words in order, hashed by parts of the text that end at white space.
+        h, line, at = [], [], 0
+        for part in B.cuts(raw) if rows == 1 else ([raw] if len(raw) else []):
+            ends = np.append(self.start[(self.start > at) & (self.start < at + len(part))] - at, len(part)) if rows == 1 else np.append(self.start, len(raw))
+            w0, w1, own = B.words(part, np.concatenate([[0], ends]) if rows == 1 else ends)
+            h.append(B.xxh64(B.LOWER[part], w0, w1 - w0))
+            line.append((own + (np.searchsorted(self.start, at, "right") - 1 if rows == 1 else 0)).astype(np.int32))
+            at += len(part)
+        h = np.concatenate(h) if h else np.zeros(0, np.uint64)
+        line = np.concatenate(line) if line else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(rows), self.per) if rows > 1 else None
+        count = lambda at, weight=None: np.bincount(at, weight, minlength=n).astype(np.int32)
+        self.words = count(line)
+        self.again = np.zeros((n, 3), np.float32)
+        self.again[:, 0] = count(line, _again(h, line)) / np.maximum(self.words, 1)
+        with np.errstate(over="ignore"):
+            pair, at = B._rotl(h[:-1], 17) * B.PRIME[1] + h[1:], line[1:]
+        if doc is not None:
+            inner = doc[at] == doc[line[:-1]]
+            pair, at = pair[inner], at[inner]
+        del h, line
+        self.again[:, 1] = count(at, _again(pair, 0 if doc is None else doc[at])) / np.maximum(count(at), 1)
+        whole = np.concatenate([B.xxh64(raw, self.start[k : k + BLOCK], self.size[k : k + BLOCK]) for k in range(0, n, BLOCK)])
+        self.again[:, 2] = _again(whole, 0 if doc is None else doc) * (self.size > 0)
+
+    def _own(self, lo: int, hi: int) -> np.ndarray:
+        """The lines' own features."""
+        start, size, n = self.start[lo:hi], self.size[lo:hi], self.words[lo:hi]
+        f, first, full = [], int(start[0]), np.flatnonzero(size > 0)
+        part = self.raw[first : int(start[-1] + size[-1])]
+        for t in _CLASSES:
+            total = np.zeros(hi - lo)
+            # Newlines are of no class, so a line's signs may be counted up to the next line that has any.
+            if len(full):
+                total[full] = np.add.reduceat(t[part], start[full] - first, dtype=np.int64)
+            f.append(total / np.maximum(size, 1))
+        f += [self.again[lo:hi, k] for k in range(3)]
+        f.append(np.log1p(size) / 5)
+        f.append((w := (size - n + 1) / np.maximum(n, 1)) / (w + 6))
+        f.append(np.minimum(n, 12) / 12)
+        end = np.zeros(hi - lo)
+        end[full] = _END[self.raw[(start + size - 1)[full]]]
+        f.append(end)
+        row = np.searchsorted(self.bounds, np.arange(lo, hi), "right") - 1
+        f.append(np.log1p(self.per)[row] / 5)
+        return np.stack(f, axis=1).astype(np.float32)
+
+    def features(self, lo: int, hi: int) -> np.ndarray:
+        """Features of lines ``lo`` to ``hi``: their own, those of the lines before and after, and flags."""
+        n = int(self.bounds[-1])
+        wide = self._own(max(lo - 1, 0), min(hi + 1, n))
+        at = lo - max(lo - 1, 0)
+        own = wide[at : at + hi - lo]
+        none = np.zeros((1, own.shape[1]), np.float32)
+        wide = np.concatenate([none] * (lo == 0) + [wide] + [none] * (hi == n))
+        before, after = wide[: hi - lo].copy(), wide[2 : 2 + hi - lo].copy()
+        first, last = np.zeros(hi - lo, bool), np.zeros(hi - lo, bool)
+        heads = self.bounds[:-1]
+        first[heads[(heads >= lo) & (heads < hi)] - lo] = True
+        tails = self.bounds[1:] - 1
+        last[tails[(tails >= lo) & (tails < hi)] - lo] = True
+        before[first], after[last] = 0, 0
+        return np.concatenate([own, before, after, np.stack([first, last, np.ones(hi - lo)], axis=1).astype(np.float32)], axis=1)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """What the features say for each line being good."""
+        n = int(self.bounds[-1])
+        return np.concatenate([self.features(k, min(k + BLOCK, n)) @ weights for k in range(0, n, BLOCK)]) if n else np.zeros(0)
+
+
 def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines, their lengths in bytes (the newline included) and each row's bounds."""
-    rows = len(offsets) - 1
-    breaks = np.flatnonzero(raw == 10)
-    of = np.searchsorted(offsets, breaks, "right") - 1
-    # A row has one line more than newlines. Line starts: each row's, and the place after each newline.
-    per = np.bincount(of, minlength=rows) + 1
-    bounds = np.concatenate([[0], np.cumsum(per)])
-    start = np.empty(bounds[-1], np.int64)
-    start[bounds[:-1]] = offsets[:-1]
-    rest = np.ones(bounds[-1], bool)
-    rest[bounds[:-1]] = False
-    start[rest] = breaks + 1
-    doc = np.repeat(np.arange(rows), per)
-    stop = np.empty(bounds[-1], np.int64)
-    stop[bounds[1:] - 1] = offsets[1:]
-    last = np.zeros(bounds[-1], bool)
-    last[bounds[1:] - 1] = True
-    stop[~last] = breaks
-    size = stop - start
-    upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
-    share = lambda c: (c[stop] - c[start]) / np.maximum(size, 1)
-    f = [share(upto(t[raw])) for t in _CLASSES]
-    # Words by line; the line bounds as offsets, where a newline is a gap like other white space.
-    lines = np.append(start, len(raw))
-    w0, w1, line = B.words(raw, lines)
-    n = np.bincount(line, minlength=len(start))
-    h = B.xxh64(B.LOWER[raw], w0, w1 - w0)
-
-    def repeats(key: np.ndarray, group: np.ndarray, at: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """Share of a line's keys that stood earlier in their group."""
-        mixed = key ^ (group.astype(np.uint64) * B.PRIME[0])
-        order = np.argsort(mixed, kind="stable")
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = mixed[order[1:]] == mixed[order[:-1]]
-        return np.bincount(at, again, minlength=len(start)) / np.maximum(among, 1)
+    own = Lines(raw, offsets)
+    return own.features(0, int(own.bounds[-1])), own.size + 1, own.bounds
 
-    with np.errstate(over="ignore"):
-        f.append(repeats(h, line, line, n))
-        inner = np.flatnonzero(doc[line[1:]] == doc[line[:-1]]) if len(line) else np.zeros(0, np.int64)
-        pair = B._rotl(h[inner], 17) * B.PRIME[1] + h[inner + 1]
-        f.append(repeats(pair, doc[line[inner + 1]], line[inner + 1], np.bincount(line[inner + 1], minlength=len(start))))
-        whole = B.xxh64(raw, start, size)
-        f.append(repeats(whole, doc, np.arange(len(start)), np.ones(len(start))) * (size > 0))
-    f.append(np.log1p(size) / 5)
-    f.append((w := (size - n + 1) / np.maximum(n, 1)) / (w + 6))
-    f.append(np.minimum(n, 12) / 12)
-    f.append(np.where(size > 0, _END[raw[np.minimum(np.maximum(stop - 1, 0), max(len(raw) - 1, 0))]], False) if len(raw) else np.zeros(len(start)))
-    f.append(np.log1p(per)[doc] / 5)
-    own = np.stack(f, axis=1).astype(np.float32)
-    first = np.zeros(len(start), bool)
-    first[bounds[:-1]] = True
-    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    before[first], after[last] = 0, 0
-    flags = np.stack([first, last, np.ones(len(start))], axis=1).astype(np.float32)
-    return np.concatenate([own, before, after, flags], axis=1), size + 1, bounds
-
-
-def _chain(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows from the longest to the shortest: their first line and length, and the longest length."""
+
+def _forward(emit: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Log odds of good over bad of each line, given its chain up to it.
+
+    Chains are cut into segments that are stepped through side by side: once for what each makes of
+    either state before it, then, with the state that does come before it, for its lines.
+    """
     size = np.diff(bounds)
-    order = np.argsort(-size, kind="stable")
-    return bounds[:-1][order], size[order], int(size.max(initial=0))
+    step = max(32, int(np.ceil(np.sqrt(size.max(initial=1)))))
+    count = -(-size // step)
+    of = np.repeat(np.arange(len(size)), count)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = bounds[:-1][of] + k * step
+    length = np.minimum(step, bounds[1:][of] - start)
+    order = np.argsort(-length, kind="stable")
+    live = np.searchsorted(-length[order], -np.arange(step), "left")
+    head = k == 0
+    came = np.zeros(len(of))
+    if (count > 1).any():
+        e = np.exp(move)
+        p = np.tile(np.eye(2), (len(of), 1, 1))
+        for t in range(step):
+            on = order[: live[t]]
+            x = np.clip(emit[start[on] + t], -500, 500)[:, None]
+            q = p[on]
+            q = q @ e
+            if t == 0:
+                q[head[on]] = 1
+            q[:, :, 0] *= np.exp(-np.maximum(x, 0))
+            q[:, :, 1] *= np.exp(np.minimum(x, 0))
+            p[on] = q / q.max(axis=(1, 2), keepdims=True)
+        first = np.cumsum(count) - count
+        for at in range(1, int(count.max())):
+            on = first[count > at] + at
+            odds = np.exp(-np.abs(came[on - 1]))
+            v = np.stack([np.where(came[on - 1] > 0, odds, 1), np.where(came[on - 1] > 0, 1, odds)], axis=1)
+            q = np.maximum((v[:, :, None] * p[on - 1]).sum(axis=1), 1e-300)
+            came[on] = np.log(q[:, 1]) - np.log(q[:, 0])
+    out = np.empty(len(emit))
+    for t in range(step):
+        on = order[: live[t]]
+        at = start[on] + t
+        before = came[on] if t == 0 else out[at - 1]
+        told = np.logaddexp(move[0, 1], before + move[1, 1]) - np.logaddexp(move[0, 0], before + move[1, 0])
+        out[at] = emit[at] + (np.where(head[on], 0, told) if t == 0 else told)
+    return out
 
 
 def marginals(emit: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -113,34 +207,27 @@ def marginals(emit: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> tuple[n
 
     ``emit`` scores good against bad; ``move[a, b]`` scores a line b after a line a.
     """
-    first, size, longest = _chain(bounds)
-    alpha = np.zeros((len(emit), 2))
-    beta = np.zeros((len(emit), 2))
-    alpha[:, 1] = emit
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(longest + 1)]
-    for t in range(1, longest):
-        at = first[: live[t]] + t
-        a = alpha[at - 1]
-        alpha[at] += np.logaddexp(a[:, :1] + move[0], a[:, 1:] + move[1])
-    for t in range(longest - 2, -1, -1):
-        at = first[: live[t + 1]] + t
-        b = beta[at + 1]
-        b1 = b[:, 1] + emit[at + 1]
-        beta[at, 0] = np.logaddexp(move[0, 0] + b[:, 0], move[0, 1] + b1)
-        beta[at, 1] = np.logaddexp(move[1, 0] + b[:, 0], move[1, 1] + b1)
-    joint = alpha + beta
-    good = 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -50, 50)))
-    ends = bounds[1:] - 1
-    z = np.logaddexp(alpha[ends, 0], alpha[ends, 1])
+    ahead = _forward(emit, move, bounds)
+    # The same from each chain's end, the line's own score included as well.
+    behind = _forward(emit[::-1], move.T, len(emit) - bounds[::-1])[::-1]
+    good = 1 / (1 + np.exp(np.clip(emit - ahead - behind, -500, 500)))
     inner = np.ones(len(emit), bool)
     inner[bounds[:-1]] = False
     at = np.flatnonzero(inner)
-    per_line = np.repeat(z, np.diff(bounds))[at]
-    moves = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            moves[a, b] = np.exp(alpha[at - 1, a] + move[a, b] + (emit[at] if b else 0) + beta[at, b] - per_line).sum()
-    return good, moves, float(z.sum())
+    before, here = ahead[at - 1], behind[at]
+    score = np.stack([a * before + move[a, b] + b * here for a in (0, 1) for b in (0, 1)], axis=1)
+    score = np.exp(score - score.max(axis=1, keepdims=True)) if len(at) else score
+    moves = (score / score.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2) if len(at) else np.zeros((2, 2))
+    z = np.logaddexp(move[0, 0], before + move[1, 0]).sum() + np.logaddexp(0, ahead[bounds[1:] - 1]).sum()
+    return good, moves, float(z)
+
+
+def good_lines(emit: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """P(good) of each line alone."""
+    out = _forward(emit, move, bounds)
+    out += _forward(emit[::-1], move.T, len(emit) - bounds[::-1])[::-1]
+    out -= emit
+    return 1 / (1 + np.exp(np.clip(-out, -500, 500)))
 
 
 @dataclass
@@ -151,8 +238,8 @@ class QualityModel:
 
     def share(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Length-weighted share of good lines of each row."""
-        x, size, bounds = line_features(raw, offsets)
-        return weighted(marginals(x @ self.weights, self.move, bounds)[0], size, bounds)
+        own = Lines(raw, offsets)
+        return weighted(good_lines(own.scores(self.weights), self.move, own.bounds), own.size + 1, own.bounds)
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = self.curve
@@ -198,17 +285,27 @@ def fit(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.ndarray)
     return QualityModel(w, move, (float(t[0]), float(t[1])))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> QualityModel | None:
     """A model from about ``sample`` labelled documents; None if there are none of a class.
 
-    They are those whose id's hash lies below the share of all hashes that ``sample`` is of the labels.
-    Rows with a null id or label teach nothing; of several labels of an id the smallest counts.
+    They are those whose id's hash lies below the share of all hashes that ``sample`` is of the labels,
+    in order of that hash as long as they have ``lines`` lines at most. Rows with a null id or label
+    teach nothing; of several labels of an id the smallest counts.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     share = min(1.0, sample / max(1, own.count()))
     # About ``sample`` rows of two numbers.
     few = own.where(F.xxhash64("id", F.lit("quality")) <= F.lit(hash_bound(share)))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    taken = text.join(F.broadcast(few), "id").select(F.xxhash64("id", F.lit("quality")).alias("h"), "label", "text", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n"))
+    taken = taken.where(F.col("n") <= lines)
+    # One row a document of the sample: where its lines end in the order of hashes.
+    ends = sorted((r["h"], r["n"]) for r in taken.select("h", "n").collect())
+    total, last = 0, -(1 << 63)
+    for h, n in ends:
+        if total + n > lines:
+            break
+        total, last = total + n, h
     n_own = N_OWN * 3 + 3
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +317,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 sizes = [size[a:b].astype(np.int64).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i).cast(pa.int32()), pa.array(parts, pa.binary()), pa.array(sizes, pa.binary())], names=["label", "x", "size"])
 
-    taken = text.join(F.broadcast(few.select("id", "label")), "id").select("text", "label")
-    got = taken.mapInArrow(features, "label int, x binary, size binary").toArrow()
+    got = taken.where(F.col("h") <= last).select("text", "label").mapInArrow(features, "label int, x binary, size binary").toArrow()
     label = np.array(got["label"].to_pylist(), np.int64)
     if len(set(label.tolist()) & {0, 1}) < 2:
         return None
@@ -235,8 +331,8 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
 
     ``score`` is the probability of label 1 and ``predicted`` whether it reaches ``threshold``. A null
     text is an empty one and, as one empty line, has a score like others. Without a model (no
-    labels of both classes) all scores are 1. Repeated rows give repeated rows; other columns
-    aren't read.
+    labels of both classes) all scores are 1. Repeated rows and null ids each give a row; other
+    columns aren't read, and what they are called doesn't matter. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -61,6 +62,49 @@ def test_language_counts_match_brute_force():
         assert list(live[bounds[k] : bounds[k + 1]]) == [w != b"    " for w in want]
 
 
+def test_language_predictions_match_exact_sets(spark):
+    """Plain sets of n-grams instead of filters: the same languages, shares within the filters' error."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs)
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    grams_of = lambda t: [g for b in [b" " + language_id.FOLD[list(t.encode())].tobytes() + b" "] for g in (b[i : i + 4] for i in range(len(b) - 3)) if g != b"    "] if t else []
+    counts = {}
+    for t, x in texts.values():
+        if t is not None and x is not None:
+            counts.setdefault(x, collections.Counter()).update(grams_of(t))
+    # Counts by batch of the library leave out what is rare in all of a language's sample only.
+    counts = {x: {g: n for g, n in c.items() if n >= language_id.LEAST} for x, c in counts.items()}
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = {}
+    for c in share.values():
+        for g, f in c.items():
+            most[g] = max(most.get(g, 0), f)
+    own = {x: {g for g, f in c.items() if f >= language_id.SHARE * most[g]} for x, c in share.items()}
+    for r in language_id.identify(docs.where("doc_id % 5 = 0"), model).collect():
+        seen = grams_of(texts[r.doc_id][0] or "")
+        if r.lang_pred != "und" and len(seen) > 30:
+            got = {x: sum(g in s for g in seen) / len(seen) for x, s in own.items()}
+            assert got[r.lang_pred] >= max(got.values()) - 0.02 and r.cover == pytest.approx(got[r.lang_pred], abs=0.02)
+
+
+def test_more_than_64_languages_and_long_texts(spark):
+    rng = random.Random(8)
+    vocab = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(15)] for k in range(150)}
+    say = lambda x, n: " ".join(rng.choice(vocab[x]) for _ in range(n))
+    model = language_id.learn(frame(spark, [say(x, 120) for x in vocab], dict(enumerate(vocab))))
+    assert model.languages == sorted(vocab) and model.table.shape[0] == 3
+    probe = [*[say(x, 20) for x in vocab], "12 " * 2_000_000 + say("l077", 400_000)]
+    assert [r.lang_pred for r in language_id.identify(frame(spark, probe), model).orderBy("doc_id").collect()] == [*vocab, "l077"]
+
+
+def test_language_runs_of_long_texts(monkeypatch):
+    raw = np.frombuffer(b"Some words of a text, 12 of them  or more", np.uint8)
+    offsets = np.array([0, len(raw)])
+    whole = language_id.byte_grams(raw, offsets)[0]
+    monkeypatch.setattr(language_id, "RUN", 7)
+    assert np.concatenate([g for _, g, _, _ in language_id.gram_runs(raw, offsets)]).tolist() == whole.tolist()
+
+
 # Quality
 
 
@@ -92,6 +136,41 @@ def test_chain_marginals_match_enumeration():
     assert np.allclose(good, want) and np.allclose(moves, want_moves) and np.isclose(z, total)
 
 
+@pytest.mark.parametrize("sizes", [[1, 40, 3], [3000, 1, 2], [33, 1100]])
+def test_long_chains_match_steps(sizes):
+    """The segments' scan against the plain recursion in log space."""
+    rng = np.random.default_rng(sum(sizes))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    emit, move = rng.normal(size=bounds[-1]) * 4, rng.normal(size=(2, 2)) * 2
+    want = np.zeros(len(emit))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        alpha, beta = np.zeros((b - a, 2)), np.zeros((b - a, 2))
+        alpha[0] = 0, emit[a]
+        for t in range(1, b - a):
+            alpha[t] = np.logaddexp(alpha[t - 1, 0] + move[0], alpha[t - 1, 1] + move[1]) + [0, emit[a + t]]
+        for t in range(b - a - 2, -1, -1):
+            ahead = beta[t + 1] + [0, emit[a + t + 1]]
+            beta[t] = np.logaddexp(move[:, 0] + ahead[0], move[:, 1] + ahead[1])
+        odds = (alpha + beta)[:, 1] - (alpha + beta)[:, 0]
+        want[a:b] = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    assert np.allclose(line_quality.good_lines(emit, move, bounds), want) and np.allclose(line_quality.marginals(emit, move, bounds)[0], want)
+
+
+def test_quality_of_long_texts_by_parts(monkeypatch):
+    raw = np.frombuffer(("One line. two\n\nthree THREE three!\n$$ 12\n" * 60).encode(), np.uint8)
+    offsets = np.array([0, len(raw)])
+    model = line_quality.QualityModel(np.linspace(-1, 1, line_quality.N_OWN * 3 + 3), np.array([[1.0, -1.0], [-0.5, 0.8]]), (1.0, 0.0))
+    whole = model.share(raw, offsets)
+    many = model.share(np.concatenate([raw, raw[:50]]), np.array([0, len(raw), len(raw) + 50]))
+    monkeypatch.setattr(line_quality, "BLOCK", 7)
+    assert np.allclose(model.share(raw, offsets), whole) and np.allclose(many[0], whole)
+    lines = np.frombuffer(b"x\n" * 1_000_000, np.uint8)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    model.share(lines, np.array([0, len(lines)]))
+    assert time.perf_counter() - began < 20
+
+
 def test_quality_edge_cases(spark):
     docs = frame(spark, ["good clean line.\nmore text here."] * 6 + ["!!! $$$ %%%\n### @@@"] * 6)
     labels = spark.createDataFrame([(i, 1 if i < 6 else 0) for i in range(12)] + [(None, 1), (3, None), (4, 1)], "doc_id long, quality int")
