@@ -1,37 +1,33 @@
 """SimHash near-dedup by segment popcounts, a grid range join and exact verification.
 
-A fingerprint's embedding is the bit count of each of its 32 two-bit segments. Hamming distance
-bounds the Manhattan distance of embeddings from above, so pairs within ``LINK`` bits lie within
-``LINK`` in Manhattan distance, and at most ``LINK`` of the six groups of segments can differ.
-The grid's cells are therefore the embedding's coordinates over each choice of four groups: every
-pair sought shares a cell of at least one choice. Pairs from a cell are tested by Manhattan
-distance, then by Hamming distance.
-
-A cell of more than ``CELL`` fingerprints isn't paired up. Its fingerprints go an exact, linear
-way: each names itself and its 64 one-bit neighbours as meeting points. Fingerprints that name
-the same point are all within two bits of each other, at most 65 of them, and two fingerprints
-within two bits always share a point.
+A fingerprint's embedding is the bit count of each of its 32 two-bit segments, a cell of a grid.
+Hamming distance bounds the Manhattan distance of embeddings from above, so fingerprints within
+``LINK`` = 2 bits lie in cells within 2 of each other, and some cell is within 1 of both. Each
+fingerprint therefore goes to its own cell and to those next to it that one changed bit leads to,
+and fingerprints that can be linked meet in a cell. There they are verified exactly: each stands at
+the points that it becomes by the changed bit, and fingerprints within two bits share a point,
+while those of one point are within two bits of each other. So a cell's fingerprints are sorted by
+point and linked to the next one, which takes no pairs, however many a cell holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
 from .common import cut, hash_bound, smallest_reachable, xor_key
 
 LINK = 2
+#: Of ``keep_one``: sets of a cell that are compared in pairs.
 CELL = 16
 #: Of ``keep_one``: words a shingle, and the similarity of shingle sets from which texts are near-duplicates.
 SHINGLE, ALIKE = 5, 0.8
-_GROUP_BITS = (10, 10, 10, 10, 12, 12)
 
 
 def _lanes() -> np.ndarray:
@@ -65,15 +61,15 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nda
     return B.xxh64(text, first, last - first), row
 
 
-def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarray:
-    """The SimHash of each row as unsigned 64-bit integers; zero for a row of no words."""
+def bit_counts(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, how many of its shingle hashes have each of the 64 bits, and how many hashes there are."""
     rows = len(offsets) - 1
-    out = np.zeros(rows, np.uint64)
     h, row = shingles(raw, offsets, shingle)
-    if not len(h):
-        return out
     n = np.bincount(row, minlength=rows)
+    found = np.zeros((rows, 64), np.int64)
     live = np.flatnonzero(n)
+    if not len(live):
+        return found, n
     # Bit counts in byte-wide lanes over blocks of up to 255 hashes of one row.
     head = (np.cumsum(n) - n)[live]
     blocks = (n[live] + 254) // 255
@@ -82,10 +78,32 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.n
     octets = h.view(np.uint8).reshape(-1, 8)
     for byte in range(8):
         lanes = np.add.reduceat(LANES[octets[:, byte]], cuts).view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(lanes, heads, axis=0, dtype=np.int64)
-        bits = np.packbits(2 * ones > n[live][:, None], axis=1, bitorder="little")[:, 0]
-        out[live] |= bits.astype(np.uint64) << np.uint64(8 * byte)
-    return out
+        found[live, 8 * byte : 8 * byte + 8] = np.add.reduceat(lanes, heads, axis=0, dtype=np.int64)
+    return found, n
+
+
+def _long_counts(raw: np.ndarray, shingle: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``bit_counts`` of one long text, part by part; the last words of a part begin the next."""
+    found, n, carry = np.zeros((1, 64), np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    for part in B.cuts(raw, most=most):
+        text = np.concatenate([carry, part])
+        start, end, _ = B.words(text, np.array([0, len(text)]))
+        if len(start) >= shingle:
+            ones, count = bit_counts(text, np.array([0, len(text)]), shingle)
+            found, n = found + ones, n + count
+            start = start[len(start) - shingle + 1 :]
+        carry = text[start[0] : end[-1]] if shingle > 1 and len(start) else text[:0]
+    return (found, n) if n[0] else bit_counts(carry, np.array([0, len(carry)]), shingle)
+
+
+def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3, most: int = 1 << 22) -> np.ndarray:
+    """The SimHash of each row as unsigned 64-bit integers; zero for a row of no words."""
+    out = [np.zeros(0, np.uint64)]
+    for i, j in B.pieces(offsets, most):
+        part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        ones, n = _long_counts(part, shingle, most) if j == i + 1 and len(part) > most else bit_counts(part, at, shingle)
+        out.append(np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel())
+    return np.concatenate(out)
 
 
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
@@ -94,9 +112,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = B.text_column(batch.column(1))
-            found = [fingerprints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle) for i, j in B.pieces(offsets)]
-            fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(raw, offsets, shingle).view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
@@ -109,47 +125,19 @@ def embedding(fp: Column) -> Column:
     return F.shiftleft(fp.bitwiseAND(up).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseXOR(up).bitwiseAND(low))
 
 
-def manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of two packed embeddings."""
-    x = a.bitwiseXOR(b)
-    ones = x.bitwiseAND(F.lit(0x5555555555555555))
-    twos = F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x5555555555555555))
-    return F.bit_count(ones) + 2 * F.bit_count(twos.bitwiseAND(F.bitwise_not(ones)))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks() -> list[int]:
-    at, groups = 0, []
-    for bits in _GROUP_BITS:
-        groups.append(((1 << bits) - 1) << at)
-        at += bits
-    return [_signed(sum(c)) for c in combinations(groups, len(groups) - LINK)]
-
-
-def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` of at most ``LINK`` differing bits.
 
-    They connect exactly what all such pairs connect; points met by hot cells' fingerprints stand
-    as further nodes only as fingerprints of their own. Null fingerprints link to nothing.
+    They connect exactly what all such pairs connect. Null fingerprints link to nothing.
     """
-    e = embedding(F.col("fp"))
-    cells = fps.dropna().select("fp", F.posexplode(F.array(*[e.bitwiseAND(F.lit(m)) for m in _masks()])).alias("grid", "key"))
-    full = cut(cells.groupBy("grid", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cells.join(full, ["grid", "key"])
-    cold = shared.where(F.col("n") <= cell).groupBy("grid", "key").agg(F.collect_list("fp").alias("fps"))
-    pairs = (
-        cold.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b")).where("a < b")
-        .where(manhattan(embedding(F.col("a")), embedding(F.col("b"))) <= LINK)
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK)
-    )
-    hot = shared.where(F.col("n") > cell).select("fp").distinct()
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    met = hot.select("fp", F.explode(points).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.unionByName(stars).distinct()
+    met = fps.dropna().select("fp", F.explode(points).alias("point")).withColumn("cell", embedding(F.col("point"))).repartition("cell")
+    at = Window.partitionBy("cell", "point").orderBy("fp")
+    return met.select(F.lag("fp").over(at).alias("a"), F.col("fp").alias("b")).where("a IS NOT NULL").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

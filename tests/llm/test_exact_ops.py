@@ -106,9 +106,27 @@ def test_simhash_matches_brute_force(spark):
     assert got == {i: (f"{f:016x}", c) for i, (f, c) in enumerate(zip(fps, brute_components(fps), strict=True))}
 
 
-@pytest.mark.parametrize("cell", [0, 2, 16])
-def test_links_connect_what_all_pairs_connect(spark, cell):
-    rng = random.Random(cell)
+def test_fingerprints_of_long_texts_by_parts():
+    rng = random.Random(3)
+    texts = ["", "one", "two words", "  ", " ".join(rng.choice("abc") * rng.randint(1, 9) for _ in range(500)) + " ", "x" * 300 + " y " + "z" * 200]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for most in (1, 7, 64, 1 << 22):
+        assert [int(f) for f in simhash.fingerprints(raw, offsets, 3, most)] == [brute_fingerprint(t) for t in texts]
+
+
+def test_simhash_of_a_very_long_text(spark):
+    words = [f"w{k % 977}" for k in range(2_000_000)]
+    got = simhash.near_duplicates(docs_frame(spark, [" ".join(words)])).first()
+    hs = np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), seed=42) for k in range(977)], np.uint64)
+    count = np.bincount(np.arange(len(words) - 2) % 977)
+    want = sum(1 << b for b in range(64) if 2 * int(((hs >> np.uint64(b)) & np.uint64(1)).astype(np.int64) @ count) > len(words) - 2)
+    assert got.fingerprint == f"{want:016x}"
+
+
+@pytest.mark.parametrize("seed", [0, 2, 16])
+def test_links_connect_what_all_pairs_connect(spark, seed):
+    rng = random.Random(seed)
     fps = {0, (1 << 64) - 1}
     for _ in range(12):
         x = rng.getrandbits(64)
@@ -118,7 +136,7 @@ def test_links_connect_what_all_pairs_connect(spark, cell):
                 x ^= 1 << rng.randrange(64)
     fps = sorted(fps)
     frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    edges = simhash.links(frame, cell)
+    edges = simhash.links(frame)
     got = {r.node % (1 << 64): r.root % (1 << 64) for r in smallest_reachable(edges, "a", "b").collect()}
     want = brute_components(fps)
     of = {}
