@@ -259,6 +259,79 @@ def test_license_templates(spark):
     assert got[2] == ("", 0.0) and got[3][0] == "mit" and got[4] == ("cc-by,cc-by-nc", 1.0) and got[5] == ("", 0.0)
 
 
+def brute_templates(text, templates, cover=license_scan.COVER):
+    """{template: best share} by the same rule in plain Python."""
+    words, found = license_scan.template_words(text or ""), {}
+    for k, (template, _) in enumerate(templates):
+        t = license_scan.template_words(template)
+        size, drift = len(t) - 1, max(license_scan.NEAR, int(len(t) * (1 - cover)))
+        matches = [(i, j) for i in range(len(words) - 1) for j in range(size) if words[i : i + 2] == t[j : j + 2]]
+        diagonals, runs = sorted({i - j for i, j in matches}), []
+        for d in diagonals:
+            if runs and d - runs[-1][-1] <= license_scan.NEAR:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            stretches = [(run[0], run[-1])] if run[-1] - run[0] <= drift else [(run[0] + w * drift, run[0] + (w + 2) * drift - 1) for w in range((run[-1] - run[0]) // drift + 1)]
+            for low, high in stretches:
+                own = sorted((i, -j) for i, j in matches if low <= i - j <= high)
+                longest = []
+                for _, j in own:
+                    at = next((x for x, y in enumerate(longest) if y >= -j), len(longest))
+                    longest[at : at + 1] = [-j]
+                if len(longest) / size >= cover:
+                    found[k] = max(found.get(k, 0), len(longest) / size)
+    return found
+
+
+def test_license_templates_match_brute_force(spark):
+    rng = random.Random(21)
+    templates = license_scan.TEMPLATES
+    texts = ["under the under the terms under the terms of the gnu lesser gnu lesser general public license " * 3, "of the " * 60, ""]
+    for _ in range(60):
+        words = license_scan.template_words(rng.choice(templates)[0])
+        edits = rng.choice([0, 0.05, 0.15, 0.3])
+        out = []
+        for w in words:
+            x = rng.random()
+            out += [] if x < edits / 3 else [w, "zz"] if x < 2 * edits / 3 else ["yy"] if x < edits else [w]
+        if rng.random() < 0.2:
+            out = out[len(out) // 2 :] + out[: len(out) // 2]
+        texts.append("See: " + " ".join(out).title() + ". And so on " + " ".join(license_scan.template_words(rng.choice(templates)[0])[:9]))
+    want = [brute_templates(t, templates) for t in texts]
+    base = [{x for x in brute_base(t)[4].split(",") if x} for t in texts]
+    for part in (license_scan.PART, 40):
+        for r in license_scan.scan_licenses(docs_frame(spark, texts), part=part).collect():
+            found = want[r.doc_id]
+            assert set(filter(None, r.labels.split(","))) == {templates[k][1] for k in found} | base[r.doc_id], texts[r.doc_id]
+            assert r.score == pytest.approx(1.0 if base[r.doc_id] else max(found.values(), default=0.0))
+            assert r.n_words == len(license_scan.template_words(texts[r.doc_id]))
+            assert all(0 <= s.first < s.last < r.n_words for s in r.spans)
+    assert sum(bool(f) for f in want) > 40
+
+
+def test_license_spans_are_verified(spark):
+    """Pairs of a template out of order, or spread over a long text, aren't a copy."""
+    words = license_scan.template_words(license_scan.TEMPLATES[11][0])
+    out_of_order = " ".join(" ".join(words[k : k + 4]) for k in range(len(words) - 4, -1, -3))
+    spread = " ".join(w + " and then" * 2 if k % 5 == 4 else w for k, w in enumerate(words))
+    whole = " ".join(words)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_frame(spark, [out_of_order, spread, whole, "x " * 7 + whole])).collect()}
+    assert "mit" not in got[0].labels and "mit" not in got[1].labels and got[2].labels == "mit" == got[3].labels
+    assert [(s.first, s.last, s.share) for s in got[3].spans] == [(7, 6 + len(words), 1.0)]
+
+
+def test_license_words_and_parts(spark):
+    texts = [*sample_texts(10, 40), "CC\u212ABY K\u212a cc by", "\u0130 CC BY", "w" * 500 + " cc by " + "-" * 300 + "all rights" + " " * 200 + "reserved"]
+    want = {i: brute_base(t) for i, t in enumerate(texts)}
+    for part in (3, 64):
+        got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan_licenses(docs_frame(spark, texts), part=part).collect()}
+        assert got == want
+    long = docs_frame(spark, ["Word, " * 3_000_000 + "all rights reserved"])
+    assert [(r.n_words, r.first_word) for r in license_scan.scan_licenses(long).collect()] == [(3_000_003, 3_000_000)]
+
+
 def test_license_nulls_repeats_and_empty(spark):
     frame = spark.createDataFrame([(1, "cc by"), (1, "cc by"), (None, "cc by"), (2, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.n_base) for r in license_scan.scan_licenses(frame).collect()))
