@@ -2,9 +2,9 @@
 
 The transducer is compiled from a model file once, on the driver:
 
-* normaliser: a dummy space in front, each space to the mark ``▁`` (other normalisers than the
-  identity are refused);
-* pieces: an arc for each piece that the model can produce, over its characters;
+* normaliser: the model's table of rewritten strings, longest match first, surplus spaces left out
+  where the model says so, a dummy space in front, each space to the mark ``▁``;
+* pieces: a prefix tree with an arc for each piece that the model can produce, over its characters;
 * byte fallback: an arc for each character without a piece, over its UTF-8 bytes;
 * weights in the tropical semiring (path weights add up, the least wins). In a unigram model an arc
   weighs its piece's negative score. In a BPE model the order of merges decides, not a sum: two
@@ -13,7 +13,10 @@ The transducer is compiled from a model file once, on the driver:
   infinity. One state a position then has a finite weight, and the shortest path is the model's own
   segmentation.
 
-No piece holds a mark after another character, so texts are cut there and a worker remembers the
+The machine is composed with a text as the path is sought: states are positions of the text with
+the last piece, arcs are walked in the tree from each position that has a finite weight.
+
+Where no piece holds a mark after another character, texts are cut there and a worker remembers the
 path of each distinct part. Models with pieces across such borders are composed with whole texts.
 """
 
@@ -62,11 +65,77 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _rules(charsmap: bytes) -> dict[str, str]:
+    """The rewritten strings of a normaliser's table: a double array over UTF-8 bytes, then the new strings."""
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units, strings = np.frombuffer(charsmap[4 : 4 + size], "<u4").astype(np.int64), charsmap[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    found, every = {}, np.arange(1, 256)
+    todo = [(offset(int(units[0])), b"")]
+    while todo:
+        at, key = todo.pop()
+        to = at ^ every
+        inside = to < len(units)
+        for c in every[inside][(units[to[inside]] & 0x800000FF) == every[inside]].tolist():
+            unit = int(units[at ^ c])
+            below = (at ^ c) ^ offset(unit)
+            if unit >> 8 & 1:
+                value = int(units[below]) & 0x7FFFFFFF
+                found[(key + bytes([c])).decode()] = strings[value : strings.index(b"\0", value)].decode()
+            todo.append((below, key + bytes([c])))
+    return found
+
+
+@dataclass
+class Normaliser:
+    """The first of the composed machines: from a text to its marked form."""
+
+    rules: dict[str, str]
+    prefix: bool
+    tidy: bool
+
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.rules), default=0)
+        firsts = "".join(sorted({re.escape(k[0]) for k in self.rules}))
+        self.starts = re.compile(f"[{firsts}]") if firsts else None
+
+    def rewritten(self, text: str) -> str:
+        """``text`` with the longest string of the table at each place rewritten."""
+        if self.starts is None or (m := self.starts.search(text)) is None:
+            return text
+        out, at = [], 0
+        while m is not None:
+            k = m.start()
+            out.append(text[at:k])
+            for size in range(min(self.longest, len(text) - k), 0, -1):
+                new = self.rules.get(text[k : k + size])
+                if new is not None:
+                    break
+            else:
+                size, new = 1, text[k]
+            out.append(new)
+            at = k + size
+            m = self.starts.search(text, at)
+        out.append(text[at:])
+        return "".join(out)
+
+    def marked(self, text: str) -> str:
+        text = self.rewritten(text)
+        if self.tidy:
+            text = re.sub(" +", " ", text).strip(" ")
+        return (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
+
+
 @dataclass
 class Transducer:
-    """The compiled machine; plain data, so that it can be broadcast."""
+    """The compiled machine; plain data, so that it can be broadcast.
 
-    arcs: dict[str, int]
+    ``tree`` has a table for each prefix of a piece, with the piece's id under "".
+    """
+
+    tree: dict
     cost: dict[int, float]
     halves: dict[int, tuple[int, int]]
     joined: dict[tuple[int, int], int]
@@ -75,12 +144,10 @@ class Transducer:
     byte: list[int] | None
     unknown: int
     bpe: bool
-    prefix: bool
+    normal: Normaliser
     cuttable: bool
-    longest: int
     runs: dict[int, int]
     inner: set[str]
-    reach: dict[str, int] = field(default_factory=dict)
     closing: set[str] = field(default_factory=set)
     _pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
 
@@ -94,6 +161,8 @@ class Transducer:
         known = self._pairs.get((a, b))
         if known is not None:
             return known
+        if len(self._pairs) > REMEMBERED:
+            self._pairs.clear()
         x, y, over_x, over_y, fine = a, b, math.inf, math.inf, True
         while True:
             r = self.joined.get((x, y))
@@ -112,56 +181,38 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Pieces of the shortest path over ``text``; -1 - c for a character c without a piece."""
-        return self._only_path(text) if self.bpe else self._least_path(text)
-
-    def _only_path(self, text: str) -> list[int]:
-        """Weights are zero or infinity: the first path that reaches the end is the shortest.
-
-        Longer pieces are tried first. A finite path to a position is the only one, so a position
-        from which the end can't be reached is never entered again.
-        """
-        n, arcs, pairs, follows, reach = len(text), self.arcs.get, self._pairs.get, self._follows, self.reach.get
-        out: list[int] = []
-        ends: list[int] = []
-        dead: set[int] = set()
-        at, limit, prev = 0, n, None
-        while at < n:
-            end = min(limit, at + reach(text[at : at + 2], 1))
-            while end > at:
-                if end not in dead:
-                    piece = arcs(text[at:end])
-                    if piece is None and end - at == 1:
-                        piece = -1 - ord(text[at])
-                    if piece is not None:
-                        fine = True if prev is None else pairs((prev, piece))
-                        if fine or fine is None and follows(prev, piece):
-                            break
-                end -= 1
-            if end > at:
-                out.append(piece)
-                ends.append(end)
-                at, limit, prev = end, n, piece
-            else:
-                dead.add(at)
-                out.pop()
-                limit = ends.pop() - 1
-                at = ends[-1] if ends else 0
-                prev = out[-1] if out else None
-        return out
-
-    def _least_path(self, text: str) -> list[int]:
-        n, arcs, longest = len(text), self.arcs.get, self.longest
-        weight, last, back = [0.0] + [math.inf] * n, [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = arcs(text[start:end])
-                if piece is None:
-                    if end - start > 1:
+        n, tree, bpe, cost, pairs, inf = len(text), self.tree, self.bpe, self.cost, self._pairs.get, math.inf
+        weight, last, back = [inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
+        weight[0] = 0.0
+        for start in range(n):
+            here = weight[start]
+            if here == inf:
+                continue
+            before, node, end, bare = last[start], tree, start, True
+            while True:
+                node = node.get(text[end]) if end < n else None
+                end += 1
+                if node is None:
+                    if not bare:
+                        break
+                    # No piece is this character alone.
+                    end, piece = start + 1, -1 - ord(text[start])
+                else:
+                    piece = node.get("")
+                    if piece is None:
                         continue
-                    piece = -1 - ord(text[start])
-                w = weight[start] + self.cost.get(piece, self.cost[self.unknown])
-                if w < weight[end]:
-                    weight[end], last[end], back[end] = w, piece, start
+                    bare = bare and end > start + 1
+                if not bpe:
+                    total = here + (cost[piece] if piece >= 0 else cost[self.unknown])
+                elif weight[end] == inf:
+                    fine = True if before is None else pairs((before, piece))
+                    total = 0.0 if fine or fine is None and self._follows(before, piece) else inf
+                else:
+                    total = inf
+                if total < weight[end]:
+                    weight[end], last[end], back[end] = total, piece, start
+                if node is None:
+                    break
         out, at = [], n
         while at:
             out.append(last[at])
@@ -200,7 +251,17 @@ class Transducer:
 
     def decode(self, ids: np.ndarray) -> bytes:
         raw = b"".join(map(self.text.__getitem__, ids.tolist()))
-        return raw[1:] if self.prefix and raw[:1] == b" " else raw
+        return raw[1:] if (self.normal.prefix or self.normal.tidy) and raw[:1] == b" " else raw
+
+
+def _tree(pieces: dict[str, int]) -> dict:
+    root: dict = {}
+    for s, i in pieces.items():
+        node = root
+        for c in s:
+            node = node.setdefault(c, {})
+        node[""] = i
+    return root
 
 
 def compile_model(path: str) -> Transducer:
@@ -209,9 +270,9 @@ def compile_model(path: str) -> Transducer:
         message = list(_fields(f.read()))
     trainer = dict(_fields(next((v for k, v in message if k == 2), b"")))
     normal = dict(_fields(next((v for k, v in message if k == 3), b"")))
-    if normal.get(2) or normal.get(4, 1) or not normal.get(5, 1):
-        raise ValueError("only identity normalisers that keep and mark all spaces can be compiled")
     bpe = trainer.get(3, 1) == 2
+    if trainer.get(3, 1) > 2 or trainer.get(24, 0) or not normal.get(5, 1):
+        raise ValueError("only BPE and unigram models that mark spaces in front of words can be compiled")
     strings, scores, kinds = [], [], []
     for k, v in message:
         if k == 1:
@@ -219,8 +280,9 @@ def compile_model(path: str) -> Transducer:
             strings.append(own.get(1, b"").decode())
             scores.append(float(np.frombuffer(own[2], "<f4")[0]) if 2 in own else 0.0)
             kinds.append(own.get(3, 1))
-    normal_ids = [i for i, k in enumerate(kinds) if k in (1, 4)]
-    ids = {strings[i]: i for i in normal_ids}
+    if bpe and {4, 5} & set(kinds):
+        raise ValueError("user-defined and unused pieces of BPE models can't be compiled")
+    ids = {s: i for i, (s, k) in enumerate(zip(strings, kinds, strict=True)) if k in (1, 4)}
     byte = [-1] * 256
     text = []
     for i, (s, k) in enumerate(zip(strings, kinds, strict=True)):
@@ -230,22 +292,22 @@ def compile_model(path: str) -> Transducer:
         else:
             text.append(b"" if k == 3 else " ⁇ ".encode() if k == 2 else s.replace(MARK, " ").encode())
     unknown = kinds.index(2)
-    longest = max(map(len, ids), default=1)
+    plain = [scores[i] for i, k in enumerate(kinds) if k == 1] or [0.0]
+    # A user-defined piece outweighs any other way to spell it.
+    cost = {i: 0.1 - len(s.encode()) * max(plain) if kinds[i] == 4 else -scores[i] for s, i in ids.items()}
+    joins = {b for s in ids for a, b in zip(s, s[1:], strict=False) if a.isalpha()}
     machine = Transducer(
-        arcs={}, cost={i: -scores[i] for i in normal_ids} | {unknown: 10 - min(scores)}, halves={}, joined={}, rank={}, text=text,
-        byte=byte if min(byte) >= 0 else None, unknown=unknown, bpe=bpe, prefix=bool(normal.get(3, 1)),
-        cuttable=not any(MARK in s.lstrip(MARK) for s in ids), longest=longest, runs={},
-        inner={c for s in ids if len(s) > 1 for c in s},
+        tree={}, cost=cost | {unknown: 10 - min(plain)}, halves={}, joined={}, rank={}, text=text,
+        byte=byte if min(byte) >= 0 else None, unknown=unknown, bpe=bpe, normal=Normaliser(_rules(normal.get(2, b"")), bool(normal.get(3, 1)), bool(normal.get(4, 1))),
+        cuttable=not any(MARK in s.lstrip(MARK) for s in ids), runs={}, inner={c for s in ids if len(s) > 1 for c in s}, closing=set(".,;:!?") - joins,
     )
     if not bpe:
-        machine.arcs = ids
+        machine.tree = _tree(ids)
         return machine
     machine.runs = {len(s): i for s, i in ids.items() if not s.strip(MARK)}
     order = sorted((i for s, i in ids.items() if len(s) > 1), key=lambda i: -scores[i])
     machine.rank = {i: r for r, i in enumerate(order)}
-    for s, i in ids.items():
-        if len(s) == 1:
-            machine.arcs[s] = i
+    arcs = {s: i for s, i in ids.items() if len(s) == 1}
     for s, i in ids.items():
         for k in range(1, len(s)):
             if (a := ids.get(s[:k])) is not None and (b := ids.get(s[k:])) is not None:
@@ -263,12 +325,8 @@ def compile_model(path: str) -> Transducer:
             pieces[k : k + 2] = [order[r]]
         if len(pieces) == 2 and machine.joined.get(tuple(pieces)) == machine.rank[i]:
             machine.halves[i] = (pieces[0], pieces[1])
-            machine.arcs[s] = i
-    joins = {b for s in ids for a, b in zip(s, s[1:], strict=False) if a.isalpha()}
-    machine.closing = set(".,;:!?") - joins
-    # The longest piece that begins with two characters bounds what is tried there.
-    for s in machine.arcs:
-        machine.reach[s[:2]] = max(machine.reach.get(s[:2], 1), len(s))
+            arcs[s] = i
+    machine.tree = _tree(arcs)
     return machine
 
 
@@ -301,22 +359,25 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         m, known = self.machine, self.known
+        whole = m.normal.rewritten(text)
         if not m.cuttable:
-            return np.asarray(m.part((MARK if m.prefix else "") + text.replace(" ", MARK)), kind)
-        if "  " in text or text[0] == " " or MARK in text or "\n" in m.inner or not m.prefix:
-            marked = (MARK if m.prefix else "") + text.replace(" ", MARK)
-            return np.frombuffer(b"".join(self._known("\n" + p, p) for p in self.parts.findall(marked)), kind)
-        # Words with a mark are kept by the word, those at a line's start (but the first) behind a space.
-        words: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            own = line.split(" ")
-            if k:
-                words.append("\n\n")
-                own[0] = " " + own[0]
-            words += own
-        for w in {w for w in words if w not in known}:
-            self._known(w, "\n" if w == "\n\n" else w[1:] if w[:1] == " " else MARK + w)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), kind)
+            return np.asarray(m.part(m.normal.marked(text)), kind)
+        if "  " in whole or whole[:1] == " " or whole[-1:] == " " and m.normal.tidy or MARK in whole or "\n" in m.inner or not m.normal.prefix or not whole:
+            got = np.frombuffer(b"".join(self._known("\n" + p, p) for p in self.parts.findall(m.normal.marked(text))), kind)
+        else:
+            # Words with a mark are kept by the word, those at a line's start (but the first) behind a space.
+            words: list[str] = []
+            for k, line in enumerate(whole.split("\n")):
+                own = line.split(" ")
+                if k:
+                    words.append("\n\n")
+                    own[0] = " " + own[0]
+                words += own
+            for w in {w for w in words if w not in known}:
+                self._known(w, "\n" if w == "\n\n" else w[1:] if w[:1] == " " else MARK + w)
+            got = np.frombuffer(b"".join(map(known.__getitem__, words)), kind)
+        # Unknown characters side by side are one, across parts too.
+        return got if m.byte or len(got) < 2 else got[np.concatenate([[True], (got[1:] != m.unknown) | (got[:-1] != m.unknown)])]
 
 
 _WORKER: dict[int, PieceEncoder] = {}

@@ -326,14 +326,82 @@ def test_pieces_match_the_library(spark):
     assert piece_transducer.encode_pieces(frame(spark, []), MODEL).count() == 0
 
 
-def test_unigram_weights_take_the_shortest_path():
+def field_bytes(number, value):
+    """A protocol-buffer field: an integer, bytes, or a float."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(path, pieces, charsmap=b"", kind=1, prefix=1, tidy=1, byte_fallback=False):
+    """A model file with the given (piece, score, type)."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []) + pieces
+    out = b"".join(field_bytes(1, field_bytes(1, p.encode()) + field_bytes(2, float(s)) + field_bytes(3, k)) for p, s, k in rows)
+    out += field_bytes(2, field_bytes(3, kind) + (field_bytes(35, 1) if byte_fallback else b""))
+    out += field_bytes(3, (field_bytes(2, charsmap) if charsmap else b"") + field_bytes(3, prefix) + field_bytes(4, tidy) + field_bytes(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+def nfkc_table():
+    """The library's own table of the usual normaliser."""
+    proto = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    normal = next(v for k, v in piece_transducer._fields(proto) if k == 3)
+    return dict(piece_transducer._fields(normal))[2]
+
+
+@pytest.mark.parametrize(("nfkc", "byte_fallback", "prefix", "tidy"), [(True, False, 1, 1), (True, True, 1, 1), (False, False, 1, 0), (False, True, 0, 0), (True, True, 0, 1)])
+def test_unigram_and_nfkc_models_match_the_library(tmp_path, nfkc, byte_fallback, prefix, tidy):
+    rng = random.Random(9)
+    alphabet = "abcdeé▁日1."
+    pieces = {c: -rng.uniform(3, 9) for c in alphabet if c != "日"}
+    while len(pieces) < 150:
+        p = ("▁" if rng.random() < 0.5 else "") + "".join(rng.choice("abcdeé1") for _ in range(rng.randint(1, 5)))
+        pieces.setdefault(p, -rng.uniform(1, 12))
+    own = [(p, s, 1) for p, s in pieces.items()] + [("bad", 0.0, 4)]
+    path = model_file(tmp_path / "m.model", own, nfkc_table() if nfkc else b"", 1, prefix, tidy, byte_fallback)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = piece_transducer.PieceEncoder(piece_transducer.compile_model(path))
+    bits = ["ab", "cde", "é", "e\u0301", "日", "ﬁ", "Ａｂ", "①", "  ", " ", "\n", "\t", "½", "\u3000", "bad", "1.", "▁", "\u200b", "ｶﾞ", "x", "㍿"]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        ids = encoder.encode(t)
+        assert ids.tolist() == library.encode(t), repr(t)
+        assert encoder.machine.decode(ids).decode("utf-8", "replace") == library.decode(ids.tolist()), repr(t)
+
+
+def test_normaliser_is_the_librarys():
+    machine = piece_transducer.Normaliser(piece_transducer._rules(nfkc_table()), False, True)
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", remove_extra_whitespaces=True, add_dummy_prefix=False, escape_whitespaces=True)
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x600), rng.randrange(0x1E00, 0x2600), rng.randrange(0x3000, 0x3400), rng.randrange(0xF900, 0xFFEF)])) for _ in range(rng.randint(0, 20)))
+        assert machine.marked(t) == library.normalize(t), repr(t)
+
+
+def test_weights_take_the_shortest_path():
     machine = piece_transducer.Transducer(
-        arcs={"a": 1, "b": 2, "ab": 3, "ba": 4}, cost={0: 20.0, 1: 3.0, 2: 3.0, 3: 5.0, 4: 2.0}, halves={}, joined={}, rank={}, text=[b""] * 5,
-        byte=None, unknown=0, bpe=False, prefix=False, cuttable=True, longest=2, runs={}, inner=set(),
+        tree=piece_transducer._tree({"a": 1, "b": 2, "ab": 3, "ba": 4}), cost={0: 20.0, 1: 3.0, 2: 3.0, 3: 5.0, 4: 2.0}, halves={}, joined={}, rank={}, text=[b""] * 5,
+        byte=None, unknown=0, bpe=False, normal=piece_transducer.Normaliser({}, False, False), cuttable=True, runs={}, inner=set(),
     )
     assert machine.path("aba") == [1, 4] and machine.path("ab") == [3] and machine.part("xyb") == [0, 2]
 
 
+def test_memory_of_pairs_is_bounded(monkeypatch):
+    monkeypatch.setattr(piece_transducer, "REMEMBERED", 50)
+    encoder = piece_transducer.PieceEncoder(piece_transducer.compile_model(MODEL))
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(1)
+    for _ in range(60):
+        t = " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(20))
+        assert encoder.encode(t).tolist() == library.encode(t) and len(encoder.machine._pairs) <= 51
+
+
 # Fingerprints
 
 
