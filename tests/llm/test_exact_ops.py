@@ -33,18 +33,19 @@ def sample_texts(seed=5, n=60):
 # Line dedup
 
 
-def brute_lines(rows, window=3):
+def brute_lines(rows, window=3, words=50):
     seen, gone = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         ls = [] if t is None else t.split("\n")
         cover = set()
-        for p in range(len(ls) - window + 1):
-            w = tuple(ls[p : p + window])
-            if not "".join(w).strip(" "):
-                continue
-            if w in seen:
-                cover |= set(range(p, p + window))
-            seen.add(w)
+        for size in range(1, window + 1):
+            for p in range(len(ls) - size + 1):
+                w = tuple(ls[p : p + size])
+                if not "".join(w).strip(" ") or size < window and sum(len(re.findall(r"[^\x09-\x0d ]+", x)) for x in w) <= words:
+                    continue
+                if w in seen:
+                    cover |= set(range(p, p + size))
+                seen.add(w)
         gone[i] = (len(ls), len(cover), None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in cover))
     return gone
 
@@ -56,6 +57,15 @@ def test_line_dedup_matches_brute_force(spark):
     assert set(out.columns) == {"doc_id", "text", "lang", "id", "fp", "n_lines", "n_removed"}
 
 
+def test_line_dedup_finds_long_passages_of_few_lines(spark):
+    words = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    one, two, short = words(51, 1), words(30, 2) + "\n" + words(25, 3), words(50, 4)
+    texts = [one, f"a\n{one}\nb", f"{two}\nc", f"d\n{two}", short, f"{short}\ne", f"{one}\n{one}", "\t".join(["x"] * 51), "\t".join(["x"] * 51) + "\ny"]
+    out = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs_frame(spark, texts)).collect()}
+    assert out == brute_lines(list(enumerate(texts)))
+    assert [out[i][2] for i in (1, 3, 5, 6, 8)] == ["a\nb", "d", f"{short}\ne", "", "y"]
+
+
 def test_line_dedup_nulls_repeats_and_empty(spark):
     rows = [(None, "a\nb\nc\nd"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, None)]
     out = sorted(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "text").collect()), key=str)
