@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, xor_key
+from .common import cut, hash_bound, xor_key
 
 GROUP = 3
 PART = 8
@@ -118,8 +118,13 @@ def _banded(own: DataFrame) -> DataFrame:
     """
     spark = own.sparkSession
     bands = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # One bound a band comes to the driver.
-    found = own.agg(F.approx_percentile("id", [k / bands for k in range(1, bands)], max(10_000, 10 * bands)).alias("q")).first()["q"] or []
+    # One bound a band comes to the driver, of ids that are strings a sample of about 50 a band.
+    if own.schema["id"].dataType.simpleString() == "string":
+        share = min(1.0, 50 * bands / max(1, own.count()))
+        some = sorted(r["id"] for r in own.where(F.col("id").isNotNull() & (F.xxhash64("id", F.lit("band")) <= hash_bound(share))).select("id").distinct().collect())
+        found = [some[k * len(some) // bands] for k in range(1, bands)] if some else []
+    else:
+        found = own.agg(F.approx_percentile("id", [k / bands for k in range(1, bands)], max(10_000, 10 * bands)).alias("q")).first()["q"] or []
     bounds = sorted(set(found), reverse=True)
     if not bounds:
         return own.withColumn("band", F.when(F.col("id").isNull(), 1).otherwise(0))
@@ -137,7 +142,7 @@ def _banded(own: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (band, id, th, text, d0, next, d2): each text and its digests beside those of the next row.
 
-    Ids are integers. The order is descending id (null ids last), then descending text hash; the first row follows the
+    Ids are numbers or strings. The order is descending id (null ids last), then descending text hash; the first row follows the
     last. Of rows of equal id and text the last stays. Each band is sorted on its own, with a copy of
     the first row of the next band behind its last; text and digests of the next row come by the same sort.
     """
@@ -193,7 +198,8 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     how many digests peeling recovered between text and edited text.
 
     A null text is an empty one. Of rows with equal id and text one stays. Null ids are ids; they are
-    told as null. Other columns aren't read. An empty table gives an empty result.
+    told as null. Ids are numbers or strings. Other columns aren't read, whatever they are called. An
+    empty table gives an empty result.
     """
     n = F.length("text")
     tail = F.floor(n / 3).cast("int")
@@ -201,8 +207,8 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = with_next(docs, id_col, text_col).select(*KEY, n.cast("long").alias("n_chars"), edited.alias("edited"), "d0", "d2")
     rows = rows.select(*KEY, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d0", digests(F.col("edited")).alias("d1"), "d2")
     cells = rows.withColumn("c0", sketch(F.col("d0")))
-    tried = cells.select(*rows.columns, *[peel(minus(F.col("c0"), sketch(F.col(f"d{k}")))).alias(f"r{k}") for k in (1, 2)])
-    base = cut(tried.select(*KEY, "n_chars", "edited_sha256", "d0", "d1", F.when(~F.col("r2.whole"), F.col("d2")).alias("d2"), F.size("d2").alias("s2"), "r1", "r2"))
+    tried = cells.select(*cells.columns, *[peel(minus(F.col("c0"), sketch(F.col(f"d{k}")))).alias(f"r{k}") for k in (1, 2)])
+    base = cut(tried.select(*KEY, "n_chars", "edited_sha256", "c0", "d0", "d1", F.when(~F.col("r2.whole"), F.col("d2")).alias("d2"), F.size("d2").alias("s2"), "r1", "r2"))
     pair = lambda k: F.struct(F.lit(k).alias("of"), F.col("d0").alias("a"), F.col(f"d{k}").alias("b"), F.col(f"r{k}.whole").alias("whole"))
     items = base.select(*KEY, F.explode(F.array(pair(1), pair(2))).alias("o")).where("NOT o.whole").select(*KEY, "o.of", F.lit(0).cast("long").alias("path"), "o.a", "o.b")
     done, level = None, 1
@@ -219,6 +225,6 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     differ = lambda k: F.when(F.col(f"r{k}.whole"), F.col(f"r{k}.found")).otherwise(F.coalesce(F.col(f"later{k}"), F.lit(0)))
     near = lambda k, size: 1 - differ(k) / F.greatest(F.size("d0") + size, F.lit(1))
     return joined.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", written(sketch(F.col("d0"))).alias("fingerprint"), written(sketch(F.col("d1"))).alias("edited_fingerprint"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("c0")).alias("fingerprint"), written(sketch(F.col("d1"))).alias("edited_fingerprint"),
         near(1, F.size("d1")).alias("near_edited"), near(2, F.col("s2")).alias("near_next"), F.size("d0").cast("long").alias("n_paragraphs"), differ(1).alias("differing"),
     )
