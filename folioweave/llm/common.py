@@ -33,8 +33,8 @@ def full_uri(spark: SparkSession, path: str) -> str:
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
-    """The store of a full URI and the path in it."""
-    return (fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+    """The store of a full URI and the path in it; of a plain path, this machine's files."""
+    return fs.FileSystem.from_uri(uri) if "://" in uri and not uri.startswith("file:") else (fs.LocalFileSystem(), re.sub("^file:/*", "/", uri))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

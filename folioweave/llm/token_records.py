@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, xor_key
+from .common import fresh_path, full_uri, store_of, xor_key
 
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_200_000
@@ -146,14 +145,15 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None,
     Ties of an id are ordered by their text's hash; null ids come first; a null text is empty.
     """
     spark = docs.sparkSession
-    source, name = fs.FileSystem.from_uri(out) if "://" in out else (None, out)
-    (source or fs.LocalFileSystem()).create_dir(name, recursive=True)
+    out = full_uri(spark, out)
+    source, name = store_of(out)
+    source.create_dir(name, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, at = fs.FileSystem.from_uri(out) if "://" in out else (fs.LocalFileSystem(), out)
+        store, at = store_of(out)
         file = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         encoder = _encoder(tokenizer)
         tail = b"" if end_id is None else np.asarray([end_id], encoder.kind).tobytes()
@@ -208,14 +208,14 @@ def read_records(spark: SparkSession, out: str, manifest: DataFrame, with_ids: b
     asked for. Every frame is
     checked against both of its checksums and against the index.
     """
-    starts, total = [], 0
+    out, starts, total = full_uri(spark, out), [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):
         starts.append((r["file"], total))
         total += r["ids"]
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(out) if "://" in out else (fs.LocalFileSystem(), out)
+        store, at = store_of(out)
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, held, offset = [], 0, 0
@@ -242,7 +242,7 @@ def read_records(spark: SparkSession, out: str, manifest: DataFrame, with_ids: b
 
 def shuffled_sample(out: str, file: str, seed: int, n: int) -> list[tuple[int | None, np.ndarray]]:
     """``n`` documents of a part file in random order, each by one seek through the index."""
-    store, at = fs.FileSystem.from_uri(out) if "://" in out else (fs.LocalFileSystem(), out)
+    store, at = store_of(out)
     with store.open_input_file(f"{at}/{file}.idx") as index:
         places = np.frombuffer(index.read(), "<u8").reshape(-1, 2)
     found = []
@@ -258,9 +258,11 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col:
     """Write ``docs`` as records below the shared folder (or ``out``) and read them back.
 
     One row (id, start, n_tokens, ids_crc32, ids) for each row of ``docs``: ``start`` counts the
-    ids of all documents before it, ``n_tokens`` includes the end id. A null text is an empty one,
-    null ids come first, repeated ids each keep their row. Other columns are not read. An empty
-    table writes no part and gives an empty result.
+    ids of all documents before it, ``n_tokens`` includes the end id. Ids are integers, or what can be
+    cast to long, and come back as longs. A null text is an empty one, null ids come first, repeated
+    ids each keep their row. Other columns are not read, whatever they are called. An empty table
+    writes no part and gives an empty result. The records stay: they are the operator's product, and
+    of a task that ran twice only the files that the manifest names count.
     """
     out = out or fresh_path(docs.sparkSession, "records")
     manifest = write_records(docs, out, tokenizer, end_id, id_col, text_col)

@@ -243,6 +243,13 @@ def test_token_records_index_damage_nulls_and_empty(spark, tmp_path):
     assert token_records.token_table(frame.limit(0), path, out=str(tmp_path / "none")).count() == 0
 
 
+def test_token_records_clashing_columns_and_uris(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([("7", "seven", 1, "x", b"y"), ("5", "five", 2, "y", b"z")], "doc_id string, text string, start int, id string, ids binary")
+    got = token_records.token_table(docs, path, out=f"file://{tmp_path}/rec").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start) for r in got] == [(5, 0), (7, got[0].n_tokens)]
+
+
 # License scans
 
 

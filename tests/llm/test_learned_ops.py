@@ -431,6 +431,16 @@ def test_sketches_match_brute_force(spark):
     assert sum(r.near_edited > r.near_next for r in got.values()) > 25
 
 
+def test_sketches_of_string_ids_and_clashing_columns(spark):
+    rows = [(f"k{k:02d}", f"Text {k}. And more of {k}.", "x", 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, band string, id int")
+    got = {r.doc_id: r for r in paragraph_sketch.fingerprint_versions(docs).collect()}
+    for k in range(40):
+        own, following = rows[k][1], rows[k - 1 if k else 39][1]
+        n = len(own) // 3
+        assert got[f"k{k:02d}"].edited_sha256 == hashlib.sha256((own[: len(own) - n] + following[:n]).encode()).hexdigest()
+
+
 def test_sketches_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a. b."), (1, "a. b."), (None, "c."), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.n_chars) for r in paragraph_sketch.fingerprint_versions(docs).collect()))
