@@ -40,26 +40,41 @@ def parse_date(raw: Column, lower: bool = False) -> Column:
     return let(raw.cast("string"), lambda r: _parsed(r, lower))
 
 
+#: Signs that stand for an unknown digit.
+UNKNOWN = " u0|#"
+
+
+def _unknown(c: Column) -> Column:
+    return F.translate(c, UNKNOWN, "") == ""
+
+
+def _eight(raw: Column) -> Column:
+    """A field of eight signs as digits: an unknown day is the 1st, an unknown month January, an unknown decade or year zeros."""
+    year, month, day = F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2)
+    known = F.rtrim(year, F.lit(UNKNOWN))
+    first_of_year = F.when(F.length(known) > 1, F.concat(F.rpad(known, 4, "0"), F.lit("0101")))
+    return F.when(_unknown(F.concat(month, day)), first_of_year).when(_unknown(day), F.concat(year, month, F.lit("01"))).otherwise(raw)
+
+
+def _six(digits: Column) -> Column:
+    """yymmdd with its century."""
+    return F.concat(F.when(F.substring(digits, 1, 2) > "70", "19").otherwise("20"), digits)
+
+
 def _parsed(raw: Column, lower: bool) -> Column:
-    stamp = F.regexp_extract(raw, r"^(\d{14})(?:\.\d*)?$", 1)
-    full = raw
-    for known, rest, fill in ((6, 2, "01"), (4, 4, "0101"), (3, 5, "00101"), (2, 6, "000101")):
-        full = F.regexp_replace(full, rf"^([0-9]{{{known}}})[ u0|#]{{{rest}}}$", f"$1{fill}")
-    first = F.regexp_extract(raw, r"([0-9\-?]{4})", 1)
-    year_only = F.concat(F.regexp_replace(first, r"[\-?]", "0"), F.lit("0101")) if lower else F.concat(F.regexp_replace(first, r"[\-?]", "9"), F.lit("1231"))
+    size = F.length(raw)
 
     def read(s: Column) -> Column:
-        year = F.substring(s, 1, 2).try_cast("int")
-        short = F.when(F.length(s) == 6, F.concat(F.when(year > 70, F.lit(1900) + year).otherwise(F.lit(2000) + year).cast("string"), F.substring(s, 3, 4)))
-        return F.when(~F.rlike(s, F.lit("^0{4,}")) | (stamp != ""), F.coalesce(
-            _time(F.when(stamp != "", stamp), "yyyyMMddHHmmss"),
-            _time(F.when(F.length(s) == 8, s), "yyyyMMdd"),
-            _time(short, "yyyyMMdd"),
-            _time(F.when(F.length(raw) > 8, F.substring(s, 1, 14)), "yyyyMMddHHmmss"),
-            _time(F.when(first != "", year_only), "yyyyMMdd"),
-        ))
-
-    return let(F.regexp_replace(full, r"[u#|\[\] ]+", ""), read)
+        day = F.when(F.length(s) == 6, _six(s)).when(F.length(s) == 8, s)
+        stamp = F.when(size > 8, F.substring(s, 1, 14))
+        signs = F.regexp_extract(raw, "[0-9?-]{4}", 0)
+        bound = F.concat(F.translate(signs, "-?", "00"), F.lit("0101")) if lower else F.concat(F.translate(signs, "-?", "99"), F.lit("1231"))
+        found = F.coalesce(_time(stamp, "yyyyMMddHHmmss"), _time(day, "yyyyMMdd"), _time(F.when(signs != "", bound), "yyyyMMdd"))
+        nothing = F.startswith(s, F.lit("0000")) & ~F.rlike(raw, F.lit("^[0-9]{14}([.]|$)"))
+        return F.when(~nothing, found)
+
+    whole = F.when(size == 8, F.coalesce(_eight(raw), raw)).otherwise(raw)
+    return let(F.translate(whole, "u#|[] ", ""), read)
 
 
 DATE_FIELDS = (

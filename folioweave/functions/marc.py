@@ -13,6 +13,8 @@ STATUS, TYPE, LEVEL = 6, 7, 8
 AUTHORITY_TYPES, HOLDINGS_TYPES, COMMUNITY_TYPES, CLASSIFICATION_TYPES = ("z",), ("u", "v", "x", "y"), ("q",), ("w",)
 BIBLIOGRAPHIC_TYPES = tuple("abcdefghijklmnoprt")
 COLLECTION_LEVELS = ("c", "d")
+#: Signs that a source's code may hold besides letters and digits.
+SOURCE_SIGNS = "/-\\.@_ "
 #: A library's name in Cyrillic letters, and its code.
 SOURCE_FIXES = {"РГБ": "RuMoRGB", "RkpciviluMoRGB": "RuMoRGB", "РНБ": "RuSpRNB"}
 
@@ -48,8 +50,10 @@ def leader_at(rec: Column, position: int) -> Column:
 def schema(rec: Column) -> Column:
     """``rusmarc`` or ``marc21``, by the shape of 100$a and the tags at hand."""
     coded = F.array_join(values(rec, "100", "a"), "")
+    # 100$a of RUSMARC is a date of entry, a letter for the kind of date, and codes up to 36 signs in all.
+    entered = F.length(coded).between(34, 36) & F.substring(coded, 1, 8).try_cast("int").isNotNull() & F.rlike(F.substring(coded, 9, 1), F.lit("[A-Za-z]"))
     some = control(rec, "007").isNotNull() | control(rec, "008").isNotNull() | (F.size(fields(rec, "040", "852", "856")) > 0)
-    return F.when(F.rlike(coded, F.lit("^(?i)[0-9]{8}[a-z].{25,27}$")), "rusmarc").when(some, "marc21").when(rec["leader"].isNotNull(), "rusmarc").otherwise("marc21")
+    return F.when(entered, "rusmarc").when(some, "marc21").when(rec["leader"].isNotNull(), "rusmarc").otherwise("marc21")
 
 
 def record_type(rec: Column) -> Column:
@@ -68,14 +72,15 @@ def kind(rec: Column) -> Column:
 
 
 def source(rec: Column, default: Column | None = None) -> Column:
-    """Who issued the record: 040$a, 017$b, 003, 801$b, 035$a or 852$a, the first there is; '' if it isn't a code."""
+    """Who issued the record, by fields in a fixed order: 040$a, 017$b, 003, 801$b, 035$a or 852$a, the first there is; '' if it isn't a code."""
     table = F.create_map(*[F.lit(x) for p in SOURCE_FIXES.items() for x in p])
     of_deposit = F.filter(fields(rec, "017"), lambda f: (F.size(codes(f, "a")) > 0) & (F.size(codes(f, "b")) > 0))
     deposit = F.try_element_at(F.flatten(F.transform(of_deposit, lambda f: codes(f, "b"))), F.lit(-1))
     found = [first(rec, "040", "a"), deposit, control(rec, "003"), first(rec, "801", "b"), first(rec, "035", "a"), first(rec, "852", "a")]
     code = F.coalesce(*[F.when(c != "", c) for c in found], *([default] if default is not None else []))
     fixed = F.coalesce(F.try_element_at(table, code), code)
-    return F.when(F.rlike(fixed, F.lit(r"^[\p{L}\p{N}/\-\\.@_ ]+$")), fixed).otherwise("")
+    other = F.translate(F.regexp_replace(fixed, r"[\p{L}\p{N}]", ""), SOURCE_SIGNS, "")
+    return F.when((fixed != "") & (other == ""), fixed).otherwise("")
 
 
 def key(rec: Column) -> Column:

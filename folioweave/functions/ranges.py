@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SEPARATOR = r"(?:-|\.\.\.?|‥|…|⋯)"
+#: What may stand between two numbers, and whether the second one belongs to the range.
+SEPARATORS = {"-": True, "..": True, "‥": True, "...": False, "…": False, "⋯": False}
+_NUMBER = r"(?<![0-9])-?[0-9]+"
+
+
+def _part_numbers(part: Column) -> Column:
+    """The numbers of one part of a list: those it names, and for two with a separator all between them."""
+    named = F.transform(F.regexp_extract_all(part, F.lit(_NUMBER), F.lit(0)), lambda n: n.try_cast("long"))
+    between = F.regexp_replace(part, _NUMBER, "")
+    closed = F.try_element_at(F.create_map(*[F.lit(x) for pair in SEPARATORS.items() for x in pair]), between)
+    low, high = F.get(named, F.lit(0)), F.get(named, F.lit(1))
+    every = F.filter(F.sequence(low, high), lambda n: closed | (n != high))
+    single = (F.size(named) == 1) & (between == "")
+    return F.when(single, named).when((F.size(named) == 2) & closed.isNotNull(), every).otherwise(F.array().cast("array<bigint>"))
 
 
 def range_numbers(text: Column, most: int | None = None) -> Column:
@@ -14,21 +27,12 @@ def range_numbers(text: Column, most: int | None = None) -> Column:
     Negative numbers count from ``most`` back and are dropped without it; so are numbers above it. An
     empty list is all of 1 to ``most``.
     """
-    part = F.split(F.coalesce(text, F.lit("")), ",")
-
-    def numbers(p: Column) -> Column:
-        lo = F.regexp_extract(p, rf"^(-?\d+){_SEPARATOR}(-?\d+)$", 1).try_cast("long")
-        hi = F.regexp_extract(p, rf"^(-?\d+){_SEPARATOR}(-?\d+)$", 2).try_cast("long")
-        open_end = F.rlike(p, F.lit(r"^-?\d+(?:\.\.\.|…|⋯)-?\d+$"))
-        last = F.when(open_end, F.when(lo < hi, hi - 1).otherwise(hi + 1)).otherwise(hi)
-        run = F.when(open_end & (lo == hi), F.array().cast("array<bigint>")).when(lo.isNotNull(), F.sequence(lo, last))
-        return F.coalesce(F.when(F.rlike(p, F.lit(r"^-?\d+$")), F.array(p.try_cast("long"))), run, F.array().cast("array<bigint>"))
-
-    found = F.flatten(F.transform(part, numbers))
+    found = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), ","), _part_numbers))
     if most:
-        found = F.filter(F.transform(found, lambda n: F.when(n < 0, F.lit(most) + n + 1).otherwise(n)), lambda n: (n >= 0) & (n <= most))
-        return F.when(F.size(found) == 0, F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))).otherwise(F.array_sort(F.array_distinct(found)))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda n: n >= 0)))
+        found = F.transform(found, lambda n: F.when(n < 0, n + (most + 1)).otherwise(n))
+    top = F.lit(most).cast("long") if most else F.lit(None).cast("long")
+    kept = F.array_sort(F.array_distinct(F.filter(found, lambda n: (n >= 0) & (top.isNull() | (n <= top)))))
+    return F.when(top.isNotNull() & (F.size(kept) == 0), F.sequence(F.lit(1).cast("long"), top)).otherwise(kept) if most else kept
 
 
 def runs(numbers: Column, longest: int | None = None) -> Column:

@@ -36,17 +36,22 @@ def percent_encoded(c: Column) -> Column:
 
 def sanitize_key(key: Column) -> Column:
     """``/kind/source/rest…`` as ``/resources/kind/source/rest``, lower-cased and encoded; other keys as they are."""
-    parts = F.transform(F.filter(F.split(key, "/"), lambda p: p != ""), lambda p: F.lower(F.coalesce(F.try_url_decode(F.trim(p)), F.trim(p))))
-    full = F.when(F.try_element_at(parts, F.lit(1)) == "resources", parts).otherwise(F.concat(F.array(F.lit("resources")), parts))
-    at = lambda i: percent_encoded(F.coalesce(F.try_element_at(full, F.lit(i)), F.lit("")))
-    rest = percent_encoded(F.array_join(F.slice(full, 4, F.greatest(F.size(full), F.lit(1))), "/"))
-    return F.when(F.startswith(key, F.lit("/")), F.concat(F.lit("/"), at(1), F.lit("/"), at(2), F.lit("/"), at(3), F.lit("/"), rest)).otherwise(key)
+    named = F.filter(F.split(key, "/"), lambda p: p != "")
+    plain = F.transform(named, lambda p: F.lower(F.coalesce(F.try_url_decode(F.trim(p)), F.trim(p))))
+
+    def path(parts: Column) -> Column:
+        own = F.when(F.get(parts, F.lit(0)) == "resources", F.slice(parts, 2, F.size(parts))).otherwise(parts)
+        rest = F.array_join(F.slice(own, 3, F.size(own) + 1), "/")
+        steps = F.concat(F.array(F.coalesce(F.get(own, F.lit(0)), F.lit("")), F.coalesce(F.get(own, F.lit(1)), F.lit(""))), F.array(rest))
+        return F.concat(F.lit("/resources/"), F.array_join(F.transform(steps, percent_encoded), "/"))
+
+    return F.when(F.startswith(key, F.lit("/")), let(plain, path)).otherwise(key)
 
 
 def tokenized(text: Column) -> Column:
-    """Tags out, letters, digits and common punctuation kept, punctuation set apart by spaces."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?i)<[a-z/][^>]*>", ""), r"[^\p{L}\p{N}\-_.!?,\"';]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"([\-_.!?,\"';])", " $1 "), " {2}", " "))
+    """Words and the signs of punctuation, each a token, joined by blanks; tags are left out."""
+    shown = F.regexp_replace(text, r"(?i)</?[a-z][^>]*>", "")
+    return F.array_join(F.regexp_extract_all(shown, F.lit(r"[\p{L}\p{N}]+|[-_.!?,\"';]"), F.lit(0)), " ")
 
 
 def length_in_bytes(text: Column) -> Column:
@@ -80,26 +85,28 @@ def pretty_bytes(n: Column) -> Column:
     return out
 
 
-# A source in brackets, then a key.
-_BRACKETED = r"^\(([^)]+)\)(.+)$"
-
-
 def parse_identifier(text: Column, source: Column | None = None) -> Column:
     """Struct (source, key) of ``(SRC)key``, ``scheme://src/key`` or ``src/key``; null for others.
 
     A given ``source`` stands in for a bracketed one. Further bracketed sources in front of the key go,
     '#' in a source or key stands for a blank.
     """
-    s = F.trim(text)
-    given = F.lit(None).cast("string") if source is None else _blank_to_null(F.trim(source))
-    tidy = lambda c: F.trim(F.regexp_replace(c, "#", " "))
-    inner = F.regexp_extract(s, _BRACKETED, 2)
-    inner = F.when(given.isNotNull(), inner).otherwise(tidy(inner))
-    key = F.trim(F.regexp_replace(inner, r"^(?:\([^)]*\)\s+)+", ""))
-    own = F.coalesce(given, tidy(F.regexp_extract(s, _BRACKETED, 1)))
-    path = F.filter(F.split(F.regexp_replace(s, "(?i)^[a-z0-9_-]*://", ""), "/"), lambda p: p != "")
-    pair = lambda a, b: F.struct(a.alias("source"), b.alias("key"))
-    return F.when(F.rlike(s, F.lit(_BRACKETED)), pair(own, key)).when(F.size(path) > 1, pair(F.get(path, F.lit(0)), F.array_join(F.slice(path, 2, F.greatest(F.size(path), F.lit(1))), "/")))
+    def read(s: Column) -> Column:
+        close = F.instr(s, ")")
+        bracketed = F.startswith(s, F.lit("(")) & (close > 2) & (close < F.length(s))
+        inside, behind = F.substr(s, F.lit(2), close - 2), F.substr(s, close + 1)
+        blanks = lambda c: F.trim(F.translate(c, "#", " "))
+        bare = lambda c: F.trim(F.regexp_replace(c, r"^(?:\([^)]*\)\s+)+", ""))
+        if source is None:
+            of_source = F.struct(blanks(inside).alias("source"), bare(blanks(behind)).alias("key"))
+        else:
+            given = _blank_to_null(F.trim(source))
+            of_source = F.struct(F.coalesce(given, blanks(inside)).alias("source"), bare(F.when(given.isNotNull(), behind).otherwise(blanks(behind))).alias("key"))
+        steps = F.filter(F.split(F.regexp_replace(s, "(?i)^[a-z0-9_-]*://", ""), "/+"), lambda p: p != "")
+        of_path = F.struct(F.get(steps, F.lit(0)).alias("source"), F.array_join(F.slice(steps, 2, F.size(steps) + 1), "/").alias("key"))
+        return F.when(bracketed, of_source).when(F.size(steps) > 1, of_path)
+
+    return let(F.trim(text), read)
 
 
 def host_and_path(url: Column) -> Column:
@@ -115,17 +122,16 @@ def uri_to_node(uri: Column, prefixes: dict[str, str] | None = None) -> Column:
     short = F.coalesce(F.try_url_decode(uri), uri)
     for url in sorted(prefixes or {}):
         short = F.replace(short, F.lit(url), F.lit(f"{prefixes[url]}:"))
-    web = F.rlike(short, F.lit("^https?://"))
-    rest = F.lower(F.regexp_replace(short, "(?i)^https?://", ""))
-    kind = F.when(F.contains(short, F.lit("udc-schema")), "concept_scheme").otherwise("concept")
-    first = lambda c, sep: F.substring_index(c, sep, 1)
-    tail = lambda c, sep: F.when(F.instr(c, sep) > 0, F.substr(c, F.instr(c, sep) + 1)).otherwise("")
-    low = F.lower(short)
-    return F.struct(
-        kind.alias("kind"),
-        F.when(web, first(rest, "/")).when(F.contains(short, F.lit(":")), first(low, ":")).alias("source"),
-        F.when(web, tail(rest, "/")).when(F.contains(short, F.lit(":")), tail(low, ":")).otherwise(short).alias("key"),
-    )
+
+    def node(s: Column) -> Column:
+        part = lambda rx, k: F.lower(F.regexp_extract(s, rx, k))
+        web, named = r"(?is)^https?://([^/]*)/?(.*)$", r"(?s)^([^:]*):(.*)$"
+        of = lambda rx: F.struct(part(rx, 1).alias("source"), part(rx, 2).alias("key"))
+        place = F.when(F.rlike(s, F.lit("^https?://")), of(web)).when(F.contains(s, F.lit(":")), of(named)).otherwise(F.struct(F.lit(None).cast("string").alias("source"), s.alias("key")))
+        kind = F.when(F.contains(s, F.lit("udc-schema")), "concept_scheme").otherwise("concept")
+        return F.struct(kind.alias("kind"), place["source"].alias("source"), place["key"].alias("key"))
+
+    return let(short, node)
 
 
 def record_url(base: str, kind: Column, source: Column, key: Column) -> Column:
@@ -140,18 +146,23 @@ def joined_uri(*parts: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(first, "/+$", ""), *[F.regexp_replace(p, "^/+|/+$", "") for p in rest])
 
 
+#: What a link's relation tells about its place, the first that fits: no relation comes first, conversions last.
+LINK_ORDER = (("^$", 0), ("^self$", 1), ("(?i)/acquisition/open-access", 2), ("(?i)/acquisition", 3), ("(?i)convertedfrom", 9), ("(?i)first", 4))
+
+
 def link_rank(rel: Column) -> Column:
     """A link's place by its relation; smaller comes first."""
-    return (
-        F.when(rel.isNull() | (rel == ""), "").when(rel == "self", "a").when(rel.rlike("(?i)/acquisition/open-access"), "b")
-        .when(rel.rlike("(?i)/acquisition"), "c").when(rel.rlike("(?i)convertedFrom"), "z").when(rel.rlike("(?i)first"), "e").otherwise("f")
-    )
+    rank = F.lit(5)
+    for pattern, place in reversed(LINK_ORDER):
+        rank = F.when(F.rlike(F.coalesce(rel, F.lit("")), F.lit(pattern)), place).otherwise(rank)
+    return rank
 
 
 def sorted_links(links: Column) -> Column:
     """An array of links (rel, href, title) by rank, href and title."""
-    keyed = F.transform(links, lambda x: F.struct(F.concat(link_rank(x["rel"]), F.coalesce(x["href"], F.lit("")), F.coalesce(x["title"], F.lit(""))).alias("k"), x.alias("link")))
-    return F.transform(F.array_sort(keyed), lambda x: x["link"])
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    placed = F.transform(links, lambda x: F.struct(link_rank(x["rel"]).alias("rank"), blank(x["href"]).alias("href"), blank(x["title"]).alias("title"), x.alias("link")))
+    return F.transform(F.array_sort(placed), lambda x: x["link"])
 
 
 def encode_cursor(*parts: Column) -> Column:

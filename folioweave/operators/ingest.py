@@ -7,9 +7,10 @@ sees the whole batch.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DETAIL_KEY, EDGE, NODE
@@ -51,27 +52,39 @@ def absent(batch: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     return batch.join(target.select(*key), key, "left_anti")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that ``spark.checkpoint.dir`` names.
+
+    Only a session on this machine alone may do without the setting; elsewhere that is an error.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioweave-"))
+    return df.checkpoint()
+
+
 def mint_serials(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """``rows`` with dense serials from ``start`` + 1 on, in ``order``."""
+    """``rows`` with dense serials from ``start`` + 1 on, in ``order``.
+
+    The batch is dealt by ranges and sorted in place; Spark's own ids number each partition's rows in
+    their low 33 bits, and the counts of the partitions before shift them.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    # The counts and the ranks must see the same deal: it is written once.
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioweave-"))
-    dealt = dealt.checkpoint()
-    counts = sorted((r["__part"], r["n"]) for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    # The counts and the places must see the same deal: it is written once.
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["part"], r["n"]) for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     shift, total = [], start
-    for part, n in counts:
-        shift.append((part, total))
+    for own, n in counts:
+        shift.append((own, total))
         total += n
     if not shift:
-        return dealt.drop("__part").withColumn("serial", F.lit(None).cast("long"))
-    shifts = F.broadcast(spark.createDataFrame(shift, "__part int, __shift long"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.join(shifts, "__part").withColumn("serial", F.col("__shift") + rank).drop("__part", "__shift")
+        return dealt.drop("__id").withColumn("serial", F.lit(None).cast("long"))
+    shifts = F.broadcast(spark.createDataFrame(shift, "__part long, __shift long"))
+    return dealt.join(shifts, part == F.col("__part")).withColumn("serial", F.col("__shift") + place + 1).drop("__id", "__part", "__shift")
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,7 @@
 """The catalogue as three DataFrames, and its look-ups.
 
-Every look-up is a lazy plan. Node sets are small request parameters; they are broadcast only below
-``SMALL`` rows, which a limited count checks, and joined by shuffle above.
+Every look-up is a plan over whole tables. Node sets are request parameters: a look-up counts their
+rows and bytes first, to a limit, and broadcasts them up to ``SMALL`` and ``SMALL_BYTES`` only.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..model import GROUPING_KINDS, LINK_KINDS, NODE, PAGE_DEFAULT, PAGE_MOST
 
-SMALL = 100_000
+SMALL, SMALL_BYTES = 100_000, 16 << 20
+#: Rows of a group up to which Spark itself keeps the first ones of each partition before it shuffles.
+GROUP_LIMIT = 1000
 
 
 def page_size(limit: int | None) -> int:
@@ -27,9 +29,16 @@ def is_publication(kind: Column) -> Column:
     return ~kind.isin(LINK_KINDS + GROUPING_KINDS)
 
 
+def few(nodes: DataFrame) -> bool:
+    """Whether ``nodes`` number ``SMALL`` and take ``SMALL_BYTES`` at most."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in nodes.columns), F.lit(0))
+    got = nodes.limit(SMALL + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return got["n"] <= SMALL and got["size"] <= SMALL_BYTES
+
+
 def small(nodes: DataFrame) -> DataFrame:
-    """``nodes``, marked for broadcast if they number ``SMALL`` at most."""
-    return F.broadcast(nodes) if nodes.limit(SMALL + 1).count() <= SMALL else nodes
+    """``nodes``, marked for broadcast if they are few."""
+    return F.broadcast(nodes) if few(nodes) else nodes
 
 
 def normal_nodes(nodes: DataFrame) -> DataFrame:
@@ -138,16 +147,28 @@ def lookup_relations(
     if after is not None:
         here, before = F.struct("kind_from", "kind_to"), F.struct(F.lit(after[0]).alias("kind_from"), F.lit(after[1]).alias("kind_to"))
         edges = edges.where((here > before) | ((here == before) & (F.col("serial") < after[2])))
-    newest_first = Window.partitionBy("kind_from", "kind_to", "direction").orderBy(F.col("serial").desc(), "source_from", "key_from", "source_to", "key_to", "relation_kind")
-    return edges.withColumn("rank", F.row_number().over(newest_first)).where(F.col("rank") <= page_size(limit)).drop("rank")
+    order = [F.col("serial").desc(), "source_from", "key_from", "source_to", "key_to", "relation_kind"]
+    pair, most = ["kind_from", "kind_to", "direction"], page_size(limit)
+    if most > GROUP_LIMIT:
+        # The first of each of 64 shares of a pair, so that no task ranks a whole pair.
+        share = F.pmod(F.xxhash64("source_from", "key_from", "source_to", "key_to"), F.lit(64))
+        edges = edges.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy(*pair, "share").orderBy(*order))).where(F.col("rank") <= most).drop("share")
+    return edges.withColumn("rank", F.row_number().over(Window.partitionBy(*pair).orderBy(*order))).where(F.col("rank") <= most).drop("rank")
+
+
+def edges_of(store: GraphStore, nodes: DataFrame) -> DataFrame:
+    """All outgoing edges of ``nodes``."""
+    ends = small(normal_nodes(nodes).select(*[F.col(c).alias(e) for c, e in _edge_ends("outgoing").items()]))
+    return _fits(store.relations).join(ends, list(ends.columns), "left_semi")
 
 
 def degrees(store: GraphStore, nodes: DataFrame, outgoing: bool = True, incoming: bool = False) -> DataFrame:
     """``nodes`` with the number of their edges (number_of_items), 0 where they have none."""
     own, ends = normal_nodes(nodes), []
+    wanted = small(own)
     for direction in [d for d, on in (("outgoing", outgoing), ("incoming", incoming)) if on]:
-        ends.append(store.relations.select(*[F.col(e).alias(c) for c, e in _edge_ends(direction).items()]))
-    # Counted before the join: one row a node meets the node set.
+        ends.append(store.relations.select(*[F.col(e).alias(c) for c, e in _edge_ends(direction).items()]).join(wanted, NODE, "left_semi"))
+    # Only edges of the nodes are counted, one row a node meets the node set.
     count = reduce(DataFrame.unionByName, ends).groupBy(*NODE).agg(F.count("*").alias("n"))
     return own.join(count, NODE, "left").select(*NODE, F.coalesce("n", F.lit(0)).alias("number_of_items"))
 
@@ -175,8 +196,13 @@ def kind_graph(store: GraphStore) -> DataFrame:
 
 
 def with_latest_detail(edges: DataFrame, store: GraphStore, end: str = "to") -> DataFrame:
-    """Edges with their target's newest record where it has one; the edge's serial stays."""
-    last = newest(store.details).select(*[F.col(c).alias(f"{c}_{end}") for c in NODE], "record", "media_type", F.col("provider").alias("record_provider"), F.col("serial").alias("detail_serial"))
+    """Edges with their target's newest record where it has one; the edge's serial stays.
+
+    Where the targets are few, only their details are looked at.
+    """
+    ends = edges.select(*[F.col(f"{c}_{end}").alias(c) for c in NODE]).distinct()
+    details = store.details.join(F.broadcast(ends), NODE, "left_semi") if few(ends) else store.details
+    last = newest(details).select(*[F.col(c).alias(f"{c}_{end}") for c in NODE], "record", "media_type", F.col("provider").alias("record_provider"), F.col("serial").alias("detail_serial"))
     return edges.join(last, [f"{c}_{end}" for c in NODE], "left")
 
 

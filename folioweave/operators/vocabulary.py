@@ -25,8 +25,8 @@ def joined_labels(rows: DataFrame, column: str, vocabulary: DataFrame, label: st
     return rows.join(own, column, "left").withColumn(label, F.coalesce("__label", column)).drop("__label")
 
 
-def registry_items(copies: DataFrame, parts: DataFrame, items: DataFrame, users: DataFrame, directories: DataFrame) -> DataFrame:
-    """Copies with their part, item and organisation (all required) and group (optional), by number.
+def registry_items(copies: DataFrame, parts: DataFrame, items: DataFrame, users: DataFrame, directories: DataFrame, ordered: bool = False) -> DataFrame:
+    """Copies with their part, item and organisation (all required) and group (optional); by number if ``ordered``.
 
     Deleted copies and items are left out. Each side is a struct column under its role's name.
     """
@@ -37,4 +37,4 @@ def registry_items(copies: DataFrame, parts: DataFrame, items: DataFrame, users:
     found = found.join(packed(live(items), "instance"), F.col("part.item_id") == F.col("instance_id")).drop("instance_id")
     found = found.join(packed(users, "organization"), F.col("item.user_id") == F.col("organization_id")).drop("organization_id")
     found = found.join(packed(directories, "group"), F.col("instance.doc_type") == F.col("group_id"), "left").drop("group_id")
-    return found.orderBy(F.expr("try_cast(item.num AS INT)"), "item.id")
+    return found.orderBy(F.expr("try_cast(item.num AS INT)"), "item.id") if ordered else found

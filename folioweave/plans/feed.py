@@ -28,8 +28,7 @@ def navigation(page: DataFrame, after: bool, descending: bool = True, edges: boo
 
 def publications(store: S.GraphStore, page: DataFrame, base: str, limit: int | None = None) -> DataFrame:
     """A page's nodes as publications: metadata, links in order, and the newest edges of each."""
-    edges = S.lookup_relations(store, page.select(*NODE), limit)
-    related = S.relation_groups(edges, limit).select(*[F.col(f"{c}_from").alias(c) for c in NODE], "relations")
+    related = S.relation_groups(S.edges_of(store, page.select(*NODE)), limit).select(*[F.col(f"{c}_from").alias(c) for c in NODE], "relations")
     degree = S.degrees(store, page.select(*NODE))
     own = page.join(degree, NODE, "left").join(related, NODE, "left")
     url = record_url(base, F.col("kind"), F.col("source"), F.col("key"))
