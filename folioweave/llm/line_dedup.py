@@ -46,28 +46,32 @@ FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id
 """
 
 
-def _windows(docs: DataFrame, most: int, words: int) -> DataFrame:
+def _windows(docs: DataFrame, most: int, words: int | None) -> DataFrame:
     """(id, th, pos, size, h1, h2): two 64-bit hashes, of different seeds, of each window of lines."""
     lines = docs.select("id", "th", F.split("text", "\n", -1).alias("ls"))
-    names = [f"l{i}" for i in range(most)]
-    each = F.arrays_zip(*[F.slice("ls", i + 1, F.size("ls")).alias(x) for i, x in enumerate(names)])
-    each = lines.select("id", "th", F.posexplode(each).alias("pos", "w"))
+    names, sizes = [f"l{i}" for i in range(most)], range(1 if words is not None else most, most + 1)
+    shifted = [F.slice("ls", i + 1, F.size("ls")).alias(x) for i, x in enumerate(names)]
+    if words is not None:
+        # Each line's words are counted once; the counts are shifted beside the lines.
+        lines = lines.withColumn("ns", F.transform("ls", lambda x: F.regexp_count(x, F.lit("[^\\x09-\\x0D ]+"))))
+        shifted += [F.slice("ns", i + 1, F.size("ns")).alias(f"n{i}") for i in range(most - 1)]
+    each = lines.select("id", "th", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
     parts: list[Column] = [F.col(f"w.{x}") for x in names]
     found = []
-    for size in range(1, most + 1):
+    for size in sizes:
         own = parts[:size]
-        # So many words take twice as many signs at least.
-        long = F.when(sum((F.length(p) for p in own), F.lit(0)) > 2 * words, sum((F.regexp_count(p, F.lit("[^\\x09-\\x0D ]+")) for p in own), F.lit(0)) > words)
-        good = long if size < most else F.trim(F.concat(*own)) != ""
-        found.append(F.when(own[-1].isNotNull() & good, F.struct(F.lit(size).alias("size"), F.xxhash64(F.lit(size), *own).alias("h1"), F.xxhash64(F.lit(-size), *own).alias("h2"))))
+        good = own[-1].isNotNull() & (F.trim(F.concat(*own)) != "" if size == most else sum((F.col(f"w.n{i}") for i in range(size)), F.lit(0)) > words)
+        found.append(F.when(good, F.struct(F.lit(size).alias("size"), F.xxhash64(F.lit(size), *own).alias("h1"), F.xxhash64(F.lit(-size), *own).alias("h2"))))
+    if len(found) == 1:
+        return each.select("id", "th", "pos", found[0].alias("w")).where("w IS NOT NULL").select("id", "th", "pos", "w.*")
     return each.select("id", "th", "pos", F.explode(F.array_compact(F.array(*found))).alias("w")).select("id", "th", "pos", "w.*")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, words: int = WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, words: int | None = WORDS) -> DataFrame:
     """``docs`` with repeated runs of lines cut out of ``text_col``, plus n_lines and n_removed.
 
     Every ``window`` consecutive lines form a window, and fewer do if they hold over ``words`` words
-    together. Windows are equal if they have as many lines and these are equal, as they stand; their first occurrence in the order (id, text hash, position) stays, and all lines
+    together (none do if ``words`` is None). Windows are equal if they have as many lines and these are equal, as they stand; their first occurrence in the order (id, text hash, position) stays, and all lines
     that any later occurrence covers go. Each removed line so remains at an earlier place. Kept
     lines are joined by a newline again; a document whose lines all go has an empty text.
 

@@ -34,6 +34,7 @@ def sample_texts(seed=5, n=60):
 
 
 def brute_lines(rows, window=3, words=50):
+    words = float("inf") if words is None else words
     seen, gone = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         ls = [] if t is None else t.split("\n")
