@@ -119,3 +119,21 @@ def minutes_text(milliseconds: Column) -> Column:
     """``m:ss`` of a duration."""
     s = F.floor(milliseconds / 1000)
     return F.format_string("%d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
+
+
+#: How the months' names begin in Russian, January first.
+MONTHS = ("янв", "фев", "мар", "апр", "ма", "июн", "июл", "авг", "сен", "окт", "ноя", "дек")
+
+
+def issued_date(text: Column) -> Column:
+    """A date in free text, such as ``12 мая 1961 г.`` or ``05.1961``; without a day or month the first counts, null without a year."""
+    low = F.lower(text)
+    year = F.regexp_extract(low, "(?<![0-9])(1[0-9]{3}|20[0-9]{2})(?![0-9])", 1)
+    name = F.regexp_extract(low, "(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")[а-я]*", 1)
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name).cast("int")
+    number = F.regexp_extract(low, "(?<![0-9])([0-9]{1,2})[./][0-9]{4}(?![0-9])", 1).try_cast("int")
+    month = F.when(named > 0, named).when(number.between(1, 12), number).otherwise(1)
+    before = F.regexp_extract(low, "(?<![0-9])([0-9]{1,2})(?:[./][0-9]{1,2}[./]| +[а-я]+ )", 1).try_cast("int")
+    day = F.when(before.between(1, 31), before).otherwise(1)
+    at = lambda d: F.try_make_timestamp_ntz(year.try_cast("int"), month, d, F.lit(0), F.lit(0), F.lit(0))
+    return F.coalesce(at(day), at(F.lit(1)))

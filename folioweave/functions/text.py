@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Strings that count as empty in records.
+EMPTY = frozenset({"", "0000-00-00"})
+_SECRET = re.compile(r"(?i)(^|[^a-z])secret([^a-z]|$)")
+
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that stands in the plan once, however often ``then`` uses it.
@@ -177,6 +184,72 @@ def decode_cursor(cursor: Column) -> Column:
     return F.when(F.size(p).isin(2, 3), F.struct(kinds.alias("kinds"), F.expr("0").cast("long").alias("serial")).withField("serial", F.element_at(p, -1).try_cast("long")))
 
 
+def camel_case(text: Column) -> Column:
+    """``some_name`` and ``Some name`` as ``someName``."""
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    raised = F.transform(words, lambda w, i: F.when(i == 0, F.concat(F.lower(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))))
+    return F.array_join(raised, "")
+
+
+def plural(text: Column) -> Column:
+    """The usual English plural of a kind's name."""
+    return (
+        F.when(F.rlike(text, F.lit("(?i)[^aeiou]y$")), F.regexp_replace(text, "(?i)y$", "ies"))
+        .when(F.rlike(text, F.lit("(?i)(s|x|z|ch|sh)$")), F.concat(text, F.lit("es"))).otherwise(F.concat(text, F.lit("s")))
+    )
+
+
+def sanitized_links(links: Column) -> Column:
+    """Links (rel, href, title) with an address that a reader may follow, once each, in order.
+
+    Blanks around addresses go; addresses without a scheme of the web, mail or a name, or a path, go too.
+    """
+    trimmed = F.transform(links, lambda x: F.struct(x["rel"].alias("rel"), F.trim(x["href"]).alias("href"), x["title"].alias("title")))
+    return sorted_links(F.array_distinct(F.filter(trimmed, lambda x: F.coalesce(F.rlike(x["href"], F.lit("(?i)^(?:https?:|mailto:|urn:|/)")), F.lit(False)))))
+
+
+def _cleaned(value: object) -> object:
+    """A JSON value without empty members at any depth; JSON held in strings is read."""
+    if isinstance(value, str):
+        if value[:1] in "[{" and value[-1:] in "]}" and value:
+            try:
+                return _cleaned(json.loads(value))
+            except ValueError:
+                return value
+        return None if value.strip() in EMPTY else value
+    if isinstance(value, dict):
+        kept = {k: _cleaned(v) for k, v in value.items() if not _SECRET.search(k)}
+        return {k: v for k, v in kept.items() if v is not None} or None
+    if isinstance(value, list):
+        return [v for v in map(_cleaned, value) if v is not None] or None
+    return value
+
+
+def clean_json(text: Column) -> Column:
+    """JSON text without nulls, blank strings, void dates, empty lists and objects and secret members, at any depth.
+
+    Null if nothing is left. Text that isn't JSON, or nests deeper than Python reads, stays as it is.
+    """
+    @F.pandas_udf("string")
+    def run(column: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                got = None if t is None else _cleaned(json.loads(t))
+            except (ValueError, RecursionError):
+                return t
+            return None if got is None else json.dumps(got, ensure_ascii=False, separators=(",", ":"))
+
+        return column.map(one, na_action="ignore")
+
+    return run(text)
+
+
+def localized(names: Column, language: Column) -> Column:
+    """A name of several languages (a map) in the one asked for, else in English, else the first there is."""
+    found = F.coalesce(F.try_element_at(names, language), F.try_element_at(names, F.lit("en")))
+    return F.coalesce(found, F.try_element_at(F.map_values(names), F.lit(1)))
+
+
 def without_secrets(params: Column) -> Column:
     """A map without null values and without keys that have the word "secret" in them."""
     return F.map_filter(params, lambda k, v: v.isNotNull() & ~k.rlike(r"(?i)(^|[^a-z])secret([^a-z]|$)"))

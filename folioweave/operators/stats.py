@@ -61,3 +61,8 @@ def marc_field_statistics(records: DataFrame, record: str = "marc", order: str =
 def merged_reports(reports: DataFrame) -> DataFrame:
     """Import reports (class, kind, total, affected) of several batches as one."""
     return reports.groupBy("class", "kind").agg(F.sum("total").alias("total"), F.sum("affected").alias("affected"))
+
+
+def log_weights(rows: DataFrame, by: str) -> DataFrame:
+    """The natural logarithm of how many rows each value of ``by`` has, as a weight."""
+    return rows.groupBy(by).agg(F.log(F.count("*").cast("double")).alias("weight"))

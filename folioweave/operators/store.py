@@ -218,3 +218,16 @@ def relation_groups(edges: DataFrame, limit: int | None = None) -> DataFrame:
     ranked = edges.withColumn("rank", F.row_number().over(newest_first)).where(F.col("rank") <= page_size(limit))
     item = F.struct("rank", "relation_kind", "kind_to", "source_to", "key_to", "serial")
     return ranked.groupBy("kind_from", "source_from", "key_from").agg(F.array_sort(F.collect_list(item)).alias("relations"))
+
+
+def raw_export(store: GraphStore, kind: str, source: str, key: str, provider: str | None = None) -> DataFrame:
+    """A node's newest record as it was delivered, with the name of a file for it: one row at most."""
+    own = store.details.where((F.col("kind") == kind) & (F.col("source") == source) & (F.col("key") == key))
+    own = own if provider is None else own.where(F.col("provider") == provider)
+    name = F.concat_ws("__", F.lit("seed"), "kind", "source", "key", "provider", F.unix_timestamp("time_sys").cast("string"))
+    return own.orderBy(F.desc("serial")).limit(1).select(name.alias("file"), "media_type", "record")
+
+
+def codes(dimension: DataFrame, code: str = "code") -> DataFrame:
+    """A dimension (providers, sources) in order of its codes, once each."""
+    return dimension.dropDuplicates([code]).orderBy(code)

@@ -5,6 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# MARC codes of languages, countries and roles, and their names.
+LANGUAGES = {
+    "ara": "Arabic", "bel": "Belarusian", "bul": "Bulgarian", "chi": "Chinese", "cze": "Czech", "dan": "Danish", "dut": "Dutch", "eng": "English", "est": "Estonian", "fin": "Finnish",
+    "fre": "French", "ger": "German", "grc": "Ancient Greek", "gre": "Greek", "heb": "Hebrew", "hun": "Hungarian", "ita": "Italian", "jpn": "Japanese", "kor": "Korean", "lat": "Latin",
+    "lav": "Latvian", "lit": "Lithuanian", "nor": "Norwegian", "pol": "Polish", "por": "Portuguese", "rum": "Romanian", "rus": "Russian", "spa": "Spanish", "swe": "Swedish", "tat": "Tatar",
+    "tur": "Turkish", "ukr": "Ukrainian",
+}
+COUNTRIES = {
+    "au": "Austria", "be": "Belgium", "bu": "Bulgaria", "bw": "Belarus", "cc": "China", "dk": "Denmark", "enk": "England", "er": "Estonia", "fi": "Finland", "fr": "France", "gw": "Germany",
+    "hu": "Hungary", "it": "Italy", "ja": "Japan", "kz": "Kazakhstan", "lv": "Latvia", "li": "Lithuania", "ne": "Netherlands", "no": "Norway", "pl": "Poland", "po": "Portugal", "rm": "Romania",
+    "ru": "Russia", "sp": "Spain", "sw": "Sweden", "sz": "Switzerland", "tu": "Turkey", "un": "Ukraine", "xxc": "Canada", "xxk": "United Kingdom", "xxu": "United States",
+}
+RELATORS = {
+    "aui": "Author of introduction", "aut": "Author", "cmp": "Composer", "com": "Compiler", "ctb": "Contributor", "cph": "Copyright holder", "crp": "Correspondent", "ctg": "Cartographer",
+    "dst": "Distributor", "edt": "Editor", "ill": "Illustrator", "nrt": "Narrator", "pbl": "Publisher", "pht": "Photographer", "prf": "Performer", "prt": "Printer", "rev": "Reviewer",
+    "sng": "Singer", "trl": "Translator",
+}
 #: Codes of a look-up that are written into the plan; more are joined.
 INLINE = 500
 

@@ -60,6 +60,12 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return read_xml_records(spark, path, LITRES, BOOK_SCHEMA)
 
 
+def read_removed_books(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (key, removed) of books that a publisher took back."""
+    rows = spark.read.format("xml").option("rowTag", "removed-book").schema("_id string, _external_id string, _removed string").load(path)
+    return rows.select(F.coalesce("_external_id", "_id").alias("key"), F.try_to_timestamp("_removed").cast("timestamp_ntz").alias("removed")).where("key IS NOT NULL")
+
+
 def book_tuples(books: DataFrame, source: str = "litres") -> DataFrame:
     return books.select(
         F.lit("book").alias("kind"), F.lit(source).alias("source"), F.coalesce("_external_id", "_id").alias("key"), F.to_json(F.struct("*")).alias("record"),
@@ -78,6 +84,27 @@ def book_publication(b: Column) -> Column:
     )
 
 
+JOURNAL_SCHEMA = (
+    "issn string, title string, issues struct<issue: array<struct<product_id: string, date_public: long, "
+    "articles: struct<article: array<struct<external_pid: string, title: string>>>>>>"
+)
+
+
+def read_journals(spark: SparkSession, path: str) -> DataFrame:
+    """Journals (issn, title, issues) of XML files; texts may be URL-encoded."""
+    rows = read_xml_records(spark, path, JES, JOURNAL_SCHEMA)
+    plain = lambda c: F.coalesce(F.try_url_decode(c), c)
+    article = lambda a: F.struct(a["external_pid"].alias("external_pid"), plain(a["title"]).alias("title"))
+    issue = lambda i: F.struct(i["product_id"].alias("product_id"), i["date_public"].alias("date_public"), F.transform(i["articles"]["article"], article).alias("articles"))
+    return rows.select("issn", plain(F.col("title")).alias("title"), F.transform("issues.issue", issue).alias("issues"))
+
+
+def read_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a registry dump, one JSON object of arrays a file: copies, parts, items, users, directories."""
+    whole = spark.read.option("multiLine", True).json(path)
+    return {name: whole.select(F.explode(name).alias("r")).select("r.*") for name in ("copies", "parts", "items", "users", "directories")}
+
+
 def journal_tuples(journals: DataFrame) -> DataFrame:
     """Tuples of journals (issn, issues[product_id, date_public, articles[external_pid, title]])."""
     issue = journals.select("issn", F.explode("issues").alias("i"))

@@ -80,6 +80,27 @@ def read_marcxml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.to_json(marc).alias("record"), F.lit(MARCXML).alias("media_type"), marc.alias("marc"))
 
 
+_XML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def from_slim_xml(record: Column) -> Column:
+    """The record struct of a MARCXML ``record`` element's text; namespace prefixes are left out."""
+    def plain(c: Column) -> Column:
+        for entity, sign in _XML_ENTITIES:
+            c = F.replace(c, F.lit(entity), F.lit(sign))
+        return c
+
+    attribute = lambda c, name: plain(F.regexp_extract(c, rf"\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+    elements = lambda c, name: F.regexp_extract_all(c, F.lit(rf"(?s)<(?:\w+:)?{name}\b[^>]*>.*?</(?:\w+:)?{name}\s*>"), F.lit(0))
+    inner = lambda c: F.regexp_extract(c, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1)
+    head = lambda c: F.regexp_extract(c, "^<[^>]*>", 0)
+    control = F.transform(elements(record, "controlfield"), lambda e: F.struct(attribute(head(e), "tag").alias("tag"), plain(inner(e)).alias("value")))
+    subs = lambda e: F.transform(elements(inner(e), "subfield"), lambda s: F.struct(attribute(head(s), "code").alias("code"), plain(inner(s)).alias("value")))
+    data = F.transform(elements(record, "datafield"), lambda e: F.struct(attribute(head(e), "tag").alias("tag"), attribute(head(e), "ind1").alias("ind1"), attribute(head(e), "ind2").alias("ind2"), subs(e).alias("subfield")))
+    leader = F.try_element_at(F.transform(elements(record, "leader"), lambda e: plain(inner(e))), F.lit(1))
+    return F.struct(leader.alias("leader"), control.alias("controlfield"), data.alias("datafield")).cast(_STRUCT)
+
+
 def to_slim_xml(rec: Column) -> Column:
     """A record struct as a MARCXML ``record`` element."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))

@@ -65,3 +65,34 @@ def test_kind_prunes_partitions_of_a_written_store(spark, tmp_path):
     store = S.GraphStore.read(spark, str(tmp_path))
     assert "PartitionFilters: [isnotnull(kind" in plan(S.list_kind(store, "nation"))
     assert S.list_kind(store, "nation").count() == 25
+
+
+def test_aggregates_look_only_at_what_is_asked_for(spark):
+    """The node set is joined below the aggregation."""
+    g = graph(spark, SF)
+    nodes = spark.createDataFrame([("customer", "store", "7")], "kind string, source string, key string")
+    counted = plan(S.degrees(g, nodes))
+    assert counted.index("HashAggregate") < counted.index("LeftSemi")
+    edges = S.lookup_relations(g, nodes, limit=100)
+    enriched = plan(S.with_latest_detail(edges, g))
+    assert "LeftSemi" in enriched[enriched.index("SortAggregate" if "SortAggregate" in enriched else "HashAggregate") :]
+
+
+def test_large_pages_rank_shares_of_a_pair_first(spark):
+    g = graph(spark, SF)
+    nodes = spark.createDataFrame([("nation", "store", str(k)) for k in range(25)], "kind string, source string, key string")
+    few, many = S.lookup_relations(g, nodes, limit=20), S.lookup_relations(g, nodes, limit=5000)
+    assert "share" in plan(many) and "share" not in plan(few) and plan(few).count("WindowGroupLimit") == 2
+    assert many.count() == spark.read.parquet(f"{SF}/customer.parquet").count() + spark.read.parquet(f"{SF}/supplier.parquet").count()
+
+
+def test_minting_sorts_once(spark):
+    new = ingest.mint_serials(spark.createDataFrame([(f"k{k:03d}",) for k in range(500)], "key string"), 10, ["key"])
+    assert [tuple(r) for r in new.orderBy("serial").collect()] == [(f"k{k:03d}", 11 + k) for k in range(500)] and "Window" not in plan(new)
+
+
+def test_large_node_sets_are_not_broadcast(spark, monkeypatch):
+    nodes = spark.createDataFrame([("customer", "store", "7" * 100)], "kind string, source string, key string")
+    assert S.few(nodes)
+    monkeypatch.setattr(S, "SMALL_BYTES", 50)
+    assert not S.few(nodes)
