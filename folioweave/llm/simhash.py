@@ -28,6 +28,8 @@ LINK = 2
 CELL = 16
 #: Of ``keep_one``: words a shingle, and the similarity of shingle sets from which texts are near-duplicates.
 SHINGLE, ALIKE = 5, 0.8
+#: Of ``keep_one``: bits of a shingle set's bitmap.
+BITS = 512
 
 
 def _lanes() -> np.ndarray:
@@ -194,11 +196,12 @@ def _lists(h: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (id, th, node, prefix): the text's hash, its shingle set's hash, and the set's prefix.
+    """Rows (id, th, node, prefix, n, bits): the text's hash, its shingle set's hash, the set's prefix, size and bitmap.
 
     A prefix is the first ``n // 5 + 1`` of a set's ``n`` hashes in one order for all sets: those in
     ``common`` (ascending hashes, counts) last and by count, else by value. Sets of similarity 0.8 share all but a fifth of either's hashes
-    at most, so their prefixes share one.
+    at most, so their prefixes share one. Bit k of the bitmap tells whether an odd number of the set's
+    hashes fall on k of ``BITS``: two bitmaps differ in at most as many bits as the sets in hashes.
     """
 
     known, counts = common
@@ -208,17 +211,19 @@ def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.nd
             size = np.diff(at)
             node = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
             row = np.repeat(np.arange(len(size)), size)
+            odd = (np.bincount(row * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(size) * BITS) & 1).astype(bool)
+            bits = np.packbits(odd, bitorder="little").view(np.int64)
             if len(known):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 h = h[np.lexsort((h, np.where(known[k] == h, counts[k], 0), row))]
             much = np.where(size > 0, size // 5 + 1, 0)
             keep = np.arange(len(h)) - at[row] < much[row]
             prefix = _lists(h[keep], np.concatenate([[0], np.cumsum(much)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), prefix], names=["id", "th", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), prefix, pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (BITS // 64), pa.int32()), pa.array(bits))], names=["id", "th", "node", "prefix", "n", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, node long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, node long, prefix array<long>, n long, bits array<long>")
 
 
 def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +241,17 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np
     return tokens[order], counts[order]
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Node pairs (a, b) whose sizes and bitmaps allow a similarity of ``ALIKE``; no other pair has it.
+
+    Sets of x and y hashes that differ in d have (x + y - d) / 2 in common, and that is 4/9 of x + y at least.
+    """
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}"))
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Those of the node pairs (a, b) whose shingle sets have a similarity of ``ALIKE`` or more."""
 
@@ -262,7 +278,7 @@ def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL) ->
     connected with it. Rounds of sixteen times as many leaders follow until all of a cell is connected
     or every pair is compared, so a large group of near copies takes one round and no pair is lost.
     """
-    nodes = rows.groupBy("node").agg(F.first("prefix").alias("prefix"))
+    nodes = cut(rows.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     cells = nodes.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     cells = cut(cells.where(F.size("nodes") > 1).select("nodes").distinct())
     small = cells.where(F.size("nodes") <= cell)
@@ -271,7 +287,7 @@ def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL) ->
     hot = cut(hot)
     first = hot.where("rank = 0").select("cell", F.col("node").alias("a"))
     pairs = pairs.unionByName(hot.where("rank > 0").join(first, "cell").select("a", F.col("node").alias("b")))
-    edges = _verified(cut(pairs.distinct()), rows, docs, text_col)
+    edges = _verified(cut(_possible(pairs.distinct(), nodes)), rows, docs, text_col)
     roots = smallest_reachable(edges, "a", "b")
     done, step = 1, 16
     while True:
@@ -283,7 +299,7 @@ def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL) ->
             return roots
         live = live.join(open_cells, "cell")
         lead = live.where((F.col("rank") >= done) & (F.col("rank") < done + step)).select("cell", F.col("rank").alias("r"), F.col("node").alias("a"), F.col("root").alias("top"))
-        more = cut(live.join(lead, "cell").where("rank > r and root <> top").select("a", F.col("node").alias("b")).distinct())
+        more = cut(_possible(live.join(lead, "cell").where("rank > r and root <> top").select("a", F.col("node").alias("b")).distinct(), nodes))
         found = _verified(more, rows, docs, text_col)
         if not found.isEmpty():
             edges = edges.unionByName(found)
