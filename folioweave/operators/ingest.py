@@ -128,14 +128,21 @@ def prepare(tuples: DataFrame, store: GraphStore, provider: str | None = None, n
     return Batch(fresh["anchor"], fresh["detail"], fresh["relation"], rows.where("class = 'reject'"), lines)
 
 
+#: The key in whose order each table's serials are minted.
+_ORDER = {"anchors": NODE, "details": DETAIL_KEY, "relations": EDGE}
+
+
+def minted(batch: Batch, store: GraphStore, name: str) -> DataFrame:
+    """A batch's rows to append to one of ``store``'s tables, with serials that follow its largest."""
+    old, new = getattr(store, name), getattr(batch, name)
+    most = old.agg(F.max("serial").alias("m")).first()["m"] or 0
+    return mint_serials(new.drop("input_pos"), most, _ORDER[name]).select(*old.columns)
+
+
 def upsert(tuples: DataFrame, store: GraphStore, provider: str | None = None, now=None) -> GraphStore:
     """The rows to append to each table of ``store``, with serials; appending them is the import."""
     batch = prepare(tuples, store, provider, now)
-    most = lambda df: df.agg(F.max("serial").alias("m")).first()["m"] or 0
-    anchors = mint_serials(batch.anchors, most(store.anchors), NODE)
-    details = mint_serials(batch.details.drop("input_pos"), most(store.details), DETAIL_KEY)
-    relations = mint_serials(batch.relations.drop("input_pos"), most(store.relations), EDGE)
-    return GraphStore(*[new.select(*old.columns) for new, old in ((anchors, store.anchors), (details, store.details), (relations, store.relations))])
+    return GraphStore(*[minted(batch, store, name) for name in _ORDER])
 
 
 def appended(store: GraphStore, new: GraphStore) -> GraphStore:

@@ -231,7 +231,8 @@ def import_report(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR), CAST(o_orderkey + 10000000 AS VARCHAR)) + (SELECT max(o_orderkey) FROM orders) AS serial, CAST(o_custkey AS VARCHAR) AS key_from, CAST(o_orderkey + 10000000 AS VARCHAR) AS key_to FROM orders WHERE o_orderkey % 3 = 0")
 def minted_serials(spark, d):
-    return ingest.upsert(_order_tuples(spark, d), graph(spark, d), "p1").relations.select("serial", "key_from", "key_to")
+    batch = ingest.prepare(_order_tuples(spark, d), graph(spark, d), "p1")
+    return ingest.minted(batch, graph(spark, d), "relations").select("serial", "key_from", "key_to")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) x WHERE rn = 1")
