@@ -263,7 +263,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str)
     # One text of each node; its set is formed anew, as to keep all sets takes more disk than the texts.
     of = rows.join(asked, "node").groupBy("node").agg(F.min("th").alias("th"))
     texts = docs.select(xor_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).join(of, "th").select("node", "text")
-    sets = cut(texts.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"]))
+    # Not checkpointed: both joins below take the sets as they are dealt by node here, and share that shuffle.
+    sets = texts.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     # both / (x + y - both) >= 4 / 5
