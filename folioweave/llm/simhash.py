@@ -24,12 +24,16 @@ from . import bytewise as B
 from .common import cut, hash_bound, smallest_reachable, xor_key
 
 LINK = 2
-#: Of ``keep_one``: sets of a cell that are compared in pairs.
-CELL = 16
+#: Of ``keep_one``: sets of a cell that are compared in pairs at once, and leaders of a larger cell's second round.
+CELL, LEADERS = 16, 256
 #: Of ``keep_one``: words a shingle, and the similarity of shingle sets from which texts are near-duplicates.
 SHINGLE, ALIKE = 5, 0.8
 #: Of ``keep_one``: bits of a shingle set's bitmap.
 BITS = 512
+#: Of ``keep_one``: prefixes of the sample that a hash must be in for its cell never to be gathered.
+HEAVY = 64
+#: Of ``keep_one``: texts whose keys are broadcast, 16 bytes each; with more of them the texts are shuffled.
+SMALL = 250_000
 
 
 def _lanes() -> np.ndarray:
@@ -196,11 +200,12 @@ def _lists(h: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (id, th, node, prefix, n, bits): the text's hash, its shingle set's hash, the set's prefix, size and bitmap.
+    """Rows (id, th, node, prefix, heavy, n, bits): the text's hash, its shingle set's hash, the set's prefix, size and bitmap.
 
     A prefix is the first ``n // 5 + 1`` of a set's ``n`` hashes in one order for all sets: those in
     ``common`` (ascending hashes, counts) last and by count, else by value. Sets of similarity 0.8 share all but a fifth of either's hashes
-    at most, so their prefixes share one. Bit k of the bitmap tells whether an odd number of the set's
+    at most, so their prefixes share one. Hashes of a count of ``HEAVY`` or more are in ``heavy``
+    instead of ``prefix``. Bit k of the bitmap tells whether an odd number of the set's
     hashes fall on k of ``BITS``: two bitmaps differ in at most as many bits as the sets in hashes.
     """
 
@@ -213,17 +218,24 @@ def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.nd
             row = np.repeat(np.arange(len(size)), size)
             odd = (np.bincount(row * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(size) * BITS) & 1).astype(bool)
             bits = np.packbits(odd, bitorder="little").view(np.int64)
+            seen = np.zeros(len(h), np.int64)
             if len(known):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                h = h[np.lexsort((h, np.where(known[k] == h, counts[k], 0), row))]
-            much = np.where(size > 0, size // 5 + 1, 0)
-            keep = np.arange(len(h)) - at[row] < much[row]
-            prefix = _lists(h[keep], np.concatenate([[0], np.cumsum(much)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), prefix, pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (BITS // 64), pa.int32()), pa.array(bits))], names=["id", "th", "node", "prefix", "n", "bits"])
+                seen = np.where(known[k] == h, counts[k], 0)
+                order = np.lexsort((h, seen, row))
+                h, seen = h[order], seen[order]
+            keep = np.arange(len(h)) - at[row] < (size // 5 + 1)[row]
+            lists = []
+            for part in (keep & (seen < HEAVY), keep & (seen >= HEAVY)):
+                lists.append(_lists(h[part], np.concatenate([[0], np.cumsum(np.bincount(row[part], minlength=len(size)))])))
+            bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (BITS // 64), pa.int32()), pa.array(bits))
+            columns = [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *lists, pa.array(size), bitmap]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "node", "prefix", "heavy", "n", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, node long, prefix array<long>, n long, bits array<long>")
+    schema = f"id {kind}, th long, node long, prefix array<long>, heavy array<long>, n long, bits array<long>"
+    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, schema)
 
 
 def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -241,17 +253,6 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np
     return tokens[order], counts[order]
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Node pairs (a, b) whose sizes and bitmaps allow a similarity of ``ALIKE``; no other pair has it.
-
-    Sets of x and y hashes that differ in d have (x + y - d) / 2 in common, and that is 4/9 of x + y at least.
-    """
-    of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}"))
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
-
-
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Those of the node pairs (a, b) whose shingle sets have a similarity of ``ALIKE`` or more."""
 
@@ -261,7 +262,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str)
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # One text of each node; its set is formed anew, as to keep all sets takes more disk than the texts.
-    of = rows.join(asked, "node").groupBy("node").agg(F.min("th").alias("th"))
+    of = cut(rows.join(asked, "node").groupBy("node").agg(F.min("th").alias("th")))
+    of = F.broadcast(of) if of.count() <= SMALL else of
     texts = docs.select(xor_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).join(of, "th").select("node", "text")
     # Not checkpointed: both joins below take the sets as they are dealt by node here, and share that shuffle.
     sets = texts.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
@@ -271,44 +273,70 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str)
     return cut(pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL) -> DataFrame:
+def _cells(nodes: DataFrame) -> DataFrame:
+    """Rows (cell, m, node, n, bits): the cells of two sets or more, of each ``m`` sets; of cells of the same sets one.
+
+    Only cells of ``prefix`` hashes are gathered. A hash that isn't among the sample's 100,000 most
+    frequent is in a 100,000th of all prefixes' hashes or so at most, so such a cell fits in a task.
+    Cells of ``heavy`` hashes are told apart by sums over their sets.
+    """
+    told = nodes.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    told = told.where(F.size("nodes") > 1).select("nodes").distinct()
+    light = told.select(F.xxhash64("nodes").alias("cell"), F.size("nodes").cast("long").alias("m"), F.explode("nodes").alias("node"))
+    heavy = nodes.select("node", F.explode("heavy").alias("cell"))
+    sums = heavy.groupBy("cell").agg(F.count("*").alias("m"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)])
+    one = sums.where("m > 1").groupBy("m", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell", "m")
+    members = light.unionByName(heavy.join(one, "cell").select("cell", "m", "node"))
+    return members.join(nodes.select("node", "n", "bits"), "node").select("cell", "m", "node", "n", "bits")
+
+
+def _meet(lead: DataFrame, live: DataFrame) -> DataFrame:
+    """Node pairs (a, b) of a leader and a later set of its cell, not connected yet, that sizes and bitmaps allow a similarity of ``ALIKE``.
+
+    No other pair has it: sets of x and y hashes that differ in d have (x + y - d) / 2 in common, and that is 4/9 of x + y at least.
+    """
+    a = lead.select("cell", F.col("node").alias("a"), F.col("root").alias("top"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bitsa")[k])) for k in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bitsa")[0])))
+    size = 5 * F.least("n", "na") >= 4 * F.greatest("n", "na")
+    on = (live.cell == a.cell) & (F.col("node") > F.col("a")) & (F.col("root") != F.col("top")) & size & (9 * apart <= F.col("n") + F.col("na"))
+    return cut(live.join(a, on).select("a", F.col("node").alias("b")).distinct())
+
+
+def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL, leaders: int = LEADERS) -> DataFrame:
     """Rows (node, root): what pairs of shingle sets of ``ALIKE`` or more similarity connect.
 
     Sets that share a hash of their prefixes form a cell. Cells of up to ``cell`` sets are paired up.
-    In a larger one the first sets are leaders: each is compared with all after it that aren't yet
-    connected with it. Rounds of sixteen times as many leaders follow until all of a cell is connected
-    or every pair is compared, so a large group of near copies takes one round and no pair is lost.
+    In a larger one the first set is the leader: it is compared with all after it. Rounds of
+    ``leaders`` leaders, and ``leaders`` times as many each, follow, compared with those after them that
+    aren't yet connected with them, until all of a cell is connected or every pair is compared, so a
+    large group of near copies takes one round and no pair is lost. Sets are in the order of their
+    hashes, whose place among all hashes tells about how many of the cell come before.
     """
-    nodes = cut(rows.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    cells = nodes.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    cells = cut(cells.where(F.size("nodes") > 1).select("nodes").distinct())
-    small = cells.where(F.size("nodes") <= cell)
-    pairs = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
-    hot = cells.where(F.size("nodes") > cell).select(F.xxhash64("nodes").alias("cell"), F.posexplode("nodes").alias("rank", "node"))
-    hot = cut(hot)
-    first = hot.where("rank = 0").select("cell", F.col("node").alias("a"))
-    pairs = pairs.unionByName(hot.where("rank > 0").join(first, "cell").select("a", F.col("node").alias("b")))
-    edges = _verified(cut(_possible(pairs.distinct(), nodes)), rows, docs, text_col)
+    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prefix", "heavy", "n", "bits")]))
+    members = cut(_cells(nodes))
+    live = members.withColumn("root", F.col("node"))
+    first = members.groupBy("cell").agg(F.min("node").alias("node"))
+    lead = live.where(F.col("m") <= cell).unionByName(live.where(F.col("m") > cell).join(first, ["cell", "node"], "left_semi"))
+    edges = _verified(_meet(lead, live), rows, docs, text_col)
     roots = smallest_reachable(edges, "a", "b")
-    done, step = 1, 16
+    hot = members.where(F.col("m") > cell)
+    place = (F.col("node") / 2.0**64 + 0.5) * F.col("m")
+    done, step = 0, leaders
     while True:
-        live = cut(hot.join(roots, "node", "left").select("cell", "rank", "node", F.coalesce("root", "node").alias("root")))
-        open_cells = live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("rank").alias("most"))
-        open_cells = open_cells.where((F.col("low") != F.col("high")) & (F.col("most") > done)).select("cell")
-        open_cells = cut(open_cells)
-        if open_cells.isEmpty():
+        live = hot.join(roots, "node", "left").select("cell", "m", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
+        unlike = live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        # A place may be rounded up to m itself.
+        live = cut(live.where(F.col("m") >= done).join(unlike, "cell", "left_semi"))
+        if live.isEmpty():
             return roots
-        live = live.join(open_cells, "cell")
-        lead = live.where((F.col("rank") >= done) & (F.col("rank") < done + step)).select("cell", F.col("rank").alias("r"), F.col("node").alias("a"), F.col("root").alias("top"))
-        more = cut(_possible(live.join(lead, "cell").where("rank > r and root <> top").select("a", F.col("node").alias("b")).distinct(), nodes))
-        found = _verified(more, rows, docs, text_col)
+        found = _verified(_meet(live.where((place >= done) & (place < done + step)), live), rows, docs, text_col)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             roots = smallest_reachable(edges, "a", "b")
-        done, step = done + step, step * 16
+        done, step = done + step, step * leaders
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, leaders: int = LEADERS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of its smallest id.
 
     Texts whose sets of five-word shingles (words and short texts as in ``near_duplicates``) have a
@@ -321,7 +349,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ce
     repeat: rows are told apart by id and text, and only rows equal in both are one document.
     """
     rows = cut(with_prefix(docs, id_col, text_col, _common(docs, id_col, text_col)))
-    roots = alike(rows, docs, text_col, cell)
+    roots = alike(rows, docs, text_col, cell, leaders)
     found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = found.groupBy("root").agg(F.min(key).alias("least"))
