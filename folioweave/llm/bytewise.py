@@ -30,7 +30,7 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer text is a run of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -39,7 +39,7 @@ def pieces(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]
         i = j
 
 
-def cuts(raw: np.ndarray, gap: np.ndarray = SPACE, most: int = 1 << 22) -> Iterator[np.ndarray]:
+def cuts(raw: np.ndarray, gap: np.ndarray = SPACE, most: int = 1 << 20) -> Iterator[np.ndarray]:
     """A text in parts of about ``most`` bytes, each ending at a byte of ``gap`` or with the text."""
     at = 0
     while at < len(raw):

@@ -29,7 +29,7 @@ SLOTS_LOG2, HASHES = 21, 3
 #: Languages up to which their sampling bounds are broadcast.
 FEW = 10_000
 #: Bytes of a very long text that are looked up at a time.
-RUN = 1 << 22
+RUN = 1 << 20
 #: A text is rejected where its best language explains less than this corrected share of n-grams.
 COVER = 0.25
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))

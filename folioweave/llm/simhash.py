@@ -102,7 +102,7 @@ def _long_counts(raw: np.ndarray, shingle: int, most: int) -> tuple[np.ndarray,
     return (found, n) if n[0] else bit_counts(carry, np.array([0, len(carry)]), shingle)
 
 
-def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3, most: int = 1 << 22) -> np.ndarray:
+def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3, most: int = 1 << 20) -> np.ndarray:
     """The SimHash of each row as unsigned 64-bit integers; zero for a row of no words."""
     out = [np.zeros(0, np.uint64)]
     for i, j in B.pieces(offsets, most):
