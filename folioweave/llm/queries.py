@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, piece_transducer, simhash, token_records, wrapper_extract
+from . import decontaminate, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, periodic_runs, piece_transducer, simhash, sort_means, token_records, wrapper_extract
 from .common import table
 
 
@@ -64,6 +64,15 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted", "good_share")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_loops(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.with_inertia(*sort_means.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -75,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_paragraph_sketch": op9_paragraph_sketch,
     "op10_line_quality": op10_line_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sort_means": op12_sort_means,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op12_sort_means": sort_means.ORACLE}
