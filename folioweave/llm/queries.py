@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, periodic_runs, piece_transducer, simhash, sort_means, token_records, wrapper_extract
+from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, line_quality, paragraph_sketch, periodic_runs, piece_transducer, simhash, sort_means, token_records, wrapper_extract
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.with_inertia(*sort_means.cluster_vectors(table(spark, sf_dir, "embeddings")))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -86,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_quality": op10_line_quality,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_sort_means": op12_sort_means,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op12_sort_means": sort_means.ORACLE}

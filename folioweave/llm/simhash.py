@@ -1,13 +1,12 @@
 """SimHash near-dedup by segment popcounts, a grid range join and exact verification.
 
-A fingerprint's embedding is the bit count of each of its 32 two-bit segments, a cell of a grid.
-Hamming distance bounds the Manhattan distance of embeddings from above, so fingerprints within
-``LINK`` = 2 bits lie in cells within 2 of each other, and some cell is within 1 of both. Each
-fingerprint therefore goes to its own cell and to those next to it that one changed bit leads to,
-and fingerprints that can be linked meet in a cell. There they are verified exactly: each stands at
-the points that it becomes by the changed bit, and fingerprints within two bits share a point,
-while those of one point are within two bits of each other. So a cell's fingerprints are sorted by
-point and linked to the next one, which takes no pairs, however many a cell holds.
+A fingerprint's embedding is the bit count of each of its 32 two-bit segments, a cell of a grid. The Manhattan
+distance of embeddings is at most the Hamming distance of fingerprints, so those within ``LINK`` = 2 bits lie in cells
+within 2 of each other, and some cell is within 1 of both. Each fingerprint therefore goes to its own cell and to those
+within 1 of it, and fingerprints that meet in a cell are joined if their embeddings are within 2 and then if they
+differ in 2 bits at most. A cell of many fingerprints is split on the bits of its segments, a finer grid whose cells are
+the fingerprints that the cell's own become by one changed bit: all of one such point are within two bits of each other,
+so they are linked in a chain, which takes no pairs.
 """
 
 from __future__ import annotations
@@ -16,24 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewise as B
+from . import set_links as S
 from .common import cut, hash_bound, smallest_reachable, xor_key
 
 LINK = 2
-#: Of ``keep_one``: sets of a cell that are compared in pairs at once, and leaders of a larger cell's second round.
-CELL, LEADERS = 16, 256
-#: Of ``keep_one``: words a shingle, and the similarity of shingle sets from which texts are near-duplicates.
-SHINGLE, ALIKE = 5, 0.8
-#: Of ``keep_one``: bits of a shingle set's bitmap.
-BITS = 512
-#: Of ``keep_one``: prefixes of the sample that a hash must be in for its cell never to be gathered.
-HEAVY = 64
-#: Of ``keep_one``: texts whose keys are broadcast, 16 bytes each; with more of them the texts are shuffled.
-SMALL = 250_000
+#: Fingerprints of a cell up to which they are joined in pairs; a larger cell is split.
+CELL = 64
+#: Of ``keep_one``: texts are near-duplicates from a Jaccard similarity of 4/5 of their sets of five-word shingles on.
+RULE = S.Alike(shingle=5, num=4, den=5)
 
 
 def _lanes() -> np.ndarray:
@@ -45,32 +38,10 @@ def _lanes() -> np.ndarray:
 LANES = _lanes()
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of each shingle of words, repeats included, and its row; none for a row of no words."""
-    rows = len(offsets) - 1
-    start, end, row = B.words(raw, offsets)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # Single spaces between words: of a run of white space the first byte stays, as a space.
-    gap = B.SPACE[raw]
-    keep = ~gap
-    keep[end[end < len(raw)]] = True
-    text = np.where(gap, np.uint8(0x20), B.LOWER[raw])[keep]
-    at = np.cumsum(keep) - 1
-    start, end = at[start], at[end - 1] + 1
-    count = np.bincount(row, minlength=rows)
-    begin = np.cumsum(count) - count
-    k = np.arange(len(start)) - begin[row]
-    last = np.minimum(k + shingle - 1, count[row] - 1)
-    full = (k + shingle <= count[row]) | (k == 0)
-    first, row, last = start[full], row[full], end[(begin[row] + last)[full]]
-    return B.xxh64(text, first, last - first), row
-
-
 def bit_counts(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row, how many of its shingle hashes have each of the 64 bits, and how many hashes there are."""
     rows = len(offsets) - 1
-    h, row = shingles(raw, offsets, shingle)
+    h, row = S.shingles(raw, offsets, shingle)
     n = np.bincount(row, minlength=rows)
     found = np.zeros((rows, 64), np.int64)
     live = np.flatnonzero(n)
@@ -125,25 +96,47 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int =
 
 
 def embedding(fp: Column) -> Column:
-    """Bit counts of the 32 two-bit segments, two bits each, packed into a long."""
+    """Bit counts of the 32 two-bit segments, 0, 1 and 2 written as 00, 01 and 11: embeddings differ in as many bits as their Manhattan distance."""
     low = F.lit(0x5555555555555555)
     up = F.shiftrightunsigned(fp, 1)
-    return F.shiftleft(fp.bitwiseAND(up).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseXOR(up).bitwiseAND(low))
+    return F.shiftleft(fp.bitwiseAND(up).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseOR(up).bitwiseAND(low))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame) -> DataFrame:
+def _bit(x: Column, k: int) -> Column:
+    return x.bitwiseAND(F.lit(_signed(1 << k))) != 0
+
+
+def nearby(cell: Column) -> Column:
+    """The cell and those within 1 of it: a segment of no bits gains one, of two loses one, of one does either."""
+    more = [F.when(~_bit(cell, 2 * k + 1), cell.bitwiseXOR(F.lit(1 << 2 * k))) for k in range(32)]
+    less = [F.when(_bit(cell, 2 * k), cell.bitwiseXOR(F.lit(_signed(2 << 2 * k)))) for k in range(32)]
+    return F.array_compact(F.array(cell, *more, *less))
+
+
+def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` of at most ``LINK`` differing bits.
 
     They connect exactly what all such pairs connect. Null fingerprints link to nothing.
     """
+    met = fps.dropna().select("fp", F.explode(nearby(embedding(F.col("fp")))).alias("cell"))
+    held = cut(met.groupBy("cell").agg(F.count("*").alias("m"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("m > 1"))
+    near = F.bit_count(embedding(F.col("a")).bitwiseXOR(embedding(F.col("b")))) <= LINK
+    exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK
+    some = held.where(f"m BETWEEN 3 AND {cell}").select("cell")
+    member = cut(met.join(F.broadcast(some) if some.count() <= S.SMALL else some, "cell"))
+    pairs = member.withColumnRenamed("fp", "a").join(member.withColumnRenamed("fp", "b"), "cell").where("a < b").select("a", "b")
+    few = held.where("m = 2").select("a", "b").unionByName(pairs).where(near).where(exact)
+    # Fingerprints of a large cell once at each point within a bit of them that lies in the cell.
+    large = held.where(F.col("m") > cell).select("cell")
+    large = F.broadcast(large) if large.count() <= S.SMALL else large
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    met = fps.dropna().select("fp", F.explode(points).alias("point")).withColumn("cell", embedding(F.col("point"))).repartition("cell")
-    at = Window.partitionBy("cell", "point").orderBy("fp")
-    return met.select(F.lag("fp").over(at).alias("a"), F.col("fp").alias("b")).where("a IS NOT NULL").distinct()
+    fine = met.join(large, "cell").select("cell", "fp", F.explode(points).alias("point")).where(embedding(F.col("point")) == F.col("cell"))
+    chain = fine.select(F.lag("fp").over(Window.partitionBy("cell", "point").orderBy("fp")).alias("a"), F.col("fp").alias("b")).where("a IS NOT NULL")
+    return few.unionByName(chain).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -175,66 +168,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all rows, ascending in each row, and the offsets of the rows."""
-    h, row = shingles(raw, offsets, shingle)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    size = np.bincount(row[new], minlength=len(offsets) - 1)
-    return h[new], np.concatenate([[0], np.cumsum(size)])
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Pieces of batches, whose last column is the text, with their shingle sets."""
-    for batch in batches:
-        raw, offsets = B.text_column(batch.column(batch.num_columns - 1))
-        for i, j in B.pieces(offsets):
-            h, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield batch.slice(i, j - i), h, at
+def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray], rule: S.Alike = RULE) -> DataFrame:
+    """Rows (id, th, node, n, bits, prefix): hashes of the text and of its shingle set, the set's size, bitmap and prefix.
 
-
-def _lists(h: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
-
-
-def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (id, th, node, prefix, heavy, n, bits): the text's hash, its shingle set's hash, the set's prefix, size and bitmap.
-
-    A prefix is the first ``n // 5 + 1`` of a set's ``n`` hashes in one order for all sets: those in
-    ``common`` (ascending hashes, counts) last and by count, else by value. Sets of similarity 0.8 share all but a fifth of either's hashes
-    at most, so their prefixes share one. Hashes of a count of ``HEAVY`` or more are in ``heavy``
-    instead of ``prefix``. Bit k of the bitmap tells whether an odd number of the set's
-    hashes fall on k of ``BITS``: two bitmaps differ in at most as many bits as the sets in hashes.
+    A prefix is the first of a set's hashes in one order for all sets: those in ``common`` (ascending hashes, counts)
+    last and by count, else by value. It is as long as a set may have hashes, and one more, that a linked smaller set
+    lacks, a fifth of its ``n`` at a similarity of 0.8.
     """
-
     known, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, h, at in _set_batches(batches):
-            size = np.diff(at)
-            node = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
+        for batch, h, at in S.set_batches(batches, rule.shingle):
+            keys, size = S.set_keys(h, at), np.diff(at)
             row = np.repeat(np.arange(len(size)), size)
-            odd = (np.bincount(row * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(size) * BITS) & 1).astype(bool)
-            bits = np.packbits(odd, bitorder="little").view(np.int64)
-            seen = np.zeros(len(h), np.int64)
             if len(known):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 seen = np.where(known[k] == h, counts[k], 0)
-                order = np.lexsort((h, seen, row))
-                h, seen = h[order], seen[order]
-            keep = np.arange(len(h)) - at[row] < (size // 5 + 1)[row]
-            lists = []
-            for part in (keep & (seen < HEAVY), keep & (seen >= HEAVY)):
-                lists.append(_lists(h[part], np.concatenate([[0], np.cumsum(np.bincount(row[part], minlength=len(size)))])))
-            bitmap = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (BITS // 64), pa.int32()), pa.array(bits))
-            columns = [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), *lists, pa.array(size), bitmap]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "node", "prefix", "heavy", "n", "bits"])
+                h = h[np.lexsort((h, seen, row))]
+            keep = np.arange(len(h)) - at[row] < (size * (rule.den - rule.num) // rule.den + 1)[row]
+            prefix = S.lists(h[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(size)))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *keys, prefix], names=["id", "th", "node", "n", "bits", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    schema = f"id {kind}, th long, node long, prefix array<long>, heavy array<long>, n long, bits array<long>"
+    schema = f"id {kind}, th long, node long, n long, bits array<long>, prefix array<long>"
     return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, schema)
 
 
@@ -253,94 +210,21 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np
     return tokens[order], counts[order]
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Those of the node pairs (a, b) whose shingle sets have a similarity of ``ALIKE`` or more."""
+def prefix_cells(nodes: DataFrame, rule: S.Alike = RULE) -> DataFrame:
+    """Rows (cell, node, short): the hashes of the prefixes, each a cell.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, h, at in _set_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(h, at)], names=["node", "tokens"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # One text of each node; its set is formed anew, as to keep all sets takes more disk than the texts.
-    of = cut(rows.join(asked, "node").groupBy("node").agg(F.min("th").alias("th")))
-    of = F.broadcast(of) if of.count() <= SMALL else of
-    texts = docs.select(xor_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).join(of, "th").select("node", "text")
-    # Not checkpointed: both joins below take the sets as they are dealt by node here, and share that shuffle.
-    sets = texts.mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    # both / (x + y - both) >= 4 / 5
-    return cut(pairs.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
-
-
-def _cells(nodes: DataFrame) -> DataFrame:
-    """Rows (cell, m, node, n, bits): the cells of two sets or more, of each ``m`` sets; of cells of the same sets one.
-
-    Only cells of ``prefix`` hashes are gathered. A hash that isn't among the sample's 100,000 most
-    frequent is in a 100,000th of all prefixes' hashes or so at most, so such a cell fits in a task.
-    Cells of ``heavy`` hashes are told apart by sums over their sets.
+    Linked sets share a hash of the larger one's prefix and of the first few hashes of the smaller one, of which the larger may
+    lack only so many: a ninth at a similarity of 0.8, and one more. In these the smaller is ``short``.
     """
-    told = nodes.select("node", F.explode("prefix").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    told = told.where(F.size("nodes") > 1).select("nodes").distinct()
-    light = told.select(F.xxhash64("nodes").alias("cell"), F.size("nodes").cast("long").alias("m"), F.explode("nodes").alias("node"))
-    heavy = nodes.select("node", F.explode("heavy").alias("cell"))
-    sums = heavy.groupBy("cell").agg(F.count("*").alias("m"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)])
-    one = sums.where("m > 1").groupBy("m", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell", "m")
-    members = light.unionByName(heavy.join(one, "cell").select("cell", "m", "node"))
-    return members.join(nodes.select("node", "n", "bits"), "node").select("cell", "m", "node", "n", "bits")
-
+    few = F.expr(f"n * {rule.den - rule.num} div {rule.den + rule.num} + 1")
+    return nodes.select("node", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "node", (F.col("at") < few).alias("short"))
 
-def _meet(lead: DataFrame, live: DataFrame) -> DataFrame:
-    """Node pairs (a, b) of a leader and a later set of its cell, not connected yet, that sizes and bitmaps allow a similarity of ``ALIKE``.
 
-    No other pair has it: sets of x and y hashes that differ in d have (x + y - d) / 2 in common, and that is 4/9 of x + y at least.
-    """
-    a = lead.select("cell", F.col("node").alias("a"), F.col("root").alias("top"), F.col("n").alias("na"), F.col("bits").alias("bitsa"))
-    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bitsa")[k])) for k in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bitsa")[0])))
-    size = 5 * F.least("n", "na") >= 4 * F.greatest("n", "na")
-    on = (live.cell == a.cell) & (F.col("node") > F.col("a")) & (F.col("root") != F.col("top")) & size & (9 * apart <= F.col("n") + F.col("na"))
-    return cut(live.join(a, on).select("a", F.col("node").alias("b")).distinct())
-
-
-def alike(rows: DataFrame, docs: DataFrame, text_col: str, cell: int = CELL, leaders: int = LEADERS) -> DataFrame:
-    """Rows (node, root): what pairs of shingle sets of ``ALIKE`` or more similarity connect.
-
-    Sets that share a hash of their prefixes form a cell. Cells of up to ``cell`` sets are paired up.
-    In a larger one the first set is the leader: it is compared with all after it. Rounds of
-    ``leaders`` leaders, and ``leaders`` times as many each, follow, compared with those after them that
-    aren't yet connected with them, until all of a cell is connected or every pair is compared, so a
-    large group of near copies takes one round and no pair is lost. Sets are in the order of their
-    hashes, whose place among all hashes tells about how many of the cell come before.
-    """
-    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prefix", "heavy", "n", "bits")]))
-    members = cut(_cells(nodes))
-    live = members.withColumn("root", F.col("node"))
-    first = members.groupBy("cell").agg(F.min("node").alias("node"))
-    lead = live.where(F.col("m") <= cell).unionByName(live.where(F.col("m") > cell).join(first, ["cell", "node"], "left_semi"))
-    edges = _verified(_meet(lead, live), rows, docs, text_col)
-    roots = smallest_reachable(edges, "a", "b")
-    hot = members.where(F.col("m") > cell)
-    place = (F.col("node") / 2.0**64 + 0.5) * F.col("m")
-    done, step = 0, leaders
-    while True:
-        live = hot.join(roots, "node", "left").select("cell", "m", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
-        unlike = live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        # A place may be rounded up to m itself.
-        live = cut(live.where(F.col("m") >= done).join(unlike, "cell", "left_semi"))
-        if live.isEmpty():
-            return roots
-        found = _verified(_meet(live.where((place >= done) & (place < done + step)), live), rows, docs, text_col)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            roots = smallest_reachable(edges, "a", "b")
-        done, step = done + step, step * leaders
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL, leaders: int = LEADERS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaders: int = S.LEADERS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of its smallest id.
 
     Texts whose sets of five-word shingles (words and short texts as in ``near_duplicates``) have a
-    Jaccard similarity of ``ALIKE`` or more are linked; groups are what links reach. All such pairs
+    Jaccard similarity of 0.8 or more are linked; groups are what links reach. All such pairs
     are found: similarity 0.8 leaves SimHash fingerprints about ten bits apart, more than a grid of
     bit counts can bridge, so candidates share a shingle of their sets' prefixes instead. Sets are
     equal if their 64-bit hashes are; null and blank texts are alike.
@@ -349,7 +233,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ce
     repeat: rows are told apart by id and text, and only rows equal in both are one document.
     """
     rows = cut(with_prefix(docs, id_col, text_col, _common(docs, id_col, text_col)))
-    roots = alike(rows, docs, text_col, cell, leaders)
+    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prefix", "n", "bits")]))
+    roots = S.connected(prefix_cells(nodes), nodes, rows, docs, text_col, RULE, leaders)
     found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = found.groupBy("root").agg(F.min(key).alias("least"))

@@ -166,7 +166,7 @@ def with_inertia(found: DataFrame, centroids: list[list[int]]) -> DataFrame:
 def _oracle() -> str:
     """The query's result in SQL, a few expressions a round."""
     parts = [
-        "kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64)",
+        "kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
         "v AS (SELECT vec_id, unnest(range(64)) AS place, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept)",
         "seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < 16)",
         "c0 AS (SELECT cluster, place, x FROM v JOIN seeds USING (vec_id))",

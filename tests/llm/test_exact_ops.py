@@ -10,8 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from folioweave.llm import bytewise, license_scan, line_dedup, simhash, token_records
+from folioweave.llm import bytewise, license_scan, line_dedup, set_links, simhash, token_records
 from folioweave.llm.common import smallest_reachable
 
 DOCS = "doc_id long, text string, lang string, n_lines string, id string, fp string"
@@ -135,8 +136,8 @@ def test_simhash_of_a_very_long_text(spark):
     assert got.fingerprint == f"{want:016x}"
 
 
-@pytest.mark.parametrize("seed", [0, 2, 16])
-def test_links_connect_what_all_pairs_connect(spark, seed):
+@pytest.mark.parametrize(("seed", "cell"), [(0, 64), (2, 3), (16, 64), (16, 2)])
+def test_links_connect_what_all_pairs_connect(spark, seed, cell):
     rng = random.Random(seed)
     fps = {0, (1 << 64) - 1}
     for _ in range(12):
@@ -147,7 +148,7 @@ def test_links_connect_what_all_pairs_connect(spark, seed):
                 x ^= 1 << rng.randrange(64)
     fps = sorted(fps)
     frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    edges = simhash.links(frame)
+    edges = simhash.links(frame, cell)
     got = {r.node % (1 << 64): r.root % (1 << 64) for r in smallest_reachable(edges, "a", "b").collect()}
     want = brute_components(fps)
     of = {}
@@ -184,9 +185,9 @@ def brute_alike(texts):
     return root
 
 
-@pytest.mark.parametrize("cell", [1, 16])
-def test_keep_one_matches_brute_force_similarity(spark, cell):
-    rng = random.Random(cell)
+@pytest.mark.parametrize("leaders", [2, 256])
+def test_keep_one_matches_brute_force_similarity(spark, leaders):
+    rng = random.Random(leaders)
     texts = ["", None, "one", "two words"]
     for _ in range(5):
         base = [f"w{rng.randrange(900)}" for _ in range(rng.randint(30, 120))]
@@ -196,7 +197,7 @@ def test_keep_one_matches_brute_force_similarity(spark, cell):
                 copy[rng.randrange(len(copy))] = f"new{rng.randrange(900)}"
             texts.append(" ".join(copy))
     root = brute_alike(texts)
-    kept = sorted(r.doc_id for r in simhash.keep_one(docs_frame(spark, texts), cell=cell).collect())
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_frame(spark, texts), leaders=leaders).collect())
     assert kept == sorted(set(root)) and len(kept) < len(texts) - 10
 
 
@@ -207,6 +208,28 @@ def test_keep_one_tells_rows_of_null_and_repeated_ids_apart(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (2, "quite another text of this id")], key=str)
 
 
+def test_embedding_bounds_the_hamming_distance(spark):
+    rng = random.Random(4)
+    rows = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(50)]
+    rows += [(a, a ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60))) for a, _ in rows]
+    e = simhash.embedding
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", F.bit_count(e(F.col("a")).bitwiseXOR(e(F.col("b")))).alias("apart"), simhash.nearby(e(F.col("a"))).alias("cells"), e(F.col("a")).alias("own"))
+    for r in got.collect():
+        counts = [[(x >> 2 * k & 3).bit_count() for k in range(32)] for x in (r.a, r.b)]
+        assert r.apart == sum(abs(x - y) for x, y in zip(*counts, strict=True)) <= ((r.a ^ r.b) % (1 << 64)).bit_count()
+        assert r.cells[0] == r.own and len(set(r.cells)) == len(r.cells) == 33 + counts[0].count(1)
+
+
+def test_templated_pages_share_no_cell(spark):
+    """Pages of 50 words of a template and 10 of their own meet in no cell: the work grows with the pages, not with their pairs."""
+    rows = [(k, " ".join([f"t{i}" for i in range(50)] + [f"own{k}x{i}" for i in range(10)])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash.with_prefix(docs, "doc_id", "text", simhash._common(docs, "doc_id", "text"))
+    two, members = set_links.cells(simhash.prefix_cells(nodes), nodes)
+    assert two.isEmpty() and members.isEmpty()
+    assert simhash.keep_one(docs).count() == 400
+
+
 # Token records
 
 
