@@ -195,15 +195,19 @@ def with_prefix(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.nd
     return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, schema)
 
 
-def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame, text_col: str, rule: S.Alike = RULE) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes, and their counts, found in many texts of a sample, 100,000 at most.
 
     They only order the prefixes, so that a common line seldom brings texts together; which they are
     changes no result.
     """
-    some = docs.where(F.xxhash64(F.lit(7), F.col(text_col)) <= hash_bound(0.25))
-    tokens = with_prefix(some, id_col, text_col, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).dropDuplicates(["node"]).select(F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(100_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _ in S.set_batches(batches, rule.shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["token"])
+
+    some = docs.where(F.xxhash64(F.lit(7), F.col(text_col)) <= hash_bound(0.1)).select(F.col(text_col).alias("text"))
+    often = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "token").limit(100_000)
     found = often.toArrow()
     tokens, counts = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(tokens)
@@ -232,7 +236,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     Of a group the row of the smallest (id, text hash) stays, null ids last. Ids may be null or
     repeat: rows are told apart by id and text, and only rows equal in both are one document.
     """
-    rows = cut(with_prefix(docs, id_col, text_col, _common(docs, id_col, text_col)))
+    rows = cut(with_prefix(docs, id_col, text_col, _common(docs, text_col)))
     nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prefix", "n", "bits")]))
     roots = S.connected(prefix_cells(nodes), nodes, rows, docs, text_col, RULE, leaders)
     found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))

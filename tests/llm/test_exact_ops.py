@@ -224,7 +224,7 @@ def test_templated_pages_share_no_cell(spark):
     """Pages of 50 words of a template and 10 of their own meet in no cell: the work grows with the pages, not with their pairs."""
     rows = [(k, " ".join([f"t{i}" for i in range(50)] + [f"own{k}x{i}" for i in range(10)])) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = simhash.with_prefix(docs, "doc_id", "text", simhash._common(docs, "doc_id", "text"))
+    nodes = simhash.with_prefix(docs, "doc_id", "text", simhash._common(docs, "text"))
     two, members = set_links.cells(simhash.prefix_cells(nodes), nodes)
     assert two.isEmpty() and members.isEmpty()
     assert simhash.keep_one(docs).count() == 400
