@@ -153,7 +153,7 @@ def joined_uri(*parts: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(first, "/+$", ""), *[F.regexp_replace(p, "^/+|/+$", "") for p in rest])
 
 
-#: What a link's relation tells about its place, the first that fits: no relation comes first, conversions last.
+# Patterns of a link's relation and its place, the first that fits; no relation comes first, conversions last.
 LINK_ORDER = (("^$", 0), ("^self$", 1), ("(?i)/acquisition/open-access", 2), ("(?i)/acquisition", 3), ("(?i)convertedfrom", 9), ("(?i)first", 4))
 
 

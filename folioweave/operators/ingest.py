@@ -132,17 +132,21 @@ def prepare(tuples: DataFrame, store: GraphStore, provider: str | None = None, n
 _ORDER = {"anchors": NODE, "details": DETAIL_KEY, "relations": EDGE}
 
 
-def minted(batch: Batch, store: GraphStore, name: str) -> DataFrame:
-    """A batch's rows to append to one of ``store``'s tables, with serials that follow its largest."""
+def minted(batch: Batch, store: GraphStore, name: str, most: int | None = None) -> DataFrame:
+    """A batch's rows to append to one of ``store``'s tables, with serials that follow its largest, or ``most``."""
     old, new = getattr(store, name), getattr(batch, name)
-    most = old.agg(F.max("serial").alias("m")).first()["m"] or 0
+    if most is None:
+        most = old.agg(F.max("serial").alias("m")).first()["m"] or 0
     return mint_serials(new.drop("input_pos"), most, _ORDER[name]).select(*old.columns)
 
 
-def upsert(tuples: DataFrame, store: GraphStore, provider: str | None = None, now=None) -> GraphStore:
-    """The rows to append to each table of ``store``, with serials; appending them is the import."""
+def upsert(tuples: DataFrame, store: GraphStore, provider: str | None = None, now=None, largest: dict[str, int] | None = None) -> GraphStore:
+    """The rows to append to each table of ``store``, with serials; appending them is the import.
+
+    Serials follow the store's largest, or those of ``largest`` by table, where rows that were deleted had larger ones.
+    """
     batch = prepare(tuples, store, provider, now)
-    return GraphStore(*[minted(batch, store, name) for name in _ORDER])
+    return GraphStore(*[minted(batch, store, name, (largest or {}).get(name)) for name in _ORDER])
 
 
 def appended(store: GraphStore, new: GraphStore) -> GraphStore:
@@ -155,21 +159,29 @@ def new_codes(batch: DataFrame, column: str, dimension: DataFrame, code: str = "
     return own.join(dimension.select(code), code, "left_anti")
 
 
+def matching(kind: str, source: str | None = None, key: str | None = None, end: str = "") -> Column:
+    """Whether a row is of the kind, source or node; of edges one ``end``, ``_from`` or ``_to``."""
+    cond = F.col(f"kind{end}") == kind
+    for name, value in (("source", source), ("key", key)):
+        cond = cond if value is None else cond & (F.col(f"{name}{end}") == value)
+    return F.coalesce(cond, F.lit(False))
+
+
+def removal(store: GraphStore, kind: str, source: str | None = None, key: str | None = None) -> GraphStore:
+    """What a cascading delete takes from ``store``: a kind's, source's or node's anchors, details and edges either way, each once."""
+    own, edges = matching(kind, source, key), matching(kind, source, key, "_from") | matching(kind, source, key, "_to")
+    return GraphStore(store.anchors.where(own), store.details.where(own), store.relations.where(edges))
+
+
 def cascade(store: GraphStore, kind: str, source: str | None = None, key: str | None = None) -> tuple[GraphStore, DataFrame]:
     """``store`` without a kind's, source's or node's anchors, details and edges, and the counts removed."""
-    def of(end: str = "") -> Column:
-        cond = F.col(f"kind{end}") == kind
-        for name, value in (("source", source), ("key", key)):
-            cond = cond if value is None else cond & (F.col(f"{name}{end}") == value)
-        return F.coalesce(cond, F.lit(False))
-
-    into, out = of("_to"), of("_from")
+    own, into, out = (matching(kind, source, key, end) for end in ("", "_to", "_from"))
     steps = [
         ("incoming", store.relations.where(into)), ("outgoing", store.relations.where(out & ~into)),
-        ("details", store.details.where(of())), ("anchors", store.anchors.where(of())),
+        ("details", store.details.where(own)), ("anchors", store.anchors.where(own)),
     ]
     counts = None
     for name, rows in steps:
         line = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n")
         counts = line if counts is None else counts.unionByName(line)
-    return GraphStore(store.anchors.where(~of()), store.details.where(~of()), store.relations.where(~into & ~out)), counts
+    return GraphStore(store.anchors.where(~own), store.details.where(~own), store.relations.where(~into & ~out)), counts

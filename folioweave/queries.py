@@ -516,4 +516,4 @@ def newest_relations_with_records(spark, d):
 
 FLAGSHIP = newest_relations_with_records
 
-from . import format_queries  # noqa: E402, F401  (registers its queries too)
+from . import format_queries, linked_queries  # noqa: E402, F401  (they register their queries too)

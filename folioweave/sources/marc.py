@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import marc as M
 from ..model import MARC_RECORD
+from ..plans.linking import linking_edges, linking_tuples
 from .registry import MARC, MARCXML, ROW_TAG
 
 FIELD_MARK, SUBFIELD_MARK = "\x1e", "\x1f"
@@ -111,8 +112,8 @@ def to_slim_xml(rec: Column) -> Column:
     return text("<record><leader>", esc(rec["leader"]), "</leader>", control, data, "</record>")
 
 
-def tuples(records: DataFrame, generate_collections: bool = False) -> DataFrame:
-    """Tuples of MARC records (record, media_type, marc, pos): the record, its copies, links and collections."""
+def tuples(records: DataFrame, generate_collections: bool = False, linking: bool = True) -> DataFrame:
+    """Tuples of MARC records (record, media_type, marc, pos): the record, its copies, links, linking entries and collections."""
     m = F.col("marc")
     base = records.select("record", "media_type", F.col("pos").alias("input_pos"), "marc", F.lower(M.kind(m)).alias("kind"), F.lower(M.source(m)).alias("source"), F.lower(M.key(m)).alias("key"), M.dates(m)["record_start"].alias("time_source"))
     base = base.where((F.col("kind") != "") & (F.col("source") != ""))
@@ -135,4 +136,5 @@ def tuples(records: DataFrame, generate_collections: bool = False) -> DataFrame:
     if generate_collections:
         parts.append(F.flatten(F.transform(M.collections(m), lambda c: F.array(entity(F.lit("collection"), F.col("source"), F.lower(c), blank), edge((F.lit("collection"), F.col("source"), F.lower(c)), "item", own)))))
     typed = [p if k else F.filter(F.array(entity(*own, F.col("record"))), lambda _: ~F.col("kind").isin("item", "url")) for k, p in enumerate(parts)]
-    return base.select("media_type", "time_source", "input_pos", F.explode(F.concat(*typed)).alias("t")).select("t.*", "media_type", "time_source", "input_pos", blank.alias("provider"))
+    own = base.select("media_type", "time_source", "input_pos", F.explode(F.concat(*typed)).alias("t")).select("t.*", "media_type", "time_source", "input_pos", blank.alias("provider"))
+    return own.unionByName(linking_tuples(linking_edges(records))) if linking else own
