@@ -1,8 +1,8 @@
 """Connecting shingle sets of a Jaccard similarity, from cells in which similar sets meet.
 
 Whoever calls deals the sets to cells so that any two of enough similarity meet in one. Here cells are told apart
-without gathering them, equal ones counted once, and their sets compared by leaders: first each set with one leader,
-then blocks of leaders with those that they aren't connected with yet. Sizes and bitmaps rule out most pairs within
+without gathering them, equal ones counted once, and their sets compared by leaders: first with one leader of a cell,
+then with blocks of leaders that they aren't connected with yet. Sizes and bitmaps rule out most pairs within
 the join; what is left is verified on the sets themselves.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import bytewise as B
 from .common import cut, smallest_reachable, xor_key
 
-#: Leaders of a cell's first block; the next ones are so many times as large.
-LEADERS = 256
+#: How many times as large the next block of leaders is; the first one is a single set.
+GROWTH = 16
 #: Bits of a set's bitmap.
 BITS = 512
 #: Rows of keys that are broadcast, 24 bytes each; with more of them tables are shuffled.
@@ -119,13 +119,14 @@ def cells(entries: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``entries`` has (cell, node, short) once for each set of a cell. Cells without a ``short`` set make no pair and go;
     of cells of the same sets one stays. A cell is known by sums over its sets, no cell is gathered.
     """
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node", "short")).alias(f"x{k}") for k in (1, 2)]
-    sums = entries.groupBy("cell").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.max("short").alias("some"), *marks)
-    sums = cut(sums.where("m > 1 AND some").groupBy("m", "x1", "x2").agg(*[F.min(c).alias(c) for c in ("cell", "a", "b")]))
+    sums = entries.groupBy("cell").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.max("short").alias("some"))
+    sums = cut(sums.where("m > 1 AND some"))
     large = sums.where("m > 2").select("cell", "m")
-    large = F.broadcast(large) if large.count() <= SMALL else large
-    members = entries.join(large, "cell").join(nodes.select("node", "n", "bits"), "node")
-    return sums.where("m = 2").select("a", "b").distinct(), cut(members.select("cell", "m", "node", "short", "n", "bits"))
+    members = cut(entries.join(F.broadcast(large) if large.count() <= SMALL else large, "cell"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node", "short")).alias(f"x{k}") for k in (1, 2)]
+    one = members.groupBy("cell").agg(F.first("m").alias("m"), *marks).groupBy("m", "x1", "x2").agg(F.min("cell").alias("cell"))
+    kept = members.join(one.select("cell"), "cell", "left_semi").join(nodes.select("node", "n", "bits"), "node")
+    return sums.where("m = 2").select("a", "b").distinct(), cut(kept.select("cell", "m", "node", "short", "n", "bits"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, rule: Alike) -> DataFrame:
@@ -168,23 +169,34 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str,
     return cut(pairs.join(left, "a").join(right, "b").where(rule.verified(both, F.size("x"), F.size("y"))).select("a", "b"))
 
 
-def connected(entries: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, rule: Alike, leaders: int = LEADERS) -> DataFrame:
+def _joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after linked ``pairs`` (a, b) of nodes: only pairs of different roots are followed."""
+    if roots is None:
+        return smallest_reachable(pairs, "a", "b")
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(of, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    tops = smallest_reachable(pairs.select("a_root", "b_root").distinct(), "a_root", "b_root").select(F.col("node").alias("top"), F.col("root").alias("next"))
+    old = roots.join(tops, roots.root == tops.top, "left").select("node", F.coalesce("next", "root").alias("root"))
+    new = tops.join(roots, tops.top == roots.node, "left_anti").select(F.col("top").alias("node"), F.col("next").alias("root"))
+    return cut(old.unionByName(new))
+
+
+def connected(entries: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, rule: Alike, growth: int = GROWTH) -> DataFrame:
     """Rows (node, root): what the linked pairs that meet in a cell of ``entries`` connect.
 
-    Pairs of cells of two, and each set with the first leader of all its cells, come first, which connects a large
-    group of near copies in one round. Rounds of ``leaders`` leaders of each cell, and ``leaders`` times as many each,
+    Pairs of cells of two, and the sets of each larger cell with its first leader, come first, which connects most of a
+    large group of near copies. Rounds of ``growth`` leaders of each cell, and ``growth`` times as many each,
     follow, compared with the sets that aren't connected with them, until all of a cell is connected or compared, so no
     pair is lost. Sets are in the order of their hashes, whose place among all hashes tells about how many of the cell
     come before.
     """
     two, members = cells(entries, nodes)
     first = members.where("short").groupBy("cell").agg(F.min("node").alias("lead"))
-    ahead = members.join(first, "cell").where("lead <> node").groupBy("node").agg(F.min("lead").alias("lead"))
-    pairs = two.unionByName(ahead.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct()
-    edges = verified(cut(likely(pairs, nodes, rule)), rows, docs, text_col, rule)
-    roots = smallest_reachable(edges, "a", "b")
+    ahead = members.join(first, "cell").where("lead <> node").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    roots = _joined(None, verified(cut(likely(two.unionByName(ahead).distinct(), nodes, rule)), rows, docs, text_col, rule))
     place = (F.col("node") / 2.0**64 + 0.5) * F.col("m")
-    done, step = 0, leaders
+    done, step = 0, max(2, growth)
     while True:
         live = members.where(F.col("m") >= done).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         unlike = live.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -192,8 +204,7 @@ def connected(entries: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataF
         live = cut(live.join(unlike, "cell", "left_semi"))
         if live.isEmpty():
             return roots
-        found = verified(meet(live.where(F.col("short") & (place >= done) & (place < done + step)), live, rule), rows, docs, text_col, rule)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            roots = smallest_reachable(edges, "a", "b")
-        done, step = done + step, step * leaders
+        pairs = meet(live.where(F.col("short") & (place >= done) & (place < done + step)), live, rule)
+        if not pairs.isEmpty() and not (found := verified(pairs, rows, docs, text_col, rule)).isEmpty():
+            roots = _joined(roots, found)
+        done, step = done + step, step * max(2, growth)

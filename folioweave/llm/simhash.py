@@ -224,7 +224,7 @@ def prefix_cells(nodes: DataFrame, rule: S.Alike = RULE) -> DataFrame:
     return nodes.select("node", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "node", (F.col("at") < few).alias("short"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaders: int = S.LEADERS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", growth: int = S.GROWTH) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of its smallest id.
 
     Texts whose sets of five-word shingles (words and short texts as in ``near_duplicates``) have a
@@ -238,7 +238,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     rows = cut(with_prefix(docs, id_col, text_col, _common(docs, text_col)))
     nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prefix", "n", "bits")]))
-    roots = S.connected(prefix_cells(nodes), nodes, rows, docs, text_col, RULE, leaders)
+    roots = S.connected(prefix_cells(nodes), nodes, rows, docs, text_col, RULE, growth)
     found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = found.groupBy("root").agg(F.min(key).alias("least"))

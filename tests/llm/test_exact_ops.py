@@ -185,9 +185,9 @@ def brute_alike(texts):
     return root
 
 
-@pytest.mark.parametrize("leaders", [2, 256])
-def test_keep_one_matches_brute_force_similarity(spark, leaders):
-    rng = random.Random(leaders)
+@pytest.mark.parametrize("growth", [2, 256])
+def test_keep_one_matches_brute_force_similarity(spark, growth):
+    rng = random.Random(growth)
     texts = ["", None, "one", "two words"]
     for _ in range(5):
         base = [f"w{rng.randrange(900)}" for _ in range(rng.randint(30, 120))]
@@ -197,7 +197,7 @@ def test_keep_one_matches_brute_force_similarity(spark, leaders):
                 copy[rng.randrange(len(copy))] = f"new{rng.randrange(900)}"
             texts.append(" ".join(copy))
     root = brute_alike(texts)
-    kept = sorted(r.doc_id for r in simhash.keep_one(docs_frame(spark, texts), leaders=leaders).collect())
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_frame(spark, texts), growth=growth).collect())
     assert kept == sorted(set(root)) and len(kept) < len(texts) - 10
 
 

@@ -207,9 +207,9 @@ def near_copies(rng, groups=7, size=12):
     return texts
 
 
-@pytest.mark.parametrize("leaders", [2, 256])
-def test_join_matches_brute_force(spark, leaders):
-    rng = random.Random(leaders)
+@pytest.mark.parametrize("growth", [2, 256])
+def test_join_matches_brute_force(spark, growth):
+    rng = random.Random(growth)
     texts = near_copies(rng)
     # Copies of one another along a chain, templates, sets of few shingles, none.
     chain = [f"c{k}" for k in range(60)]
@@ -218,7 +218,7 @@ def test_join_matches_brute_force(spark, leaders):
     texts += ["", None, " \t", "one", "ONE", "two words", "Two Words ", "a b c", "a b c d", "x " * 50, "x x x x", "\u00c4 b c", "\u00e4 b c"]
     rows = [*enumerate(texts), (3, texts[3]), (3, "quite another text"), (None, texts[8]), (None, "only nulls here"), (None, "only nulls here"), (None, "")]
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, node string, id int, n int")
-    found = jaccard_join.jaccard_components(docs, leaders=leaders)
+    found = jaccard_join.jaccard_components(docs, growth=growth)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute_join(rows)
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
