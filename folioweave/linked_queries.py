@@ -1,4 +1,4 @@
-"""The catalogue's queries over linking entries, counts that heed deletions, and deletes on stored tables."""
+"""The catalogue's queries over linking entries, counts that heed deletions, deletes on stored tables, and nested records."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .format_queries import LEADER, _marc, _scratch
-from .operators import ingest, stats, stored
+from .operators import ingest, leaves, stats, stored
 from .operators import store as S
 from .plans import linking
 from .queries import query
+from .sources import tsv
 from .sources.tables import graph, table
 
 # Linking entries
@@ -118,3 +119,54 @@ def deleted_from_store(spark, d):
         own = getattr(left, name).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "kind", "n")
         rows = own if rows is None else rows.unionByName(own)
     return rows
+
+
+# Nested records
+
+
+def _orders_json(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as objects five levels deep, with lists of one to three and of lists."""
+    word = lambda n: F.get(F.split("o_orderpriority", "-"), F.lit(n))
+    part = F.struct(F.struct(F.struct(F.col("o_orderstatus").alias("code"), F.array(F.array(word(0), word(1))).alias("words")).alias("state")).alias("of"))
+    deep = F.struct(
+        F.col("o_orderkey").alias("id"), F.struct(F.array_repeat(part, (F.col("o_orderkey") % 3 + 1).cast("int")).alias("parts"), F.col("o_totalprice").alias("price")).alias("record"),
+        F.when(F.col("o_custkey") % 2 == 0, F.struct(F.struct(F.col("o_custkey").alias("key")).alias("customer"))).alias("by"),
+    )
+    return table(spark, d, "orders").select(F.to_json(deep).alias("json"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS code, CAST(o_orderkey % 3 + 1 AS INTEGER) AS n, split_part(o_orderpriority, '-', 2) AS word,
+    CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS customer FROM orders""")
+def tsv_leaf_round_trip(spark, d):
+    """Written with a column for each leaf path and built up again by path."""
+    path = _scratch(spark, "leaves")
+    leaves.write_leaf_tsv(_orders_json(spark, d), "json", path)
+    rows = leaves.nested_records(tsv.read_tsv(spark, path))
+    last = "id string, record struct<parts:array<struct<of:struct<state:struct<code:string,words:array<array<string>>>>>>>, by struct<customer:struct<key:string>>"
+    r = rows.select(F.from_json("record", last).alias("r")).select("r.*")
+    end = F.element_at("record.parts", -1)["of"]["state"]
+    return r.select("id", end["code"].alias("code"), F.size("record.parts").alias("n"), end["words"][0][1].alias("word"), F.col("by.customer.key").alias("customer"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(['id', 'record.price', 'record.parts.0.of.state.code', 'record.parts.0.of.state.words.0.1'] || CASE WHEN o_orderkey % 3 = 2 THEN ['record.parts.2.of.state.words.0.0'] ELSE CAST([] AS VARCHAR[]) END) AS name FROM orders) t GROUP BY 1")
+def leaf_occurrences(spark, d):
+    """How often a leaf path occurs in nested records."""
+    wanted = ["id", "record.price", "record.parts.0.of.state.code", "record.parts.0.of.state.words.0.1", "record.parts.2.of.state.words.0.0"]
+    name = F.array_join("steps", ".").alias("name")
+    return leaves.leaves(_orders_json(spark, d), "json", []).select(name).where(F.col("name").isin(wanted)).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(38,10))) AS DECIMAL(38,2)) AS price, arg_max(o_orderpriority, o_orderkey) AS priority, arg_max(o_orderstatus = 'F', o_orderkey) AS finished,
+    string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1""")
+def merged_records(spark, d):
+    """Reports of single orders merged to one of each customer: counts and prices add up at any depth, keys are joined, the last priority stays."""
+    one = F.struct(
+        F.lit(1).alias("n"), F.struct(F.struct(F.col("o_totalprice").cast("decimal(20,2)").alias("sum")).alias("price"), F.create_map(F.col("o_orderstatus"), F.lit(1)).alias("of")).alias("totals"),
+        F.struct(F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("finished")).alias("last"), F.array("o_orderkey").alias("keys"),
+    )
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_json(one).alias("json"))
+    merged = leaves.merged_objects(rows, "json", ["o_custkey"], "o_orderkey")
+    shape = "n long, totals struct<price:struct<sum:decimal(38,2)>,of:map<string,long>>, last struct<priority:string,finished:boolean>, keys array<long>"
+    m = merged.select("o_custkey", F.from_json("merged", shape).alias("m")).select("o_custkey", "m.*")
+    of = lambda c: F.coalesce(F.try_element_at("totals.of", F.lit(c)), F.lit(0))
+    return m.select("o_custkey", "n", F.col("totals.price.sum").alias("price"), "last.priority", "last.finished", F.array_join("keys", ",").alias("keys"), of("F").alias("f"), of("O").alias("o"))

@@ -274,7 +274,7 @@ def tsv_to_opds(record: Column) -> Column:
     lines = F.split(record, "\n")
 
     def render(rows: Column) -> Column:
-        pairs = F.arrays_zip(F.transform(rows["names"], F.trim).alias("k"), rows["cells"].alias("v"))
+        pairs = F.arrays_zip(F.transform(rows["names"], lambda n: F.trim(n)).alias("k"), rows["cells"].alias("v"))
         named = lambda *names: F.try_element_at(F.transform(F.filter(pairs, lambda p: p["k"].isin(*names) & (F.trim(p["v"]) != "")), lambda p: p["v"]), F.lit(1))
         extra = F.map_from_entries(F.transform(F.filter(pairs, lambda p: F.startswith(p["k"], F.lit("record.")) & (F.trim(p["v"]) != "") & (p["k"] != "record.title")), lambda p: F.struct(F.substr(p["k"], F.lit(8)), p["v"])))
         ident = F.concat_ws("/", named("kind"), named("source"), named("key"))

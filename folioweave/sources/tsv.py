@@ -22,7 +22,7 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     ).where("trim(line) <> ''")
     heads = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("head")).select("file", "head.*").withColumnRenamed("line", "header").withColumnRenamed("at", "first")
     body = lines.join(F.broadcast(heads), "file").where(F.col("at") > F.col("first"))
-    return body.select("file", "header", "line", F.transform(F.split("header", _CELL), F.trim).alias("names"), F.split("line", _CELL).alias("cells"), F.col("at.row").alias("pos"))
+    return body.select("file", "header", "line", F.transform(F.split("header", _CELL), lambda n: F.trim(n)).alias("names"), F.split("line", _CELL).alias("cells"), F.col("at.row").alias("pos"))
 
 
 def cell(name: str) -> Column:
