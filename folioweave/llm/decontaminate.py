@@ -345,6 +345,25 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, count: np.ndarray, least:
     return [r["file"] for r in rows.select("id", "text").mapInArrow(build, "file string").collect()]
 
 
+#: Words of documents that a task holds while block after block is loaded, 8 bytes each beside the texts.
+HELD = 1 << 24
+
+
+def _held(batches: Iterator[pa.RecordBatch], column: int, most: int = HELD) -> Iterator[list[tuple[pa.RecordBatch, list]]]:
+    """Batches with their hashed rows, as many at once as have ``most`` words or one alone has more, so that a task loads each block once or a few times."""
+    group, words = [], 0
+    for batch in batches:
+        hashed = list(hashed_rows(*_folded(batch.column(column))))
+        n = sum(len(h) for _, h, _ in hashed)
+        if group and words + n > most:
+            yield group
+            group, words = [], 0
+        group.append((batch, hashed))
+        words += n
+    if group:
+        yield group
+
+
 _LOADED: dict[str, Items] = {}
 
 
@@ -386,11 +405,10 @@ def contaminated(
     item_type = pa.schema(benchmark.select(item_col).limit(0).toArrow().schema).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = _folded(batch.column(1))
+        for group in _held(batches, 1):
             for file in files:
                 items = _load(file)
-                for i, h, bounds in hashed_rows(raw, offsets):
+                for batch, i, h, bounds in ((batch, *part) for batch, hashed in group for part in hashed):
                     got = find(h, bounds, items, least)
                     row = pa.array([i + g[0] for g in got], pa.int64())
                     names = pa.array([items.ids[g[1]] for g in got], item_type)
@@ -411,13 +429,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     files = _prepared(docs, text_col, benchmark, item_col, item_text, least, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = _folded(batch.column(at))
-            clean = np.ones(batch.num_rows, bool)
+        for group in _held(batches, at):
+            clean = [np.ones(batch.num_rows, bool) for batch, _ in group]
             for file in files:
                 items = _load(file)
-                for i, h, bounds in hashed_rows(raw, offsets):
-                    clean[[i + g[0] for g in find(h, bounds, items, least)]] = False
-            yield batch.filter(pa.array(clean))
+                for k, (_, hashed) in enumerate(group):
+                    for i, h, bounds in hashed:
+                        clean[k][[i + g[0] for g in find(h, bounds, items, least)]] = False
+            for (batch, _), keep in zip(group, clean, strict=True):
+                yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ CONSTANT = 0.8
 COPY = 0.5
 #: Wrappers up to so many bytes in all are broadcast; larger ones are joined by host.
 BROADCAST = 64 << 20
-#: Two lists of children of more cells than this are aligned within a band along their diagonal.
+#: Pairs of places of two lists of children up to which they are aligned by one table; longer lists are halved.
 CELLS = 4_000_000
 
 _OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
@@ -44,7 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in "script style textarea title iframe template noembed noframes".split()}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select button".split()
+    "head header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select button".split()
 )
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -53,10 +53,10 @@ _CLOSES = {
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _CELLS_OF_ROWS = frozenset("tr td th tbody tfoot".split())
 #: Elements and words in class, id or role names of menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
-SIDE = frozenset("nav aside footer form button select dialog menu label input".split())
+SIDE = frozenset("nav aside footer form button select dialog menu label".split())
 SIDE_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo sidebar aside complementary "
-    "notice notices banner cookie cookies consent ad ads adv advert adverts advertisement sponsor sponsored form comment comments reply replies disqus".split()
+    "notice notices banner cookie cookies consent gdpr popup modal newsletter signup subscribe promo promos promotion ad ads adv advert adverts advertisement sponsor sponsored form comment comments reply replies disqus".split()
 )
 _ABOUT = frozenset("with without has have no is".split())
 MAIN_NAMES = frozenset("article articlebody content main post story entry".split())
@@ -204,43 +204,58 @@ def _shape(page: Page, shapes: dict[tuple, int], sizes: list[int]) -> None:
         node.shape = found
 
 
+def _next_row(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The weights of the best matches with each first part of the other list, after one more item, of weights ``w`` with its items."""
+    new = row.copy()
+    np.maximum(new[1:], np.where(w > 0, row[:-1] + w, 0), out=new[1:])
+    return np.maximum.accumulate(new)
+
+
 def _aligned(x: list[int], y: list[int], weight: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     """The heaviest order-keeping match of two lists: its weight and the pairs of places.
 
-    ``weight[a, b]`` is the weight of kinds a and b of which the lists consist, 0 if they can't match.
+    ``weight[a, b]`` is the weight of kinds a and b of which the lists consist, 0 if they can't match. Where the lists
+    have more than ``CELLS`` pairs of places they are halved: the best place to part the other list is where the weights
+    of the front's and of the back's best matches add up to most, which takes a row of them, not a table.
     """
-    n, m = len(x), len(y)
     own, other = np.array(x), np.array(y)
-    wide = m if n * m <= CELLS else min(m, max(64, CELLS // n))
-    best, start = np.zeros((n + 1, wide + 1), np.int32), np.zeros(n + 1, np.int64)
-    for i in range(1, n + 1):
-        start[i] = min(m - wide, max(0, i * m // n - wide // 2))
-        by = start[i] - start[i - 1]
-        # The row before, seen from this row's first place on; right of its band it stays at its last value.
-        before = best[i - 1] if not by else np.concatenate([best[i - 1, by:], np.full(min(by, wide + 1), best[i - 1, -1])])[: wide + 1]
-        w = weight[own[i - 1], other[start[i] : start[i] + wide]]
-        row = before.copy()
-        np.maximum(row[1:], np.where(w > 0, before[:-1] + w, 0), out=row[1:])
-        best[i] = np.maximum.accumulate(row)
-    pairs, i, j = [], n, m
-    at = lambda i, j: best[i, min(max(j - start[i], 0), wide)]
-    while i and j > start[i]:
-        j = min(j, int(start[i]) + wide)
-        if at(i, j) == at(i, j - 1):
-            j -= 1
-        elif at(i, j) == at(i - 1, j):
-            i -= 1
-        else:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-    return int(best[n].max(initial=0)), pairs
+    todo, pairs, total = [(0, len(x), 0, len(y))], [], 0
+    while todo:
+        x0, x1, y0, y1 = todo.pop()
+        n, m = x1 - x0, y1 - y0
+        if not n or not m:
+            continue
+        right = other[y0:y1]
+        if n > 1 and n * m > CELLS:
+            half, front, back = x0 + n // 2, np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+            for a in own[x0:half]:
+                front = _next_row(front, weight[a, right])
+            for a in own[half:x1][::-1]:
+                back = _next_row(back, weight[a, right[::-1]])
+            cut_at = y0 + int(np.argmax(front + back[::-1]))
+            todo += [(x0, half, y0, cut_at), (half, x1, cut_at, y1)]
+            continue
+        best = np.zeros((n + 1, m + 1), np.int32)
+        for i in range(n):
+            best[i + 1] = _next_row(best[i], weight[own[x0 + i], right])
+        total += int(best[n, m])
+        i, j = n, m
+        while i and j:
+            if best[i, j] == best[i, j - 1]:
+                j -= 1
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+            else:
+                pairs.append((x0 + i - 1, y0 + j - 1))
+                i, j = i - 1, j - 1
+    return total, sorted(pairs)
 
 
 def match(page: Page, wrapper: Wrapper) -> int:
     """Simple tree matching: the largest top-down, order-keeping match; sets ``slot`` of page nodes.
 
     Equal subtrees at the ends of two lists of children match wholly, which loses nothing; what two
-    shapes hold in common is worked out once. Lists of over ``CELLS`` cells are matched in a band.
+    shapes hold in common is worked out once.
     """
     shapes, sizes = dict(wrapper.shapes), list(wrapper.sizes)
     _shape(page, shapes, sizes)
@@ -303,19 +318,22 @@ def _aside(node: Node) -> bool:
 def roles(page: Page) -> list[bool]:
     """For each block, whether it may be content by its role.
 
-    That is: outside menus and the like, and, where elements are marked as the article, in one that is
-    marked best. A heading in the article's header is the article's own, the header's other blocks aren't.
+    That is: outside menus and the like, and, where elements are marked as the article, in such ones. An ``article``
+    tells more than a ``main`` element or name, and that more than other names, but only a kind of mark that holds half
+    of all marked text or more is followed, so that a teaser in an ``article`` doesn't outrank the story in ``main``. A heading in the
+    article's header is the article's own, the header's other blocks aren't.
     """
     outside = (True, 0, False)
     kind: list[tuple[bool, int, bool]] = []
     for node in page.nodes:
-        fine, mark, header = kind[node.up.number] if node.up.number >= 0 else outside
+        fine, marks, header = kind[node.up.number] if node.up.number >= 0 else outside
         own = 3 if node.tag == "article" else 2 if node.tag == "main" else node.main
-        fine = fine and not _aside(node) and node.tag != "head" and (node.tag != "header" or mark > 0)
-        kind.append((fine, max(mark, own) if fine else mark, header or node.tag == "header"))
+        fine = fine and not _aside(node) and node.tag != "head" and (node.tag != "header" or marks > 0)
+        kind.append((fine, marks | 1 << own >> 1 if fine else marks, header or node.tag == "header"))
     found = [(*(kind[node.number] if node.number >= 0 else outside), node.tag) for node, _ in page.blocks]
-    most = max((mark for fine, mark, _, _ in found if fine), default=0)
-    return [fine and mark >= most and (not header or tag in _HEADING) for fine, mark, header, tag in found]
+    size = {mark: sum(len(text) for (_, text), (fine, marks, _, _) in zip(page.blocks, found, strict=True) if fine and marks & mark) for mark in (4, 2, 1, 7)}
+    mark = next((m for m in (4, 2, 1, 7) if size[m] and 2 * size[m] >= size[7]), 0)
+    return [fine and (not mark or marks & mark > 0) and (not header or tag in _HEADING) for fine, marks, header, tag in found]
 
 
 def _digest(text: str) -> int:

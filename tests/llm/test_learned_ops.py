@@ -10,6 +10,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -509,15 +510,45 @@ def test_extraction_of_very_deep_and_wide_pages(source):
     assert time.perf_counter() - began < 60 and ("<!--" in source or page.blocks[-1][1].endswith("text"))
 
 
-def test_banded_matching_keeps_the_order(monkeypatch):
+@pytest.mark.parametrize("cells", [1, 60, 90 * 70])
+def test_long_lists_are_aligned_exactly(monkeypatch, cells):
     rng = random.Random(6)
-    x, y = ([rng.randrange(4) for _ in range(n)] for n in (90, 130))
-    weight = np.eye(4, dtype=np.int32) * 3
-    whole, _ = wrapper_extract._aligned(x, y, weight)
-    monkeypatch.setattr(wrapper_extract, "CELLS", 90 * 70)
-    part, pairs = wrapper_extract._aligned(x, y, weight)
-    assert part == sum(weight[x[i], y[j]] for i, j in pairs) and 0.8 * whole <= part <= whole
-    assert all(a > c and b > d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+    for n, m in ((90, 130), (7, 200), (1, 9), (40, 1), (33, 33)):
+        x, y = ([rng.randrange(5) for _ in range(k)] for k in (n, m))
+        weight = np.diag([3, 1, 4, 1, 5]).astype(np.int32)
+        weight[0, 1] = 2
+        monkeypatch.setattr(wrapper_extract, "CELLS", 4_000_000)
+        whole, _ = wrapper_extract._aligned(x, y, weight)
+        monkeypatch.setattr(wrapper_extract, "CELLS", cells)
+        part, pairs = wrapper_extract._aligned(x, y, weight)
+        assert part == whole == sum(weight[x[i], y[j]] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
+def main_text(source):
+    page = wrapper_extract.parse(source)
+    return [t for (_, t), fine in zip(page.blocks, wrapper_extract.roles(page), strict=True) if fine]
+
+
+def test_the_mark_with_most_of_the_text_is_followed():
+    assert main_text("<article class='teaser'>teaser</article><main>the real story</main>") == ["the real story"]
+    assert main_text("<main><article><p>story, all of it</p></article><p>more on it</p></main>") == ["story, all of it"]
+    assert main_text("<article>one</article><article>two</article><main></main>") == ["one", "two"]
+    assert main_text("<div class='content'>short</div><main>by far the longer text</main>") == ["by far the longer text"]
+    assert main_text("<div>no mark</div><p>at all</p>") == ["no mark", "at all"]
+
+
+def test_forms_and_sign_ups_in_an_article_go():
+    source = "<article><p>story</p><label>your name</label><div class='newsletter-signup'><p>join us</p></div><div id='cookie-popup'>ok?</div><section class='promo'>buy</section><p>end of the story</p></article>"
+    assert main_text(source) == ["story", "end of the story"]
+
+
+def test_blocks_are_loaded_a_few_times_a_task():
+    words = [[f"w{k % 7}" for k in range(n)] for n in (10, 30, 5, 100, 1, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(w)])], names=["text"]) for w in words]
+    groups = list(decontaminate._held(iter(batches), 0, 50))
+    assert [[sum(len(h) for _, h, _ in hashed) for _, hashed in g] for g in groups] == [[10, 30, 5], [100], [1, 1]]
+    assert len(list(decontaminate._held(iter(batches), 0))) == 1 and list(decontaminate._held(iter([]), 0)) == []
 
 
 def test_tree_matching_matches_brute_force():
