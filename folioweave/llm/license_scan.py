@@ -105,8 +105,8 @@ def scan_licenses(
     holds at least ``cover`` of the template's word pairs; that share is the span's. ``score`` is the
     largest share found, 1 for a phrase, 0 for none.
 
-    A null or empty text has no words and no labels. Rows of the same id and text are one document
-    and give one row; a null id is an id. Other columns are neither read nor returned. An empty
+    A null or empty text has no words and no labels. Rows of the same id and text are scanned
+    as one and give a row each; a null id is an id. Other columns are neither read nor returned. An empty
     table gives an empty result. Phrases and templates need two words or more.
     """
     base = BASE if base is None else base
@@ -116,7 +116,7 @@ def scan_licenses(
     of = ["id", "th0", "template", "base", "label", "size", "drift"]
     doc = F.col("template") < 0
     # The mark's place is the number of words.
-    votes = hits.groupBy(*of, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    votes = hits.groupBy(*of, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.count("*").alias("votes"))
     one = Window.partitionBy("id", "th0", "template").orderBy("diagonal")
     far = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(one) > NEAR)
     runs = votes.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(one))
@@ -125,7 +125,7 @@ def scan_licenses(
     at = F.floor((F.col("diagonal") - F.col("low")) / F.col("drift")).cast("int")
     windows = F.when(F.col("wide") <= F.col("drift"), F.array(F.lit(0))).otherwise(F.filter(F.array(at, at - 1), lambda w: w >= 0))
     matches = F.transform("ats", lambda a: F.struct((F.col("diagonal") + a).alias("pos"), (-a).alias("back"), a.alias("at")))
-    spans = runs.select(*of, "run", F.explode(windows).alias("w"), matches.alias("matches")).groupBy(*of, "run", "w").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("ms"))
+    spans = runs.select(*of, "run", "votes", F.explode(windows).alias("w"), matches.alias("matches")).groupBy(*of, "run", "w").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("ms"), F.max("votes").alias("votes"))
     held = F.size(F.array_distinct(F.transform("ms", lambda m: m["at"])))
     enough = ~doc & (held >= F.when(F.col("base"), F.col("size")).otherwise(F.ceil(F.col("size") * F.lit(cover))))
     spans = spans.withColumns({"held": F.when(enough, F.when(F.col("base"), F.col("size")).otherwise(_chain(F.col("ms")))), "n_words": F.when(doc, F.element_at("ms", 1)["pos"])})
@@ -136,9 +136,12 @@ def scan_licenses(
     best = F.row_number().over(all_of.orderBy(F.desc_nulls_last("share"), "first")) == 1
     spans = spans.withColumns({"good": good, "good_base": good_base, "best": best})
     listed = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
-    return spans.groupBy(F.col("id").alias(id_col), "th0").agg(
+    # The mark stands once in each row, so its votes tell how many rows of the same id and text there are.
+    found = spans.groupBy(F.col("id").alias(id_col), "th0").agg(
+        F.max(F.when(F.col("n_words").isNotNull(), F.col("votes"))).alias("rows"),
         F.max("n_words").cast("long").alias("n_words"), F.count_if("good_base").alias("n_base"), F.min(F.when(F.col("good_base"), F.col("first"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("good_base"), F.col("first"))).cast("long").alias("last_word"), listed(F.col("good_base")).alias("base_labels"), listed(F.col("good")).alias("labels"),
         F.coalesce(F.max(F.when(F.col("good"), F.col("share"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(F.col("good") & F.col("best"), F.struct("first", "last", "label", "share")))).alias("spans"),
-    ).drop("th0")
+    )
+    return found.withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("th0", "rows")

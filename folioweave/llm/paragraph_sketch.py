@@ -30,7 +30,8 @@ ROUNDS = 8
 LOAD = 12
 _PARAGRAPH = rf"(?:[^.!?\n]*+[.!?]++){{1,{GROUP}}}|[^.!?\n]++"
 _CELLS_TYPE = "array<struct<n:int,k:bigint,x:bigint>>"
-KEY = ["band", "id", "th"]
+#: A row's band and its place there.
+KEY = ["band", "place"]
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -112,38 +113,45 @@ def written(cells: Column) -> Column:
 
 
 def _banded(own: DataFrame) -> DataFrame:
-    """``own`` with ``band``: descending runs of the id, as many as there are shuffle partitions; null ids last.
+    """``own`` with ``band``: runs of rows by descending id and text hash, as many as there are shuffle partitions; null ids last.
 
-    A row's band is found in two steps, among the runs' first bounds and then within one run of bounds.
+    An id that many rows have, and null, is split by the text hash into as many bands as its share of the rows. A row's
+    band is found in two steps, among the runs' first bounds and then within one run of bounds.
     """
     spark = own.sparkSession
     bands = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = own.schema["id"].dataType.simpleString()
     # One bound a band comes to the driver, of ids that are strings a sample of about 50 a band.
-    if own.schema["id"].dataType.simpleString() == "string":
-        share = min(1.0, 50 * bands / max(1, own.count()))
-        some = sorted(r["id"] for r in own.where(F.col("id").isNotNull() & (F.xxhash64("id", F.lit("band")) <= hash_bound(share))).select("id").distinct().collect())
+    of = own.agg(F.count("*").alias("rows"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    if kind == "string":
+        share = min(1.0, 50 * bands / max(1, of["rows"]))
+        some = sorted(r["id"] for r in own.where(F.col("id").isNotNull() & (F.xxhash64("id", "th", F.lit("band")) <= hash_bound(share))).select("id").limit(500 * bands).collect())
         found = [some[k * len(some) // bands] for k in range(1, bands)] if some else []
     else:
         found = own.agg(F.approx_percentile("id", [k / bands for k in range(1, bands)], max(10_000, 10 * bands)).alias("q")).first()["q"] or []
-    bounds = sorted(set(found), reverse=True)
+    least, wide = -(1 << 63), 1 << 64
+    bounds = sorted(((i, least + wide * k // found.count(i)) for i in set(found) for k in range(found.count(i))), reverse=True)
+    of_nulls = max(1, round(bands * of["nulls"] / max(1, of["rows"])))
+    ends = [least + wide * k // of_nulls for k in range(of_nulls - 1, 0, -1)]
+    null_band = F.lit(len(bounds) + 1) + F.size(F.filter(F.from_json(F.lit(json.dumps(ends)), "array<bigint>"), lambda b: b > F.col("th")))
     if not bounds:
-        return own.withColumn("band", F.when(F.col("id").isNull(), 1).otherwise(0))
+        return own.withColumn("band", F.when(F.col("id").isNull(), null_band).otherwise(0).cast("int"))
     width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    kind = own.schema["id"].dataType.simpleString()
+    groups = [[{"i": i, "t": t} for i, t in bounds[k : k + width]] for k in range(0, len(bounds), width)]
     # Read as constants when the plan is made: one literal each, however many bands there are.
-    heads, runs = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{kind}>"), F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
-    above = lambda xs: F.size(F.filter(xs, lambda b: b > F.col("id")))
+    shape = f"struct<i:{kind},t:bigint>"
+    heads, runs = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{shape}>"), F.from_json(F.lit(json.dumps(groups)), f"array<array<{shape}>>")
+    above = lambda xs: F.size(F.filter(xs, lambda b: (b["i"] > F.col("id")) | ((b["i"] == F.col("id")) & (b["t"] > F.col("th")))))
     at = F.greatest(above(heads), F.lit(1))
     band = _let(at, lambda k: (k - 1) * width + above(F.element_at(runs, k)))
-    return own.withColumn("band", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(band).cast("int"))
+    return own.withColumn("band", F.when(F.col("id").isNull(), null_band).otherwise(band).cast("int"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (band, id, th, text, d0, next, d2): each text and its digests beside those of the next row.
+    """Rows (band, place, id, text, d0, next, d2): each text and its digests beside those of the next row.
 
     Ids are numbers or strings. The order is descending id (null ids last), then descending text hash; the first row follows the
-    last. Of rows of equal id and text the last stays. Each band is sorted on its own, with a copy of
+    last. Rows of equal id and text follow each other. Each band is sorted on its own, with a copy of
     the first row of the next band behind its last; text and digests of the next row come by the same sort.
     """
     spark = docs.sparkSession
@@ -153,23 +161,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shape = f"nid {docs.schema[id_col].dataType.simpleString()}, nth long, before int"
     follow = [(heads[(k + 1) % len(heads)][1], heads[(k + 1) % len(heads)][2], heads[k][0]) for k in range(len(heads))]
     heads_of = F.broadcast(spark.createDataFrame(follow, shape))
-    copies = own.join(heads_of, F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth")))
+    copies = own.join(heads_of, F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth"))).groupBy("id", "th", "before").agg(F.first("text").alias("text"))
     copies = copies.select("id", "text", "th", F.col("before").alias("band"), F.lit(True).alias("copy"))
     order = Window.partitionBy("band").orderBy("copy", F.col("id").desc_nulls_last(), F.col("th").desc())
     both = own.select("id", "text", "th", "band", F.lit(False).alias("copy")).unionByName(copies)
     # One partition a band: hashed bands would meet by chance, and the more of them the larger the most.
     both = both.repartitionById(heads[-1][0] + 1, "band") if heads else both
-    follows = F.lead(F.struct("id", "th", "copy")).over(order)
-    seen = both.withColumns({"next": F.lead("text").over(order), "after": follows, "d0": digests(F.col("text"))})
-    same = F.col("id").eqNullSafe(F.col("after.id")) & (F.col("th") == F.col("after.th")) & ~F.col("after.copy")
-    seen = seen.withColumns({"d2": F.lead("d0").over(order), "again": F.coalesce(same, F.lit(False))})
-    return seen.where(~F.col("copy") & ~F.col("again")).select(*KEY, "text", "d0", "next", "d2")
-
-
-def _at(d: DataFrame, suffix: str) -> tuple[DataFrame, Callable[[DataFrame], Column]]:
-    """``d`` with its key renamed, and the condition that joins it to a frame under the plain key."""
-    own = d.withColumnsRenamed({c: f"{c}{suffix}" for c in KEY})
-    return own, lambda base: (base["band"] == own[f"band{suffix}"]) & base["id"].eqNullSafe(own[f"id{suffix}"]) & (base["th"] == own[f"th{suffix}"])
+    seen = both.withColumns({"next": F.lead("text").over(order), "place": F.row_number().over(order), "d0": digests(F.col("text"))}).withColumn("d2", F.lead("d0").over(order))
+    return seen.where(~F.col("copy")).select(*KEY, "id", "text", "d0", "next", "d2")
 
 
 def _retry(items: DataFrame, level: int) -> DataFrame:
@@ -197,18 +196,18 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     digests of both texts that only one of them has, 1 for two texts without any. ``differing`` is
     how many digests peeling recovered between text and edited text.
 
-    A null text is an empty one. Of rows with equal id and text one stays. Null ids are ids; they are
+    A null text is an empty one. Rows with equal id and text follow each other, and each is told. Null ids are ids; they are
     told as null. Ids are numbers or strings. Other columns aren't read, whatever they are called. An
     empty table gives an empty result.
     """
     n = F.length("text")
     tail = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next"), F.lit(1), tail))
-    rows = with_next(docs, id_col, text_col).select(*KEY, n.cast("long").alias("n_chars"), edited.alias("edited"), "d0", "d2")
-    rows = rows.select(*KEY, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d0", digests(F.col("edited")).alias("d1"), "d2")
+    rows = with_next(docs, id_col, text_col).select(*KEY, "id", n.cast("long").alias("n_chars"), edited.alias("edited"), "d0", "d2")
+    rows = rows.select(*KEY, "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d0", digests(F.col("edited")).alias("d1"), "d2")
     cells = rows.withColumn("c0", sketch(F.col("d0")))
     tried = cells.select(*cells.columns, *[peel(minus(F.col("c0"), sketch(F.col(f"d{k}")))).alias(f"r{k}") for k in (1, 2)])
-    base = cut(tried.select(*KEY, "n_chars", "edited_sha256", "c0", "d0", "d1", F.when(~F.col("r2.whole"), F.col("d2")).alias("d2"), F.size("d2").alias("s2"), "r1", "r2"))
+    base = cut(tried.select(*KEY, "id", "n_chars", "edited_sha256", "c0", "d0", "d1", F.when(~F.col("r2.whole"), F.col("d2")).alias("d2"), F.size("d2").alias("s2"), "r1", "r2"))
     pair = lambda k: F.struct(F.lit(k).alias("of"), F.col("d0").alias("a"), F.col(f"d{k}").alias("b"), F.col(f"r{k}.whole").alias("whole"))
     items = base.select(*KEY, F.explode(F.array(pair(1), pair(2))).alias("o")).where("NOT o.whole").select(*KEY, "o.of", F.lit(0).cast("long").alias("path"), "o.a", "o.b")
     done, level = None, 1
@@ -220,8 +219,8 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if done is None:
         joined = base.withColumns({f"later{k}": F.lit(0).cast("long") for k in (1, 2)})
     else:
-        later, same = _at(done.groupBy(*KEY).agg(*[F.coalesce(F.sum(F.when(F.col("of") == k, F.col("found"))), F.lit(0)).alias(f"later{k}") for k in (1, 2)]), "_l")
-        joined = base.join(later, same(base), "left")
+        later = done.groupBy(*KEY).agg(*[F.coalesce(F.sum(F.when(F.col("of") == k, F.col("found"))), F.lit(0)).alias(f"later{k}") for k in (1, 2)])
+        joined = base.join(later, KEY, "left")
     differ = lambda k: F.when(F.col(f"r{k}.whole"), F.col(f"r{k}.found")).otherwise(F.coalesce(F.col(f"later{k}"), F.lit(0)))
     near = lambda k, size: 1 - differ(k) / F.greatest(F.size("d0") + size, F.lit(1))
     return joined.select(

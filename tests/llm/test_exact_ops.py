@@ -374,7 +374,7 @@ def test_license_words_and_parts(spark):
 
 
 def test_license_nulls_repeats_and_empty(spark):
-    frame = spark.createDataFrame([(1, "cc by"), (1, "cc by"), (None, "cc by"), (2, None)], "doc_id long, text string")
+    frame = spark.createDataFrame([(1, "cc by"), (1, "cc by"), (None, "cc by"), (2, None), (2, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.n_base) for r in license_scan.scan_licenses(frame).collect()))
-    assert got == [(0, 1), (1, 1), (2, 0)]
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 0), (2, 0)]
     assert license_scan.scan_licenses(frame.limit(0)).count() == 0

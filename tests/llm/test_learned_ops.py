@@ -445,12 +445,35 @@ def test_sketches_of_string_ids_and_clashing_columns(spark):
 def test_sketches_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a. b."), (1, "a. b."), (None, "c."), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.n_chars) for r in paragraph_sketch.fingerprint_versions(docs).collect()))
-    assert got == [(0, 0), (0, 2), (1, 5)]
+    assert got == [(0, 0), (0, 2), (1, 5), (1, 5)]
     assert paragraph_sketch.fingerprint_versions(docs.where("doc_id = 9")).count() == 0
     one = paragraph_sketch.fingerprint_versions(docs.where("doc_id = 1")).first()
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("ids", [[None] * 50 + [1, 2], [7] * 60 + [3, 9, 9], ["k"] * 40 + [None] * 10 + ["z"]])
+def test_hot_ids_are_split_and_keep_their_order(spark, ids):
+    rng = random.Random(len(ids))
+    rows = [(i, " ".join(f"{rng.choice('abc')}{rng.randrange(50)}." for _ in range(rng.randint(1, 40)))) for i in ids]
+    rows += rows[:3]
+    kind = "string" if "k" in ids else "long"
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        with_next = paragraph_sketch.with_next(docs, "doc_id", "text").select("band", "place", "id", "text", "next").collect()
+        got = paragraph_sketch.fingerprint_versions(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # The order is one ring over all rows: each text follows exactly one other, descending ids, nulls last.
+    with_next.sort(key=lambda r: (r.band, r.place))
+    assert sorted(r.text for r in with_next) == sorted(t for _, t in rows) == sorted(r.next for r in with_next)
+    assert all(a.next == b.text for a, b in zip(with_next, [*with_next[1:], with_next[0]], strict=True))
+    there = [r.id for r in with_next]
+    assert there == [*sorted((i for i in there if i is not None), reverse=True), *[None] * there.count(None)]
+    assert max(collections.Counter(r.band for r in with_next).values()) < 0.6 * len(rows) and len(got) == len(rows)
+    assert sorted(r.n_chars for r in got) == sorted(len(t) for _, t in rows)
+
+
 # Extraction
 
 
