@@ -80,30 +80,17 @@ def signatures(h: np.ndarray, at: np.ndarray, rule: S.Alike = RULE) -> tuple[np.
     return sig[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text"))
-
-
-def with_set(docs: DataFrame, id_col: str, text_col: str, rule: S.Alike) -> DataFrame:
-    """Rows (id, th, node, n): hashes of the text and of its set, the set's size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, h, at in S.set_batches(batches, rule.shingle):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *S.set_keys(h, at)[:2]], names=["id", "th", "node", "n"])
-
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, node long, n long")
-
-
 def with_signatures(docs: DataFrame, id_col: str, text_col: str, rule: S.Alike) -> DataFrame:
-    """Rows (node, n, bits, signatures) of the sets that aren't empty: hash, size, bitmap and signatures."""
+    """Rows (id, th, node, n, bits, signatures): hashes of the text and of its set, the set's size, bitmap and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, at in S.set_batches(batches, rule.shingle):
+        for batch, h, at in S.set_batches(batches, rule.shingle):
             sig, ends = signatures(h, at, rule)
-            yield pa.RecordBatch.from_arrays([*S.set_keys(h, at), S.lists(sig, ends)], names=["node", "n", "bits", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *S.set_keys(h, at), S.lists(sig, ends)], names=["id", "th", "node", "n", "bits", "signatures"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "node long, n long, bits array<long>, signatures array<long>").where("n > 0")
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), xor_key(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, node long, n long, bits array<long>, signatures array<long>")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: S.Alike = RULE, growth: int = S.GROWTH) -> DataFrame:
@@ -118,11 +105,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are never a component's id, unless all of its ids are null. Repeated rows and ids each give a row. Other columns
     of ``docs`` are neither read nor returned. An empty table gives an empty result.
     """
-    # Sets are made twice, since keeping the signatures of all rows takes more disk than the shingles take time.
-    rows = cut(with_set(docs, id_col, text_col, rule))
-    nodes = cut(with_signatures(docs, id_col, text_col, rule).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bits", "signatures")]))
-    entries = nodes.select(F.explode(F.array_distinct("signatures")).alias("cell"), "node", F.lit(True).alias("short"))
-    roots = S.connected(entries, nodes, rows, docs, text_col, rule, growth)
+    rows = cut(with_signatures(docs, id_col, text_col, rule))
+    entries = rows.select(F.explode("signatures").alias("cell"), "node", F.lit(True).alias("short"))
+    roots = S.connected(entries, rows.where("n > 0"), docs, text_col, rule, growth)
     groups = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     of = groups.join(roots, "node", "left").select("node", "copies", "least", "root")
     # Only sets of several rows or with links are looked up; a row alone is its own component.

@@ -116,17 +116,17 @@ def _differ(x: Column, y: Column) -> Column:
 def cells(entries: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of the cells of two sets, and rows (cell, m, node, short, n, bits) of the larger cells, each of ``m`` sets.
 
-    ``entries`` has (cell, node, short) once for each set of a cell. Cells without a ``short`` set make no pair and go;
+    ``entries`` has (cell, node, short) for each set of a cell, for copies of a set once or more often. Cells without a ``short`` set make no pair and go;
     of cells of the same sets one stays. A cell is known by sums over its sets, no cell is gathered.
     """
-    sums = entries.groupBy("cell").agg(F.count("*").alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.max("short").alias("some"))
-    sums = cut(sums.where("m > 1 AND some"))
-    large = sums.where("m > 2").select("cell", "m")
-    members = cut(entries.join(F.broadcast(large) if large.count() <= SMALL else large, "cell"))
+    sums = entries.groupBy("cell").agg(F.count("*").alias("rows"), F.min("node").alias("a"), F.max("node").alias("b"), F.max("short").alias("some"))
+    sums = cut(sums.where("a <> b AND some"))
+    large = sums.where("rows > 2").select("cell")
+    members = cut(entries.join(F.broadcast(large) if large.count() <= SMALL else large, "cell").groupBy("cell", "node").agg(F.max("short").alias("short")))
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "node", "short")).alias(f"x{k}") for k in (1, 2)]
-    one = members.groupBy("cell").agg(F.first("m").alias("m"), *marks).groupBy("m", "x1", "x2").agg(F.min("cell").alias("cell"))
-    kept = members.join(one.select("cell"), "cell", "left_semi").join(nodes.select("node", "n", "bits"), "node")
-    return sums.where("m = 2").select("a", "b").distinct(), cut(kept.select("cell", "m", "node", "short", "n", "bits"))
+    one = members.groupBy("cell").agg(F.count("*").alias("m"), *marks).groupBy("m", "x1", "x2").agg(F.min("cell").alias("cell"))
+    kept = members.join(one.select("cell", "m"), "cell").join(nodes.select("node", "n", "bits"), "node")
+    return sums.where("rows = 2").select("a", "b").distinct(), cut(kept.select("cell", "m", "node", "short", "n", "bits"))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, rule: Alike) -> DataFrame:
@@ -182,8 +182,8 @@ def _joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return cut(old.unionByName(new))
 
 
-def connected(entries: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, rule: Alike, growth: int = GROWTH) -> DataFrame:
-    """Rows (node, root): what the linked pairs that meet in a cell of ``entries`` connect.
+def connected(entries: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, rule: Alike, growth: int = GROWTH) -> DataFrame:
+    """Rows (node, root): what the linked pairs that meet in a cell of ``entries`` connect; ``rows`` has (th, node, n, bits) of each text.
 
     Pairs of cells of two, and the sets of each larger cell with its first leader, come first, which connects most of a
     large group of near copies. Rounds of ``growth`` leaders of each cell, and ``growth`` times as many each,
@@ -191,6 +191,7 @@ def connected(entries: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataF
     pair is lost. Sets are in the order of their hashes, whose place among all hashes tells about how many of the cell
     come before.
     """
+    nodes = cut(rows.select("node", "n", "bits").dropDuplicates(["node"]))
     two, members = cells(entries, nodes)
     first = members.where("short").groupBy("cell").agg(F.min("node").alias("lead"))
     ahead = members.join(first, "cell").where("lead <> node").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))

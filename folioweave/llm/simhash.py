@@ -214,14 +214,14 @@ def _common(docs: DataFrame, text_col: str, rule: S.Alike = RULE) -> tuple[np.nd
     return tokens[order], counts[order]
 
 
-def prefix_cells(nodes: DataFrame, rule: S.Alike = RULE) -> DataFrame:
+def prefix_cells(rows: DataFrame, rule: S.Alike = RULE) -> DataFrame:
     """Rows (cell, node, short): the hashes of the prefixes, each a cell.
 
     Linked sets share a hash of the larger one's prefix and of the first few hashes of the smaller one, of which the larger may
     lack only so many: a ninth at a similarity of 0.8, and one more. In these the smaller is ``short``.
     """
     few = F.expr(f"n * {rule.den - rule.num} div {rule.den + rule.num} + 1")
-    return nodes.select("node", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "node", (F.col("at") < few).alias("short"))
+    return rows.select("node", "n", F.posexplode("prefix").alias("at", "cell")).select("cell", "node", (F.col("at") < few).alias("short"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", growth: int = S.GROWTH) -> DataFrame:
@@ -237,8 +237,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     repeat: rows are told apart by id and text, and only rows equal in both are one document.
     """
     rows = cut(with_prefix(docs, id_col, text_col, _common(docs, text_col)))
-    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("prefix", "n", "bits")]))
-    roots = S.connected(prefix_cells(nodes), nodes, rows, docs, text_col, RULE, growth)
+    roots = S.connected(prefix_cells(rows), rows, docs, text_col, RULE, growth)
     found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = found.groupBy("root").agg(F.min(key).alias("least"))
