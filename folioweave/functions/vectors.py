@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -12,19 +14,22 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2norm(v: Column) -> Column:
     """Euclidean length, scaled by the largest component so that squares don't overflow."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scaled = F.aggregate(F.transform(v, lambda x: (x.cast("double") / top) * (x.cast("double") / top)), F.lit(0.0), lambda s, x: s + x)
-    return F.when((F.size(v) == 0) | (top == 0), 0.0).otherwise(top * F.sqrt(scaled))
+
+    def scaled(top: Column) -> Column:
+        squares = F.transform(v, lambda x: (x.cast("double") / top) * (x.cast("double") / top))
+        return F.when((F.size(v) == 0) | (top == 0), 0.0).otherwise(top * F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
+
+    # Bound once: in a lambda it would be worked out for every component.
+    return let(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), scaled)
 
 
 def unit_sum(vectors: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Per group the sum of the unit vectors, made a unit vector again; zero vectors add nothing."""
-    n = l2norm(F.col(vector))
-    each = vectors.select(*by, F.posexplode(F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n))).alias("i", "x"))
+    unit = let(l2norm(F.col(vector)), lambda n: F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)))
+    each = vectors.select(*by, F.posexplode(unit).alias("i", "x"))
     total = each.groupBy(*by, "i").agg(F.sum("x").alias("x"))
     packed = total.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
-    size = l2norm(F.col("s"))
-    return packed.select(*by, F.transform("s", lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0))).alias("vector"))
+    return packed.select(*by, let(l2norm(F.col("s")), lambda size: F.transform("s", lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)))).alias("vector"))
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int = 100, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -36,9 +36,15 @@ def few(nodes: DataFrame) -> bool:
     return got["n"] <= SMALL and got["size"] <= SMALL_BYTES
 
 
+def planned_small(rows: DataFrame) -> bool:
+    """Whether Spark's own estimate of the rows, from the sizes of files, lies below its threshold for broadcasts: then it broadcasts them by itself."""
+    most = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
+
+
 def small(nodes: DataFrame) -> DataFrame:
-    """``nodes``, marked for broadcast if they are few."""
-    return F.broadcast(nodes) if few(nodes) else nodes
+    """``nodes``, marked for broadcast if they are few; where files tell that they are, they aren't counted."""
+    return nodes if planned_small(nodes) or not few(nodes) else F.broadcast(nodes)
 
 
 def normal_nodes(nodes: DataFrame) -> DataFrame:
@@ -78,10 +84,13 @@ def _page(rows: DataFrame, after: int | None, limit: int | None, ascending: bool
 
 
 def newest(details: DataFrame) -> DataFrame:
-    """The last version of each node: that of the largest serial."""
-    rest = [c for c in details.columns if c not in NODE]
-    last = details.groupBy(*NODE).agg(F.max_by(F.struct(*rest), F.struct("serial", *[c for c in ("provider", "record_hash") if c in rest])).alias("v"))
-    return last.select(*[F.col(c) if c in NODE else F.col(f"v.{c}").alias(c) for c in details.columns])
+    """The last version of each node: that of the largest serial.
+
+    Serials of details differ. Only nodes and serials are aggregated, by hash; the versions that they name are looked up
+    by semi-join.
+    """
+    last = details.groupBy(*NODE).agg(F.max("serial").alias("serial"))
+    return details.join(last, [*NODE, "serial"], "left_semi")
 
 
 def query_entities(

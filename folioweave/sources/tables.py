@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.store import GraphStore
 
@@ -20,28 +21,65 @@ _EDGES = (
 )
 
 
+#: Schemas by session and path: to look one up reads a file's footer in a job of its own.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table below ``sf_dir``; its files are listed each time, its schema is looked up once a session."""
+    path = f"{sf_dir}/{name}.parquet"
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _SCHEMAS:
+        _SCHEMAS[at] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[at]).parquet(path)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The store of the tables below ``sf_dir``; an anchor's serial is its key.
+class TableGraph(GraphStore):
+    """The store of the tables below a folder; an anchor's serial is its key. A table of it is planned when it is first asked for.
 
     Kinds are literals, so that a filter on the kind prunes the tables that aren't of it.
     """
-    key = lambda c: F.col(c).cast("string")
-    anchors = reduce(DataFrame.unionByName, [
-        table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(c).cast("long").alias("serial"), F.lit(SOURCE).alias("source"), key(c).alias("key")) for t, c in _NODES.items()
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        object.__setattr__(self, "_of", (spark, sf_dir))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in _PLANS:
+            raise AttributeError(name)
+        made = _PLANS[name](*self._of)
+        object.__setattr__(self, name, made)
+        return made
+
+
+def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+    return TableGraph(spark, sf_dir)
+
+
+def _key(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(c).cast("long").alias("serial"), F.lit(SOURCE).alias("source"), _key(c).alias("key")) for t, c in _NODES.items()
     ])
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    details = events.select(
-        F.lit("event").alias("kind"), F.col("event_id").alias("serial"), F.col("event_type").alias("source"), key("user_id").alias("key"), F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"),
+    return events.select(
+        F.lit("event").alias("kind"), F.col("event_id").alias("serial"), F.col("event_type").alias("source"), _key("user_id").alias("key"), F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"),
         F.lit(None).cast("timestamp_ntz").alias("time_source"), F.col("ts").alias("time_sys"), F.col("props").alias("record"), F.md5("props").alias("record_hash"), F.lit("application/json").alias("media_type"),
     )
-    relations = reduce(DataFrame.unionByName, [
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
         table(spark, sf_dir, t).select(
-            F.lit(a).alias("kind_from"), F.lit(b).alias("kind_to"), F.col(kb).cast("long").alias("serial"), F.lit(SOURCE).alias("source_from"), key(ka).alias("key_from"), F.lit(rel).alias("relation_kind"),
-            F.lit(SOURCE).alias("source_to"), key(kb).alias("key_to"), F.lit("p0").alias("provider"), (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("time_sys"), F.lit(None).cast("timestamp_ntz").alias("time_source"),
+            F.lit(a).alias("kind_from"), F.lit(b).alias("kind_to"), F.col(kb).cast("long").alias("serial"), F.lit(SOURCE).alias("source_from"), _key(ka).alias("key_from"), F.lit(rel).alias("relation_kind"),
+            F.lit(SOURCE).alias("source_to"), _key(kb).alias("key_to"), F.lit("p0").alias("provider"), (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("time_sys"), F.lit(None).cast("timestamp_ntz").alias("time_source"),
         ) for t, a, ka, b, kb, rel, at in _EDGES
     ])
-    return GraphStore(anchors, details, relations)
+
+
+_PLANS = {"anchors": _anchors, "details": _details, "relations": _relations}
