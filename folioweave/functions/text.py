@@ -83,6 +83,34 @@ def bare_uuid(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^0-9A-Fa-f]", ""))
 
 
+# Fixed value: the signs of base 58, in order.
+BASE58 = "123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+
+
+def base58(raw: Column) -> Column:
+    """Bytes, the first one the highest, as a number in base 58; '' for zero and for no bytes.
+
+    Digits are kept lowest first; each byte multiplies them by 256 and is carried through them.
+    """
+    digits = F.array().cast("array<int>")
+
+    def carried(a: Column, byte: Column) -> Column:
+        start = F.struct(byte.alias("carry"), digits.alias("out"))
+        step = lambda s, d: let(d * 256 + s["carry"], lambda v: F.struct(F.floor(v / 58).cast("int").alias("carry"), F.array_append(s["out"], v % 58).alias("out")))
+        # What is carried out of the last digit is under 256: two digits more at most.
+        return let(F.aggregate(a, start, step), lambda s: F.concat(s["out"], F.filter(F.array(s["carry"] % 58, F.floor(s["carry"] / 58).cast("int")), lambda d, i: (i == 0) & (s["carry"] > 0) | (i == 1) & (s["carry"] >= 58))))
+
+    octet = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")
+    octets = F.when(F.octet_length(raw) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw), F.lit(1))), octet)).otherwise(digits)
+    found = F.reverse(F.aggregate(octets, digits, carried))
+    return F.when(raw.isNotNull(), F.array_join(F.transform(found, lambda d: F.substring(F.lit(BASE58), d + 1, F.lit(1))), ""))
+
+
+def base58_number(n: Column) -> Column:
+    """A number of zero or more in base 58; null for others."""
+    return F.when(n >= 0, base58(F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))))
+
+
 def pretty_bytes(n: Column) -> Column:
     """Bytes with a decimal unit and one digit behind the point."""
     units = ["B", "kB", "MB", "GB", "TB", "PB"]

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .format_queries import LEADER, _marc, _scratch
-from .operators import ingest, leaves, stats, stored
+from .functions import marc as M
+from .functions import text
+from .operators import ingest, leaves, neighbours, stats, stored
 from .operators import store as S
 from .plans import linking
 from .queries import query
-from .sources import tsv
+from .sources import marc, php, tsv
 from .sources.tables import graph, table
 
 # Linking entries
@@ -170,3 +172,89 @@ def merged_records(spark, d):
     m = merged.select("o_custkey", F.from_json("merged", shape).alias("m")).select("o_custkey", "m.*")
     of = lambda c: F.coalesce(F.try_element_at("totals.of", F.lit(c)), F.lit(0))
     return m.select("o_custkey", "n", F.col("totals.price.sum").alias("price"), "last.priority", "last.finished", F.array_join("keys", ",").alias("keys"), of("F").alias("f"), of("O").alias("o"))
+
+
+# Nearest vectors
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[neighbours.VectorIndex, DataFrame, int]:
+    """All vectors in as many lists as the root of their number, those whose id is divisible by 100 as queries."""
+    rows = table(spark, d, "embeddings")
+    lists = max(4, int(rows.count() ** 0.5))
+    return neighbours.VectorIndex.build(rows, _scratch(spark, "vectors"), lists=lists), rows.where("vec_id % 100 = 0"), lists
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS u FROM embeddings), p AS (SELECT q.vec_id AS query, e.vec_id AS id, array_cosine_similarity(q.u, e.u) AS c FROM e q, e WHERE q.vec_id % 100 = 0)
+    SELECT query, id, rank, round(1 - c, 5) + 0.0 AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY 1 - c, id) - 1 AS INTEGER) AS rank FROM p) r WHERE rank < 10""")
+def indexed_neighbours(spark, d):
+    """A search of all lists of the index finds the exact neighbours."""
+    index, queries, lists = _indexed(spark, d)
+    return index.search(queries, 10, lists).select("query", "id", "rank", (F.round("distance", 5) + 0.0).alias("distance"))
+
+
+@query()
+def approximate_neighbours(spark, d):
+    """A search of half of the lists."""
+    index, queries, lists = _indexed(spark, d)
+    return index.search(queries, 10, max(4, lists // 2))
+
+
+# Bytes
+
+
+_CHARSETS = ("UTF-8", "UTF-16LE", "windows-1251")
+
+
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as records with a Cyrillic title, which every charset here has."""
+    key = F.col("p_partkey").cast("string")
+    rec = _marc(LEADER, {"001": key, "003": F.lit("LibA")}, [("245", "0", "0", {"a": F.concat(F.lit("Книга Нова №"), key), "b": F.col("p_type")}), ("260", " ", " ", {"b": F.concat(F.col("p_brand"), F.lit(" Н"))})])
+    return table(spark, d, "part").select("p_partkey", rec.alias("marc"))
+
+
+@query("SELECT p_partkey, ['UTF-8', 'UTF-16LE', 'windows-1251'][1 + p_partkey % 3] AS charset, 'Книга Нова №' || CAST(p_partkey AS VARCHAR) AS title, p_type AS rest, p_brand || ' Н' AS publisher, CAST(NULL AS VARCHAR) AS damage FROM part")
+def iso2709_charsets(spark, d):
+    """Records written in three charsets, a file of each, and read by bytes: signs that hold a mark's byte stay whole."""
+    found = None
+    for k, charset in enumerate(_CHARSETS):
+        raw = _titled(spark, d).where(F.col("p_partkey") % 3 == k).select(marc.encoded(marc.to_iso2709(F.col("marc"), charset), charset).alias("raw"))
+        end = "\x1d\x00" if charset == "UTF-16LE" else "\x1d"
+        path = _scratch(spark, "charset")
+        # The writer ends each record with its mark.
+        raw.select(F.substring("raw", F.lit(1), F.octet_length("raw") - len(end)).cast("string").alias("value")).write.option("lineSep", end).text(path)
+        rows = marc.read_marc(spark, path, "UTF-16LE") if charset == "UTF-16LE" else marc.read_marc(spark, path, other=None if charset == "UTF-8" else charset)
+        m = F.col("marc")
+        own = rows.select(M.control(m, "001").cast("long").alias("p_partkey"), F.lit(charset).alias("charset"), M.first(m, "245", "a").alias("title"), M.first(m, "245", "b").alias("rest"), M.first(m, "260", "b").alias("publisher"), "damage")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query("SELECT ['length', 'base', 'directory', 'field', NULL][1 + p_partkey % 5] AS damage, count(*) AS n FROM part GROUP BY 1")
+def iso2709_rejects(spark, d):
+    """Records with a wrong length, base address, directory or place of a field, and sound ones."""
+    iso, k = marc.to_iso2709(F.col("marc")), F.col("p_partkey") % 5
+    told = lambda c, a, text: F.overlay(c, F.lit(text), F.lit(a))
+    broken = F.when(k == 0, F.concat(iso, F.lit("x" * 9))).when(k == 1, told(iso, 13, "00x00")).when(k == 2, told(iso, 28, "a")).when(k == 3, told(iso, 32, "9")).otherwise(iso)
+    return _titled(spark, d).select(marc.damage(broken).alias("damage")).groupBy("damage").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey * 100000007 + l_linenumber AS n FROM lineitem)
+    SELECT n, string_agg(CASE WHEN n >= p THEN substr('123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ', CAST(n // p % 58 AS INTEGER) + 1, 1) ELSE '' END, '' ORDER BY p DESC) AS text
+    FROM e, (SELECT CAST(58 ** unnest(range(9)) AS BIGINT) AS p) GROUP BY n""")
+def base58_numbers(spark, d):
+    n = F.col("l_orderkey").cast("long") * 100_000_007 + F.col("l_linenumber").cast("long")
+    return table(spark, d, "lineitem").select(n.alias("n")).distinct().select("n", text.base58_number(F.col("n")).alias("text"))
+
+
+@query("""SELECT o_orderkey, CAST(2 + o_orderkey % 3 AS INTEGER) AS n, 'Абзац "1"; {' || o_orderpriority || '}' AS first, 'конец ' || CAST(o_custkey AS VARCHAR) AS last, CAST(o_custkey % 7 AS VARCHAR) AS note FROM orders""")
+def php_bodies(spark, d):
+    """URL-encoded serialised arrays of arrays of texts, as articles' bodies are, with signs of the format within the texts."""
+    text_of = lambda c: F.concat(F.lit("s:"), F.octet_length(c).cast("string"), F.lit(':"'), c, F.lit('";'))
+    entry = lambda k, c: F.concat(F.lit("i:"), k.cast("string"), F.lit(';a:2:{s:4:"text";'), text_of(c), F.lit('s:9:"footnotes";a:1:{i:0;a:1:{s:1:"n";i:'), (F.col("o_custkey") % 7).cast("string"), F.lit(";}}}"))
+    middle = F.col("o_orderkey") % 3
+    words = F.concat(F.array(F.concat(F.lit('Абзац "1"; {'), "o_orderpriority", F.lit("}"))), F.array_repeat(F.lit(""), middle.cast("int")), F.array(F.concat(F.lit("конец "), F.col("o_custkey").cast("string"))))
+    body = F.concat(F.lit("a:"), F.size(words).cast("string"), F.lit(":{"), F.array_join(F.transform(words, lambda w, i: entry(i, w)), ""), F.lit("}"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.url_encode(body).alias("body"))
+    found = rows.select("o_orderkey", php.leaves(F.url_decode("body")).alias("l")).select("o_orderkey", php.texts(F.col("l"), "text").alias("p"), "l")
+    note = F.element_at(F.filter("l", lambda x: F.element_at(x["path"], -1) == "n"), 1)["value"]
+    return found.select("o_orderkey", F.size("p").alias("n"), F.get("p", F.lit(0)).alias("first"), F.element_at("p", -1).alias("last"), note.alias("note"))

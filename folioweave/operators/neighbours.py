@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -67,18 +68,22 @@ class VectorIndex:
         return ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance")
 
 
-def exact_neighbours(vectors: DataFrame, queries: DataFrame, limit: int = 100, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, limit: int = 100, id_col: str = "vec_id", vector: str = "embedding", block: int = 1000) -> DataFrame:
     """What ``VectorIndex.search`` finds if it looks into all lists, by comparing every query with every vector.
 
-    The queries are a stated set: they are collected in blocks of 1000 and each block is scored in one pass.
+    The queries are a stated set, dealt to blocks of about ``block``, each of which is sent to all tasks.
     """
-    spark, most = vectors.sparkSession, min(1000, max(1, limit))
+    most = min(1000, max(1, limit))
     rows = vectors.select(F.col(id_col).alias("id"), _unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
     own = queries.select(F.col(id_col).alias("query"), _unit(F.col(vector)).alias("q")).where("q IS NOT NULL")
-    scored = rows.join(F.broadcast(own.limit(1000)), F.lit(True)) if own.limit(1001).count() <= 1000 else rows.crossJoin(own)
-    scored = scored.select("query", "id", (1 - dot(F.col("v"), F.col("q"))).alias("distance"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= most)
-    return ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance")
+    blocks = max(1, -(-own.count() // block))
+    part = lambda k: F.broadcast(own.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
+    found = []
+    for k in range(blocks):
+        scored = rows.join(part(k), F.lit(True)).select("query", "id", (1 - dot(F.col("v"), F.col("q"))).alias("distance"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= most)
+        found.append(ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import host_and_path, parse_identifier, sanitize_kind
+from . import php
 from .registry import ATOM, JES, LITRES, OPDS, read_xml_records
 
 OPDS_SCHEMA = (
@@ -86,15 +87,20 @@ def book_publication(b: Column) -> Column:
 
 JOURNAL_SCHEMA = (
     "issn string, title string, issues struct<issue: array<struct<product_id: string, date_public: long, "
-    "articles: struct<article: array<struct<external_pid: string, title: string>>>>>>"
+    "articles: struct<article: array<struct<external_pid: string, title: string, text: string>>>>>>"
 )
 
 
-def read_journals(spark: SparkSession, path: str) -> DataFrame:
-    """Journals (issn, title, issues) of XML files; texts may be URL-encoded."""
-    rows = read_xml_records(spark, path, JES, JOURNAL_SCHEMA)
+def article_paragraphs(body: Column) -> Column:
+    """The texts of an article's body, a URL-encoded serialised PHP array of arrays, in order; null if it isn't one."""
+    return php.texts(php.leaves(F.try_url_decode(body)), "text")
+
+
+def read_journals(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Journals (issn, title, issues) of XML files, in UTF-16 with a byte order mark; texts may be URL-encoded. Articles bring the paragraphs of their bodies."""
+    rows = read_xml_records(spark, path, JES, JOURNAL_SCHEMA, encoding)
     plain = lambda c: F.coalesce(F.try_url_decode(c), c)
-    article = lambda a: F.struct(a["external_pid"].alias("external_pid"), plain(a["title"]).alias("title"))
+    article = lambda a: F.struct(a["external_pid"].alias("external_pid"), plain(a["title"]).alias("title"), article_paragraphs(a["text"]).alias("paragraphs"))
     issue = lambda i: F.struct(i["product_id"].alias("product_id"), i["date_public"].alias("date_public"), F.transform(i["articles"]["article"], article).alias("articles"))
     return rows.select("issn", plain(F.col("title")).alias("title"), F.transform("issues.issue", issue).alias("issues"))
 

@@ -7,10 +7,13 @@ binary, so offsets stay byte offsets whatever the text's encoding.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import marc as M
+from ..functions.text import let
 from ..model import MARC_RECORD
 from ..plans.linking import linking_edges, linking_tuples
 from .registry import MARC, MARCXML, ROW_TAG
@@ -19,20 +22,63 @@ FIELD_MARK, SUBFIELD_MARK = "\x1e", "\x1f"
 _STRUCT = MARC_RECORD.simpleString()
 
 
-def parsed(record: Column) -> Column:
-    """The record struct of an ISO 2709 text or binary; null where the leader or directory can't be read."""
-    raw = record.cast("binary")
-    text = lambda a, n: F.decode(F.substring(raw, a, n), "UTF-8")
-    base = text(F.lit(13), F.lit(5)).try_cast("int")
-    entries = ((base - 25) / 12).cast("int")
+def _high(charset: str) -> tuple[str, str]:
+    """The 128 signs of a one-byte charset's upper half, and what a Latin-1 reading makes of their bytes; bytes without a sign are left out."""
+    pairs = [(bytes([k]).decode(charset, "replace"), chr(k)) for k in range(128, 256)]
+    return "".join(x for x, _ in pairs if x != "\ufffd"), "".join(y for x, y in pairs if x != "\ufffd")
+
+
+def _wide(charset: str) -> bool:
+    return charset.upper().startswith("UTF-16")
+
+
+def decoded(raw: Column, charset: str = "UTF-8") -> Column:
+    """Bytes as text: UTF-8 with broken bytes replaced, UTF-16LE or UTF-16BE without the last byte of an odd number, or a one-byte charset that Python knows."""
+    if charset.upper() in ("UTF-8", "UTF8"):
+        return F.make_valid_utf8(raw.cast("string"))
+    if _wide(charset):
+        return F.decode(F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2), charset)
+    signs, bytes_of = _high(charset)
+    return F.translate(F.decode(raw, "ISO-8859-1"), bytes_of, signs)
+
+
+def encoded(text: Column, charset: str = "UTF-8") -> Column:
+    """Text as bytes; what a one-byte charset lacks becomes a question mark."""
+    if charset.upper() in ("UTF-8", "UTF8") or _wide(charset):
+        return F.encode(text, charset)
+    signs, bytes_of = _high(charset)
+    kept = F.regexp_replace(text, "[^\\x00-\\x7f" + re.escape(signs) + "]", "?")
+    return F.encode(F.translate(kept, signs, bytes_of), "ISO-8859-1")
+
 
-    def entry(i: Column) -> Column:
-        at = F.lit(25) + i * 12
-        size, start = text(at + 3, F.lit(4)).try_cast("int"), text(at + 7, F.lit(5)).try_cast("int")
-        return F.struct(text(at, F.lit(3)).alias("tag"), F.regexp_replace(text(base + start + 1, size), FIELD_MARK, "").alias("body"))
+def _frame(raw: Column, charset: str) -> tuple[Column, Column, Column, Column]:
+    """A record's leader, base address, number of directory entries, and its array of (tag, size, start), sizes and places in bytes."""
+    unit = 2 if _wide(charset) else 1
+    ascii_text = lambda a, n: decoded(F.substring(raw, a * unit + 1, F.lit(n * unit)), charset if unit == 2 else "UTF-8")
+    leader = ascii_text(F.lit(0), 24)
+    base = F.substring(leader, 13, 5).try_cast("int")
+    entries = ((base - 25 * unit) / (12 * unit)).cast("int")
+    listed = ascii_text(F.lit(24), 12 * 10_000)
+    entry = lambda i: F.struct(F.substring(listed, i * 12 + 1, F.lit(3)).alias("tag"), F.substring(listed, i * 12 + 4, F.lit(4)).try_cast("int").alias("size"), F.substring(listed, i * 12 + 8, F.lit(5)).try_cast("int").alias("start"))
+    return leader, base, entries, F.when((base > 25 * unit) & (entries > 0), F.transform(F.sequence(F.lit(0), F.greatest(entries, F.lit(1)) - 1), entry))
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), entries - 1), entry), lambda e: e["body"].isNotNull())
-    control = F.transform(F.filter(found, lambda e: F.startswith(e["tag"], F.lit("00"))), lambda e: F.struct(e["tag"].alias("tag"), e["body"].alias("value")))
+
+def parsed(record: Column, charset: str = "UTF-8", other: str | None = None) -> Column:
+    """The record struct of an ISO 2709 text or binary; null where the leader or directory can't be read.
+
+    Records are taken apart as bytes, by the places in their directory, and each field is decoded by itself: by ``charset``, or, where
+    ``other`` is given and the leader doesn't say that the record is Unicode ("a" at its place 9), by that. In UTF-16 leader,
+    directory and marks take two bytes a sign.
+    """
+    raw = record.cast("binary")
+
+    def read(frame: Column) -> Column:
+        unicode = F.substring(frame["leader"], 10, 1) == "a"
+        text = lambda x: decoded(x, charset) if other is None else F.when(unicode, decoded(x, charset)).otherwise(decoded(x, other))
+        body = lambda e: F.regexp_replace(text(F.substring(raw, frame["base"] + e["start"] + 1, e["size"])), FIELD_MARK, "")
+        found = F.filter(F.transform(frame["entries"], lambda e: F.struct(e["tag"].alias("tag"), body(e).alias("body"))), lambda e: e["body"].isNotNull())
+        return let(found, lambda fields: F.struct(frame["leader"].alias("leader"), F.transform(F.filter(fields, lambda e: F.startswith(e["tag"], F.lit("00"))), lambda e: F.struct(e["tag"].alias("tag"), e["body"].alias("value"))).alias("controlfield"),
+                                                  F.transform(F.filter(fields, lambda e: ~F.startswith(e["tag"], F.lit("00"))), field).alias("datafield")))
 
     def field(e: Column) -> Column:
         parts = F.split(e["body"], SUBFIELD_MARK)
@@ -40,30 +86,74 @@ def parsed(record: Column) -> Column:
         lead = F.get(parts, F.lit(0))
         return F.struct(e["tag"].alias("tag"), F.substring(lead, 1, 1).alias("ind1"), F.substring(lead, 2, 1).alias("ind2"), subs.alias("subfield"))
 
-    data = F.transform(F.filter(found, lambda e: ~F.startswith(e["tag"], F.lit("00"))), field)
-    return F.when((base > 25) & (entries > 0), F.struct(text(F.lit(1), F.lit(24)).alias("leader"), control.alias("controlfield"), data.alias("datafield"))).cast(_STRUCT)
+    leader, base, _, entries = _frame(raw, charset)
+    frame = F.struct(leader.alias("leader"), base.alias("base"), entries.alias("entries"))
+    return let(frame, lambda f: F.when(f["entries"].isNotNull(), read(f))).cast(_STRUCT)
 
 
-def to_iso2709(rec: Column) -> Column:
-    """A record struct as ISO 2709 text: directory, base address and record length computed anew."""
+def damage(record: Column, charset: str = "UTF-8") -> Column:
+    """What is wrong with an ISO 2709 record: ``length``, ``base``, ``directory`` or ``field``; null if nothing is.
+
+    The leader's length must be the record's, with its last mark or without it; the directory must fill the place up to the base address
+    with whole entries of digits, and every field must lie in the record and end with its mark.
+    """
+    raw = record.cast("binary")
+    unit = 2 if _wide(charset) else 1
+    mark = F.encode(F.lit(FIELD_MARK), charset if unit == 2 else "UTF-8")
+    size = F.octet_length(raw)
+    leader, base, _, entries = _frame(raw, charset)
+
+    def judged(f: Column) -> Column:
+        told = F.substring(f["leader"], 1, 5).try_cast("int")
+        broken = F.exists(f["entries"], lambda e: e["size"].isNull() | e["start"].isNull() | (e["size"] < 0) | (e["start"] < 0))
+        end = lambda e: f["base"] + e["start"] + e["size"]
+        outside = F.exists(f["entries"], lambda e: (end(e) > size) | (F.substring(raw, end(e) - unit + 1, F.lit(unit)) != mark))
+        whole = (f["base"] - 25 * unit) % (12 * unit) == 0
+        return (
+            F.when(told.isNull() | ((told != size) & (told != size + unit)), "length").when(f["entries"].isNull() | (f["base"] > size), "base")
+            .when(~whole | (F.substring(raw, f["base"] - unit + 1, F.lit(unit)) != mark) | broken, "directory").when(outside, "field")
+        )
+
+    return F.when(raw.isNull(), "length").otherwise(let(F.struct(leader.alias("leader"), base.alias("base"), entries.alias("entries")), judged))
+
+
+def to_iso2709(rec: Column, charset: str = "UTF-8") -> Column:
+    """A record struct as ISO 2709 text: directory, base address and record length computed anew, in bytes of ``charset``, in which it is to be ``encoded``."""
+    unit = 2 if _wide(charset) else 1
+    size = F.octet_length if charset == "UTF-8" else lambda c: F.octet_length(encoded(c, charset))
     body = lambda f: F.concat(F.coalesce(f["ind1"], F.lit(" ")), F.coalesce(f["ind2"], F.lit(" ")), F.array_join(F.transform(f["subfield"], lambda s: F.concat(F.lit(SUBFIELD_MARK), s["code"], s["value"])), ""), F.lit(FIELD_MARK))
     control = F.transform(rec["controlfield"], lambda f: F.struct(f["tag"].alias("tag"), F.concat(f["value"], F.lit(FIELD_MARK)).alias("body")))
     all_fields = F.concat(control, F.transform(rec["datafield"], lambda f: F.struct(f["tag"].alias("tag"), body(f).alias("body"))))
     start = F.struct(F.lit("").alias("directory"), F.lit(0).alias("at"))
     pad = lambda n, w: F.lpad(n.cast("string"), w, "0")
-    listed = F.aggregate(all_fields, start, lambda a, f: F.struct(
-        F.concat(a["directory"], f["tag"], pad(F.octet_length(f["body"]), 4), pad(a["at"], 5)).alias("directory"), (a["at"] + F.octet_length(f["body"])).alias("at"),
-    ))
-    base = F.lit(24) + F.length(listed["directory"]) + 1
-    whole = F.concat(listed["directory"], F.lit(FIELD_MARK), F.array_join(F.transform(all_fields, lambda f: f["body"]), ""), F.lit("\x1d"))
-    leader = F.rpad(F.coalesce(rec["leader"], F.lit("")), 24, " ")
-    return F.concat(pad(F.octet_length(whole) + 24, 5), F.substring(leader, 6, 7), pad(base, 5), F.substring(leader, 18, 7), whole)
-
 
-def read_marc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (record, media_type, marc) of ISO 2709 files."""
-    rows = spark.read.option("lineSep", "\x1d").text(path).where("length(trim(value)) > 24")
-    return rows.select(F.concat(F.col("value"), F.lit("\x1d")).alias("record"), F.lit(MARC).alias("media_type"), parsed(F.col("value")).alias("marc"))
+    def written(fields: Column) -> Column:
+        listed = F.aggregate(fields, start, lambda a, f: let(size(f["body"]), lambda n: F.struct(F.concat(a["directory"], f["tag"], pad(n, 4), pad(a["at"], 5)).alias("directory"), (a["at"] + n).alias("at"))))
+        return let(F.struct(listed["directory"].alias("directory"), F.array_join(F.transform(fields, lambda f: f["body"]), "").alias("bodies")), framed)
+
+    def framed(x: Column) -> Column:
+        base = (F.lit(24) + F.length(x["directory"]) + 1) * unit
+        whole = F.concat(x["directory"], F.lit(FIELD_MARK), x["bodies"], F.lit("\x1d"))
+        leader = F.rpad(F.coalesce(rec["leader"], F.lit("")), 24, " ")
+        scheme = F.substring(leader, 10, 1) if charset == "UTF-8" else F.lit("a" if unit == 2 else " ")
+        return F.concat(pad(size(whole) + 24 * unit, 5), F.substring(leader, 6, 4), scheme, F.substring(leader, 11, 2), pad(base, 5), F.substring(leader, 18, 7), whole)
+
+    return let(all_fields, written)
+
+
+def read_marc(spark: SparkSession, path: str, charset: str = "UTF-8", other: str | None = None) -> DataFrame:
+    """Rows (record, media_type, marc, damage) of ISO 2709 files; records as they are, in bytes if they aren't UTF-8.
+
+    Files are split at record marks, in UTF-16 of two bytes each. Records with a ``damage`` are rejects; what can be read of them is in ``marc``.
+    """
+    plain = charset == "UTF-8" and other is None
+    rows = spark.read.option("lineSep", "\x1d").option("encoding", charset if _wide(charset) else "UTF-8").text(path)
+    raw = F.col("value").cast("binary")
+    rows = rows.where(F.octet_length(raw) > 24)
+    end = F.encode(F.lit("\x1d"), charset if _wide(charset) else "UTF-8")
+    record = F.concat(F.col("value"), F.lit("\x1d")) if plain else F.concat(raw, end)
+    own = rows.select(record.alias("record"), F.lit(MARC).alias("media_type"))
+    return own.withColumns({"marc": parsed(F.col("record"), charset, other), "damage": damage(F.col("record"), charset)})
 
 
 _XML = "leader string, controlfield array<struct<_VALUE: string, _tag: string>>, datafield array<struct<_tag: string, _ind1: string, _ind2: string, subfield: array<struct<_VALUE: string, _code: string>>>>"
