@@ -67,11 +67,12 @@ def smallest_reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pair = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).dropna()
     both = cut(pair.unionByName(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
     total = None
     while True:
         told = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("root"))
-        near = cut(labels.unionByName(told).groupBy("node").agg(F.min("root").alias("root")))
+        near = labels.unionByName(told).groupBy("node").agg(F.min("root").alias("root"))
+        # Both sides take the same shuffle of ``near``.
         up = near.select(F.col("node").alias("up"), F.col("root").alias("top"))
         labels = cut(near.join(up, near.root == up.up).select("node", F.least("root", "top").alias("root")))
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)")).alias("s")).first()["s"]

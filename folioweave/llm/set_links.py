@@ -21,7 +21,7 @@ from . import bytewise as B
 from .common import cut, smallest_reachable, xor_key
 
 #: How many times as large the next block of leaders is; the first one is a single set.
-GROWTH = 16
+GROWTH = 64
 #: Bits of a set's bitmap.
 BITS = 512
 #: Rows of keys that are broadcast, 24 bytes each; with more of them tables are shuffled.
