@@ -5,8 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +35,10 @@ class VectorIndex:
         Vectors without a direction are nobody's neighbours and left out. All others must have one length. A list of
         very many vectors is written by several tasks.
         """
+        # Only here, as the import is large.
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
         spark = vectors.sparkSession
         rows = vectors.select(F.col(id_col).alias("id"), _unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
         share = min(1.0, sample / max(1, rows.count()))
