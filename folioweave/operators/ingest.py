@@ -8,7 +8,7 @@ sees the whole batch.
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,45 +87,66 @@ def mint_serials(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
     return dealt.join(shifts, part == F.col("__part")).withColumn("serial", F.col("__shift") + place + 1).drop("__id", "__part", "__shift")
 
 
-@dataclass(frozen=True)
 class Batch:
-    """What one import adds: new rows of each table, and what it left out."""
-
-    anchors: DataFrame
-    details: DataFrame
-    relations: DataFrame
-    rejects: DataFrame
-    report: DataFrame
+    """What one import adds: new rows of each table, and what it left out. Each is planned when it is first asked for."""
+
+    def __init__(self, rows: DataFrame, store: GraphStore) -> None:
+        """``rows`` are classified tuples with ``time_sys``."""
+        self.rows, self.store = rows, store
+
+    @cached_property
+    def _details(self) -> DataFrame:
+        own = self.rows.where("class = 'detail'").select(*DETAIL_KEY, "record", "media_type", "time_source", "time_sys", "input_pos")
+        return first_of_each(own, DETAIL_KEY)
+
+    @cached_property
+    def _relations(self) -> DataFrame:
+        return first_of_each(self.rows.where("class = 'relation'").select(*EDGE, "provider", "time_source", "time_sys", "input_pos"), EDGE)
+
+    @cached_property
+    def _anchors(self) -> DataFrame:
+        """The tuples' own nodes and both ends of their edges, from one pass over the rows."""
+        node = lambda end: F.struct(*[F.col(f"{c}{end}").alias(c) for c in NODE])
+        nodes = F.when(F.col("class") == "relation", F.array(node("_from"), node("_to"))).otherwise(F.array(node("")))
+        return self.rows.where("class <> 'reject'").select(F.explode(nodes).alias("n")).select("n.*").distinct()
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        return absent(self._anchors, self.store.anchors, NODE)
+
+    @cached_property
+    def details(self) -> DataFrame:
+        return absent(self._details, self.store.details, DETAIL_KEY)
+
+    @cached_property
+    def relations(self) -> DataFrame:
+        return absent(self._relations, self.store.relations, EDGE)
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return self.rows.where("class = 'reject'")
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """A row for each class and kind: total in the batch after dedup, and affected, that is new."""
+        lines = None
+        for name, all_rows, fresh in (("anchor", self._anchors, self.anchors), ("detail", self._details, self.details), ("relation", self._relations, self.relations)):
+            own = F.col("kind") if name != "relation" else F.concat_ws("__", "kind_from", "kind_to")
+            total = all_rows.groupBy(own.alias("kind")).agg(F.count("*").alias("total"))
+            new = fresh.groupBy(own.alias("kind")).agg(F.count("*").alias("affected"))
+            line = total.join(new, "kind", "left").select(F.lit(name).alias("class"), "kind", "total", F.coalesce("affected", F.lit(0)).alias("affected"))
+            lines = line if lines is None else lines.unionByName(line)
+        return lines
 
 
 def prepare(tuples: DataFrame, store: GraphStore, provider: str | None = None, now=None) -> Batch:
     """Classify and dedup ``tuples`` and keep what ``store`` lacks; nothing is written.
 
-    Relations bring both of their ends as anchors, details their own. ``report`` has a row for each
-    class and kind: total in the batch after dedup, and affected, that is new.
+    Relations bring both of their ends as anchors, details their own.
     """
     rows = classify(normalise(tuples, provider))
     stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
-    rows = rows.withColumn("time_sys", stamp)
-    details = first_of_each(rows.where("class = 'detail'").select(*DETAIL_KEY, "record", "media_type", "time_source", "time_sys", "input_pos"), DETAIL_KEY)
-    relations = first_of_each(rows.where("class = 'relation'").select(*EDGE, "provider", "time_source", "time_sys", "input_pos"), EDGE)
-    ends = [relations.select(*[F.col(f"{c}_{e}").alias(c) for c in NODE]) for e in ("from", "to")]
-    plain = rows.where("class IN ('anchor', 'detail')").select(*NODE)
-    anchors = plain.unionByName(ends[0]).unionByName(ends[1]).distinct()
-    fresh = {
-        "anchor": absent(anchors, store.anchors, NODE),
-        "detail": absent(details, store.details, DETAIL_KEY),
-        "relation": absent(relations, store.relations, EDGE),
-    }
-    seen = {"anchor": anchors, "detail": details, "relation": relations}
-    lines = None
-    for name, all_rows in seen.items():
-        own = F.col("kind") if name != "relation" else F.concat_ws("__", "kind_from", "kind_to")
-        total = all_rows.groupBy(own.alias("kind")).agg(F.count("*").alias("total"))
-        new = fresh[name].groupBy(own.alias("kind")).agg(F.count("*").alias("affected"))
-        line = total.join(new, "kind", "left").select(F.lit(name).alias("class"), "kind", "total", F.coalesce("affected", F.lit(0)).alias("affected"))
-        lines = line if lines is None else lines.unionByName(line)
-    return Batch(fresh["anchor"], fresh["detail"], fresh["relation"], rows.where("class = 'reject'"), lines)
+    return Batch(rows.withColumn("time_sys", stamp), store)
 
 
 #: The key in whose order each table's serials are minted.

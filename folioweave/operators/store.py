@@ -39,7 +39,7 @@ def few(nodes: DataFrame) -> bool:
 def planned_small(rows: DataFrame) -> bool:
     """Whether Spark's own estimate of the rows, from the sizes of files, lies below its threshold for broadcasts: then it broadcasts them by itself."""
     most = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def small(nodes: DataFrame) -> DataFrame:
@@ -60,6 +60,10 @@ class GraphStore:
     details: DataFrame
     relations: DataFrame
 
+    def anchors_of(self, kind: str) -> DataFrame:
+        """The anchors of a kind."""
+        return self.anchors.where(F.col("kind") == kind)
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> GraphStore:
         return GraphStore(*[spark.read.parquet(f"{path}/{t}") for t in ("anchors", "details", "relations")])
@@ -125,7 +129,7 @@ def query_anchors(store: GraphStore, nodes: DataFrame | None = None, after: int
 
 def list_kind(store: GraphStore, kind: str, after: int | None = None, limit: int | None = None) -> DataFrame:
     """A page of a kind's anchors, the newest first."""
-    return _page(store.anchors.where(F.col("kind") == kind.lower()), after, limit, False)
+    return _page(store.anchors_of(kind.lower()), after, limit, False)
 
 
 def _edge_ends(direction: str) -> dict[str, str]:
@@ -193,8 +197,8 @@ def count_children(store: GraphStore, source: str, key: str, kind: str | None =
 
 def count_anchors(store: GraphStore, kind: str | None = None, source: str | None = None, key: str | None = None) -> DataFrame:
     """Anchors by kind, of a source or key if given."""
-    rows = store.anchors
-    for name, value in (("kind", kind), ("source", source), ("key", key)):
+    rows = store.anchors if kind is None else store.anchors_of(kind)
+    for name, value in (("source", source), ("key", key)):
         rows = rows if value is None else rows.where(F.col(name) == value)
     return rows.groupBy("kind").agg(F.count("*").alias("n"))
 

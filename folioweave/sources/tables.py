@@ -43,6 +43,9 @@ class TableGraph(GraphStore):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         object.__setattr__(self, "_of", (spark, sf_dir))
 
+    def anchors_of(self, kind: str) -> DataFrame:
+        return _anchors(*self._of, kind) if kind in _NODES else super().anchors_of(kind)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _PLANS:
             raise AttributeError(name)
@@ -59,9 +62,9 @@ def _key(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _anchors(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [
-        table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(c).cast("long").alias("serial"), F.lit(SOURCE).alias("source"), _key(c).alias("key")) for t, c in _NODES.items()
+        table(spark, sf_dir, t).select(F.lit(t).alias("kind"), F.col(c).cast("long").alias("serial"), F.lit(SOURCE).alias("source"), _key(c).alias("key")) for t, c in _NODES.items() if t in (kinds or _NODES)
     ])
 
 
