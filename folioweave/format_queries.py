@@ -209,18 +209,22 @@ def card_tables(spark, d):
     return feeds.card_rows(pages).select("n_regionkey", F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("second"))
 
 
-_SAMPLES = (
-    ("00026nam a2200025 i 4500", registry.MARC), ('<?xml version="1.0"?><collection><record><leader>x</leader></record></collection>', registry.MARCXML), ("<ONIXMessage><Product/></ONIXMessage>", registry.ONIX),
-    ("<feed><entry/></feed>", registry.ATOM), ("<updated-book/>", registry.LITRES), ("<removed-book/>", registry.LITRES), ("<journals/>", registry.JES), ("<rdf:RDF/>", registry.RDF), ("<!DOCTYPE html><p>", registry.HTML),
-    ('<?xml version="1.0"?><other/>', registry.XML), ('{"@context": 1}', registry.LD_JSON), ('{"metadata": {}}', registry.OPDS), ('{"copies": [], "parts": []}', registry.REGISTRY), ("[1, 2]", registry.JSON),
-    ('<http://a> <http://b> "c" .', registry.QUADS), ("a\tb", registry.TSV), ("--- \na: 1", registry.YAML), ("words", "text/plain"),
+#: What comes before and after a customer's name in a record, and the record's media type.
+_SHAPES = (
+    ("00026nam a2200025 i 4500", "", registry.MARC), ("<?xml version=\"1.0\"?><collection><record><leader>", "</leader></record></collection>", registry.MARCXML), ("<ONIXMessage><Product>", "</Product></ONIXMessage>", registry.ONIX),
+    (" <feed><entry>", "</entry></feed>", registry.ATOM), ("<updated-book>", "</updated-book>", registry.LITRES), ("<journals><title>", "</title></journals>", registry.JES), ("<rdf:RDF>", "</rdf:RDF>", registry.RDF),
+    ("<!DOCTYPE html><p>", "", registry.HTML), ('<?xml version="1.0"?><other>', "</other>", registry.XML), ('{"@context": "', '"}', registry.LD_JSON), ('{"metadata": {"title": "', '"}}', registry.OPDS),
+    ('{"copies": ["', '"], "parts": []}', registry.REGISTRY), ('[1, "', '"]', registry.JSON), ('<http://a> <http://b> "', '" .', registry.QUADS), ("a\t", "\tb", registry.TSV), ("--- \nname: ", "", registry.YAML), ("plain ", " words", "text/plain"),
 )
 
 
-@query("SELECT record, media_type FROM (VALUES " + ", ".join("('{}', '{}')".format(r.replace("'", "''"), t) for r, t in _SAMPLES if "\n" not in r and "\t" not in r) + ") t(record, media_type)")
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 20 >= {len(_SHAPES)} THEN NULL ELSE [" + ", ".join(f"'{t}'" for _, _, t in _SHAPES) + "][1 + c_custkey % 20] END AS media_type FROM customer")
 def sniffed_media_types(spark, d):
-    rows = spark.createDataFrame([(r,) for r, _ in _SAMPLES if "\n" not in r and "\t" not in r], "record string")
-    return rows.select("record", registry.sniff(F.col("record")).alias("media_type"))
+    """Records of all media types around customers' names, and empty ones."""
+    shapes = F.array(*[F.struct(F.lit(x).alias("before"), F.lit(y).alias("after")) for x, y, _ in _SHAPES])
+    own = table(spark, d, "customer").select("c_custkey", "c_name", F.get(shapes, (F.col("c_custkey") % 20).cast("int")).alias("s"))
+    record = F.when(F.col("s").isNotNull(), F.concat("s.before", "c_name", "s.after")).otherwise(F.lit("  "))
+    return own.select("c_custkey", registry.sniff(record).alias("media_type"))
 
 
 # Feeds and exports
@@ -458,6 +462,8 @@ def code_labels(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.concat_ws("|", *labels).alias("labels"), name.alias("name"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n FROM (VALUES (100), (1), (10000), (57)) t(n)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE least(10000, greatest(1, o_orderkey - 500)) END AS n FROM orders")
 def page_sizes(spark, d):
-    return spark.createDataFrame([(S.page_size(n),) for n in (None, -5, 1_000_000, 57)], "n long")
+    """Sizes of pages asked for, some of them not given, too small or too large."""
+    asked = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") - 500)
+    return table(spark, d, "orders").select("o_orderkey", S.page_sizes(asked).alias("n"))

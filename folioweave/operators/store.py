@@ -24,6 +24,11 @@ def page_size(limit: int | None) -> int:
     return min(PAGE_MOST, max(1, limit)) if limit is not None else PAGE_DEFAULT
 
 
+def page_sizes(limit: Column) -> Column:
+    """``page_size`` of a column of limits."""
+    return F.when(limit.isNull(), PAGE_DEFAULT).otherwise(F.least(F.lit(PAGE_MOST), F.greatest(F.lit(1), limit)))
+
+
 def is_publication(kind: Column) -> Column:
     """Neither a link kind nor a grouping kind."""
     return ~kind.isin(LINK_KINDS + GROUPING_KINDS)

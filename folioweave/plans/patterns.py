@@ -23,7 +23,7 @@ class Node:
     """A node of a pattern: its kind, none for any, and values its anchor columns must have."""
 
     kind: str | None = None
-    where: dict[str, str] = field(default_factory=dict)
+    where: dict[str, str | Column] = field(default_factory=dict)
     name: str | None = None
 
 
@@ -100,19 +100,27 @@ def kind_paths(store: GraphStore, start: str | None, length: int) -> list[tuple[
     return found
 
 
-def merge_tuples(spark: SparkSession, start: Node, *hops: Hop) -> DataFrame:
-    """Entity and relation tuples that a pattern to be created stands for, for import.
+def merge_each(rows: DataFrame, start: Node, *hops: Hop) -> DataFrame:
+    """Entity and relation tuples that a pattern stands for in each of the rows, for import.
 
-    A node's key is its ``where`` key or its name. A hop gives an edge for each of its relation kinds,
-    two for either direction; a hop without relation kinds gives none.
+    Values of nodes are texts or columns of ``rows``. A node's key is its ``where`` key or its name. A hop gives an edge
+    for each of its relation kinds, two for either direction; a hop without relation kinds gives none. Tuples come in
+    order of ``input_pos`` within a row; nodes and edges that several rows name are told each time.
     """
     nodes = [start, *[h.to for h in hops]]
-    of = lambda n: (n.kind, n.where.get("source"), n.where.get("key", n.name))
-    rows = [(*of(n), *[None] * 7, k) for k, n in enumerate(nodes)]
+    value = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+    of = lambda n: (value(n.kind), value(n.where.get("source")), value(n.where.get("key", n.name)))
+    names, blank = [*NODE, "kind_from", "source_from", "key_from", "relation_kind", "kind_to", "source_to", "key_to"], value(None)
+    made = [(*of(n), *[blank] * 7) for n in nodes]
     for k, hop in enumerate(hops):
         a, b = of(nodes[k]), of(nodes[k + 1])
         for relation in hop.relations:
-            for one, two in {OUT: [(a, b)], IN: [(b, a)], BOTH: [(b, a), (a, b)]}[hop.direction]:
-                rows.append((None, None, None, *one, relation, *two, len(rows)))
-    shape = ", ".join(f"{c} string" for c in [*NODE, "kind_from", "source_from", "key_from", "relation_kind", "kind_to", "source_to", "key_to"])
-    return spark.createDataFrame(rows, f"{shape}, input_pos long")
+            made += [(blank, blank, blank, *one, value(relation), *two) for one, two in {OUT: [(a, b)], IN: [(b, a)], BOTH: [(b, a), (a, b)]}[hop.direction]]
+    each = F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, row, strict=True)]) for row in made])
+    first = F.monotonically_increasing_id() * len(made)
+    return rows.select(first.alias("__first"), F.posexplode(each).alias("__at", "__t")).select("__t.*", (F.col("__first") + F.col("__at")).alias("input_pos"))
+
+
+def merge_tuples(spark: SparkSession, start: Node, *hops: Hop) -> DataFrame:
+    """The tuples of one pattern to be created, all of whose values are texts."""
+    return merge_each(spark.range(1), start, *hops)

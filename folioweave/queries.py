@@ -181,10 +181,17 @@ def pattern_returning(spark, d):
     return patterns.match(graph(spark, d), n("region", name="r"), patterns.Hop(n("nation", name="n"), ("has_part",)), patterns.Hop(n("supplier", name="s")), returning=["r.key", "n.key", "s.serial"])
 
 
-@query("SELECT * FROM (VALUES ('person', 'w', 'ann', NULL, NULL, NULL), ('person', 'w', 'bob', NULL, NULL, NULL), ('city', 'g', 'rome', NULL, NULL, NULL), (NULL, NULL, NULL, 'ann', 'knows', 'bob'), (NULL, NULL, NULL, 'bob', 'knows', 'ann'), (NULL, NULL, NULL, 'rome', 'home_of', 'bob')) t(kind, source, key, key_from, relation_kind, key_to)")
+@query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS n FROM customer)
+    SELECT 'person' AS kind, 'w' AS source, k AS key, NULL AS key_from, NULL AS relation_kind, NULL AS key_to FROM c UNION ALL SELECT 'nation', 'g', n, NULL, NULL, NULL FROM c UNION ALL SELECT 'city', 'g', 'rome', NULL, NULL, NULL FROM c
+    UNION ALL SELECT NULL, NULL, NULL, k, 'knows', n FROM c UNION ALL SELECT NULL, NULL, NULL, n, 'knows', k FROM c UNION ALL SELECT NULL, NULL, NULL, 'rome', 'home_of', n FROM c UNION ALL SELECT NULL, NULL, NULL, 'rome', 'seat_of', n FROM c""")
 def merge_tuples(spark, d):
+    """A pattern of three nodes created for each customer."""
     n = patterns.Node
-    found = patterns.merge_tuples(spark, n("person", {"source": "w"}, "ann"), patterns.Hop(n("person", {"source": "w"}, "bob"), ("knows",), patterns.BOTH), patterns.Hop(n("city", {"source": "g"}, "rome"), ("home_of",), patterns.IN))
+    own = table(spark, d, "customer")
+    found = patterns.merge_each(
+        own, n("person", {"source": "w", "key": F.col("c_custkey")}), patterns.Hop(n("nation", {"source": "g", "key": F.col("c_nationkey")}), ("knows",), patterns.BOTH),
+        patterns.Hop(n("city", {"source": "g"}, "rome"), ("home_of", "seat_of"), patterns.IN),
+    )
     return found.select("kind", "source", "key", "key_from", "relation_kind", "key_to")
 
 
