@@ -21,7 +21,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     A column used several times is copied into the plan each time; where such columns build on each
     other the plan grows by the product.
     """
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
 
 
 def _blank_to_null(c: Column) -> Column:

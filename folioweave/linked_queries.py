@@ -158,7 +158,7 @@ def leaf_occurrences(spark, d):
     return leaves.leaves(_orders_json(spark, d), "json", []).select(name).where(F.col("name").isin(wanted)).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(38,10))) AS DECIMAL(38,2)) AS price, arg_max(o_orderpriority, o_orderkey) AS priority, arg_max(o_orderstatus = 'F', o_orderkey) AS finished,
+@query("""SELECT o_custkey, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DOUBLE) AS price, arg_max(o_orderpriority, o_orderkey) AS priority, arg_max(o_orderstatus = 'F', o_orderkey) AS finished,
     string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1""")
 def merged_records(spark, d):
     """Reports of single orders merged to one of each customer: counts and prices add up at any depth, keys are joined, the last priority stays."""
@@ -171,7 +171,7 @@ def merged_records(spark, d):
     shape = "n long, totals struct<price:struct<sum:decimal(38,2)>,of:map<string,long>>, last struct<priority:string,finished:boolean>, keys array<long>"
     m = merged.select("o_custkey", F.from_json("merged", shape).alias("m")).select("o_custkey", "m.*")
     of = lambda c: F.coalesce(F.try_element_at("totals.of", F.lit(c)), F.lit(0))
-    return m.select("o_custkey", "n", F.col("totals.price.sum").alias("price"), "last.priority", "last.finished", F.array_join("keys", ",").alias("keys"), of("F").alias("f"), of("O").alias("o"))
+    return m.select("o_custkey", "n", F.col("totals.price.sum").cast("double").alias("price"), "last.priority", "last.finished", F.array_join("keys", ",").alias("keys"), of("F").alias("f"), of("O").alias("o"))
 
 
 # Nearest vectors
