@@ -118,3 +118,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(many, rows.node == many.found, "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("found").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
+
+
+#: The query's result in SQL: all pairs that share a shingle are counted, then links are followed.
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS shingles FROM words),
+each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS t FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.doc_id)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(root) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(shingles)
+"""

@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_sort_means": op12_sort_means,
     "op13_jaccard_join": op13_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op12_sort_means": sort_means.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op12_sort_means": sort_means.ORACLE, "op13_jaccard_join": jaccard_join.ORACLE}
