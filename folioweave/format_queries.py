@@ -40,10 +40,15 @@ def _written(spark: SparkSession, lines: DataFrame, name: str, separator: str =
     return path
 
 
-def _xml(lines: DataFrame) -> DataFrame:
-    """Elements in documents of some thousand each, as an XML file has one root."""
+def _xml(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """The folder of XML files that hold the elements, some thousand each.
+
+    A file has one root, and what follows that isn't read, so a task that has several documents writes a file for each.
+    """
     part = F.shiftright(F.monotonically_increasing_id(), 12)
-    return lines.select(part.alias("part"), "value").groupBy("part").agg(F.concat(F.lit("<all>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</all>")).alias("value")).select("value").repartition(F.col("value"))
+    whole = F.concat(F.lit("<all>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</all>")).alias("value")
+    documents = lines.select(part.alias("part"), "value").groupBy("part").agg(whole).select("value")
+    return _written(spark, documents, name, maxRecordsPerFile="1")
 
 
 def _marc(leader: str | Column, control: dict[str, Column], data: list[tuple[str, str, str, dict[str, Column]]]) -> Column:
@@ -111,7 +116,7 @@ def iso2709_round_trip(spark, d):
 def marcxml_round_trip(spark, d):
     lines = _books(spark, d).select(marc_source.to_slim_xml(F.col("marc")).alias("value"))
     m = F.col("marc")
-    found = marc_source.read_marcxml(spark, _written(spark, _xml(lines), "marcxml"))
+    found = marc_source.read_marcxml(spark, _xml(spark, lines, "marcxml"))
     return found.select(F.get(F.split(M.control(m, "001"), "/"), F.lit(1)).cast("long").alias("p_partkey"), F.concat(F.rtrim(M.first(m, "245", "a")), F.lit(" ")).alias("title"), F.concat_ws("|", M.first(m, "260", "b"), M.first(m, "260", "a")).alias("publisher"))
 
 
@@ -126,7 +131,7 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'publication' AS kind, 'atom.example' AS source, '/c/' || CAST(c_custkey AS VARCHAR) AS key, TIMESTAMP '2021-02-03 04:05:06' AS time_source FROM customer")
 def atom_entries(spark, d):
-    return feeds.atom_tuples(feeds.read_atom(spark, _written(spark, _xml(_entries(spark, d)), "atom"))).select("kind", "source", "key", "time_source")
+    return feeds.atom_tuples(feeds.read_atom(spark, _xml(spark, _entries(spark, d), "atom"))).select("kind", "source", "key", "time_source")
 
 
 @query("SELECT 'book' AS kind, 'src' AS source, CAST(c_custkey AS VARCHAR) AS key, NULL AS key_from, NULL AS key_to FROM customer UNION ALL SELECT NULL, NULL, NULL, '1234-' || CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey > 3")
@@ -143,7 +148,7 @@ def publishers_books(spark, d):
     even = F.col("c_custkey") % 2 == 0
     up = F.concat(F.lit('<updated-book id="x" external_id="u'), _key("c_custkey"), F.lit('" updated="2020-05-06 07:08:09" type="0" chars="9"><title-info><book-title>T</book-title></title-info></updated-book>'))
     gone = F.concat(F.lit('<removed-book id="r'), _key("c_custkey"), F.lit('" removed="2021-05-06"/>'))
-    path = _written(spark, _xml(table(spark, d, "customer").select(F.when(even, up).otherwise(gone).alias("value"))), "books")
+    path = _xml(spark, table(spark, d, "customer").select(F.when(even, up).otherwise(gone).alias("value")), "books")
     books = feeds.book_tuples(feeds.read_books(spark, path)).select("key", F.col("time_source").alias("at"), F.lit("updated").alias("what"))
     return books.unionByName(feeds.read_removed_books(spark, path).select("key", F.col("removed").alias("at"), F.lit("removed").alias("what")))
 
@@ -153,7 +158,7 @@ def journal_issues(spark, d):
     article = F.concat(F.lit("<article><external_pid>a"), _key("n_nationkey"), F.lit("</external_pid><title>A%20title</title></article>"))
     articles = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(article)), "").alias("a"))
     line = F.concat(F.lit("<journal><issn>i"), _key("n_regionkey"), F.lit("</issn><title>The%20one</title><issues><issue><product_id>p"), _key("n_regionkey"), F.lit("</product_id><date_public>1600000000</date_public><articles>"), "a", F.lit("</articles></issue></issues></journal>"))
-    found = feeds.journal_tuples(feeds.read_journals(spark, _written(spark, _xml(articles.select(line.alias("value"))), "journals")))
+    found = feeds.journal_tuples(feeds.read_journals(spark, _xml(spark, articles.select(line.alias("value")), "journals")))
     return found.select("kind", "key", "key_from", "key_to")
 
 
@@ -184,7 +189,7 @@ def onix_publications(spark, d):
         el("DescriptiveDetail", el("TitleDetail", el("TitleElement", el("TitleText", F.col("p_name")))), el("Contributor", el("PersonName", F.col("p_brand")), el("ContributorRole", F.lit("A01"))), el("Extent", el("ExtentType", F.lit("00")), el("ExtentValue", _key("p_size")))),
         el("PublishingDetail", el("Publisher", el("PublisherName", F.col("p_type")))),
     )
-    path = _written(spark, _xml(table(spark, d, "part").select(product.alias("value"))), "onix")
+    path = _xml(spark, table(spark, d, "part").select(product.alias("value")), "onix")
     records = registry.read_xml_records(spark, path, registry.ONIX, convert.ONIX_SCHEMA).select(F.to_json(F.struct("*")).alias("record"), F.lit(registry.ONIX).alias("media_type"))
     got = lambda p: F.get_json_object("converted", f"$.metadata.{p}")
     return convert.converted(records, registry.OPDS, sources=(registry.ONIX,)).select(got("identifier").alias("id"), got("title").alias("title"), got("author[0].name").alias("author"), got("publisher").alias("publisher"), got("numberOfPages").cast("int").alias("pages"))
@@ -331,7 +336,7 @@ def tsv_publications(spark, d):
 
 @query("SELECT c_name AS title, 'https://atom.example/c/' || CAST(c_custkey AS VARCHAR) AS identifier, c_mktsegment AS author, c_mktsegment AS subject FROM customer")
 def atom_publications(spark, d):
-    entries = feeds.read_atom(spark, _written(spark, _xml(_entries(spark, d)), "atom"))
+    entries = feeds.read_atom(spark, _xml(spark, _entries(spark, d), "atom"))
     own = entries.select(F.to_json(F.struct("*")).alias("record"), F.lit(registry.ATOM).alias("media_type"))
     got = lambda p: F.get_json_object("converted", f"$.metadata.{p}")
     return convert.converted(own, registry.OPDS, sources=(registry.ATOM,)).select(got("title").alias("title"), got("identifier").alias("identifier"), got("author[0].name").alias("author"), got("subject[0]").alias("subject"))
