@@ -13,7 +13,7 @@ from .operators import store as S
 from .plans import linking
 from .queries import query
 from .sources import marc, php, tsv
-from .sources.tables import graph, table
+from .sources.tables import graph, spread, table
 
 # Linking entries
 
@@ -254,7 +254,7 @@ def php_bodies(spark, d):
     middle = F.col("o_orderkey") % 3
     words = F.concat(F.array(F.concat(F.lit('Абзац "1"; {'), "o_orderpriority", F.lit("}"))), F.array_repeat(F.lit(""), middle.cast("int")), F.array(F.concat(F.lit("конец "), F.col("o_custkey").cast("string"))))
     body = F.concat(F.lit("a:"), F.size(words).cast("string"), F.lit(":{"), F.array_join(F.transform(words, lambda w, i: entry(i, w)), ""), F.lit("}"))
-    rows = table(spark, d, "orders").select("o_orderkey", F.url_encode(body).alias("body"))
+    rows = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.url_encode(body).alias("body"))
     found = rows.select("o_orderkey", php.leaves(F.url_decode("body")).alias("l")).select("o_orderkey", php.texts(F.col("l"), "text").alias("p"), "l")
     note = F.element_at(F.filter("l", lambda x: F.element_at(x["path"], -1) == "n"), 1)["value"]
     return found.select("o_orderkey", F.size("p").alias("n"), F.get("p", F.lit(0)).alias("first"), F.element_at("p", -1).alias("last"), note.alias("note"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import host_and_path, parse_identifier, sanitize_kind
+from ..functions.text import host_and_path, let, parse_identifier, sanitize_kind
 from . import php
 from .registry import ATOM, JES, LITRES, OPDS, read_xml_records
 
@@ -98,10 +98,15 @@ def article_paragraphs(body: Column) -> Column:
 
 def read_journals(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Journals (issn, title, issues) of XML files, in UTF-16 with a byte order mark; texts may be URL-encoded. Articles bring the paragraphs of their bodies."""
-    rows = read_xml_records(spark, path, JES, JOURNAL_SCHEMA, encoding)
     plain = lambda c: F.coalesce(F.try_url_decode(c), c)
-    article = lambda a: F.struct(a["external_pid"].alias("external_pid"), plain(a["title"]).alias("title"), article_paragraphs(a["text"]).alias("paragraphs"))
-    issue = lambda i: F.struct(i["product_id"].alias("product_id"), i["date_public"].alias("date_public"), F.transform(i["articles"]["article"], article).alias("articles"))
+    # Bodies of all issues are one list, in which an issue's begin behind those of the issues before it.
+    bodies = F.flatten(F.transform("issues.issue", lambda i: F.transform(F.coalesce(i["articles"]["article"], F.array()), lambda a: F.try_url_decode(a["text"]))))
+    rows = read_xml_records(spark, path, JES, JOURNAL_SCHEMA, encoding).withColumn("bodies", php.leaves_of_each(bodies))
+    count = lambda i: F.coalesce(F.size(i["articles"]["article"]), F.lit(0))
+    before = lambda n: F.aggregate(F.slice("issues.issue", F.lit(1), n), F.lit(0), lambda s, i: s + F.greatest(count(i), F.lit(0)))
+    article = lambda start: lambda a, k: F.struct(a["external_pid"].alias("external_pid"), plain(a["title"]).alias("title"), php.texts(F.get("bodies", start + k), "text").alias("paragraphs"))
+    articles = lambda i, n: let(before(n), lambda start: F.transform(i["articles"]["article"], article(start)))
+    issue = lambda i, n: F.struct(i["product_id"].alias("product_id"), i["date_public"].alias("date_public"), articles(i, n).alias("articles"))
     return rows.select("issn", plain(F.col("title")).alias("title"), F.transform("issues.issue", issue).alias("issues"))
 
 

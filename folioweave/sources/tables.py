@@ -34,6 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[at]).parquet(path)
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows dealt over the tasks by ``key``, where much is worked out of each.
+
+    A table's file is split by its size, which says little about that: some MB hold a million rows. Spark joins
+    parts of less than a MB, so the number of tasks follows the rows.
+    """
+    return rows.repartition(*[F.col(c) for c in key])
+
+
 class TableGraph(GraphStore):
     """The store of the tables below a folder; an anchor's serial is its key. A table of it is planned when it is first asked for.
 
