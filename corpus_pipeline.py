@@ -23,8 +23,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of documents whose SimHash fingerprints link, as in ``op2_simhash_near_dedup``, the one of the smallest id stays."""
+    return simhash.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,9 +241,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     found = cut(rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root")))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = found.groupBy("root").agg(F.min(key).alias("least"))
-    gone = found.join(least, "root").where(key != F.col("least")).select(F.col("id").alias("__sh_id"), F.col("th").alias("__sh_th")).distinct()
+    gone = found.join(least, "root").where(key != F.col("least"))
+    return _without(docs, gone, found, id_col, text_col)
+
+
+def _without(docs: DataFrame, gone: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows (id, th) of ``gone``; of rows of ``found`` equal in both, one."""
+    gone = gone.select(F.col("id").alias("__sh_id"), F.col("th").alias("__sh_th")).distinct()
     again = found.groupBy(F.col("id").alias("__sh_id"), F.col("th").alias("__sh_th")).count().where("count > 1").drop("count")
     gone, again = cut(gone), cut(again)
     same = F.col(id_col).eqNullSafe(F.col("__sh_id")) & (xor_key(F.col(text_col)) == F.col("__sh_th"))
     stay = docs.join(gone, same, "left_anti")
     return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that of its smallest (id, text hash), null ids last.
+
+    Ids may be null or repeat: rows are told apart by id and text, and only rows equal in both are one document.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), xor_key(F.col(text_col)).alias("th"))
+    found = cut(near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle).select("key.id", "key.th", (F.col("key") != F.col("component_id")).alias("gone")))
+    return _without(docs, found.where("gone"), found, id_col, text_col)
