@@ -107,8 +107,11 @@ def base58(raw: Column) -> Column:
 
 
 def base58_number(n: Column) -> Column:
-    """A number of zero or more in base 58; null for others."""
-    return F.when(n >= 0, base58(F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))))
+    """A number of zero or more in base 58; null for others. A long has eleven digits at most, each a quotient's remainder."""
+    whole = n.cast("long")
+    digit = lambda p: F.substring(F.lit(BASE58), (F.call_function("div", whole, F.lit(p).cast("long")) % 58).cast("int") + 1, F.lit(1))
+    digits = [F.when(whole >= F.lit(58**k).cast("long"), digit(58**k)).otherwise("") for k in range(10, -1, -1)]
+    return F.when(n >= 0, F.concat(*digits))
 
 
 def pretty_bytes(n: Column) -> Column:
