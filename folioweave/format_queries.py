@@ -21,7 +21,7 @@ from .plans import convert, feed
 from .queries import query
 from .sources import feeds, registry, tsv
 from .sources import marc as marc_source
-from .sources.tables import graph, table
+from .sources.tables import graph, spread, table
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -78,7 +78,7 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
             ("852", " ", " ", {"a": F.lit("LibB"), "j": F.concat(F.lit("S"), _key("p_partkey"))}), ("856", "4", "0", {"u": F.concat(F.lit("https://x.example/"), _key("p_partkey")), "q": F.lit("text/html")}),
         ],
     )
-    return table(spark, d, "part").select("p_partkey", "p_name", rec.alias("marc"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", "p_name", rec.alias("marc"))
 
 
 # Readers and writers
@@ -264,11 +264,19 @@ def providers_listed(spark, d):
 # Conversions
 
 
+_PUBLICATION = (
+    "metadata struct<title: string, subtitle: string, type: string, publisher: string, language: array<string>, author: array<struct<name: string, birthDate: string>>, numberOfPages: int, subject: struct<topic: array<string>>, published: string>, "
+    "links array<struct<href: string>>"
+)
+
+
 def _as_opds(records: DataFrame, source: str) -> DataFrame:
-    got = lambda p: F.get_json_object("converted", f"$.metadata.{p}")
-    return convert.converted(records, registry.OPDS, sources=(source,)).select(
-        got("title").alias("title"), got("subtitle").alias("subtitle"), got("type").alias("type"), got("publisher").alias("publisher"), got("language[0]").alias("language"), got("author[0].name").alias("author"),
-        got("author[0].birthDate").alias("born"), got("numberOfPages").cast("int").alias("pages"), got("subject.topic[0]").alias("topic"), F.substring(got("published"), 1, 4).alias("year"), F.get_json_object("converted", "$.links[0].href").alias("href"),
+    """Publications, the JSON of each read once."""
+    found = convert.converted(records, registry.OPDS, sources=(source,)).select(F.from_json("converted", _PUBLICATION).alias("p")).select("p.metadata", "p.links")
+    m, author = F.col("metadata"), F.get("metadata.author", F.lit(0))
+    return found.select(
+        m["title"].alias("title"), m["subtitle"].alias("subtitle"), m["type"].alias("type"), m["publisher"].alias("publisher"), F.get("metadata.language", F.lit(0)).alias("language"), author["name"].alias("author"),
+        author["birthDate"].alias("born"), m["numberOfPages"].alias("pages"), F.get("metadata.subject.topic", F.lit(0)).alias("topic"), F.substring(m["published"], 1, 4).alias("year"), F.get("links", F.lit(0))["href"].alias("href"),
     )
 
 
@@ -310,7 +318,7 @@ def _rusmarc(spark: SparkSession, d: str) -> DataFrame:
             ("700", " ", "1", {"a": F.lit("Ivanov"), "b": F.lit("I."), "f": F.lit("1900-"), "4": F.lit("070")}), ("801", " ", "0", {"a": F.lit("RU"), "b": F.lit("LibR"), "c": F.lit("20200315")}),
         ],
     )
-    return table(spark, d, "part").select("p_partkey", rec.alias("marc"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", rec.alias("marc"))
 
 
 @query("SELECT p_partkey, p_name AS title, p_type AS rest, p_brand AS statement, 'Moscow' AS place, p_brand AS publisher, CAST(1900 + p_size AS VARCHAR) AS date, '9 p.|ill.|20 cm' AS physical, p_type || '|19th|Volga' AS topic, 'Ivanov, I.' AS name, '1900-' AS life, 'rus|eng' AS language, 'LibR' AS agency, 's' || CAST(1900 + p_size AS VARCHAR) AS coded FROM part")

@@ -55,16 +55,19 @@ def leader_at(rec: Column, position: int) -> Column:
 
 def schema(rec: Column) -> Column:
     """``rusmarc`` or ``marc21``, by the shape of 100$a and the tags at hand."""
-    coded = F.array_join(values(rec, "100", "a"), "")
     # 100$a of RUSMARC is a date of entry, a letter for the kind of date, and codes up to 36 signs in all.
-    entered = F.length(coded).between(34, 36) & F.substring(coded, 1, 8).try_cast("int").isNotNull() & F.rlike(F.substring(coded, 9, 1), F.lit("[A-Za-z]"))
+    dated = lambda coded: F.length(coded).between(34, 36) & F.substring(coded, 1, 8).try_cast("int").isNotNull() & F.rlike(F.substring(coded, 9, 1), F.lit("[A-Za-z]"))
+    entered = let(F.array_join(values(rec, "100", "a"), ""), dated)
     some = control(rec, "007").isNotNull() | control(rec, "008").isNotNull() | (F.size(fields(rec, "040", "852", "856")) > 0)
     return F.when(entered, "rusmarc").when(some, "marc21").when(rec["leader"].isNotNull(), "rusmarc").otherwise("marc21")
 
 
 def record_type(rec: Column) -> Column:
     """The group of the leader's type: bibliographic, authority, holdings, community, classification or unknown."""
-    t = leader_at(rec, TYPE)
+    return let(leader_at(rec, TYPE), _type_group)
+
+
+def _type_group(t: Column) -> Column:
     return (
         F.when(t.isin(*BIBLIOGRAPHIC_TYPES), "bibliographic").when(t.isin(*AUTHORITY_TYPES), "authority").when(t.isin(*HOLDINGS_TYPES), "holdings")
         .when(t.isin(*COMMUNITY_TYPES), "community").when(t.isin(*CLASSIFICATION_TYPES), "classification").otherwise("unknown")
@@ -74,7 +77,7 @@ def record_type(rec: Column) -> Column:
 def kind(rec: Column) -> Column:
     """``collection`` or ``instance`` by the bibliographic level, else the record type."""
     level = F.when(leader_at(rec, LEVEL).isin(*COLLECTION_LEVELS), "collection").otherwise("instance")
-    return F.when(record_type(rec) == "bibliographic", level).otherwise(record_type(rec))
+    return let(record_type(rec), lambda t: F.when(t == "bibliographic", level).otherwise(t))
 
 
 def source(rec: Column, default: Column | None = None) -> Column:
@@ -93,8 +96,8 @@ def source(rec: Column, default: Column | None = None) -> Column:
 
     code = F.coalesce(*[F.nullif(at(place), F.lit("")) for place in SOURCE_PLACES], *([default] if default is not None else []), F.lit(""))
     known = F.create_map(*[F.lit(x) for p in SOURCE_FIXES.items() for x in p])
-    fixed = F.coalesce(F.try_element_at(known, code), code)
-    return F.when(F.rlike(fixed, F.lit(SOURCE_CODE)), fixed).otherwise("")
+    fixed = let(code, lambda c: F.coalesce(F.try_element_at(known, c), c))
+    return let(fixed, lambda c: F.when(F.rlike(c, F.lit(SOURCE_CODE)), c).otherwise(""))
 
 
 def source_code(code: Column) -> Column:
@@ -109,6 +112,10 @@ def key(rec: Column) -> Column:
 
 def dates(rec: Column) -> Column:
     """Struct of a record's dates: of the record itself, of publication and of what the coded ranges tell."""
+    return let(rec, _dates)
+
+
+def _dates(rec: Column) -> Column:
     texts = F.concat(values(rec, "260", "c"), values(rec, "260", "g"), values(rec, "901", "c"), values(rec, "210", "d"))
     published = F.try_element_at(F.filter(F.transform(texts, lambda t: parse_date(t)), lambda d: d.isNotNull()), F.lit(1))
     return let(F.struct(

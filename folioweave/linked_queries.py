@@ -43,7 +43,7 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
     second = {"x": digit(10), "y": F.when(F.col("p_size") % 3 == 0, " ").otherwise(digit(10))}
     other = lambda f: F.coalesce(*[F.when(f["ind2"] == mark, value) for mark, value in second.items()], f["ind2"])
     fields = F.transform(F.col("marc.datafield"), lambda f: f.withField("ind2", other(f)))
-    return table(spark, d, "part").withColumn("marc", rec).withColumn("marc", F.col("marc").withField("datafield", fields)).select("marc", F.col("p_partkey").alias("pos"))
+    return spread(table(spark, d, "part"), "p_partkey").withColumn("marc", rec).withColumn("marc", F.col("marc").withField("datafield", fields)).select("marc", F.col("p_partkey").alias("pos"))
 
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +209,7 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     """Parts as records with a Cyrillic title, which every charset here has."""
     key = F.col("p_partkey").cast("string")
     rec = _marc(LEADER, {"001": key, "003": F.lit("LibA")}, [("245", "0", "0", {"a": F.concat(F.lit("Книга Нова №"), key), "b": F.col("p_type")}), ("260", " ", " ", {"b": F.concat(F.col("p_brand"), F.lit(" Н"))})])
-    return table(spark, d, "part").select("p_partkey", rec.alias("marc"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", rec.alias("marc"))
 
 
 @query("SELECT p_partkey, ['UTF-8', 'UTF-16LE', 'windows-1251'][1 + p_partkey % 3] AS charset, 'Книга Нова №' || CAST(p_partkey AS VARCHAR) AS title, p_type AS rest, p_brand || ' Н' AS publisher, CAST(NULL AS VARCHAR) AS damage FROM part")

@@ -168,7 +168,10 @@ def _retagged(fields: Column, rules: Column) -> Column:
 
 def rusmarc_to_marc21(rec: Column) -> Column:
     """A RUSMARC record under MARC 21 tags and subfield codes, 008 rebuilt from 100$a."""
-    coded = F.rpad(F.coalesce(M.first(rec, "100", "a"), F.lit("")), 36, " ")
+    return let(F.rpad(F.coalesce(M.first(rec, "100", "a"), F.lit("")), 36, " "), lambda coded: _of_rusmarc(rec, coded))
+
+
+def _of_rusmarc(rec: Column, coded: Column) -> Column:
     at = lambda k, n: F.substring(coded, k + 1, n)
     kinds = F.create_map(*[F.lit(x) for p in M.RUSMARC_TYPES.items() for x in p])
     of_date = F.coalesce(F.try_element_at(kinds, at(8, 1)), F.lit(" "))
@@ -195,6 +198,10 @@ def _topics(rec: Column, tags: tuple[str, ...]) -> Column:
 
 def marc21_to_opds(rec: Column, base: str = "") -> Column:
     """A MARC 21 record as a publication: struct of metadata and links."""
+    return let(rec, lambda r: let(M.dates(r), lambda dates: _opds_of_marc21(r, dates, base)))
+
+
+def _opds_of_marc21(rec: Column, dates: Column, base: str) -> Column:
     title = F.coalesce(M.first(rec, "245", "a"), M.first(rec, "130", "a"), _joined(M.values(rec, "773", "t")), M.first(rec, "490", "a"))
     title = F.trim(F.get(F.split(title, " +[:/] *"), F.lit(0)))
     types = F.create_map(*[F.lit(x) for p in LEADER_TYPES.items() for x in p])
@@ -203,7 +210,6 @@ def marc21_to_opds(rec: Column, base: str = "") -> Column:
     ident = F.element_at(F.split(F.coalesce(M.control(rec, "001"), F.lit("")), "/"), -1)
     spoken = F.array_distinct(F.filter(F.concat(F.array(F.substring(f008, 36, 3)), M.values(rec, "041", "a", "b", "d", "e", "f", "g", "h")), lambda x: F.rlike(x, F.lit("^[a-z]{3}$"))))
     pages = F.array_max(F.transform(F.regexp_extract_all(F.coalesce(M.first(rec, "300", "a"), F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int")))
-    dates = M.dates(rec)
     url = record_url(base, F.lit("instance"), issuer, ident)
     meta = F.struct(
         F.coalesce(F.try_element_at(types, M.leader_at(rec, M.TYPE)), F.lit("Thing")).alias("type"), title.alias("title"), F.coalesce(M.first(rec, "245", "b"), M.first(rec, "773", "b")).alias("subtitle"),
@@ -242,7 +248,7 @@ def marc21_to_bibframe(rec: Column) -> Column:
 
 def either_marc(rec: Column) -> Column:
     """A record in MARC 21, retagged if it is RUSMARC."""
-    return F.when(M.schema(rec) == "rusmarc", rusmarc_to_marc21(rec)).otherwise(rec)
+    return let(rec, lambda r: F.when(M.schema(r) == "rusmarc", rusmarc_to_marc21(r)).otherwise(r))
 
 
 def _of_marc(render: Callable[[Column], Column]) -> Callable[[Column], Column]:

@@ -8,6 +8,7 @@ binary, so offsets stay byte offsets whatever the text's encoding.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,16 +52,20 @@ def encoded(text: Column, charset: str = "UTF-8") -> Column:
     return F.encode(F.translate(kept, signs, bytes_of), "ISO-8859-1")
 
 
-def _frame(raw: Column, charset: str) -> tuple[Column, Column, Column, Column]:
-    """A record's leader, base address, number of directory entries, and its array of (tag, size, start), sizes and places in bytes."""
+def _framed(raw: Column, charset: str, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a record's leader, base address, number of directory entries, and its array of (tag, size, start), sizes and places in bytes.
+
+    Each is worked out once; ``raw`` has to be bound, as it is looked into for every entry.
+    """
     unit = 2 if _wide(charset) else 1
     ascii_text = lambda a, n: decoded(F.substring(raw, a * unit + 1, F.lit(n * unit)), charset if unit == 2 else "UTF-8")
-    leader = ascii_text(F.lit(0), 24)
-    base = F.substring(leader, 13, 5).try_cast("int")
-    entries = ((base - 25 * unit) / (12 * unit)).cast("int")
-    listed = ascii_text(F.lit(24), 12 * 10_000)
-    entry = lambda i: F.struct(F.substring(listed, i * 12 + 1, F.lit(3)).alias("tag"), F.substring(listed, i * 12 + 4, F.lit(4)).try_cast("int").alias("size"), F.substring(listed, i * 12 + 8, F.lit(5)).try_cast("int").alias("start"))
-    return leader, base, entries, F.when((base > 25 * unit) & (entries > 0), F.transform(F.sequence(F.lit(0), F.greatest(entries, F.lit(1)) - 1), entry))
+    entry = lambda x: F.struct(F.substring(x, 1, 3).alias("tag"), F.substring(x, 4, 4).try_cast("int").alias("size"), F.substring(x, 8, 5).try_cast("int").alias("start"))
+    # The directory has 10,000 entries at most; an entry is read by its bytes' place.
+    listed = lambda n: F.transform(F.sequence(F.lit(0), F.least(F.greatest(n, F.lit(1)), F.lit(10_000)) - 1), lambda i: let(ascii_text(24 + i * 12, 12), entry))
+    head = lambda leader: F.struct(leader.alias("leader"), F.substring(leader, 13, 5).try_cast("int").alias("base"))
+    counted = lambda h: F.struct(h["leader"].alias("leader"), h["base"].alias("base"), ((h["base"] - 25 * unit) / (12 * unit)).cast("int").alias("n"))
+    whole = lambda h: F.struct(h["leader"].alias("leader"), h["base"].alias("base"), F.when((h["base"] > 25 * unit) & (h["n"] > 0), listed(h["n"])).alias("entries"))
+    return let(ascii_text(F.lit(0), 24), lambda x: let(head(x), lambda h: let(counted(h), lambda c: let(whole(c), then))))
 
 
 def parsed(record: Column, charset: str = "UTF-8", other: str | None = None) -> Column:
@@ -70,25 +75,23 @@ def parsed(record: Column, charset: str = "UTF-8", other: str | None = None) ->
     ``other`` is given and the leader doesn't say that the record is Unicode ("a" at its place 9), by that. In UTF-16 leader,
     directory and marks take two bytes a sign.
     """
-    raw = record.cast("binary")
-
-    def read(frame: Column) -> Column:
+    def read(raw: Column, frame: Column) -> Column:
         unicode = F.substring(frame["leader"], 10, 1) == "a"
         text = lambda x: decoded(x, charset) if other is None else F.when(unicode, decoded(x, charset)).otherwise(decoded(x, other))
-        body = lambda e: F.regexp_replace(text(F.substring(raw, frame["base"] + e["start"] + 1, e["size"])), FIELD_MARK, "")
+        body = lambda e: F.replace(text(F.substring(raw, frame["base"] + e["start"] + 1, e["size"])), F.lit(FIELD_MARK), F.lit(""))
         found = F.filter(F.transform(frame["entries"], lambda e: F.struct(e["tag"].alias("tag"), body(e).alias("body"))), lambda e: e["body"].isNotNull())
         return let(found, lambda fields: F.struct(frame["leader"].alias("leader"), F.transform(F.filter(fields, lambda e: F.startswith(e["tag"], F.lit("00"))), lambda e: F.struct(e["tag"].alias("tag"), e["body"].alias("value"))).alias("controlfield"),
                                                   F.transform(F.filter(fields, lambda e: ~F.startswith(e["tag"], F.lit("00"))), field).alias("datafield")))
 
     def field(e: Column) -> Column:
-        parts = F.split(e["body"], SUBFIELD_MARK)
+        return let(F.split(e["body"], SUBFIELD_MARK), lambda parts: of_parts(e, parts))
+
+    def of_parts(e: Column, parts: Column) -> Column:
         subs = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: p != ""), lambda p: F.struct(F.substring(p, 1, 1).alias("code"), F.substr(p, F.lit(2)).alias("value")))
         lead = F.get(parts, F.lit(0))
         return F.struct(e["tag"].alias("tag"), F.substring(lead, 1, 1).alias("ind1"), F.substring(lead, 2, 1).alias("ind2"), subs.alias("subfield"))
 
-    leader, base, _, entries = _frame(raw, charset)
-    frame = F.struct(leader.alias("leader"), base.alias("base"), entries.alias("entries"))
-    return let(frame, lambda f: F.when(f["entries"].isNotNull(), read(f))).cast(_STRUCT)
+    return let(record.cast("binary"), lambda raw: _framed(raw, charset, lambda f: F.when(f["entries"].isNotNull(), read(raw, f)))).cast(_STRUCT)
 
 
 def damage(record: Column, charset: str = "UTF-8") -> Column:
@@ -97,13 +100,10 @@ def damage(record: Column, charset: str = "UTF-8") -> Column:
     The leader's length must be the record's, with its last mark or without it; the directory must fill the place up to the base address
     with whole entries of digits, and every field must lie in the record and end with its mark.
     """
-    raw = record.cast("binary")
     unit = 2 if _wide(charset) else 1
     mark = F.encode(F.lit(FIELD_MARK), charset if unit == 2 else "UTF-8")
-    size = F.octet_length(raw)
-    leader, base, _, entries = _frame(raw, charset)
 
-    def judged(f: Column) -> Column:
+    def judged(raw: Column, size: Column, f: Column) -> Column:
         told = F.substring(f["leader"], 1, 5).try_cast("int")
         broken = F.exists(f["entries"], lambda e: e["size"].isNull() | e["start"].isNull() | (e["size"] < 0) | (e["start"] < 0))
         end = lambda e: f["base"] + e["start"] + e["size"]
@@ -114,11 +114,15 @@ def damage(record: Column, charset: str = "UTF-8") -> Column:
             .when(~whole | (F.substring(raw, f["base"] - unit + 1, F.lit(unit)) != mark) | broken, "directory").when(outside, "field")
         )
 
-    return F.when(raw.isNull(), "length").otherwise(let(F.struct(leader.alias("leader"), base.alias("base"), entries.alias("entries")), judged))
+    return let(record.cast("binary"), lambda raw: F.when(raw.isNull(), "length").otherwise(_framed(raw, charset, lambda f: judged(raw, F.octet_length(raw), f))))
 
 
 def to_iso2709(rec: Column, charset: str = "UTF-8") -> Column:
     """A record struct as ISO 2709 text: directory, base address and record length computed anew, in bytes of ``charset``, in which it is to be ``encoded``."""
+    return let(rec, lambda r: _iso2709(r, charset))
+
+
+def _iso2709(rec: Column, charset: str) -> Column:
     unit = 2 if _wide(charset) else 1
     size = F.octet_length if charset == "UTF-8" else lambda c: F.octet_length(encoded(c, charset))
     body = lambda f: F.concat(F.coalesce(f["ind1"], F.lit(" ")), F.coalesce(f["ind2"], F.lit(" ")), F.array_join(F.transform(f["subfield"], lambda s: F.concat(F.lit(SUBFIELD_MARK), s["code"], s["value"])), ""), F.lit(FIELD_MARK))
@@ -133,7 +137,9 @@ def to_iso2709(rec: Column, charset: str = "UTF-8") -> Column:
 
     def framed(x: Column) -> Column:
         base = (F.lit(24) + F.length(x["directory"]) + 1) * unit
-        whole = F.concat(x["directory"], F.lit(FIELD_MARK), x["bodies"], F.lit("\x1d"))
+        return let(F.concat(x["directory"], F.lit(FIELD_MARK), x["bodies"], F.lit("\x1d")), lambda whole: headed(base, whole))
+
+    def headed(base: Column, whole: Column) -> Column:
         leader = F.rpad(F.coalesce(rec["leader"], F.lit("")), 24, " ")
         scheme = F.substring(leader, 10, 1) if charset == "UTF-8" else F.lit("a" if unit == 2 else " ")
         return F.concat(pad(size(whole) + 24 * unit, 5), F.substring(leader, 6, 4), scheme, F.substring(leader, 11, 2), pad(base, 5), F.substring(leader, 18, 7), whole)
@@ -187,13 +193,18 @@ def from_slim_xml(record: Column) -> Column:
     head = lambda c: F.regexp_extract(c, "^<[^>]*>", 0)
     control = F.transform(elements(record, "controlfield"), lambda e: F.struct(attribute(head(e), "tag").alias("tag"), plain(inner(e)).alias("value")))
     subs = lambda e: F.transform(elements(inner(e), "subfield"), lambda s: F.struct(attribute(head(s), "code").alias("code"), plain(inner(s)).alias("value")))
-    data = F.transform(elements(record, "datafield"), lambda e: F.struct(attribute(head(e), "tag").alias("tag"), attribute(head(e), "ind1").alias("ind1"), attribute(head(e), "ind2").alias("ind2"), subs(e).alias("subfield")))
+    of_field = lambda e, h: F.struct(attribute(h, "tag").alias("tag"), attribute(h, "ind1").alias("ind1"), attribute(h, "ind2").alias("ind2"), subs(e).alias("subfield"))
+    data = F.transform(elements(record, "datafield"), lambda e: let(head(e), lambda h: of_field(e, h)))
     leader = F.try_element_at(F.transform(elements(record, "leader"), lambda e: plain(inner(e))), F.lit(1))
     return F.struct(leader.alias("leader"), control.alias("controlfield"), data.alias("datafield")).cast(_STRUCT)
 
 
 def to_slim_xml(rec: Column) -> Column:
     """A record struct as a MARCXML ``record`` element."""
+    return let(rec, _slim_xml)
+
+
+def _slim_xml(rec: Column) -> Column:
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     control = F.array_join(F.transform(rec["controlfield"], lambda f: text('<controlfield tag="', esc(f["tag"]), '">', esc(f["value"]), "</controlfield>")), "")

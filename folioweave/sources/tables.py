@@ -35,12 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows dealt over the tasks by ``key``, where much is worked out of each.
+    """The rows dealt by ``key`` over three tasks a core, where much is worked out of each.
 
-    A table's file is split by its size, which says little about that: some MB hold a million rows. Spark joins
-    parts of less than a MB, so the number of tasks follows the rows.
+    A table's file is split by its size, which says little about that: some MB hold a million rows.
     """
-    return rows.repartition(*[F.col(c) for c in key])
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, *[F.col(c) for c in key])
 
 
 class TableGraph(GraphStore):
