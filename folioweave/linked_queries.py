@@ -134,7 +134,7 @@ def _orders_json(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderkey").alias("id"), F.struct(F.array_repeat(part, (F.col("o_orderkey") % 3 + 1).cast("int")).alias("parts"), F.col("o_totalprice").alias("price")).alias("record"),
         F.when(F.col("o_custkey") % 2 == 0, F.struct(F.struct(F.col("o_custkey").alias("key")).alias("customer"))).alias("by"),
     )
-    return table(spark, d, "orders").select(F.to_json(deep).alias("json"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select(F.to_json(deep).alias("json"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS code, CAST(o_orderkey % 3 + 1 AS INTEGER) AS n, split_part(o_orderpriority, '-', 2) AS word,
@@ -166,7 +166,7 @@ def merged_records(spark, d):
         F.lit(1).alias("n"), F.struct(F.struct(F.col("o_totalprice").cast("decimal(20,2)").alias("sum")).alias("price"), F.create_map(F.col("o_orderstatus"), F.lit(1)).alias("of")).alias("totals"),
         F.struct(F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("finished")).alias("last"), F.array("o_orderkey").alias("keys"),
     )
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_json(one).alias("json"))
+    rows = spread(table(spark, d, "orders"), "o_orderkey").select("o_custkey", "o_orderkey", F.to_json(one).alias("json"))
     merged = leaves.merged_objects(rows, "json", ["o_custkey"], "o_orderkey")
     shape = "n long, totals struct<price:struct<sum:decimal(38,2)>,of:map<string,long>>, last struct<priority:string,finished:boolean>, keys array<long>"
     m = merged.select("o_custkey", F.from_json("merged", shape).alias("m")).select("o_custkey", "m.*")

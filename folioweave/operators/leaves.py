@@ -23,35 +23,36 @@ def depth(text: Column) -> Column:
     return F.greatest(end["most"], end["now"])
 
 
-def _is(v: Column, what: str) -> Column:
-    return F.startswith(F.schema_of_variant(v), F.lit(f"{what}<"))
-
-
 def _own(key: Column) -> Column:
     """A key as a step of a JSON path."""
     return F.when(F.contains(key, F.lit("'")), F.concat(F.lit('["'), key, F.lit('"]'))).otherwise(F.concat(F.lit("['"), key, F.lit("']")))
 
 
-def leaves(rows: DataFrame, json_col: str, by: list[str], arrays: bool = True) -> DataFrame:
+def _deepest(rows: DataFrame, json_col: str) -> int:
+    return rows.agg(F.max(depth(F.col(json_col))).alias("d")).first()["d"] or 0
+
+
+def leaves(rows: DataFrame, json_col: str, by: list[str], arrays: bool = True, levels: int | None = None) -> DataFrame:
     """Rows (by, steps, place, type, v): each value of a row's JSON text that isn't an object or, with ``arrays``, an array.
 
     ``steps`` are the keys and numbers that lead to it, ``place`` is its JSON path and ``type`` what Spark calls it;
     with ``arrays`` turned off an array is a value. Empty objects are values of type OBJECT<>. Texts that aren't JSON, and nulls at the top, have no leaves.
 
-    The deepest nesting is looked up first; then all rows are taken apart level by level in one plan.
+    The deepest nesting is looked up first, unless it is given as ``levels``; then all rows are taken apart level by level in one plan.
     """
-    levels = rows.agg(F.max(depth(F.col(json_col))).alias("d")).first()["d"] or 0
+    levels = _deepest(rows, json_col) if levels is None else levels
     blank = F.array().cast("array<string>")
     out = rows.select(*by, blank.alias("steps"), F.lit("$").alias("place"), F.try_parse_json(F.col(json_col)).alias("v")).where("v IS NOT NULL")
     child = lambda step, at, v: F.struct(step.alias("step"), at.alias("at"), v.alias("v"))
     for _ in range(levels):
         v = F.col("v")
-        of_object = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: child(e["key"], _own(e["key"]), e["value"]))
-        of_array = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: child(i.cast("string"), F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
+        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
         as_is = F.array(child(F.lit(None).cast("string"), F.lit(""), v))
-        apart = F.when(_is(v, "OBJECT") & (F.schema_of_variant(v) != "OBJECT<>"), of_object)
-        apart = apart.when(_is(v, "ARRAY"), of_array) if arrays else apart
-        out = out.select(*by, "steps", "place", F.explode(apart.otherwise(as_is)).alias("c"))
+        of_array = lambda xs: F.when(xs.isNotNull(), F.transform(xs, lambda x, i: child(i.cast("string"), F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))).otherwise(as_is)
+        other = let(F.try_variant_get(v, "$", "array<variant>"), of_array) if arrays else as_is
+        # What a value is shows by what it can be read as: its schema takes a walk through all that is below it.
+        apart = let(entries, lambda es: F.when(F.size(es) > 0, F.transform(es, lambda e: child(e["key"], _own(e["key"]), e["value"]))).otherwise(other))  # noqa: B023
+        out = out.select(*by, "steps", "place", F.explode(apart).alias("c"))
         out = out.select(*by, F.when(F.col("c.step").isNull(), F.col("steps")).otherwise(F.array_append("steps", F.col("c.step"))).alias("steps"), F.concat("place", "c.at").alias("place"), F.col("c.v").alias("v"))
     # A place is one value, whether or not its row was taken apart to the last level.
     return out.select(*by, "steps", "place", F.schema_of_variant("v").alias("type"), "v")
@@ -143,7 +144,8 @@ def merged_objects(rows: DataFrame, json_col: str, by: list[str], order: str) ->
     joined arrays grow with the rows, as the result does.
     """
     own = rows.where(F.startswith(F.ltrim(F.col(json_col)), F.lit("{")))
-    found = leaves(own.withColumn("__order", F.col(order)), json_col, [*by, "__order"], arrays=False).where("type <> 'VOID'")
+    levels = _deepest(own, json_col)
+    found = leaves(own.withColumn("__order", F.col(order)), json_col, [*by, "__order"], arrays=False, levels=levels).where("type <> 'VOID'")
     kind = F.when(F.col("type") == "OBJECT<>", 3).when(F.startswith("type", F.lit("ARRAY<")), 2).when(F.col("type").isin("STRING", "BOOLEAN"), 0).otherwise(1)
     text, number = F.col("v").cast("string"), F.expr("try_variant_get(v, '$', 'decimal(38,10)')")
     items = F.transform(F.try_variant_get(F.col("v"), "$", "array<variant>"), lambda x: F.to_json(x))
@@ -158,13 +160,14 @@ def merged_objects(rows: DataFrame, json_col: str, by: list[str], order: str) ->
     # From here on all of a group's paths are in one place, and the levels need no further shuffle.
     at = sums.select(*by, "steps", F.when(F.col("kind") == 3, 0).otherwise(1).alias("leaf"), value.alias("json"))
     at = at.repartition(*by) if by else at
-    levels = own.agg(F.max(depth(F.col(json_col))).alias("d")).first()["d"] or 0
     for level in range(levels, 0, -1):
-        deepest = at.where(F.size("steps") == level)
-        member = F.struct(F.element_at("steps", -1).alias("k"), "json")
-        whole = F.transform(F.array_sort(F.collect_list(member)), lambda m: F.concat(_quoted(m["k"]), F.lit(":"), m["json"]))
-        above = deepest.groupBy(*by, F.slice("steps", 1, level - 1).alias("steps")).agg(F.concat(F.lit("{"), F.array_join(whole, ","), F.lit("}")).alias("json"))
-        rest = at.where(F.size("steps") < level).unionByName(above.withColumn("leaf", F.lit(2)))
+        # Each level takes the rows once: what is deepest joins to its parent's members, the rest stays.
+        deep = F.size("steps") == level
+        up = F.when(deep, F.slice("steps", 1, level - 1)).otherwise(F.col("steps")).alias("steps")
+        member = F.struct(F.try_element_at("steps", F.lit(-1)).alias("k"), "json")
+        own = at.groupBy(*by, up).agg(F.array_sort(F.collect_list(F.when(deep, member))).alias("members"), F.max(F.when(~deep, F.struct("leaf", "json"))).alias("x"))
+        whole = F.concat(F.lit("{"), F.array_join(F.transform("members", lambda m: F.concat(_quoted(m["k"]), F.lit(":"), m["json"])), ","), F.lit("}"))
         # Members take the place of an array, number or text of their own path, and of an object without any.
-        at = rest.groupBy(*by, "steps").agg(F.max(F.when(F.col("leaf") == 2, F.struct(F.lit(2).alias("leaf"), F.col("json"))).otherwise(F.struct("leaf", "json"))).alias("x")).select(*by, "steps", "x.leaf", "x.json")
+        some = F.size("members") > 0
+        at = own.select(*by, "steps", F.when(some, 2).otherwise(F.col("x.leaf")).alias("leaf"), F.when(some, whole).otherwise(F.col("x.json")).alias("json"))
     return at.where(F.size("steps") == 0).select(*by, F.col("json").alias("merged"))
