@@ -50,8 +50,16 @@ def runs(numbers: Column, longest: int | None = None) -> Column:
 
 
 def islands(rows: DataFrame, by: list[str], number: str) -> DataFrame:
-    """Runs of neighbouring numbers per group, over rows instead of an array."""
-    order = Window.partitionBy(*by).orderBy(number)
-    own = rows.select(*by, F.col(number).cast("long").alias("n")).distinct()
-    marked = own.withColumn("run", F.col("n") - F.row_number().over(order.partitionBy(*by).orderBy("n")))
-    return marked.groupBy(*by, "run").agg(F.min("n").alias("from"), F.max("n").alias("to"), F.count("*").alias("size")).drop("run")
+    """Runs of neighbouring numbers per group, over rows instead of an array; a group's nulls are a run of one.
+
+    One sort by group and number, in which a run's first and last row tell by their neighbours: nothing is hashed, and repeats need no pass of their own.
+    """
+    order = Window.partitionBy(*by).orderBy("n")
+    n, before, behind = F.col("n"), F.col("before"), F.col("behind")
+    own = rows.select(*by, F.col(number).cast("long").alias("n"))
+    own = own.withColumns({"before": F.lag("n").over(order), "behind": F.lead("n").over(order), "at": F.row_number().over(order)})
+    first, last = before.isNull() | (n - before > 1), behind.isNull() | (behind - n > 1)
+    # Nulls come first in order.
+    kept = own.select(*by, "n", first.alias("first"), F.when(n.isNull(), F.col("at") == 1).otherwise(last).alias("last")).where(F.col("last") | (n.isNotNull() & F.col("first")))
+    began = kept.withColumn("from", F.when(F.col("first"), n).otherwise(F.lag("n").over(order))).where("last")
+    return began.select(*by, "from", n.alias("to"), F.coalesce(n - F.col("from") + 1, F.lit(1).cast("long")).alias("size"))
