@@ -1,18 +1,32 @@
-"""Approximate nearest vectors: inverted lists of trained centroids, few of them searched, distances exact."""
+"""Approximate nearest vectors: inverted lists of trained centroids, few of them searched, distances exact.
+
+A search deals the vectors to parts and the queries to blocks, both of bounded size. A part and a block that meet are
+compared list by list as products of matrices, and of each query the best are kept; the parts' best are then ranked.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..functions.vectors import dot, l2norm
+from ..functions.vectors import l2norm
 
 #: Lists of an index, lists that a search looks into, and vectors that the centroids are trained on, at most.
 LISTS, PROBES, SAMPLE = 256, 24, 200_000
+#: Components that a part of the vectors and a block of the queries have at most, similarities that are looked at together, and vectors times lists of a task that deals vectors to lists.
+PART, BLOCK, TOGETHER, DEALT = 2**21, 2**20, 2**21, 5 * 10**7
+
+
+def _tasks(rows: DataFrame, work: int) -> DataFrame:
+    """The rows dealt evenly to tasks of at most ``DEALT`` of the work, three a core at least."""
+    return rows.repartition(max(3 * rows.sparkSession.sparkContext.defaultParallelism, -(-work // DEALT)))
 
 
 def _unit(vector: Column) -> Column:
@@ -21,6 +35,87 @@ def _unit(vector: Column) -> Column:
     return F.when(sound, let(l2norm(vector), lambda n: F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n))))
 
 
+def _directed(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """The key and the vector at length one of those that have a direction."""
+    # A filter would be worked out before the rows are dealt.
+    return rows.select(key, F.explode(F.array_compact(F.array(_unit(F.col(vector))))).alias(vector))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    if len(column) and pc.any(pc.not_equal(pc.list_value_length(column), width)).as_py():
+        raise ValueError(f"vectors and queries must have one length, {width}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _best(v: np.ndarray, lists: np.ndarray, order: np.ndarray, q: np.ndarray, row: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the ``most`` vectors of the least distance, ties by ``order``: rows of ``q``, rows of ``v`` and distances.
+
+    ``lists`` has the vectors' lists; the query ``row[n]`` looks into the list ``asked[n]``. Products of matrices find who may be among the best,
+    whatever their rounding; the distances of these are then added up component by component, as ``1 - dot(v, q)`` is.
+    """
+    slack = 8 * v.shape[1] * np.finfo(float).eps
+    top, least = np.full((len(q), most), -np.inf), np.full(len(q), -np.inf)
+
+    def trimmed(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        may = s >= least[i] - slack
+        i, j, s = i[may], j[may], s[may]
+        total = np.zeros(len(i))
+        for k in range(v.shape[1]):
+            total += v[j, k] * q[i, k]
+        by = np.lexsort((order[j], 1 - total, i))
+        i = i[by]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < most
+        by = by[first]
+        return i[first], j[by], s[by], 1 - total[by]
+
+    none = np.zeros(0, np.int64)
+    found, held = [(none, none, np.zeros(0))], 0
+    by_list, by_asked = np.argsort(lists, kind="stable"), np.argsort(asked, kind="stable")
+    for number in np.intersect1d(lists, asked):
+        own = by_list[slice(*np.searchsorted(lists[by_list], [number, number + 1]))]
+        who = row[by_asked[slice(*np.searchsorted(asked[by_asked], [number, number + 1]))]]
+        step = max(1, TOGETHER // len(own))
+        for at in range(0, len(who), step):
+            i = who[at : at + step]
+            s = q[i] @ v[own].T
+            better = s.max(axis=1) >= least[i] - slack
+            i, s = i[better], s[better]
+            top[i] = np.partition(np.concatenate([top[i], s], axis=1), -most, axis=1)[:, -most:]
+            least[i] = top[i].min(axis=1)
+            a, b = np.nonzero(s >= least[i][:, None] - slack)
+            found.append((i[a], own[b], s[a, b]))
+            held += len(a)
+            if held > TOGETHER + 2 * len(q) * most:
+                found = [trimmed(*map(np.concatenate, zip(*found)))[:3]]
+                held = len(found[0][0])
+    i, j, _, distance = trimmed(*map(np.concatenate, zip(*found)))
+    return i, j, distance
+
+
+def _compared(vectors: DataFrame, asked: DataFrame, width: int, most: int, blocks: int) -> DataFrame:
+    """Rows (query, id, rank, distance) of vectors (id, v, list, part) and queries (query, q, lists, part), dealt to so many blocks."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        ids, queries, wanted = (t.column(c).combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for t, c in ((left, "id"), (right, "query"), (right, "lists")))
+        i = j = np.zeros(0, np.int64)
+        distance = np.zeros(0)
+        if len(ids) and len(queries):
+            v, q = _matrix(left.column("v").combine_chunks(), width), _matrix(right.column("q").combine_chunks(), width)
+            order = np.empty(len(ids), np.int64)
+            order[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+            row = np.repeat(np.arange(len(queries)), pc.list_value_length(wanted).to_numpy())
+            i, j, distance = _best(v, left.column("list").to_numpy(), order, q, row, wanted.flatten().to_numpy(), most)
+        return pa.table({"query": queries.take(pa.array(i)), "id": ids.take(pa.array(j)), "distance": pa.array(distance, pa.float64())})
+
+    every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query", "q"), F.lit(blocks)).cast("int"))
+    kinds = f"query {asked.schema['query'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
+    found = every.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInArrow(run, kinds)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= most)
+    return ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance")
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """An index below ``path``: ``lists``, partitioned by the number of the list, and ``centroids``."""
@@ -40,7 +135,8 @@ class VectorIndex:
         from pyspark.ml.functions import array_to_vector
 
         spark = vectors.sparkSession
-        rows = vectors.select(F.col(id_col).alias("id"), _unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
+        given = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+        rows = _directed(_tasks(given, given.count() * lists), "id", "v")
         share = min(1.0, sample / max(1, rows.count()))
         some = rows.where(F.xxhash64("v", F.lit(seed)) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))) if share < 1 else rows
         features = lambda df: df.withColumn("features", array_to_vector("v"))
@@ -53,39 +149,79 @@ class VectorIndex:
     def search(self, queries: DataFrame, limit: int = 100, probes: int = PROBES, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """Of each query the ``limit`` vectors of the greatest cosine, 1000 at most, among the ``probes`` lists nearest to it.
 
-        Rows (query, id, rank, distance), ranks from 0; ties by id. Distances are exact. Queries without a direction find nothing; those of equal id count
+        Rows (query, id, rank, distance), ranks from 0; ties by id. Distances are exact. Queries have the vectors' length; those without a direction find nothing, those of equal id count
         as one with the vectors of all. Partitions of lists that no query looks into aren't read.
         """
-        centroids = [r["c"] for r in self.spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()]  # one row a list
-        most = min(1000, max(1, limit))
-        # |q - c|^2 without |q|^2, which is the same for all centroids.
-        table = F.array(*[F.struct(F.lit(k).alias("list"), F.array(*[F.lit(x) for x in c]).alias("c"), F.lit(sum(x * x for x in c)).alias("size")) for k, c in enumerate(centroids)])
-        own = queries.select(F.col(id_col).alias("query"), _unit(F.col(vector)).alias("q")).where("q IS NOT NULL")
-        near = F.slice(F.array_sort(F.transform(table, lambda t: F.struct((t["size"] - 2 * dot(F.col("q"), t["c"])).alias("far"), t["list"].alias("list")))), 1, max(1, probes))
-        asked = own.select("query", "q", F.explode(F.transform(near, lambda n: n["list"])).alias("list"))
-        pairs = self.spark.read.parquet(f"{self.path}/lists").join(asked, "list")
-        scored = pairs.select("query", "id", (1 - dot(F.col("v"), F.col("q"))).alias("distance"))
-        # The best of each task are kept before a query's rows meet.
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= most)
-        return ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance")
+        centroids = np.array([r["c"] for r in self.spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()])  # one row a list
+        most, probes, width = min(1000, max(1, limit)), min(len(centroids), max(1, probes)), centroids.shape[1]
+        stored = self.spark.read.parquet(f"{self.path}/lists")
+        parts = self._parts({r["list"]: r["count"] for r in stored.groupBy("list").count().collect()}, max(1, PART // width))
+        own = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("q"))
+        number = own.count()
+        asked = self._asked(_directed(_tasks(own, number * len(centroids)), "query", "q"), centroids, parts, probes)
+        if probes < len(centroids):
+            stored = stored.where(F.col("list").isin([r["list"] for r in asked.select(F.explode("lists").alias("list")).distinct().collect()]))
+        places = self.spark.createDataFrame(list(parts.items()), "list int, parts array<int>")
+        # A list of several parts deals its rows to them by their place in the file.
+        placed = stored.withColumn("at", F.col("_metadata.row_index")).join(F.broadcast(places), "list")
+        rows = placed.select("id", "v", "list", F.get("parts", F.pmod("at", F.size("parts")).cast("int")).alias("part"))
+        return _compared(rows, asked, width, most, max(1, -(-number // max(1, min(BLOCK // width, TOGETHER // most)))))
+
+    @staticmethod
+    def _parts(sizes: dict[int, int], largest: int) -> dict[int, list[int]]:
+        """The parts of about ``largest`` vectors that each list's vectors are dealt to: small lists share one, a large one has several."""
+        parts, part, held = {}, 0, 0.0
+        for number, n in sorted(sizes.items()):
+            pieces = -(-n // largest)
+            parts[number] = []
+            for _ in range(pieces):
+                if held and held + n / pieces > largest:
+                    part, held = part + 1, 0.0
+                parts[number].append(part)
+                held += n / pieces
+        return parts
+
+    @staticmethod
+    def _asked(own: DataFrame, centroids: np.ndarray, parts: dict[int, list[int]], probes: int) -> DataFrame:
+        """Rows (query, q, lists, part): for each part with some of the ``probes`` lists nearest to the query these lists."""
+        within: dict[int, list[int]] = {}
+        for number, own_parts in parts.items():
+            for part in own_parts:
+                within.setdefault(part, []).append(number)
+        size, step, width = (centroids * centroids).sum(axis=1), max(1, TOGETHER // len(centroids)), centroids.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    # |q - c|^2 without |q|^2, which is the same for all centroids.
+                    far = size - 2 * (_matrix(batch.column("q"), width) @ centroids.T)
+                    near = np.zeros(far.shape, bool)
+                    np.put_along_axis(near, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+                    for part, numbers in within.items():
+                        i, k = np.nonzero(near[:, numbers])
+                        rows, n = np.unique(i, return_counts=True)
+                        if len(rows):
+                            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.array(numbers)[k], pa.int32()))
+                            columns = [batch.column("query").take(pa.array(rows)), batch.column("q").take(pa.array(rows)), lists, pa.array([part] * len(rows), pa.int32())]
+                            yield pa.RecordBatch.from_arrays(columns, names=["query", "q", "lists", "part"])
+
+        return own.mapInArrow(run, f"query {own.schema['query'].dataType.simpleString()}, q array<double>, lists array<int>, part int")
 
 
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, limit: int = 100, id_col: str = "vec_id", vector: str = "embedding", block: int = 1000) -> DataFrame:
     """What ``VectorIndex.search`` finds if it looks into all lists, by comparing every query with every vector.
 
-    The queries are a stated set, dealt to blocks of about ``block``, each of which is sent to all tasks.
+    The queries are a stated set, dealt to blocks of about ``block``, each of which meets every part of the vectors.
     """
     most = min(1000, max(1, limit))
     rows = vectors.select(F.col(id_col).alias("id"), _unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
     own = queries.select(F.col(id_col).alias("query"), _unit(F.col(vector)).alias("q")).where("q IS NOT NULL")
-    blocks = max(1, -(-own.count() // block))
-    part = lambda k: F.broadcast(own.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
-    found = []
-    for k in range(blocks):
-        scored = rows.join(part(k), F.lit(True)).select("query", "id", (1 - dot(F.col("v"), F.col("q"))).alias("distance"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= most)
-        found.append(ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance"))
-    return reduce(DataFrame.unionByName, found)
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    parts = max(1, -(-n // max(1, PART // width)))
+    dealt = rows.select("id", "v", F.lit(0).alias("list"), F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"))
+    asked = own.select("query", "q", F.array(F.lit(0)).alias("lists"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return _compared(dealt, asked, width, most, max(1, -(-own.count() // block)))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
