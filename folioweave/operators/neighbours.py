@@ -47,6 +47,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _few_copies(v: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """The rows that fewer than ``most`` equal ones precede by ``order``. Others are as far from any query as those before them, and so never among its best."""
+    _, same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    by = np.lexsort((order, same))
+    same = same[by]
+    return np.sort(by[np.arange(len(by)) - np.searchsorted(same, same) < most])
+
+
 def _best(v: np.ndarray, lists: np.ndarray, order: np.ndarray, q: np.ndarray, row: np.ndarray, asked: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the ``most`` vectors of the least distance, ties by ``order``: rows of ``q``, rows of ``v`` and distances.
 
@@ -73,6 +81,7 @@ def _best(v: np.ndarray, lists: np.ndarray, order: np.ndarray, q: np.ndarray, ro
     by_list, by_asked = np.argsort(lists, kind="stable"), np.argsort(asked, kind="stable")
     for number in np.intersect1d(lists, asked):
         own = by_list[slice(*np.searchsorted(lists[by_list], [number, number + 1]))]
+        own = own[_few_copies(v[own], order[own], most)]
         who = row[by_asked[slice(*np.searchsorted(asked[by_asked], [number, number + 1]))]]
         step = max(1, TOGETHER // len(own))
         for at in range(0, len(who), step):
@@ -92,8 +101,8 @@ def _best(v: np.ndarray, lists: np.ndarray, order: np.ndarray, q: np.ndarray, ro
     return i, j, distance
 
 
-def _compared(vectors: DataFrame, asked: DataFrame, width: int, most: int, blocks: int) -> DataFrame:
-    """Rows (query, id, rank, distance) of vectors (id, v, list, part) and queries (query, q, lists, part), dealt to so many blocks."""
+def _compared(vectors: DataFrame, asked: DataFrame, width: int, most: int, parts: int, blocks: int) -> DataFrame:
+    """Rows (query, id, rank, distance) of vectors (id, v, list, part) and queries (query, q, lists, part), of so many parts and dealt to so many blocks."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -111,7 +120,10 @@ def _compared(vectors: DataFrame, asked: DataFrame, width: int, most: int, block
     every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("query", "q"), F.lit(blocks)).cast("int"))
     kinds = f"query {asked.schema['query'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
-    found = every.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInArrow(run, kinds)
+    # The session's number of shuffle partitions doesn't grow with that of the cells.
+    tasks = max(3 * vectors.sparkSession.sparkContext.defaultParallelism, 2 * parts * blocks)
+    every, dealt = (rows.repartition(tasks, "part", "block").groupBy("part", "block") for rows in (every, dealt))
+    found = every.cogroup(dealt).applyInArrow(run, kinds)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= most)
     return ranked.select("query", "id", (F.col("rank") - 1).alias("rank"), "distance")
 
@@ -165,7 +177,8 @@ class VectorIndex:
         # A list of several parts deals its rows to them by their place in the file.
         placed = stored.withColumn("at", F.col("_metadata.row_index")).join(F.broadcast(places), "list")
         rows = placed.select("id", "v", "list", F.get("parts", F.pmod("at", F.size("parts")).cast("int")).alias("part"))
-        return _compared(rows, asked, width, most, max(1, -(-number // max(1, min(BLOCK // width, TOGETHER // most)))))
+        blocks = max(1, -(-number // max(1, min(BLOCK // width, TOGETHER // most))))
+        return _compared(rows, asked, width, most, len({part for own_parts in parts.values() for part in own_parts}), blocks)
 
     @staticmethod
     def _parts(sizes: dict[int, int], largest: int) -> dict[int, list[int]]:
@@ -221,7 +234,7 @@ def exact_neighbours(vectors: DataFrame, queries: DataFrame, limit: int = 100, i
     parts = max(1, -(-n // max(1, PART // width)))
     dealt = rows.select("id", "v", F.lit(0).alias("list"), F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"))
     asked = own.select("query", "q", F.array(F.lit(0)).alias("lists"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    return _compared(dealt, asked, width, most, max(1, -(-own.count() // block)))
+    return _compared(dealt, asked, width, most, parts, max(1, -(-own.count() // block)))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
